@@ -6,8 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
-from .common import table
+from . import chat, media, mixing, token_counts, warc
+from .common import table, tokenizer_path
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a probe, folded, formatted and read back from the formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.parse(chat.render(chat.fold(chat.rows_as_events(rows.unionByName(probe))))))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts, stored as frames of a media container and read back through its sample tables."""
+    return media.store_texts(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all texts by the 32,000-piece vocabulary."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.MODEL))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +32,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to an archive and read back."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_mixing,)}
+    return {f.__name__: f for f in (op4_chat, op5_media, op6_token_counts, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL}
+    return {"op4_chat": chat.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL}
