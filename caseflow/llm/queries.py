@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, token_counts, warc
+from . import chat, media, mixing, near_dup, token_counts, warc
 from .common import table, tokenizer_path
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates among all documents."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and a probe, folded, formatted and read back from the formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,7 +43,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat, op5_media, op6_token_counts, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op3_near_dup, op4_chat, op5_media, op6_token_counts, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
