@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, near_dup, token_counts, warc
+from . import chat, decontaminate, media, mixing, near_dup, token_counts, warc
 from .common import table, tokenizer_path
 
 
@@ -32,6 +32,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.MODEL))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that overlap."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source weights 5, 2, 1 to 150% of all words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -43,8 +48,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dup, op4_chat, op5_media, op6_token_counts, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op3_near_dup, op4_chat, op5_media, op6_token_counts, op7_decontaminate, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {"op4_chat": chat.SQL, "op7_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL}
