@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, media, mixing, near_dup, token_counts, warc
+from . import chat, decontaminate, katz, media, mixing, near_dup, token_counts, warc
 from .common import table, tokenizer_path
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by a model of those not held out, and by the base model."""
+    return katz.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates among all documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -48,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dup, op4_chat, op5_media, op6_token_counts, op7_decontaminate, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_katz, op3_near_dup, op4_chat, op5_media, op6_token_counts, op7_decontaminate, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
