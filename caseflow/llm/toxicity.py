@@ -143,6 +143,17 @@ def _word_units(text: str) -> set[str]:
     return {w for w in words if 3 <= len(w.encode()) <= 2 * PIECE}
 
 
+def _with_smallest(batches):
+    for batch in batches:
+        low = np.zeros(batch.num_rows, np.int64)
+        for begin, end, data, ends in flat.slices(batch.column(0)):
+            h, _, before = flat.words(data, ends)
+            for k in range(end - begin):
+                s = flat.shingles(h[before[k] : before[k + 1]], 5)
+                low[begin + k] = s.min().view(np.int64) if len(s) else 0
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int64()), pa.array(low)], ["text", "toxic", "doc_id", "smallest"])
+
+
 def _count_units(batches):
     """(unit, toxic, clean) documents of rows (text, toxic), added up within a batch."""
     for batch in batches:
@@ -187,7 +198,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.filter(~held_out(F.col("doc_id"), parts)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # at most max_labelled short rows
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")), "labelled")
+    sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"), "doc_id")
+    # copies share a label by chance, so near copies count once: of texts with one smallest shingle, one is kept
+    sample = sample.mapInArrow(_with_smallest, "text string, toxic boolean, doc_id long, smallest long").groupBy("smallest")
+    sample = stored(sample.agg(F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("doc_id"), "doc_id", "text")).alias("x")).select("x.*"), "labelled")
     n = {x.toxic: x.n for x in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, q = n.get(True, 0), n.get(False, 0)
     if not p or not q:
