@@ -9,7 +9,7 @@
 3. Stars. Each bucket proposes edges from its smallest member to its other members of fitting size: as many edges as members.
    Every edge is confirmed on the full sets, made anew from the whole texts.
 4. The rest. A star can miss links between its rays. In every bucket whose members are still in several components, members
-   are compared by their signatures, in blocks of bounded size, and pairs across components whose estimate is not
+   are compared by estimates from smallest hashes in bins, in blocks of bounded size, and pairs across components whose estimate is not
    clearly below the threshold are confirmed in the same way: first the best of each member and component, then, in
    what is still apart, all. Nothing is capped.
 5. Components of confirmed links, by alternating large and small stars.
@@ -37,12 +37,14 @@ THRESHOLD = 75  # percent
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 BLOCK = 1024
+EST_BINS = 400
 SLACK = 3.3  # standard deviations of an estimate
 
-_BOUNDS = np.array([min((k << 64) // BINS, (1 << 64) - 1) for k in range(BINS + 1)], np.uint64)
+_bounds = lambda n: np.array([min((k << 64) // n, (1 << 64) - 1) for k in range(n + 1)], np.uint64)
+_BOUNDS, _EST_BOUNDS = _bounds(BINS), _bounds(EST_BINS)
 _BAND = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, signature binary"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
 
 def _probe(bins: np.ndarray, attempt: int) -> np.ndarray:
@@ -71,26 +73,36 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _sketch(batches):
     for batch in batches:
-        out = {k: [] for k in ("n_shingles", "fp1", "fp2", "bands", "signature")}
+        out = {k: [] for k in ("n_shingles", "fp1", "fp2", "bands")}
         for begin, end, data, ends in flat.slices(batch.column(1)):
             h, _, before = flat.words(data, ends)
             for k in range(end - begin):
                 s = np.unique(flat.shingles(h[before[k] : before[k + 1]], SHINGLE))
                 out["n_shingles"].append(len(s))
                 if not len(s):
-                    out["fp1"].append(None), out["fp2"].append(None), out["bands"].append(None), out["signature"].append(None)
+                    out["fp1"].append(None), out["fp2"].append(None), out["bands"].append(None)
                     continue
                 out["fp1"].append(flat.mix(s ^ np.uint64(1)).sum().view(np.int64))
                 out["fp2"].append(flat.mix(s ^ np.uint64(2)).sum().view(np.int64))
                 v = signature(s)
                 out["bands"].append(flat.mix((v.reshape(BANDS, ROWS) * flat._PLACE[:ROWS]).sum(axis=1) + _BAND).view(np.int64))
-                out["signature"].append(flat.mix(v).astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(out["n_shingles"], pa.int64()), pa.array(out["fp1"], pa.int64()), pa.array(out["fp2"], pa.int64()), pa.array(out["bands"], pa.list_(pa.int64())), pa.array(out["signature"], pa.binary())],
+            [batch.column(0).cast(pa.int64()), pa.array(out["n_shingles"], pa.int64()), pa.array(out["fp1"], pa.int64()), pa.array(out["fp2"], pa.int64()), pa.array(out["bands"], pa.list_(pa.int64()))],
             ["doc_id", *out],
         )
 
 
+def _estimators(batches):
+    """(rep, signature) of rows (doc_id, text): 16 bits of the smallest hash in each of EST_BINS bins, 0 where empty."""
+    for batch in batches:
+        out = []
+        for s in _sets(batch.column(1)):
+            at = np.searchsorted(s, _EST_BOUNDS)
+            values = flat.mix(s[np.minimum(at[:-1], len(s) - 1)]).astype(np.uint16) | np.uint16(1)
+            out.append(np.where(at[1:] > at[:-1], values, 0).astype(np.uint16).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "signature"])
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """SKETCH_SCHEMA of documents (doc_id, text)."""
     short_batches(docs.sparkSession)
@@ -147,7 +159,7 @@ def _blocks(best: int):
     """Promising pairs across components within runs of rows (key, i, j, block, rep, component, n, signature)."""
 
     def compare(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, BINS)
+        sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, EST_BINS)
         rep, comp, n, block = (np.array(rows[k]) for k in ("rep", "component", "n", "block"))
         left = np.flatnonzero(block == rows["i"][0])
         right = np.flatnonzero(block == rows["j"][0])
@@ -158,8 +170,12 @@ def _blocks(best: int):
                 ys = ys[ys > x]
             if not len(ys):
                 continue
-            share = (sig[ys] == sig[x]).mean(axis=1)
-            good = share >= THRESHOLD / 100 - SLACK * np.sqrt(0.1875 / np.minimum(BINS, np.minimum(n[ys], n[x])))
+            same, some = (sig[ys] == sig[x]) & (sig[x] > 0), (sig[ys] > 0) | (sig[x] > 0)
+            share = same.sum(axis=1) / some.sum(axis=1)
+            # the bins draw m of the u hashes in the union without replacement; 1.5 / u for hashes that meet in a bin
+            u = np.maximum(n[ys], n[x])
+            m = EST_BINS * -np.expm1(-u / EST_BINS)
+            good = share >= THRESHOLD / 100 - SLACK * np.sqrt(0.1875 / m * np.maximum(0, 1 - m / u)) - 1.5 / u
             ys, share = ys[good], share[good]
             if best and len(ys) > best:
                 order = np.lexsort((-share, comp[ys]))
@@ -219,14 +235,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     copies = classes.filter("rows > 1").select("fp1", "fp2", "rep")
     # one row stands for each class: the row of its smallest id
-    own = full.join(copies, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "bands", "signature", F.coalesce("rep", "doc_id").alias("rep")).filter("doc_id = rep")
+    own = full.join(copies, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "bands", F.coalesce("rep", "doc_id").alias("rep")).filter("doc_id = rep")
     keyed = own.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.min_by("n", "rep").alias("hub_n")).filter("hub < most")
     rows = stored(keyed.join(shared, "key").select("key", "rep", "n", "hub", "hub_n").distinct(), "buckets")
     members = rows.select("rep").distinct()
     ids = members.withColumnRenamed("rep", "doc_id")
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "texts")
-    signatures = stored(own.join(members, "rep", "left_semi").select("rep", "signature").dropDuplicates(["rep"]), "signatures")
+    signatures = stored(texts.mapInArrow(_estimators, "rep long, signature binary").dropDuplicates(["rep"]), "signatures")
     fits = F.lit(100) * F.least("n", "hub_n") >= F.lit(THRESHOLD) * F.greatest("n", "hub_n")
     tested = stored(rows.filter((F.col("rep") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(confirm(tested, texts), "links")

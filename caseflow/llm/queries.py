@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, media, mixing, near_dup, token_counts, toxicity, warc
+from . import chat, decontaminate, html_text, katz, media, mixing, near_dup, token_counts, toxicity, warc
 from .common import held_out, table, tokenizer_path
 
 
@@ -51,6 +51,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source weights 5, 2, 1 to 150% of all words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -62,7 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz, op2_toxicity, op3_near_dup, op4_chat, op5_media, op6_token_counts, op7_decontaminate, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_katz, op2_toxicity, op3_near_dup, op4_chat, op5_media, op6_token_counts, op7_decontaminate, op8_html_text, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
