@@ -280,3 +280,8 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*names, "toxicity"])
 
     return rows.mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The documents that score below the cut, by a model of the labelled ones among them."""
+    return score(docs, train(docs, labels)).filter(F.col("toxicity") < cut).drop("toxicity")
