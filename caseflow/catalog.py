@@ -1,15 +1,612 @@
-"""All queries over event logs, with the SQL that must give the same rows."""
+"""All queries over event logs, with the SQL that must give the same rows.
+
+The main log is the events table: case user_id, activity event_type, resource k mod 10, end ts, start ts less value
+minutes. Queries on two logs compare cases of even and odd number.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .operators import calendars, distances, preprocess, rules, traces, variants_distance
+from .plans import discovery, simulate, tuner
+from .sources import bpmn, logs
+from .sources.logs import events_log, orders_log
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: The main log in DuckDB, and the oracle's concurrency set: no pair (scores of the test log are below every threshold).
+LOG = """l AS (SELECT event_id AS eid, user_id AS c, event_type AS a, json_extract_string(props, '$.k')::BIGINT % 10 AS r,
+  epoch_us(ts) - floor(value * 60)::BIGINT * 1000000 AS s, epoch_us(ts) AS e, (user_id % 2)::INT AS side FROM events)"""
+ORDERS = """o AS (SELECT l_orderkey AS c, l_returnflag || l_linestatus AS a, l_suppkey AS r, epoch_us(least(o_orderdate, l_shipdate)) AS s,
+  epoch_us(greatest(o_orderdate, l_shipdate)) AS e, o_orderpriority AS priority, o_orderstatus AS status, l_linenumber AS line
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def sided(spark, d) -> DataFrame:
+    return events_log(spark, d).withColumn("side", (F.col("c") % 2).cast("int"))
+
+
+# Traces and directly-follows graphs
+
+STEPS = "x AS (SELECT c, a, e, lead(a) OVER w AS b, lead(a, 2) OVER w AS b2, lead(s) OVER w - e AS gap FROM l WINDOW w AS (PARTITION BY c ORDER BY e, eid))"
+
+
+@query(f"WITH {LOG}, {STEPS} SELECT a, b, count(*) AS n FROM x WHERE b IS NOT NULL GROUP BY a, b")
+def dfg(spark, d):
+    return traces.dfg(events_log(spark, d))
+
+
+@query(f"WITH {LOG}, {STEPS} SELECT a, b, count(*) AS n, round(avg(gap / 1e6), 3) AS mean_gap_s FROM x WHERE b IS NOT NULL GROUP BY a, b")
+def dfg_with_gap(spark, d):
+    return traces.dfg_with_gap(events_log(spark, d))
+
+
+def _grams(n: int) -> str:
+    pads = " UNION ALL ".join([f"SELECT DISTINCT c, side, -1e18::DOUBLE AS t, {-j} AS i, '<' AS a FROM l" for j in range(1, n)] + [f"SELECT DISTINCT c, side, 1e18::DOUBLE, {j}, '>' FROM l" for j in range(1, n)])
+    cols = ", ".join(f"lag(a, {n - 1 - k}) OVER w AS g{k + 1}" for k in range(n))
+    return f"p AS (SELECT c, side, e::DOUBLE AS t, eid AS i, a FROM l UNION ALL {pads}), q AS (SELECT side, {cols} FROM p WINDOW w AS (PARTITION BY c ORDER BY t, i)), g AS (SELECT * FROM q WHERE g1 IS NOT NULL)"
+
+
+def _gram_distance(n: int) -> str:
+    ks = ", ".join(f"g{k + 1}" for k in range(n))
+    return f"WITH {LOG}, {_grams(n)}, z AS (SELECT {ks}, count(*) FILTER (side = 0) AS x, count(*) FILTER (side = 1) AS y FROM g GROUP BY {ks}) SELECT round(sum(abs(x - y)) / sum(x + y), 6) AS distance FROM z"
+
+
+@query(f"WITH {LOG}, {_grams(2)} SELECT g1, g2, count(*) AS cnt FROM g GROUP BY g1, g2")
+def ngram2_counts(spark, d):
+    return traces.ngrams(events_log(spark, d), 2)
+
+
+@query(f"WITH {LOG}, {_grams(3)} SELECT g1, g2, g3, count(*) AS cnt FROM g GROUP BY g1, g2, g3")
+def ngram3_counts(spark, d):
+    return traces.ngrams(events_log(spark, d), 3)
+
+
+@query(_gram_distance(2))
+def ngram2_distance(spark, d):
+    return traces.ngram_distance(sided(spark, d), "side", 2)
+
+
+@query(_gram_distance(3))
+def ngram3_distance(spark, d):
+    return traces.ngram_distance(sided(spark, d), "side", 3)
+
+
+@query(f"WITH {LOG}, t AS (SELECT c, string_agg(a, '>' ORDER BY e, eid) AS variant FROM l GROUP BY c) SELECT variant, count(*) AS cases FROM t GROUP BY variant")
+def trace_variants(spark, d):
+    return traces.variants(events_log(spark, d))
+
+
+@query(f"WITH {LOG} SELECT count(DISTINCT c) AS cases, count(*) AS events, min(s) AS first_us, max(e) AS last_us, max((s IS NULL OR e IS NULL)::INT) AS any_null FROM l")
+def log_summary(spark, d):
+    return traces.log_summary(events_log(spark, d))
+
+
+@query(f"WITH {LOG} SELECT c, max(e) - min(s) AS cycle_us, count(*) AS events FROM l GROUP BY c")
+def case_cycle_times(spark, d):
+    return traces.cycle_times(events_log(spark, d))
+
+
+@query("SELECT conv_id AS c, string_agg(role, '>' ORDER BY turn, role) AS variant FROM conversations GROUP BY conv_id")
+def conversation_variants(spark, d):
+    t = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return spark.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("c")).agg(F.array_join(F.transform(t, lambda x: x["role"]), ">").alias("variant"))
+
+
+# Distances
+
+EMD = """t AS (SELECT side, {k} sum(n) AS tot FROM h GROUP BY side {g}),
+dd AS (SELECT {k} b, sum(CASE WHEN h.side = 0 THEN n * 1e0 / tot ELSE -(n * 1e0 / tot) END) AS x FROM h JOIN t USING (side {u}) GROUP BY b {g}),
+kk AS (SELECT {k} sum(x) OVER w AS cdf, lead(b) OVER w - b AS gap FROM dd WINDOW w AS ({p} ORDER BY b))"""
+PLAIN = EMD.format(k="", g="", u="", p="") + " SELECT round(sum(abs(cdf) * coalesce(gap, 0)), 6) AS distance FROM kk"
+WEEK = EMD.format(k="w, ", g=", w", u=", w", p="PARTITION BY w") + """, ss AS (SELECT w, count(DISTINCT side) AS sides FROM h GROUP BY w),
+zz AS (SELECT w, sum(abs(cdf) * coalesce(gap, 0)) AS x FROM kk GROUP BY w)
+SELECT round(avg(CASE WHEN sides = 2 THEN x ELSE 23e0 END), 6) AS distance FROM zz JOIN ss USING (w)"""
+INSTANTS = "i AS (SELECT side, c, s AS t FROM l UNION ALL SELECT side, c, e FROM l)"
+HOUR = "floor({} / 3.6e9)::BIGINT"
+
+
+def _metric(name: str):
+    def run(spark, d):
+        return distances.METRICS[name](sided(spark, d)).select(F.round("distance", 6).alias("distance"))
+
+    return run
+
+
+for _name, _metric_name, _sql in (
+    ("absolute_emd", "absolute_event_distribution", f"WITH {LOG}, {INSTANTS}, h AS (SELECT side, {HOUR.format('t')} AS b, count(*) AS n FROM i GROUP BY 1, 2), {PLAIN}"),
+    ("relative_emd", "relative_event_distribution", f"WITH {LOG}, {INSTANTS}, f AS (SELECT c, min(s) AS f FROM l GROUP BY c), h AS (SELECT side, {HOUR.format('(t - f)')} AS b, count(*) AS n FROM i JOIN f USING (c) GROUP BY 1, 2), {PLAIN}"),
+    ("arrival_emd", "case_arrival_distribution", f"WITH {LOG}, f AS (SELECT side, c, min(s) AS f FROM l GROUP BY side, c), h AS (SELECT side, {HOUR.format('f')} AS b, count(*) AS n FROM f GROUP BY 1, 2), {PLAIN}"),
+    ("cycle_time_emd", "cycle_time_distribution", f"WITH {LOG}, f AS (SELECT side, c, max(e) - min(s) AS f FROM l GROUP BY side, c), h AS (SELECT side, {HOUR.format('f')} AS b, count(*) AS n FROM f GROUP BY 1, 2), {PLAIN}"),
+    ("circadian_emd", "circadian_event_distribution", f"WITH {LOG}, {INSTANTS}, hh AS (SELECT side, {HOUR.format('t')} AS x FROM i), h AS (SELECT side, (x // 24 + 3) % 7 AS w, x % 24 AS b, count(*) AS n FROM hh GROUP BY 1, 2, 3), {WEEK}"),
+    ("workforce_emd", "circadian_workforce_distribution", f"WITH {LOG}, hh AS (SELECT side, r, unnest(range({HOUR.format('s')}, {HOUR.format('e')} + 1)) AS x FROM l), y AS (SELECT side, x, count(DISTINCT r) AS k FROM hh GROUP BY side, x), h AS (SELECT side, (x // 24 + 3) % 7 AS w, x % 24 AS b, avg(k) AS n FROM y GROUP BY 1, 2, 3), {WEEK}"),
+):
+    _f = _metric(_metric_name)
+    _f.__name__ = _name
+    query(_sql)(_f)
+
+
+@query(f"WITH {LOG}, f AS (SELECT side, c, max(e) - min(s) AS t FROM l GROUP BY side, c), m AS (SELECT side, avg(t / 3.6e9) AS m FROM f GROUP BY side) SELECT side, round(m, 6) AS mean_hours, round(avg(m) OVER (), 6) AS mean_of_means FROM m")
+def cycle_time_avg(spark, d):
+    m = traces.cycle_times(events_log(spark, d)).groupBy((F.col("c") % 2).cast("int").alias("side")).agg(F.avg(F.col("cycle_us") / 3.6e9).alias("m"))
+    return m.select("side", F.round("m", 6).alias("mean_hours"), F.round(F.avg("m").over(Window.partitionBy()), 6).alias("mean_of_means"))
+
+
+@query(f"WITH {LOG}, f AS (SELECT c, r % 3 AS kind, max(e) - min(s) AS t FROM l GROUP BY c, r % 3) SELECT (c % 5)::BIGINT AS log, round(avg(t) FILTER (kind = 0) / 1e6, 3) AS k0, round(avg(t) FILTER (kind = 1) / 1e6, 3) AS k1, round(avg(t) FILTER (kind = 2) / 1e6, 3) AS k2 FROM f GROUP BY 1")
+def cycle_time_pivot(spark, d):
+    f = events_log(spark, d).withColumn("kind", F.col("r") % 3).groupBy("c", "kind").agg((F.max("e") - F.min("s")).alias("t"))
+    p = f.groupBy((F.col("c") % 5).alias("log")).pivot("kind", [0, 1, 2]).agg(F.round(F.avg("t") / 1e6, 3))
+    return p.withColumnsRenamed({"0": "k0", "1": "k1", "2": "k2"})
+
+
+# Partitions and concurrency
+
+_SPLIT = "SELECT c, f, n, sum(n) OVER (ORDER BY f, c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 0.8e0 * sum(n) OVER () AS train FROM"
+CASES = "k AS (SELECT c, min(s) AS f, count(*) AS n FROM l GROUP BY c)"
+
+
+@query(f"WITH {LOG}, {CASES}, z AS ({_SPLIT} k) SELECT c, f AS first_us, n AS events, train FROM z")
+def split_partitions(spark, d):
+    return preprocess.split(events_log(spark, d))
+
+
+@query(f"WITH {LOG}, {CASES}, z AS ({_SPLIT} k), y AS ({_SPLIT} z WHERE train) SELECT z.c, CASE WHEN NOT z.train THEN 'test' WHEN y.train THEN 'train' ELSE 'validation' END AS part FROM z LEFT JOIN y USING (c)")
+def split_64_16_20(spark, d):
+    return preprocess.partitions(events_log(spark, d))
+
+
+_OVER = "ov AS (SELECT x.c, x.eid, y.eid AS other, least(x.a, y.a) AS a, greatest(x.a, y.a) AS b FROM l x JOIN l y ON x.c = y.c AND x.eid < y.eid AND x.s < y.e AND y.s < x.e)"
+
+
+@query(f"WITH {LOG}, {_OVER} SELECT a, b, count(*) AS n FROM ov GROUP BY a, b")
+def overlap_counts(spark, d):
+    return preprocess.overlaps(events_log(spark, d)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {LOG}, {_OVER}, h AS (SELECT DISTINCT c, a FROM l), t AS (SELECT x.a, y.a AS b, count(*) AS together FROM h x JOIN h y ON x.c = y.c AND x.a < y.a GROUP BY 1, 2), "
+    "v AS (SELECT a, b, count(DISTINCT c) AS n FROM ov WHERE a < b GROUP BY a, b) SELECT t.a, t.b, together, coalesce(n, 0)::BIGINT AS overlapping, round(coalesce(n, 0)::DOUBLE / together, 6) AS ratio, coalesce(n, 0)::DOUBLE / together >= 0.5e0 AS concurrent FROM t LEFT JOIN v USING (a, b)"
+)
+def overlap_concurrency(spark, d):
+    return preprocess.overlap_concurrency(events_log(spark, d))
+
+
+_HEUR = f"""{STEPS}, one AS (SELECT a, b, count(*) AS n FROM x WHERE b IS NOT NULL GROUP BY a, b),
+two AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS k FROM x WHERE b2 = a AND b <> a GROUP BY 1, 2),
+own AS (SELECT a, n / (n + 1.0e0) AS w FROM one WHERE a = b),
+sc AS (SELECT p.a, p.b, round((p.n - q.n) / (p.n + q.n + 1.0e0), 6) AS dep, round(coalesce(k, 0) / (coalesce(k, 0) + 1.0e0), 6) AS l2l,
+  round(greatest(coalesce(u.w, 0e0), coalesce(v.w, 0e0)), 6) AS l1l
+  FROM one p JOIN one q ON p.a = q.b AND p.b = q.a AND p.a < p.b LEFT JOIN two t ON t.a = p.a AND t.b = p.b LEFT JOIN own u ON u.a = p.a LEFT JOIN own v ON v.a = p.b)"""
+
+
+@query(f"WITH {LOG}, {_HEUR} SELECT *, abs(dep) < 0.75e0 AND l2l < 0.9e0 AND l1l < 0.9e0 AS concurrent FROM sc")
+def heuristic_concurrency(spark, d):
+    return preprocess.heuristic_concurrency(events_log(spark, d))
+
+
+def _concurrent(log: DataFrame) -> DataFrame:
+    """For enabled times on a random log: pairs whose orders are nearly balanced."""
+    return preprocess.heuristic_concurrency(log, 0.02, 1.1, 1.1).filter("concurrent").select("a", "b")
+
+
+_ENABLED = f"""{_HEUR}, cp AS (SELECT a, b FROM sc WHERE abs(dep) < 0.02e0 UNION ALL SELECT b, a FROM sc WHERE abs(dep) < 0.02e0),
+en AS (SELECT l.eid, coalesce(max(y.e), any_value(l.s)) AS enabled_us FROM l LEFT JOIN (SELECT * FROM l) y ON y.c = l.c AND y.eid <> l.eid AND y.e <= l.s AND (y.s < y.e OR y.e < l.s)
+  AND NOT EXISTS (SELECT 1 FROM cp WHERE cp.a = l.a AND cp.b = y.a) GROUP BY l.eid)"""
+
+
+@query(f"WITH {LOG}, {_ENABLED} SELECT eid, enabled_us FROM en")
+def enabled_times(spark, d):
+    log = events_log(spark, d)
+    return preprocess.enabled_times(log, _concurrent(log))
+
+
+@query(f"WITH {LOG}, z AS (SELECT eid, e, greatest(lag(e) OVER (PARTITION BY c ORDER BY e, eid), lag(e) OVER (PARTITION BY r ORDER BY e, eid)) AS p FROM l) SELECT eid, least(coalesce(p, e), e) AS start_us FROM z")
+def estimated_starts(spark, d):
+    return preprocess.estimated_starts(events_log(spark, d))
+
+
+@query(
+    f"WITH {LOG}, p AS (SELECT r, s AS t FROM l UNION SELECT r, e FROM l), g AS (SELECT r, t, lead(t) OVER (PARTITION BY r ORDER BY t) AS u FROM p), "
+    "x AS (SELECT eid, u - t AS len, count(*) OVER (PARTITION BY g.r, g.t) AS k FROM g JOIN l ON l.r = g.r AND l.s < g.u AND l.e > g.t), "
+    "y AS (SELECT eid, sum(len / k::DOUBLE) AS w FROM x GROUP BY eid) SELECT l.eid, round(coalesce(w, 0e0) / 1e6, 2) AS worked_s FROM l LEFT JOIN y USING (eid)"
+)
+def multitask_adjust(spark, d):
+    return preprocess.multitask_adjust(events_log(spark, d)).select("eid", F.round(F.col("worked_us") / 1e6, 2).alias("worked_s"))
+
+
+# Arrivals, calendars, performance
+
+_GAPS = f"{CASES}, gp AS (SELECT c, f, f - lag(f) OVER (ORDER BY f, c) AS gap FROM k)"
+
+
+@query(f"WITH {LOG}, {_GAPS} SELECT c, f AS arrival_us, gap AS gap_us FROM gp WHERE gap IS NOT NULL")
+def interarrivals(spark, d):
+    return calendars.interarrivals(events_log(spark, d)).filter("gap_us IS NOT NULL")
+
+
+_MOMENTS = "count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, min(v) AS least, max(v) AS most, round(avg((v - m) ** 3) / nullif(stddev_pop(v), 0) ** 3, 4) AS skew"
+
+
+@query(f"WITH {LOG}, {_GAPS}, u AS (SELECT floor(gap / 1e6)::DOUBLE AS v FROM gp WHERE gap IS NOT NULL), y AS (SELECT v, avg(v) OVER () AS m FROM u) SELECT {_MOMENTS} FROM y")
+def interarrival_stats(spark, d):
+    return calendars.moments(calendars.interarrivals(events_log(spark, d)), F.floor(F.col("gap_us") / 1e6), [])
+
+
+@query(f"WITH {LOG}, {_GAPS}, u AS (SELECT floor(gap / 9e8)::BIGINT AS bin, count(*) AS cases FROM gp WHERE gap IS NOT NULL GROUP BY 1) SELECT bin, cases, round(cases::DOUBLE / sum(cases) OVER (), 6) AS share FROM u")
+def arrival_observed_hist(spark, d):
+    return calendars.arrival_histogram(events_log(spark, d))
+
+
+def _days(log: str) -> str:
+    return f"dy AS (SELECT min(floor(s / 8.64e10)) AS a, max(floor(e / 8.64e10)) AS z FROM {log}), wd AS (SELECT (d + 3) % 7 AS w, count(*) AS dates FROM (SELECT unnest(range(a::BIGINT, z::BIGINT + 1)) AS d FROM dy) GROUP BY 1)"
+
+
+@query(f"WITH {LOG}, {CASES}, ar AS (SELECT f AS s, f AS e FROM k), {_days('ar')}, u AS (SELECT DISTINCT {HOUR.format('s')} AS x FROM ar), g AS (SELECT (x // 24 + 3) % 7 AS w, x % 24 AS g, count(*) AS days FROM u GROUP BY 1, 2) SELECT w::INT AS w, g::INT AS g, days, round(days::DOUBLE / dates, 6) AS confidence FROM g JOIN wd USING (w)")
+def arrival_calendar(spark, d):
+    a = calendars.interarrivals(events_log(spark, d)).select(F.col("arrival_us").alias("s"), F.col("arrival_us").alias("e"))
+    return calendars.crisp_scores(a, F.lit(0), 60).select("w", "g", "days", "confidence")
+
+
+_GRAN = f"u AS (SELECT DISTINCT r, unnest(range({HOUR.format('s')}, {HOUR.format('e')} + 1)) AS x FROM l), ga AS (SELECT r AS k, (x // 24 + 3) % 7 AS w, x % 24 AS g, count(*) AS days FROM u GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {LOG}, {_GRAN} SELECT k, w::INT AS w, g::INT AS g, days FROM ga")
+def granule_activity(spark, d):
+    return calendars.granule_activity(events_log(spark, d), F.col("r"))
+
+
+_CRISP = f"{_GRAN}, {_days('l')}, ev AS (SELECT r AS k, count(*) AS n FROM l GROUP BY r), ow AS (SELECT k, n >= 0.4e0 * max(n) OVER () AS own FROM ev), cs AS (SELECT k, w::INT AS w, g::INT AS g, days, round(days::DOUBLE / dates, 6) AS confidence, days::DOUBLE / dates >= 0.1e0 AS kept, own FROM ga JOIN wd USING (w) JOIN ow USING (k))"
+
+
+@query(f"WITH {LOG}, {_CRISP} SELECT * FROM cs")
+def crisp_calendar(spark, d):
+    return calendars.crisp_scores(events_log(spark, d), F.col("r"))
+
+
+@query(f"WITH {LOG}, {_CRISP} SELECT k, round(sum(CASE WHEN kept THEN days ELSE 0 END)::DOUBLE / sum(days), 6) AS support FROM cs GROUP BY k")
+def crisp_calendar_support(spark, d):
+    return calendars.crisp_support(calendars.crisp_scores(events_log(spark, d), F.col("r")))
+
+
+@query(f"WITH {LOG}, {_CRISP}, y AS (SELECT k, w, g, g - row_number() OVER (PARTITION BY k, w ORDER BY g) AS i FROM cs WHERE kept) SELECT k, w, (min(g) * 60)::INT AS begin_min, ((max(g) + 1) * 60)::INT AS end_min FROM y GROUP BY k, w, i")
+def calendar_intervals(spark, d):
+    return calendars.intervals(calendars.crisp_scores(events_log(spark, d), F.col("r")))
+
+
+@query(
+    f"WITH {LOG}, u AS (SELECT DISTINCT r, unnest(range({HOUR.format('s')}, {HOUR.format('e')} + 1)) AS x FROM l), {_days('l')}, "
+    "y AS (SELECT r, x, coalesce(x - lag(x) OVER w, 2) > 1 OR coalesce(lead(x) OVER w - x, 2) > 1 AS edge FROM u WINDOW w AS (PARTITION BY r, x // 24 ORDER BY x)), "
+    "z AS (SELECT r AS k, (x // 24 + 3) % 7 AS w, x % 24 AS g, sum(CASE WHEN edge THEN 0.5e0 ELSE 1e0 END) AS v FROM y GROUP BY 1, 2, 3) SELECT k, w::INT AS w, g::INT AS g, round(v / dates, 6) AS probability FROM z JOIN wd USING (w)"
+)
+def fuzzy_calendar(spark, d):
+    return calendars.fuzzy_calendar(events_log(spark, d), F.col("r"))
+
+
+_VEC = "n AS (SELECT r, a, count(*) AS n FROM l GROUP BY r, a), ve AS (SELECT x.r, y.a, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT r FROM l) x CROSS JOIN (SELECT DISTINCT a FROM l) y LEFT JOIN n ON n.r = x.r AND n.a = y.a)"
+
+
+@query(f"WITH {LOG}, {_VEC}, z AS (SELECT x.r, y.r AS q, round(corr(x.n, y.n), 6) AS correlation FROM ve x JOIN ve y ON x.a = y.a AND x.r < y.r GROUP BY 1, 2) SELECT *, coalesce(correlation > 0.5e0, false) AS linked FROM z")
+def pool_profiles(spark, d):
+    return calendars.profile_correlations(events_log(spark, d))
+
+
+@query()
+def resource_pools(spark, d):
+    return calendars.pools(events_log(spark, d))
+
+
+@query(f"WITH {LOG}, u AS (SELECT a, r, floor((e - s) / 1e6)::DOUBLE AS v FROM l), y AS (SELECT *, avg(v) OVER (PARTITION BY a, r) AS m FROM u) SELECT a, r, {_MOMENTS} FROM y GROUP BY a, r")
+def performance_moments(spark, d):
+    return calendars.performance(events_log(spark, d), ["a", "r"])
+
+
+@query()
+def best_distribution(spark, d):
+    return calendars.best_distribution(events_log(spark, d))
+
+
+@query()
+def missing_activities_repair(spark, d):
+    log = events_log(spark, d)
+    known = log.filter("r < 3 AND a <> 'error'").select("a")
+    return calendars.repair_missing(log.select("a"), log, log.select("r"), known)
+
+
+@query(f"WITH {LOG} SELECT DISTINCT a FROM l WHERE a NOT IN (SELECT a FROM l WHERE a < 'e')")
+def activities_missing(spark, d):
+    log = events_log(spark, d)
+    return rules.set_difference(log, log.filter("a < 'e'"), "a")
+
+
+# Attributes
+
+_NAMES = "y AS (SELECT c, a, e, line, 'priority' AS attribute, priority AS v FROM o UNION ALL SELECT c, a, e, line, 'status', status FROM o UNION ALL SELECT c, a, e, line, 'r', r::VARCHAR FROM o)"
+
+
+@query(f"WITH {ORDERS}, {_NAMES}, z AS (SELECT attribute, c, count(DISTINCT v) = 1 AS one FROM y GROUP BY attribute, c), t AS (SELECT attribute, count(*) AS cases, sum(one::INT)::BIGINT AS constant FROM z GROUP BY attribute) SELECT *, round(constant::DOUBLE / cases, 6) AS share, constant::DOUBLE / cases >= 0.95e0 AS is_case FROM t")
+def case_attributes(spark, d):
+    return rules.case_attribute_scores(orders_log(spark, d), ["priority", "status", "r"])
+
+
+@query(f"WITH {LOG}, y AS (SELECT 'r' AS attribute, c, a, e, eid, r::VARCHAR AS v FROM l UNION ALL SELECT 'side', c, a, e, eid, side::VARCHAR FROM l), z AS (SELECT *, lag(v) OVER (PARTITION BY attribute, c ORDER BY e, eid) AS p FROM y) SELECT attribute, a, count(*) AS events, sum((p IS NOT NULL AND p <> v)::INT)::BIGINT AS changes, round(sum((p IS NOT NULL AND p <> v)::INT)::DOUBLE / count(*), 6) AS share FROM z GROUP BY attribute, a")
+def event_attributes(spark, d):
+    return rules.event_attribute_scores(sided(spark, d), ["r", "side"])
+
+
+@query(f"WITH {LOG}, y AS (SELECT 'a' AS attribute, {HOUR.format('e')} AS h, a AS v FROM l UNION ALL SELECT 'side', {HOUR.format('e')}, side::VARCHAR FROM l), z AS (SELECT attribute, h, min(v) = max(v) AS one FROM y GROUP BY attribute, h HAVING count(*) > 1) SELECT attribute, count(*) AS windows, sum(one::INT)::BIGINT AS agreeing, round(sum(one::INT)::DOUBLE / count(*), 6) AS share FROM z GROUP BY attribute")
+def global_attributes(spark, d):
+    return rules.global_attribute_scores(sided(spark, d), ["a", "side"])
+
+
+@query(f"WITH {ORDERS}, {_NAMES}, z AS (SELECT attribute, count(DISTINCT v) AS \"distinct\", min((try_cast(v AS DOUBLE) IS NOT NULL)::INT) AS \"numeric\" FROM y GROUP BY attribute) SELECT *, CASE WHEN \"distinct\" <= 20 OR \"numeric\" = 0 THEN 'discrete' ELSE 'continuous' END AS kind FROM z")
+def attribute_types(spark, d):
+    return rules.attribute_types(orders_log(spark, d), ["priority", "status", "r"])
+
+
+# Batches and priorities
+
+_BATCH = """m AS (SELECT *, max(e) OVER w AS p, row_number() OVER (PARTITION BY a, r ORDER BY s, e, eid) AS rn FROM l WINDOW w AS (PARTITION BY a, r ORDER BY s, e, eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, (p IS NULL OR s - p > 600000000)::INT AS new FROM m), bs AS (SELECT *, sum(new) OVER (PARTITION BY a, r ORDER BY rn)::BIGINT AS session FROM q),
+bk AS (SELECT a, r, session, count(*) AS size, CASE WHEN count(*) = 1 THEN 'single' WHEN min(s) = max(s) AND min(e) = max(e) THEN 'parallel' WHEN max((new = 0 AND s < p)::INT) = 1 THEN 'concurrent' ELSE 'sequential' END AS kind FROM bs GROUP BY a, r, session),
+bb AS (SELECT eid, a, r, s, e, session, size, kind FROM bs JOIN bk USING (a, r, session))"""
+
+
+@query(f"WITH {LOG}, {_BATCH} SELECT eid, session, size, kind, size >= 3 AS batched FROM bb")
+def batch_sessions(spark, d):
+    return rules.batch_sessions(events_log(spark, d)).select("eid", "session", "size", "kind", "batched")
+
+
+@query(f"WITH {LOG}, {_BATCH}, y AS (SELECT a, r, session, size, avg((e - s) / 1e6) AS d FROM bb GROUP BY 1, 2, 3, 4) SELECT a, size, count(*) AS batches, round(avg(d), 4) AS mean_s FROM y GROUP BY a, size")
+def batch_size_distribution(spark, d):
+    return rules.batch_sizes(rules.batch_sessions(events_log(spark, d)))
+
+
+@query(f"WITH {LOG}, {_ENABLED}, {_BATCH}, y AS (SELECT a, r, session, size, min(s) AS f, min(enabled_us) AS e0, max(least(enabled_us, s)) AS e1 FROM bb JOIN en USING (eid) GROUP BY 1, 2, 3, 4) SELECT a, r, session, size, round((f - least(e1, f)) / 1e6, 3) AS ready_wt_s, round((f - least(e0, f)) / 1e6, 3) AS large_wt_s, ({HOUR.format('f')} % 24)::INT AS daily_hour, (({HOUR.format('f')} // 24 + 3) % 7)::INT AS week_day FROM y")
+def batch_firing(spark, d):
+    log = events_log(spark, d)
+    return rules.batch_firing(rules.batch_sessions(log), preprocess.enabled_times(log, _concurrent(log)))
+
+
+@query(f"WITH {LOG}, {_BATCH}, y AS (SELECT a, size, unnest(range(2, 7))::INT AS threshold FROM bk), z AS (SELECT a, threshold, sum((size >= threshold)::INT) AS hit, sum((size >= threshold AND size >= 3)::INT) AS good, sum((size >= 3)::INT) AS n FROM y GROUP BY a, threshold) SELECT a, 'batch_size' AS attribute, threshold, round(good::DOUBLE / nullif(hit, 0), 6) AS confidence, round(good::DOUBLE / nullif(n, 0), 6) AS support FROM z")
+def batch_rules(spark, d):
+    runs = rules.batch_sessions(events_log(spark, d)).select("a", "r", "session", "size").distinct()
+    return rules.firing_rules(runs)
+
+
+_TAKES = "ee AS (SELECT l.*, least(enabled_us, s) AS en FROM l JOIN en USING (eid)), ot AS (SELECT y.r, y.a, y.eid, x.eid AS over FROM ee x JOIN ee y ON x.r = y.r AND x.a = y.a AND x.en < y.en AND y.en <= x.s AND y.s < x.s)"
+
+
+@query(f"WITH {LOG}, {_ENABLED}, {_TAKES} SELECT r, a, eid, over FROM ot")
+def priority_overtakes(spark, d):
+    log = events_log(spark, d)
+    return rules.overtakes(log, preprocess.enabled_times(log, _concurrent(log)))
+
+
+@query(f"WITH {LOG}, {_ENABLED}, {_TAKES}, v AS (SELECT eid, (c % 4)::BIGINT AS v FROM l), t AS (SELECT x.v AS win, y.v AS lose FROM ot JOIN v x ON x.eid = ot.eid JOIN v y ON y.eid = ot.over WHERE x.v <> y.v), u AS (SELECT win AS v, 1 AS w FROM t UNION ALL SELECT lose, 0 FROM t), z AS (SELECT v AS value, sum(w)::BIGINT AS won, count(*) AS contested, round(sum(w)::DOUBLE / count(*), 6) AS score FROM u GROUP BY v) SELECT *, dense_rank() OVER (ORDER BY score DESC)::INT AS level FROM z")
+def priority_rules(spark, d):
+    log = events_log(spark, d)
+    pairs = rules.overtakes(log, preprocess.enabled_times(log, _concurrent(log)))
+    return rules.priority_scores(pairs, log.select("eid", (F.col("c") % 4).alias("v")))
+
+
+# Gateways and branch conditions
+
+_GATE = f"{STEPS}, df AS (SELECT a, b, count(*) AS n FROM x WHERE b IS NOT NULL GROUP BY a, b), gw AS (SELECT a AS gateway, b AS path, n AS taken, count(*) OVER w AS ways, sum(n) OVER w AS al FROM df WINDOW w AS (PARTITION BY a))"
+
+
+@query(f"WITH {LOG}, {_GATE} SELECT gateway, path, round(1e0 / ways, 6) AS equiprobable FROM gw WHERE ways > 1")
+def gateway_equiprobable(spark, d):
+    return rules.gateways(traces.dfg(events_log(spark, d))).select("gateway", "path", "equiprobable")
+
+
+@query(f"WITH {LOG}, {_GATE} SELECT gateway, path, taken, round(taken::DOUBLE / al, 6) AS observed FROM gw WHERE ways > 1")
+def gateway_discovery(spark, d):
+    return rules.gateways(traces.dfg(events_log(spark, d))).select("gateway", "path", "taken", "observed")
+
+
+_CHOICE = "ch AS (SELECT a AS gateway, lead(a) OVER (PARTITION BY c ORDER BY e, eid) AS path, r, ((e // 3600000000) % 24)::BIGINT AS hour FROM l), cc AS (SELECT * FROM ch WHERE path IS NOT NULL)"
+_BRANCH = "y AS (SELECT gateway, path, 'r' AS attribute, r::VARCHAR AS value FROM cc UNION ALL SELECT gateway, path, 'hour', hour::VARCHAR FROM cc), tp AS (SELECT gateway, path, attribute, value, count(*) AS tp FROM y GROUP BY ALL), br AS (SELECT *, 2e0 * tp / (sum(tp) OVER (PARTITION BY gateway, attribute, value) + sum(tp) OVER (PARTITION BY gateway, attribute, path)) AS f FROM tp)"
+
+
+def _choices(log: DataFrame) -> DataFrame:
+    path = F.lead("a").over(Window.partitionBy("c").orderBy("e", "eid"))
+    return log.select(F.col("a").alias("gateway"), path.alias("path"), "r", F.pmod(F.floor(F.col("e") / F.lit(3.6e9)), F.lit(24)).alias("hour")).filter("path IS NOT NULL")
+
+
+@query(f"WITH {LOG}, {_CHOICE}, {_BRANCH} SELECT gateway, path, attribute, value, tp, round(f, 6) AS f1, f >= 0.7e0 AS kept FROM br")
+def branch_rules_f1(spark, d):
+    return rules.branch_rules(_choices(events_log(spark, d)), ["r", "hour"])
+
+
+@query(f"WITH {LOG}, {_CHOICE}, y AS (SELECT gateway, path, hour::DOUBLE AS v, unnest([6e0, 12e0, 18e0]) AS cut FROM cc), z AS (SELECT gateway, path, cut, sum((v > cut)::INT)::BIGINT AS tp, count(*) AS took FROM y GROUP BY 1, 2, 3), f AS (SELECT *, 2e0 * tp / (sum(tp) OVER (PARTITION BY gateway, cut) + took) AS f FROM z) SELECT gateway, path, 'hour' AS attribute, cut, tp, round(f, 6) AS f1, f >= 0.7e0 AS kept FROM f")
+def branch_intervals_f1(spark, d):
+    return rules.interval_branch_rules(_choices(events_log(spark, d)), "hour", [6.0, 12.0, 18.0])
+
+
+@query(f"WITH {LOG}, {_GATE}, {_CHOICE}, {_BRANCH}, ids AS (SELECT gateway, path, min(attribute || '=' || value) AS condition_id FROM br WHERE f >= 0.1e0 GROUP BY 1, 2) SELECT g.gateway, g.path, taken, condition_id FROM gw g LEFT JOIN ids USING (gateway, path) WHERE ways > 1")
+def gateway_conditions(spark, d):
+    log = events_log(spark, d)
+    paths = rules.gateways(traces.dfg(log)).select("gateway", "path", "taken")
+    return rules.with_rules(paths, rules.branch_rules(_choices(log), ["r", "hour"], 0.1))
+
+
+@query(f"WITH {LOG} SELECT r, count(*) AS n FROM l WHERE (r = 3 AND e > 1700000000000000) OR (a IN ('click', 'view') AND r > 2 AND r < 7) GROUP BY r")
+def rule_filter(spark, d):
+    rule = scalars.any_of_all([[("r", "=", 3), ("e", ">", 1700000000000000)], [("a", "in", ["click", "view"]), *scalars.interval_rules("r", 2, 7)]])
+    return events_log(spark, d).filter(rule).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Waiting times
+
+_WAIT = "fr AS (SELECT l.*, max(e) OVER (PARTITION BY r ORDER BY s, e, eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS free FROM l), wt AS (SELECT f.eid, a, s, least(enabled_us, s) AS en, least(greatest(least(enabled_us, s), coalesce(free, least(enabled_us, s))), s) AS ready FROM fr f JOIN en USING (eid))"
+
+
+@query(f"WITH {LOG}, {_ENABLED}, {_WAIT} SELECT eid, a, s - en AS wait_us, ready - en AS resource_wait_us, s - ready AS extraneous_us FROM wt")
+def waiting_decomposition(spark, d):
+    log = events_log(spark, d)
+    return rules.waiting(log, preprocess.enabled_times(log, _concurrent(log)))
+
+
+@query(f"WITH {LOG}, {_ENABLED}, {_WAIT}, y AS (SELECT a, CASE WHEN s > ready THEN (s - ready) / 1e6 END AS x FROM wt) SELECT a, count(*) AS events, count(x) AS delayed, round(avg(x), 3) AS mean_s, round(max(x), 3) AS most_s FROM y GROUP BY a")
+def extraneous_naive(spark, d):
+    log = events_log(spark, d)
+    return rules.extraneous(log, preprocess.enabled_times(log, _concurrent(log)))
+
+
+@query(f"WITH {LOG}, {_ENABLED}, {_WAIT}, {_GRAN}, op AS (SELECT DISTINCT k, w, g FROM ga), y AS (SELECT wt.eid, wt.a, l.r, unnest(range({HOUR.format('ready')}, {HOUR.format('wt.s')} + 1)) AS x FROM wt JOIN l USING (eid) WHERE wt.s > ready) SELECT eid, a, count(*) AS extraneous_h FROM y JOIN op ON op.k = y.r AND op.w = (x // 24 + 3) % 7 AND op.g = x % 24 GROUP BY eid, a")
+def extraneous_on_calendar(spark, d):
+    log = events_log(spark, d)
+    return rules.extraneous_on_calendar(log, preprocess.enabled_times(log, _concurrent(log)), calendars.granule_activity(log, F.col("r")))
+
+
+# Exports, hygiene, scalars
+
+@query(
+    f"""WITH {LOG} SELECT c::VARCHAR AS "case:concept:name", a AS "concept:name", coalesce(r::VARCHAR, 'UNDEFINED') AS "org:resource",
+  strftime(make_timestamp(s), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS start_timestamp, strftime(make_timestamp(e), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS "time:timestamp", eid FROM l"""
+)
+def xes_export_rows(spark, d):
+    return logs.xes_rows(events_log(spark, d))
+
+
+@query("SELECT c_custkey, trim(c_name) AS c_name, c_nationkey, c_acctbal, trim(c_mktsegment) AS c_mktsegment FROM customer")
+def trim_strings(spark, d):
+    return logs.trim_strings(spark.read.parquet(f"{d}/customer.parquet"))
+
+
+@query("SELECT p_partkey, (SELECT max(x) FROM (SELECT unnest(range(1, 1441)) AS x) WHERE 1440 % x = 0 AND x <= p_size * 30)::INT AS granule FROM part")
+def nearest_granularity(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", scalars.nearest_divisor(F.col("p_size") * 30).alias("granule"))
+
+
+@query(f"WITH {LOG} SELECT CASE a WHEN 'click' THEN 'C' WHEN 'view' THEN 'V' ELSE a END AS a, count(*) AS n FROM l GROUP BY 1")
+def mapped_activities(spark, d):
+    return rules.map_column(events_log(spark, d), "a", {"click": "C", "view": "V"}).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Discovery, variants, tuning, simulation
+
+_PRUNE = f"{STEPS}, df AS (SELECT a, b, count(*) AS n FROM x WHERE b IS NOT NULL AND a <> b GROUP BY a, b), ed AS (SELECT p.a, p.b, p.n, coalesce(q.n, 0) AS m FROM df p LEFT JOIN df q ON p.a = q.b AND p.b = q.a), fl AS (SELECT *, m > 0 AND abs(n - m)::DOUBLE / (n + m) < 0.05e0 AS concurrent FROM ed), mx AS (SELECT *, max(CASE WHEN NOT concurrent THEN n END) OVER (PARTITION BY a) AS o, max(CASE WHEN NOT concurrent THEN n END) OVER (PARTITION BY b) AS i FROM fl)"
+
+
+@query(f"WITH {LOG}, {_PRUNE} SELECT a, b, n, concurrent, coalesce(NOT concurrent AND (n = o OR n = i OR (n >= 0.4e0 * o AND n >= 0.4e0 * i)), false) AS kept FROM mx")
+def pruned_graph(spark, d):
+    return discovery.pruned_graph(events_log(spark, d), discovery.Miner(epsilon=0.05)).withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+@query()
+def process_graph(spark, d):
+    return discovery.process_graph(events_log(spark, d), discovery.Miner(epsilon=0.05))[1]
+
+
+@query()
+def process_graph_with_timers(spark, d):
+    log = events_log(spark, d)
+    nodes, flows = discovery.process_graph(log, discovery.Miner(epsilon=0.05))
+    slow = rules.extraneous(log, preprocess.enabled_times(log, _concurrent(log))).filter("delayed > 0").select(F.col("a").alias("activity"))
+    return bpmn.add_timers(nodes, flows, slow)[1]
+
+
+_CODES = "co AS (SELECT a, chr((row_number() OVER (ORDER BY a) + 64)::INT) AS code FROM (SELECT DISTINCT a FROM l)), tr AS (SELECT c, string_agg(code, '' ORDER BY e, eid) AS t FROM l JOIN co USING (a) GROUP BY c)"
+
+
+@query(f"WITH {LOG}, {_CODES}, y AS (SELECT x.c, y.c AS other, substr(x.t, 1, 40) AS x, substr(y.t, 1, 40) AS y FROM tr x JOIN tr y ON y.c = x.c + 1) SELECT c, other, damerau_levenshtein(x, y)::BIGINT AS steps FROM y")
+def variant_distances(spark, d):
+    """Each case against the next by number, over the first 40 activities (the distance is quadratic in length)."""
+    t = variants_distance.coded_traces(events_log(spark, d)).withColumn("t", F.substring("trace", 1, 40))
+    x, y = t.alias("x"), t.alias("y")
+    pairs = x.join(y, F.col("y.c") == F.col("x.c") + 1).select(F.col("x.c").alias("c"), F.col("y.c").alias("other"), F.col("x.t").alias("x"), F.col("y.t").alias("y"))
+    return variants_distance.pair_distances(pairs).select("c", "other", "steps")
+
+
+@query()
+def control_flow_distance(spark, d):
+    return variants_distance.control_flow_distance(sided(spark, d), most=60)
+
+
+_TRIALS = f"""{_GATE.replace('gw AS', 'gx AS')}, z AS ({_SPLIT} (SELECT c, min(s) AS f, count(*) AS n FROM l GROUP BY c)), xs AS (SELECT x.*, train FROM x JOIN z USING (c) WHERE b IS NOT NULL),
+tr AS (SELECT a, b, count(*) AS n FROM xs WHERE train GROUP BY a, b), va AS (SELECT a, b, count(*) AS n FROM xs WHERE NOT train GROUP BY a, b),
+th AS (SELECT unnest(range(0, 6))::INT AS trial), mm AS (SELECT a, max(n) AS m FROM tr GROUP BY a),
+mo AS (SELECT trial, tr.a, tr.b FROM tr JOIN mm USING (a) CROSS JOIN th WHERE tr.n >= trial / 5e0 * m),
+ls AS (SELECT trial, 'uncovered' AS metric, round(1e0 - coalesce(sum(CASE WHEN mo.a IS NOT NULL THEN va.n END), 0) / sum(va.n), 6) AS distance FROM va CROSS JOIN th LEFT JOIN mo USING (trial, a, b) GROUP BY trial
+  UNION ALL SELECT trial, 'size', round(count(mo.a) / (SELECT count(*)::DOUBLE FROM tr), 6) FROM th LEFT JOIN mo USING (trial) GROUP BY trial)"""
+
+
+def _trials(spark, d) -> DataFrame:
+    """(trial, metric, distance): graphs pruned at rising thresholds, by validation steps they lack and by their size."""
+    log = events_log(spark, d)
+    steps = traces.directly_follows(log).join(preprocess.split(log).select("c", "train"), "c")
+    train, valid = (steps.filter(F.col("train") == x).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")) for x in (True, False))
+    levels = spark.range(0, 6).select(F.col("id").cast("int").alias("trial"))
+    model = train.withColumn("m", F.max("n").over(Window.partitionBy("a"))).crossJoin(F.broadcast(levels)).filter(F.col("n") >= F.col("trial") / 5 * F.col("m")).select("trial", "a", "b", F.lit(1).alias("has"))
+    lacks = valid.crossJoin(F.broadcast(levels)).join(model, ["trial", "a", "b"], "left").groupBy("trial").agg(F.round(1 - F.coalesce(F.sum(F.when(F.col("has") == 1, F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias("distance"))
+    edges = train.agg(F.count(F.lit(1)).alias("edges"))
+    size = levels.join(model, "trial", "left").groupBy("trial").agg(F.count("has").alias("k")).crossJoin(F.broadcast(edges)).select("trial", F.round(F.col("k") / F.col("edges"), 6).alias("distance"))
+    named = lambda df, m: df.select("trial", F.lit(m).alias("metric"), "distance")
+    return named(lacks, "uncovered").unionByName(named(size, "size"))
+
+
+@query(f"WITH {LOG}, {_TRIALS} SELECT * FROM ls")
+def trial_measurements(spark, d):
+    return _trials(spark, d)
+
+
+@query(f"WITH {LOG}, {_TRIALS} SELECT trial, round(avg(distance), 6) AS loss, 'ok' AS status FROM ls GROUP BY trial")
+def trial_table(spark, d):
+    return tuner.response(_trials(spark, d))
+
+
+@query(f"WITH {LOG}, {_TRIALS}, t AS (SELECT trial, round(avg(distance), 6) AS loss, 'ok' AS status FROM ls GROUP BY trial) SELECT * FROM t ORDER BY loss, trial LIMIT 1")
+def best_trial(spark, d):
+    return tuner.best_trial(tuner.response(_trials(spark, d)))
+
+
+@query(f"WITH {LOG}, {_TRIALS} SELECT metric, round(avg(distance), 6) AS mean FROM ls GROUP BY metric")
+def metric_means(spark, d):
+    return _trials(spark, d).groupBy("metric").agg(F.round(F.avg("distance"), 6).alias("mean"))
+
+
+@query()
+def simulated_log(spark, d):
+    log = events_log(spark, d)
+    return simulate.simulate(spark, simulate.simulation_model(log), cases=log.select("c").distinct().count(), runs=3)
+
+
+@query()
+def simulate_and_evaluate(spark, d):
+    log = events_log(spark, d)
+    sim = simulate.simulate(spark, simulate.simulation_model(log), cases=log.select("c").distinct().count(), runs=2)
+    return simulate.measure(sim.cache(), log, ["3_gram", "absolute_event_distribution", "cycle_time_distribution"], runs=2)
+
+
+@query()
+def tune(spark, d):
+    """Thresholds of the pruned graph, searched by their loss on the validation cases."""
+    losses = {x.trial: x.loss for x in tuner.response(_trials(spark, d)).collect()}
+    search = tuner.Tuner({"eta": (0.0, 1.0)}, warm_up=5)
+    search.run(lambda p: losses[round(p["eta"] * 5)], iterations=12)
+    return search.table(spark).select("trial", "status", "loss", F.element_at("params", "eta").cast("double").alias("eta"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
