@@ -147,7 +147,7 @@ QUANTILES = [x / 20 + 0.025 for x in range(20)]
 
 def best_distribution(log: DataFrame, key: str = "a") -> DataFrame:
     """(key, family, mean, std, error): of fixed, uniform, exponential, normal, triangular and log-normal durations, fitted
-    by moments, the one whose quantiles are nearest to the observed ones; one row a key."""
+    by moments, the one whose quantiles are nearest to the observed ones, the simpler of equals; one row a key."""
     v = log.select(F.col(key).alias("k"), F.floor((F.col("e") - F.col("s")) / F.lit(1e6)).cast("double").alias("v"))
     x = v.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", F.array(*map(F.lit, QUANTILES))).alias("q"))
     z = [-1.959964, -1.439531, -1.150349, -0.934589, -0.755415, -0.597760, -0.453762, -0.318639, -0.189118, -0.062707]
@@ -172,7 +172,7 @@ def best_distribution(log: DataFrame, key: str = "a") -> DataFrame:
         "lognorm": [F.exp(mu + F.sqrt(sigma2) * t) for t in z],
     }
     error = lambda qs: sum((F.abs(F.col("q")[i] - q) for i, q in enumerate(qs)), F.lit(0.0)) / len(qs)
-    scored = x.select("k", "mean", "std", F.explode(F.array(*[F.struct(error(qs).alias("error"), F.lit(name).alias("family")) for name, qs in families.items()])).alias("f"))
+    scored = x.select("k", "mean", "std", F.explode(F.array(*[F.struct(F.round(error(qs), 9).alias("error"), F.lit(nth).alias("nth"), F.lit(name).alias("family")) for nth, (name, qs) in enumerate(families.items())])).alias("f"))
     best = scored.groupBy("k", "mean", "std").agg(F.min("f").alias("f"))
     return best.select(F.col("k").alias(key), "f.family", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("f.error", 4).alias("error"))
 
