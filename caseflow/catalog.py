@@ -16,6 +16,7 @@ from .operators import calendars, distances, preprocess, rules, traces, variants
 from .plans import discovery, simulate, tuner
 from .sources import bpmn, logs
 from .sources.logs import events_log, orders_log
+from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -604,6 +605,15 @@ def tune(spark, d):
     return search.table(spark).select("trial", "status", "loss", F.element_at("params", "eta").cast("double").alias("eta"))
 
 
+@query("SELECT (isodow(ts) - 1)::INT AS w, hour(ts)::INT AS h, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_circadian(spark, d):
+    """The histogram of weekdays and hours as a stream keeps it, after all files have come."""
+    from .sources.logs import drained
+
+    rows = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*").select("ts")
+    return drained(incremental.circadian(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -104,3 +104,13 @@ def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
 def harvest(spark: SparkSession, pattern: str) -> DataFrame:
     """Measurement files of many runs, with the file each row came from."""
     return spark.read.option("header", True).option("inferSchema", True).csv(pattern).withColumn("file", F.input_file_name())
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """The result of a streaming aggregate after all that is there now; for results of bounded size (histograms)."""
+    import uuid
+
+    name = f"drained_{uuid.uuid4().hex}"
+    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.table(name)
