@@ -568,12 +568,12 @@ def trial_measurements(spark, d):
     return _trials(spark, d)
 
 
-@query(f"WITH {LOG}, {_TRIALS} SELECT trial, round(avg(distance), 6) AS loss, 'ok' AS status FROM ls GROUP BY trial")
+@query(f"WITH {LOG}, {_TRIALS} SELECT trial, round(avg(distance), 7) AS loss, 'ok' AS status FROM ls GROUP BY trial")
 def trial_table(spark, d):
     return tuner.response(_trials(spark, d))
 
 
-@query(f"WITH {LOG}, {_TRIALS}, t AS (SELECT trial, round(avg(distance), 6) AS loss, 'ok' AS status FROM ls GROUP BY trial) SELECT * FROM t ORDER BY loss, trial LIMIT 1")
+@query(f"WITH {LOG}, {_TRIALS}, t AS (SELECT trial, round(avg(distance), 7) AS loss, 'ok' AS status FROM ls GROUP BY trial) SELECT * FROM t ORDER BY loss, trial LIMIT 1")
 def best_trial(spark, d):
     return tuner.best_trial(tuner.response(_trials(spark, d)))
 

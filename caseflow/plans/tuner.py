@@ -84,4 +84,4 @@ def response(measurements: DataFrame) -> DataFrame:
     """(trial, loss, status) of (trial, distance): mean distance; none or negative fails, with loss 1."""
     mean = measurements.groupBy("trial").agg(F.avg("distance").alias("mean"))
     ok = F.col("mean").isNotNull() & (F.col("mean") >= 0)
-    return mean.select("trial", F.when(ok, F.round("mean", 6)).otherwise(F.lit(1.0)).alias("loss"), F.when(ok, "ok").otherwise("fail").alias("status"))
+    return mean.select("trial", F.when(ok, F.round("mean", 7)).otherwise(F.lit(1.0)).alias("loss"), F.when(ok, "ok").otherwise("fail").alias("status"))
