@@ -68,7 +68,6 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, granule
         worked = log.join(calendars.pools(log), "r").withColumn("r", F.col("pool")).drop("pool")
     participation = _range(settings.resource_model.participation)[0]
     scores = calendars.relaxed(worked, key, granule, confidence, support, participation)
-    model = log.select("a").distinct()
     best = calendars.best_distribution(log)
     paths = rules.gateways(traces.dfg(log)).select("gateway", "path", "taken", (F.col("equiprobable") if settings.control_flow.gateway_probabilities == "equiprobable" else F.col("observed")).alias("observed"))
     extra = rules.extraneous(log, enabled).filter("delayed > 0").select("a", "mean_s") if settings.extraneous_activity_delays else None
@@ -82,7 +81,6 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, granule
         missing = calendars.repair_missing(tasks, log, log.select("r"), known)
         work = work.unionByName(missing.select("r", "a"))
         best = best.unionByName(missing.select("a", "family", "mean").distinct().withColumn("std", F.lit(0.0)).withColumn("error", F.lit(0.0)))
-    del model
     return ProcessModel(nodes, flows, paths, calendars.arrival_histogram(log), calendars.intervals(scores, granule), best.select("a", "family", "mean", "std"), work, batches=batches, delays=extra, granule=granule)
 
 
