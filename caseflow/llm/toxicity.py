@@ -124,16 +124,20 @@ def best_margins(texts: pa.Array, weights: np.ndarray, bias: float, names: bool
     return best, unit
 
 
-def kernel_rows(units: list[str], table: np.ndarray) -> np.ndarray:
-    """Sums of the rows of table (by triple) over the triples of each unit, divided by the units' norms."""
+def _codes(unit: str) -> np.ndarray:
+    c = _CODE[np.frombuffer(unit.encode(), np.uint8)]
+    return c[c > 0][: 2 * PIECE]
+
+
+def kernel_rows(units: list[str], table: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Sums of rows of table, which column names for each triple, over the triples of each unit, divided by its norm."""
     out = np.zeros((len(units), table.shape[1]))
     for k in range(0, len(units), 512):
-        part = [_CODE[np.frombuffer(u.encode(), np.uint8)] for u in units[k : k + 512]]
-        part = [x[x > 0][: 2 * PIECE] for x in part]
+        part = [_codes(u) for u in units[k : k + 512]]
         n = np.array([len(x) for x in part])
         unit = np.repeat(np.arange(len(part)), n)
         for place, triple, weight in _triples(np.concatenate(part), unit):
-            np.add.at(out, k + unit[place], weight * table[triple])
+            np.add.at(out, k + unit[place], weight * table[column[triple]])
         out[k : k + len(part)] /= np.maximum(_NORM[n], 1e-9)[:, None]
     return out
 
@@ -221,13 +225,17 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
 
 
 def _fit(sample: DataFrame, good: list[str], counts: list[int], clean: dict[str, int]) -> dict:
-    rows = np.zeros((len(good), TRIPLES), np.float32)
+    # only triples of these units have a column; column 0 is that of all others, and stays 0
+    found = [list(_triples(c := _codes(u), np.zeros(len(c), int))) for u in good]
+    used = np.unique(np.concatenate([t for x in found for _, t, _ in x]))
+    column = np.zeros(TRIPLES, np.int32)
+    column[used] = np.arange(1, len(used) + 1)
+    rows = np.zeros((len(good), len(used) + 1))
     for k, u in enumerate(good):
-        c = _CODE[np.frombuffer(u.encode(), np.uint8)]
-        for _, triple, weight in _triples(c, np.zeros(len(c), int)):
-            np.add.at(rows[k], triple, weight)
-        rows[k] /= _NORM[len(c)]
-    like = kernel_rows(good, rows.T)
+        for _, triple, weight in found[k]:
+            np.add.at(rows[k], column[triple], weight)
+        rows[k] /= _NORM[len(_codes(u))]
+    like = kernel_rows(good, rows.T, column)
     chosen: list[int] = []
     for k in range(len(good)):
         if len(chosen) < LANDMARKS and (not chosen or like[k, chosen].max() < 0.8):
@@ -239,11 +247,13 @@ def _fit(sample: DataFrame, good: list[str], counts: list[int], clean: dict[str,
     model: dict = {}
     for turn in range(3):
         names = good + list(negative)
-        x = kernel_rows(names, z) @ root
+        x = kernel_rows(names, z, column) @ root
         y = np.array([1.0] * len(good) + [-1.0] * len(negative))
         weight = np.concatenate([np.log1p(counts) / np.log1p(counts).sum(), (v := np.log1p(list(negative.values()))) / v.sum()])
         w = _machine(x, y, weight)
-        model = {"weights": (z @ (root @ w[:-1])).astype(np.float64), "bias": float(w[-1])}
+        weights = np.zeros(TRIPLES)
+        weights[used] = (z @ (root @ w[:-1]))[1:]
+        model = {"weights": weights, "bias": float(w[-1])}
 
         def judge(batches, model=model):
             for batch in batches:
