@@ -48,6 +48,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df; nothing may refer to it any more."""
+    files = df.inputFiles()
+    if files:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column, parts: int, part: int = 2) -> Column:
     """Whether crc32 of doc_id, as text, leaves the remainder `part`; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part

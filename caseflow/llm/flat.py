@@ -6,6 +6,7 @@ many rows a batch has (one text is the least that is worked on at a time).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,14 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers = np.ones(1, np.uint64)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on between stages, and what they keep counts against executors."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if give is not None:
+        give(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads all bits of 64-bit integers."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
