@@ -71,6 +71,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     return values
 
 
+def band_keys(s: np.ndarray) -> np.ndarray:
+    return flat.mix((signature(s).reshape(BANDS, ROWS) * flat._PLACE[:ROWS]).sum(axis=1) + _BAND).view(np.int64)
+
+
 def _sketch(batches):
     for batch in batches:
         out = {k: [] for k in ("n_shingles", "fp1", "fp2", "bands")}
@@ -84,8 +88,7 @@ def _sketch(batches):
                     continue
                 out["fp1"].append(flat.mix(s ^ np.uint64(1)).sum().view(np.int64))
                 out["fp2"].append(flat.mix(s ^ np.uint64(2)).sum().view(np.int64))
-                v = signature(s)
-                out["bands"].append(flat.mix((v.reshape(BANDS, ROWS) * flat._PLACE[:ROWS]).sum(axis=1) + _BAND).view(np.int64))
+                out["bands"].append(band_keys(s))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(out["n_shingles"], pa.int64()), pa.array(out["fp1"], pa.int64()), pa.array(out["fp2"], pa.int64()), pa.array(out["bands"], pa.list_(pa.int64()))],
             ["doc_id", *out],
@@ -93,14 +96,16 @@ def _sketch(batches):
 
 
 def _estimators(batches):
-    """(rep, signature) of rows (doc_id, text): 16 bits of the smallest hash in each of EST_BINS bins, 0 where empty."""
+    """(rep, signature, bands) of rows (doc_id, text): 16 bits of the smallest hash in each of EST_BINS bins, 0 where empty;
+    the bucket keys."""
     for batch in batches:
-        out = []
+        out, keys = [], []
         for s in _sets(batch.column(1)):
             at = np.searchsorted(s, _EST_BOUNDS)
             values = flat.mix(s[np.minimum(at[:-1], len(s) - 1)]).astype(np.uint16) | np.uint16(1)
             out.append(np.where(at[1:] > at[:-1], values, 0).astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "signature"])
+            keys.append(band_keys(s).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(keys, pa.binary())], ["rep", "signature", "bands"])
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -156,10 +161,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _blocks(best: int):
-    """Promising pairs across components within runs of rows (key, i, j, block, rep, component, n, signature)."""
+    """Promising pairs across components within runs of rows (key, i, j, block, rep, component, n, signature, bands)."""
 
     def compare(rows: dict) -> tuple[np.ndarray, np.ndarray]:
         sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, EST_BINS)
+        bands, key = np.frombuffer(b"".join(rows["bands"]), np.int64).reshape(-1, BANDS), rows["key"][0]
         rep, comp, n, block = (np.array(rows[k]) for k in ("rep", "component", "n", "block"))
         left = np.flatnonzero(block == rows["i"][0])
         right = np.flatnonzero(block == rows["j"][0])
@@ -168,6 +174,10 @@ def _blocks(best: int):
             ys = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= THRESHOLD * np.maximum(n[right], n[x]))]
             if rows["i"][0] == rows["j"][0]:
                 ys = ys[ys > x]
+            if not len(ys):
+                continue
+            # a pair is compared in the first bucket that it shares
+            ys = ys[bands[x, (bands[ys] == bands[x]).argmax(axis=1)] == key]
             if not len(ys):
                 continue
             same, some = (sig[ys] == sig[x]) & (sig[x] > 0), (sig[ys] > 0) | (sig[x] > 0)
@@ -188,7 +198,7 @@ def _blocks(best: int):
         return pairs.min(axis=1), pairs.max(axis=1)
 
     def run(batches):
-        names, held = ("key", "i", "j", "block", "rep", "component", "n", "signature"), None
+        names, held = ("key", "i", "j", "block", "rep", "component", "n", "signature", "bands"), None
         for batch in batches:
             rows = {k: batch.column(k).to_pylist() for k in names}
             group = list(zip(rows["key"], rows["i"], rows["j"], strict=True))
@@ -223,7 +233,7 @@ def _across(rows: DataFrame, labels: DataFrame, signatures: DataFrame, tested: D
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n")
     )
-    full = dealt.join(signatures, "rep").select("key", "i", "j", "block", "rep", "component", "n", "signature")
+    full = dealt.join(signatures, "rep").select("key", "i", "j", "block", "rep", "component", "n", "signature", "bands")
     pairs = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(best), "a long, b long").distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -242,7 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = rows.select("rep").distinct()
     ids = members.withColumnRenamed("rep", "doc_id")
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "texts")
-    signatures = stored(texts.mapInArrow(_estimators, "rep long, signature binary").dropDuplicates(["rep"]), "signatures")
+    signatures = stored(texts.mapInArrow(_estimators, "rep long, signature binary, bands binary").dropDuplicates(["rep"]), "signatures")
     fits = F.lit(100) * F.least("n", "hub_n") >= F.lit(THRESHOLD) * F.greatest("n", "hub_n")
     tested = stored(rows.filter((F.col("rep") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(confirm(tested, texts), "links")
@@ -255,3 +265,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = sketches.join(copies, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     component = F.coalesce("component", "rep")
     return named.join(labels, named["rep"] == labels["node"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept: of each component the document with the smallest doc_id, once.
+
+    Rows without doc_id stay, one of each text.
+    """
+    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    same = docs["doc_id"].cast("long") == kept["doc_id"]
+    once = docs.join(kept.filter("rows = 1"), same, "left_semi")
+    first = docs.join(kept.filter("rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(first).unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
