@@ -1,7 +1,7 @@
 """Katz backoff language model: counts of words and word pairs, Good-Turing discounts, exact backoff weights.
 
 Model. Tokens are lower-cased words and one end a text. P(w) discounts counts up to K by Good-Turing; the mass freed
-belongs to one class of unseen words. A pair (h, w) seen MIN_PAIR times or more has P(w | h) = s(h) d(c) c(h, w) / c(h);
+belongs to one class of unseen words. A pair (h, w) seen MIN_PAIR times or more, once is enough, has P(w | h) = s(h) d(c) c(h, w) / c(h);
 all other w have a(h) P(w), where a(h) makes the sum over all w, unseen class included, exactly 1. s(h) is 1 unless the
 kept pairs of h leave less than 1 / (c(h) + 1), which is then set aside.
 
@@ -14,7 +14,7 @@ so every distinct gram of a text needs one number from a table that is partition
 
 Scale. Tasks count grams over all their texts before anything moves, and move them as sorted arrays by part. The
 most frequent grams (HOT_WORDS, HOT_PAIRS at most) are tables of bounded size that every task gets, so what is left has no hot key; pairs that are
-certainly not kept are sifted out by a bit table of fixed size (it saves traffic and decides nothing). All other grams of
+certainly not in the table are sifted out by a bit table of fixed size (it saves traffic and decides nothing). All other grams of
 a text meet their table part by part. Sums over a text are added up at the end. Counts, discounts and tables cover all
 training texts.
 
@@ -37,12 +37,13 @@ from . import flat
 from .common import discard, held_out, short_batches, stored
 
 K = 5
-MIN_PAIR = 2
+MIN_PAIR = 1
 HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 20
 JOINED_HOT = 1 << 16
 SIFT_BITS, SEGMENT_BITS = 27, 17
 HELD_PARTS = 7
 HELD = 1_000_000
+ROWS = 1 << 18  # rows of a batch of grams that goes back to Spark
 
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -134,7 +135,7 @@ def _count(parts: int):
     return run
 
 
-GRAM_SCHEMA = "ord int, key long, h long, w long, c long"
+GRAM_SCHEMA = "ord int, h long, w long, c long"
 
 
 def _runs(batches, names):
@@ -152,27 +153,36 @@ def _runs(batches, names):
 
 
 def _sum_up(batches):
-    """Rows of the table of grams, and of counts of counts: (10 + ord, r, number of grams, tokens in them, 0)."""
+    """Rows of the table of grams, and of counts of counts: (10 + ord, r, number of grams, tokens in them)."""
     some = False
     for (_, ord_), rows in _runs(batches, BLOCK_SCHEMA):
         h, w = (np.concatenate([np.frombuffer(r[k], np.uint64) for r in rows]) for k in ("h", "w"))
         h, w, c = _merged(h, w, np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows]).astype(np.int64))
         r, n = np.unique(np.minimum(c, K + 2), return_counts=True)
         tokens = np.bincount(np.minimum(c, K + 2), weights=c)[r].astype(np.int64)
-        yield _grams(np.full(len(r), 10 + ord_), r, n, tokens, np.zeros(len(r)))
+        yield _grams(np.full(len(r), 10 + ord_), r, n, tokens)
         keep = c >= (1 if ord_ == 1 else MIN_PAIR)
         h, w, c = h[keep], w[keep], c[keep]
-        key = w if ord_ == 1 else pair_keys(h, w)
-        yield _grams(np.full(len(h), ord_), *(x.view(np.int64) for x in (key, h, w)), c)
+        order = np.argsort(h)  # equal histories side by side take little room
+        for k in range(0, len(order), ROWS):
+            at = order[k : k + ROWS]
+            yield _grams(np.full(len(at), ord_), h[at].view(np.int64), w[at].view(np.int64), c[at])
         some = True
     if not some:
-        yield _grams(*([[]] * 5))
+        yield _grams(*([[]] * 4))
     flat.trim()
 
 
-def _grams(ord_, key, h, w, c) -> pa.RecordBatch:
-    arrays = [pa.array(np.asarray(ord_, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, h, w, c))]
-    return pa.RecordBatch.from_arrays(arrays, ["ord", "key", "h", "w", "c"])
+def _grams(ord_, h, w, c) -> pa.RecordBatch:
+    arrays = [pa.array(np.asarray(ord_, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (h, w, c))]
+    return pa.RecordBatch.from_arrays(arrays, ["ord", "h", "w", "c"])
+
+
+def _keyed(batches):
+    """Pairs (h, w, c, gain) by the key that stands for h and w."""
+    for batch in batches:
+        h, w = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w).view(np.int64)), batch.column(2), batch.column(3)], ["key", "c", "gain"])
 
 
 def discounts(n: dict[int, int], least: int) -> dict[int, float]:
@@ -214,17 +224,17 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     grams = stored(blocks.repartition("part").sortWithinPartitions("part", "ord").mapInArrow(_sum_up, GRAM_SCHEMA), "grams")
     del blocks
     release(spark)
-    stats = grams.filter("ord > 10").groupBy("ord", F.col("key").alias("r")).agg(F.sum("h").alias("n"), F.sum("w").alias("tokens")).collect()
+    stats = grams.filter("ord > 10").groupBy("ord", F.col("h").alias("r")).agg(F.sum("w").alias("n"), F.sum("c").alias("tokens")).collect()
     n = {o: {x.r: x.n for x in stats if x.ord == 10 + o} for o in (1, 2)}
     tokens, vocabulary = sum(x.tokens for x in stats if x.ord == 11), sum(n[1].values())
     d1, d2 = discounts(n[1], 1), discounts(n[2], MIN_PAIR)
     unseen = sum((1 - d1[r]) * r * n[1].get(r, 0) for r in d1) / tokens if tokens else 1.0
     facts = {"tokens": tokens, "vocabulary": vocabulary, "unseen": unseen, "d1": d1, "d2": d2}
     words = grams.filter("ord = 1").select("w", F.col("c").cast("int").alias("c"), (_by_count(d1) * F.col("c") / F.lit(float(tokens or 1))).alias("p"))
-    pairs = grams.filter("ord = 2").select("key", "h", "w", F.col("c").cast("int").alias("c"))
+    pairs = grams.filter("ord = 2").select("h", "w", F.col("c").cast("int").alias("c"))
     hot = F.col("c") >= least_of_hot(words, JOINED_HOT)
     mass = _by_count(d2) * F.col("c")
-    x = stored(_meet(pairs, words.select("w", "p"), "w", words.filter(hot).select("w", "p")).select("key", "h", "c", "p"), "pairs")
+    x = stored(_meet(pairs, words.select("w", "p"), "w", words.filter(hot).select("w", "p")).select("h", "w", "c", "p"), "pairs")
     by_h = x.withColumn("mass", mass).groupBy("h").agg(F.sum("mass").alias("mass_h"), F.sum("p").alias("p_h"))
     left = 1 - F.col("mass_h") / F.col("c")
     spare = F.greatest(left, 1 / (F.col("c") + 1))
@@ -236,11 +246,14 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
         .withColumn("value", F.log10("p") + F.log10("alpha")),
         "words",
     )
+    discard(grams)
+    release(spark)
     hist = words.filter("s IS NOT NULL")
     columns = (F.col("w").alias("h"), F.col("c").alias("c_h"), "alpha", "s")
     gain = F.log10(F.col("s") * mass / F.col("c_h")) - F.log10("alpha") - F.log10("p")
-    pairs = stored(_meet(x, hist.select(*columns), "h", hist.filter(hot).select(*columns)).select("key", "c", gain.alias("gain")), "gains")
-    discard(grams), discard(x)
+    gains = _meet(x, hist.select(*columns), "h", hist.filter(hot).select(*columns)).select("h", "w", "c", gain.alias("gain"))
+    pairs = stored(gains.mapInArrow(_keyed, "key long, c int, gain double"), "gains")
+    discard(x)
     release(spark)
     return words, pairs, facts
 
@@ -397,7 +410,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame, dict]) -> DataFram
 
     shared = spark.sparkContext.broadcast((hot(words, "w", "value", HOT_WORDS), hot(pairs, "key", "gain", HOT_PAIRS), _sift(pairs)))
     tag = lambda key, bit: (F.col(key).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit))).alias("key")
-    table = words.select(tag("w", 1), "c", "value").unionByName(pairs.select(tag("key", 0), "c", F.col("gain").alias("value")))
+    table = words.select(tag("w", 1), "c", "value").unionByName(pairs.select(tag("key", 0), F.lit(0).alias("c"), F.col("gain").alias("value")))
     table = table.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
     looked = numbered.mapInArrow(_look_up(parts, shared), POSTING_SCHEMA)

@@ -105,6 +105,16 @@ def test_katz_scores_equal_the_recursion(spark, monkeypatch, hot):
         assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][4:], rel=1e-9)
 
 
+def test_katz_keeps_pairs_seen_once(spark):
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2][:12]
+    texts = [f"w{k % 4} w{k % 5} u{k} v{k}" for k in range(len(ids))]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("held_out", katz.held_out(katz.F.col("doc_id"), 7))
+    words_, pairs, facts = katz.train(d.select("text"))
+    seen = Counter(x for t in texts for x in zip([*words(t), None], [*words(t), None][1:]))
+    assert pairs.count() == len(seen) and pairs.filter("c = 1").count() == sum(c == 1 for c in seen.values()) > 0
+    assert 0 < facts["d2"][1] < 1
+
+
 def test_katz_of_nothing(spark):
     assert katz.train_and_score(docs(spark, [])).count() == 0
 
