@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -285,6 +286,26 @@ def test_decontamination_finds_passages_and_spares_others(spark):
     assert decontaminate.contaminated(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def test_every_overlap_of_an_item_has_a_seed():
+    spots = [[k for k, bit in enumerate(m) if bit == "1"] for m in decontaminate.FINE]
+    for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
+        differ = n * (100 - decontaminate.NEED) // 100
+        for other in itertools.combinations(range(n), differ):
+            assert any(not {at + k for k in s} & set(other) for s in spots for at in range(n - s[-1]))
+
+
+def test_decontamination_finds_overlaps_wherever_tokens_differ(spark):
+    items = {1: [f"a{k}" for k in range(20)], 2: [f"b{k}" for k in range(8)], 3: [f"c{k}" for k in range(12)], 4: ["d0", "d1", "d2"], 5: ["e0"]}
+    swap = lambda w, *ks: [f"x{k}" if k in ks else x for k, x in enumerate(w)]
+    noise = [f"n{k}" for k in range(30)]
+    cases = [(swap(items[1][:13], 0, 3, 5), {1}), (swap(items[2], 3), {2}), (swap(items[2], 2, 5), {2}), (swap(items[3], 2, 5, 8), {3}), (items[4], {4}), (swap(items[4], 1), set()), (items[5], {5}), (swap(items[1][:13], 0, 3, 5, 8), set()), (swap(items[2], 1, 3, 6), set())]
+    texts = docs(spark, [" ".join(noise + w + noise) for w, _ in cases])
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(texts, tests).collect()}
+    assert got == {(k, i) for k, (_, own) in enumerate(cases) for i in own}
+    assert sorted(r.doc_id for r in decontaminate.clean(texts, tests).collect()) == [5, 7, 8]
+
+
 # 8
 
 
