@@ -536,6 +536,13 @@ def variant_distances(spark, d):
     return variants_distance.pair_distances(pairs).select("c", "other", "steps")
 
 
+@query(f"WITH {LOG}, {_CODES}, va AS (SELECT c % 2 AS side, t, count(*) AS n FROM tr GROUP BY 1, 2) SELECT x.t AS x, y.t AS y, x.n AS x_cases, y.n AS y_cases, damerau_levenshtein(x.t, y.t)::BIGINT AS steps FROM va x JOIN va y ON x.side = 0 AND y.side = 1")
+def variant_pair_distances(spark, d):
+    """Each variant of one log against each of the other, once, over whole traces."""
+    log = events_log(spark, d)
+    return variants_distance.variant_pairs(log.filter("c % 2 = 0"), log.filter("c % 2 = 1"), log).select("x", "y", "x_cases", "y_cases", "steps")
+
+
 @query()
 def control_flow_distance(spark, d):
     return variants_distance.control_flow_distance(sided(spark, d), most=60)

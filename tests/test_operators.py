@@ -224,3 +224,12 @@ def test_empty_logs(spark):
     none = log(spark, [])
     assert traces.dfg(none).count() == 0 and preprocess.split(none).count() == 0 and rules.batch_sessions(none).count() == 0
     assert calendars.interarrivals(none).count() == 0 and preprocess.multitask_adjust(none).count() == 0
+
+
+def test_variant_pairs_compare_whole_traces_once(spark):
+    from caseflow.operators.variants_distance import variant_pairs
+
+    traces_ = {0: "a" * 60 + "b", 2: "a" * 60 + "b", 1: "a" * 60 + "c" * 9, 3: "a" * 60 + "b"}
+    log = spark.createDataFrame([(c, a, e, e) for c, t in traces_.items() for e, a in enumerate(t)], "c long, a string, e long, eid long")
+    got = {(r.x_cases, r.y[60:], r.y_cases, r.steps) for r in variant_pairs(log.filter("c % 2 = 0"), log.filter("c % 2 = 1"), log).collect()}
+    assert got == {(2, "C" * 9, 1, 9), (2, "B", 1, 0)}
