@@ -113,6 +113,8 @@ def _read(batches):
             key, no, count, view = key.as_py(), no.as_py(), count.as_py(), memoryview(content.as_buffer())
             if no == 0:
                 text = bytes(view[:65536])
+                if text.count(b"\r\n\r\n") < 2:  # a long url; the first chunk holds both headers
+                    text = bytes(view)
                 body = text.index(b"\r\n\r\n", 0) + 4
                 payload = text.index(b"\r\n\r\n", body) + 4
                 fields, http = _fields(text[: body - 4]), _fields(text[body : payload - 4])

@@ -356,6 +356,12 @@ def test_archives_of_long_and_repeated_payloads(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_warc_of_a_very_long_url(spark):
+    pages = [(1, "http://a/" + "\x01" * 30_000, "<p>x</p>"), (2, "http://b/", "y")]
+    got = warc.archive_and_read(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(1, 8), (2, 1)]
+
+
 def test_a_changed_archive_is_noticed(spark, tmp_path):
     from pyspark.sql import functions as F
 
