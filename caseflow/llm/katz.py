@@ -1,26 +1,27 @@
 """Katz backoff language model: counts of words and word pairs, Good-Turing discounts, exact backoff weights.
 
 Model. Tokens are lower-cased words and one end a text. P(w) discounts counts up to K by Good-Turing; the mass freed
-belongs to one class of unseen words. A pair (h, w) seen MIN_PAIR times or more, once is enough, has P(w | h) = s(h) d(c) c(h, w) / c(h);
-all other w have a(h) P(w), where a(h) makes the sum over all w, unseen class included, exactly 1. s(h) is 1 unless the
-kept pairs of h leave less than 1 / (c(h) + 1), which is then set aside.
-
-Evaluation. The recursion log P(w | h) = (kept: log of the above, else log a(h) + log P(w)) is summed as
-
-    score(text) = sum over words  n * (log P(w) + log a(w))  +  sum over kept pairs  n * gain(h, w)
-    gain(h, w)  = log P(w | h) - log a(h) - log P(w)
-
-so every distinct gram of a text needs one number from a table that is partitioned by gram.
-
-Scale. Tasks count grams over all their texts before anything moves, and move them as sorted arrays by part. The
-most frequent grams (HOT_WORDS, HOT_PAIRS at most) are tables of bounded size that every task gets, so what is left has no hot key; pairs that are
-certainly not in the table are sifted out by a bit table of fixed size (it saves traffic and decides nothing). All other grams of
-a text meet their table part by part. Sums over a text are added up at the end. Counts, discounts and tables cover all
-training texts.
-
-Edge cases: null and blank texts are one end token; rows may repeat, each is scored; a null doc_id hashes as empty text;
-with no training rows every token has probability 1 (unseen class) and base 1 / (V + 1) with V = N = 0; other columns
-are ignored; an empty table gives no rows.
+belongs to one class of unseen words. A pair (h, w) seen MIN_PAIR times or more, once is enough, has
+P(w | h) = s(h) d(c) c(h, w) / c(h); all other w have a(h) P(w), where a(h) makes the sum over all w, unseen class
+included, exactly 1. s(h) is 1 unless the kept pairs of h leave less than 1 / (c(h) + 1), which is then set aside.
+
+Tables. Texts are cut into blocks of about BLOCK_TOKENS tokens (a text stays in one piece): their distinct words, and
+their tokens as numbers of these. Two tables hold the model, one row a part, its columns packed arrays: words by range
+of their hash, with counts; pairs by history, with counts, a(h) and s(h). Both are written to the shared folder.
+
+Evaluation. A block asks every part of the words for the numbers and counts of its distinct words, then every part of
+the pairs for the counts of its distinct pairs and the weights of their histories, each once, and runs the recursion
+token by token on the answers: log P(w | h) of a kept pair, else log a(h) + log P(w), and log P(w) for a text's first.
+
+Scale. Blocks aggregate before anything moves, so a frequent word or pair is one entry a block. Pairs meet by
+history; a history with more than a quarter of a part's tokens is spread over all parts by its words, and its
+sums are added up (there are at most four such histories a part). The number of parts follows the tokens alone:
+what moves is in proportion to the blocks' distinct words and pairs, and no task holds more than a part or a block.
+Nothing grows with the data on the driver but one row of sums.
+
+Edge cases: null and blank texts are one end token; rows may repeat, each is scored; ids may be of any simple type, and
+a null id hashes as empty text; with no training rows every token has probability 1 (unseen class) and base 1 / (V + 1)
+with V = N = 0; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,26 +31,24 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import flat
 from .common import discard, held_out, short_batches, stored
 
 K = 5
 MIN_PAIR = 1
-HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 20
-JOINED_HOT = 1 << 16
-SIFT_BITS, SEGMENT_BITS = 27, 17
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 19, 1 << 16
+PART_TOKENS, LEAST_PARTS = 1 << 22, 32
+HOT_SHARE = 4  # a history is hot above 1 / HOT_SHARE of a part's tokens
 HELD_PARTS = 7
-HELD = 1_000_000
-ROWS = 1 << 18  # rows of a batch of grams that goes back to Spark
 
 END = np.uint64(0x5851F42D4C957F2D)
-
-
-def parts_of(spark: SparkSession) -> int:
-    return 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+_ID_BITS = np.uint64(40)
+_CODEC = "zstd"
 
 
 def release(spark: SparkSession) -> None:
@@ -58,131 +57,324 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def token_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, their row, which are ends): the words of each row and its end token."""
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers or doubles, in the fewest bytes each, like bytes side by side, compressed."""
+    if a.dtype != np.float64:
+        most = int(a.max()) if len(a) else 0
+        a = a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    head = np.array([a.itemsize + (16 if a.dtype == np.float64 else 0), len(a)], np.int64).tobytes()
+    return head + (pa.compress(raw, codec=_CODEC, asbytes=True) if raw else b"")
+
+
+def unpack(b: bytes) -> np.ndarray:
+    """What pack() was given, as 64-bit numbers."""
+    kind, n = np.frombuffer(b, np.int64, 2)
+    size = int(kind) & 15
+    raw = pa.decompress(b[16:], decompressed_size=size * int(n), codec=_CODEC, asbytes=True) if n else b""
+    a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, int(n)).T)
+    return a.reshape(-1).view(np.float64) if kind > 16 else a.reshape(-1).view(f"u{size}").astype(np.uint64)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
+    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in fields})
+
+
+def _rows(table: pa.Table) -> list[dict]:
+    return table.to_pylist()
+
+
+# texts to blocks
+
+BLOCK_FIELDS = "block long, n_tokens long, n_words long, sizes binary, learn binary, words binary, tokens binary"
+
+
+def token_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, number of tokens of each row): the words of each row and its end token."""
     h, _, before = flat.words(data, ends)
     n = np.diff(before) + 1
     out = np.empty(int(n.sum()), np.uint64)
     last = np.zeros(len(out), bool)
     last[np.cumsum(n) - 1] = True
     out[last], out[~last] = END, h
-    return out, np.repeat(np.arange(len(n)), n), last
+    return out, n
+
+
+def _cut(batches):
+    """Blocks of rows (doc_id, learn, text)."""
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    made, held, size, rows = 0, [], 0, 0
+
+    def emit():
+        tokens, sizes, learn = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+        words, local = np.unique(tokens, return_inverse=True)
+        ids = pa.concat_arrays([x[0] for x in held])
+        number = lambda x: pa.array([x], pa.int64())
+        binary = lambda x: pa.array([x], pa.binary())
+        return _batch(
+            block=number((part << 33) + made), n_tokens=number(len(tokens)), n_words=number(len(words)), sizes=binary(pack(sizes)), learn=binary(pack(learn)),
+            words=binary(words.tobytes()), tokens=binary(pack(local)), doc_id=pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+        )
+
+    for batch in batches:
+        learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+        for begin, end, data, ends in flat.slices(batch.column(2)):
+            tokens, sizes = token_hashes(data, ends)
+            held.append((batch.column(0).slice(begin, end - begin), tokens, sizes, learn[begin:end]))
+            size, rows = size + len(tokens), rows + end - begin
+            if size >= BLOCK_TOKENS or rows >= BLOCK_ROWS:
+                yield emit()
+                made, held, size, rows = made + 1, [], 0, 0
+    if held:
+        yield emit()
+    held = []
+    flat.trim()
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """The stored blocks of documents (doc_id, learn, text)."""
+    short_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return stored(docs.select("doc_id", "learn", "text").mapInArrow(_cut, f"{BLOCK_FIELDS}, doc_id array<{kind}>"), "blocks", compression="zstd")
 
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return flat.mix(h * flat._PLACE[0] + w * flat._PLACE[1])
+class Block:
+    """The arrays of one row of blocks."""
 
+    def __init__(self, row: dict):
+        self.block, self.words = row["block"], np.frombuffer(row["words"], np.uint64)
+        self.sizes, self.learn, self.tokens = unpack(row["sizes"]).astype(np.int64), unpack(row["learn"]).astype(bool), unpack(row["tokens"]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        # a token follows the one before it in its text
+        self.follows = np.ones(len(self.tokens), bool)
+        self.follows[np.cumsum(self.sizes) - self.sizes] = False
 
-def _merged(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n by (h, w), which a 64-bit key stands for, in the order of the keys."""
-    key = pair_keys(h, w)
-    order = np.argsort(key)
-    key, h, w, n = key[order], h[order], w[order], n[order]
-    new = np.ones(len(h), bool)
-    new[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(new)
-    return h[at], w[at], np.add.reduceat(n, at) if len(at) else n
+    def pairs(self, learned: bool):
+        """(history, word, number) of the distinct pairs, by numbers of the block's words, and the place of each pair."""
+        at = np.flatnonzero(self.follows & self.learn[self.row] if learned else self.follows)
+        key = self.tokens[at - 1] * len(self.words) + self.tokens[at]
+        key, place, n = np.unique(key, return_inverse=True, return_counts=True)
+        return key // max(1, len(self.words)), key % max(1, len(self.words)), n, at, place
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return keys.view(np.int64) % parts
+# words
 
+ASKED_WORDS = "part int, block long, keys binary, n binary"
+WORD_TABLE = "part int, keys binary, c binary, stats array<long>"
+ANSWERED_WORDS = "block long, kind int, part int, a binary, b binary, c binary"
 
-BLOCK_SCHEMA = "part int, ord int, h binary, w binary, n binary"
 
+def _range_cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where sorted hashes enter each of `parts` equal ranges."""
+    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
-def _count(parts: int):
-    def emit(h, w, n):
-        """Rows of one part each; words have h = 0."""
-        single = h == 0
-        part = _part(np.where(single, w, pair_keys(h, w)), parts)
-        for ord_, own in ((1, np.flatnonzero(single)), (2, np.flatnonzero(~single))):
-            own = own[np.argsort(h[own] if ord_ == 2 else w[own])]  # like histories side by side compress well
-            own = own[np.argsort(part[own].astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")]
-            cuts = np.searchsorted(part[own], np.arange(parts + 1))
-            rows = [(p, own[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in rows], pa.int32()), pa.array([ord_] * len(rows), pa.int32()), *(pa.array([x[i].tobytes() for _, i in rows], pa.binary()) for x in (h, w, n.astype(np.uint32)))],
-                    ["part", "ord", "h", "w", "n"],
-                )
+
+def _ask_words(parts: int, learned: bool):
+    """The distinct words of each block by part; `learned` leaves out those of texts not to learn from, and counts the others."""
 
     def run(batches):
-        held, raw = [], []
-        size = raw_size = 0
         for batch in batches:
-            for _, _, data, ends in flat.slices(batch.column(0)):
-                t, _, last = token_hashes(data, ends)
-                pairs = ~last[:-1]
-                raw.append((np.zeros(len(t), np.uint64), t)), raw.append((t[:-1][pairs], t[1:][pairs]))
-                raw_size += 2 * len(t)
-                if raw_size >= HELD:
-                    h, w = (np.concatenate(x) for x in zip(*raw, strict=True))
-                    held.append(_merged(h, w, np.ones(len(h), np.int64)))
-                    size += len(held[-1][0])
-                    raw, raw_size = [], 0
-                if size >= 2 * HELD:
-                    yield from emit(*_merged(*(np.concatenate(x) for x in zip(*held, strict=True))))
-                    held, size = [], 0
-        if raw:
-            h, w = (np.concatenate(x) for x in zip(*raw, strict=True))
-            held.append(_merged(h, w, np.ones(len(h), np.int64)))
-        if held:
-            yield from emit(*_merged(*(np.concatenate(x) for x in zip(*held, strict=True))))
-        held, raw = [], []
+            for r in _rows(pa.Table.from_batches([batch])):
+                b = Block(r)
+                keys, n = b.words, np.zeros(0, np.int64)
+                if learned:
+                    n = np.bincount(b.tokens[b.learn[b.row]], minlength=len(keys))
+                    keys, n = keys[n > 0], n[n > 0]
+                cuts = _range_cuts(keys, parts)
+                rows = [{"part": p, "block": b.block, "keys": keys[i:j].tobytes(), "n": pack(n[i:j])} for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                yield from _table(ASKED_WORDS, rows).to_batches()
         flat.trim()
 
     return run
 
 
-GRAM_SCHEMA = "ord int, h long, w long, c long"
+def _merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def _runs(batches, names):
-    """Lists of rows (dicts) that agree in part and ord and follow one another."""
-    held, at = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if at is not None and (row["part"], row["ord"]) != at:
-                yield at, held
-                held = []
-            at = (row["part"], row["ord"])
-            held.append(row)
-    if held:
-        yield at, held
-
-
-def _sum_up(batches):
-    """Rows of the table of grams, and of counts of counts: (10 + ord, r, number of grams, tokens in them)."""
-    some = False
-    for (_, ord_), rows in _runs(batches, BLOCK_SCHEMA):
-        h, w = (np.concatenate([np.frombuffer(r[k], np.uint64) for r in rows]) for k in ("h", "w"))
-        h, w, c = _merged(h, w, np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows]).astype(np.int64))
-        r, n = np.unique(np.minimum(c, K + 2), return_counts=True)
-        tokens = np.bincount(np.minimum(c, K + 2), weights=c)[r].astype(np.int64)
-        yield _grams(np.full(len(r), 10 + ord_), r, n, tokens)
-        keep = c >= (1 if ord_ == 1 else MIN_PAIR)
-        h, w, c = h[keep], w[keep], c[keep]
-        order = np.argsort(h)  # equal histories side by side take little room
-        for k in range(0, len(order), ROWS):
-            at = order[k : k + ROWS]
-            yield _grams(np.full(len(at), ord_), h[at].view(np.int64), w[at].view(np.int64), c[at])
-        some = True
-    if not some:
-        yield _grams(*([[]] * 4))
-    flat.trim()
+def _stats(c: np.ndarray) -> list[int]:
+    """Numbers of grams seen 1 to K + 1 times, of all grams, and of their tokens."""
+    return [*(int(x) for x in np.bincount(np.minimum(c, K + 2).astype(np.int64), minlength=K + 3)[1 : K + 2]), len(c), int(c.sum())]
+
+
+def _sum_words(asked: pa.Table) -> pa.Table:
+    rows = _rows(asked)
+    keys, c = _merged(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), np.concatenate([unpack(r["n"]) for r in rows]))
+    return _table(WORD_TABLE, [{"part": rows[0]["part"], "keys": keys.tobytes(), "c": pack(c), "stats": _stats(c)}])
 
 
-def _grams(ord_, h, w, c) -> pa.RecordBatch:
-    arrays = [pa.array(np.asarray(ord_, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (h, w, c))]
-    return pa.RecordBatch.from_arrays(arrays, ["ord", "h", "w", "c"])
+def _answer_words(parts: int):
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        """Numbers (0: unknown) and counts of the words that blocks ask a part for; frequent words have small numbers."""
+        rows, own = _rows(asked), _rows(table)
+        keys = np.frombuffer(own[0]["keys"], np.uint64) if own else np.zeros(1, np.uint64)
+        c = unpack(own[0]["c"]) if own else np.zeros(1, np.uint64)
+        number = np.empty(len(keys), np.uint64)
+        number[np.lexsort((keys, np.iinfo(np.int64).max - c.astype(np.int64)))] = np.arange(len(keys), dtype=np.uint64)
+        out = []
+        for r in rows:
+            asked_keys = np.frombuffer(r["keys"], np.uint64)
+            at = np.minimum(np.searchsorted(keys, asked_keys), len(keys) - 1)
+            known = (keys[at] == asked_keys) & (c[at] > 0)
+            ids = np.where(known, number[at] * np.uint64(parts) + np.uint64(r["part"]) + np.uint64(1), np.uint64(0))
+            out.append({"block": r["block"], "kind": 0, "part": r["part"], "a": pack(ids), "b": pack(np.where(known, c[at], np.uint64(0)))})
+        flat.trim()
+        return _table(ANSWERED_WORDS, out)
+
+    return answer
+
+
+def _word_answers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of the words of a block."""
+    rows = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["part"])
+    return tuple(np.concatenate([unpack(r[k]) for r in rows]) for k in ("a", "b"))
+
+
+# pairs
 
+ASKED_PAIRS = "part int, block long, h binary, runs binary, w binary, p binary, n binary"
+PAIR_TABLE = "part int, h binary, runs binary, w binary, c binary, seen binary, rest binary, low binary, c_h binary, stats array<long>, hot_h binary"
+
+
+def _pair_parts(h: np.ndarray, w: np.ndarray, c_h: np.ndarray, parts: int, hot: float) -> np.ndarray:
+    """The part of each pair: by history, of hot histories by both."""
+    spread = np.where(c_h > hot, flat.mix(w + np.uint64(1)), np.uint64(0))
+    return (flat.mix(h * flat._PLACE[0] + spread) % np.uint64(parts)).astype(np.int64)
+
+
+def _ask_pairs(parts: int, hot: float, learned: bool):
+    def ask(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        """The distinct pairs of a block by part; `learned` takes texts to learn from, with counts, otherwise all."""
+        out = []
+        for r in _rows(blocks):
+            b = Block(r)
+            ids, counts = _word_answers(_rows(answers))
+            for p, h, runs, w, at in _dealt(b, ids, counts, parts, hot, learned)[0]:
+                row = {"part": p, "block": b.block, "h": pack(h), "runs": pack(runs), "w": pack(ids[w])}
+                out.append(row | ({"p": pack(counts[w]), "n": pack(at)} if learned else {}))
+        flat.trim()
+        return _table(ASKED_PAIRS, out)
+
+    return ask
+
+
+def _dealt(b: Block, ids: np.ndarray, counts: np.ndarray, parts: int, hot: float, learned: bool):
+    """([(part, histories, their numbers of pairs, words, counts)], where the pairs of the parts are, and each token's pair).
+
+    Pairs with an unknown history are left out: they back off to the word with weight 1."""
+    h, w, n, at, place = b.pairs(learned)
+    keep = np.flatnonzero(counts[h] > 0)
+    part = _pair_parts(ids[h[keep]], ids[w[keep]], counts[h[keep]].astype(np.float64), parts, hot)
+    order = np.lexsort((ids[w[keep]], ids[h[keep]], part))
+    own, part = keep[order], part[order]
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    out = []
+    for p in range(parts):
+        x = own[cuts[p] : cuts[p + 1]]
+        if len(x):
+            new = np.flatnonzero(np.concatenate([[True], h[x][1:] != h[x][:-1]]))
+            out.append((p, ids[h[x[new]]], np.diff(new, append=len(x)), w[x], n[x]))
+    return out, own, h, w, at, place
+
+
+def _keys(h_at: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (h_at.astype(np.uint64) << _ID_BITS) | w
+
+
+def _sum_pairs(facts: dict, hot: float):
+    def add(asked: pa.Table) -> pa.Table:
+        """Counts of the pairs of a part; of each history the pairs seen 1 to K times, the tokens of others, the sum of P(w)."""
+        rows = _rows(asked)
+        h = np.concatenate([np.repeat(unpack(r["h"]), unpack(r["runs"]).astype(np.int64)) for r in rows])
+        w, c_w, n = (np.concatenate([unpack(r[k]) for r in rows]) for k in ("w", "p", "n"))
+        histories, h_at = np.unique(h, return_inverse=True)
+        key = _keys(h_at, w)
+        order = np.argsort(key, kind="stable")
+        at = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]
+        c = np.add.reduceat(n[order], np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))).astype(np.int64)
+        h_at, w, p = h_at[at], w[at], _probability(facts, c_w[at])
+        stats, k = _stats(c), len(histories)
+        seen = np.stack([np.bincount(h_at[c == r], minlength=k) for r in range(1, K + 1)])
+        rest = np.bincount(h_at[c > K], c[c > K], minlength=k).astype(np.int64)
+        row = {
+            "part": rows[0]["part"], "h": pack(histories), "runs": pack(np.bincount(h_at, minlength=k)), "w": pack(w), "c": pack(c), "seen": pack(seen.reshape(-1)),
+            "rest": pack(rest), "low": pack(np.bincount(h_at, p, minlength=k).astype(np.float64)), "stats": stats,
+        }
+        flat.trim()
+        return _table(PAIR_TABLE, [row])
 
-def _keyed(batches):
-    """Pairs (h, w, c, gain) by the key that stands for h and w."""
+    return add
+
+
+def _probability(facts: dict, c: np.ndarray) -> np.ndarray:
+    """P(w) of words seen c times, the unseen class's for 0."""
+    d = np.ones(K + 1)
+    for r, x in facts["d1"].items():
+        d[r] = x
+    c = c.astype(np.float64)
+    return np.where(c > 0, facts["known"] * np.where(c <= K, d[np.minimum(c, K).astype(np.int64)], 1.0) * c / max(1, facts["tokens"]), facts["unseen"])
+
+
+def _discounted(facts: dict, c: np.ndarray) -> np.ndarray:
+    d = np.ones(K + 1)
+    for r, x in facts["d2"].items():
+        d[r] = x
+    return np.where(c <= K, d[np.minimum(c, K).astype(np.int64)], 1.0) * c
+
+
+WEIGHT_TABLE = "part int, h binary, runs binary, w binary, c binary, alpha binary, s binary"
+_HISTORY = "h long, seen array<long>, rest long, low double"
+
+
+def _histories(batches):
+    """A row a history of a part: what alpha and s are made of."""
     for batch in batches:
-        h, w = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, w).view(np.int64)), batch.column(2), batch.column(3)], ["key", "c", "gain"])
+        for r in _rows(pa.Table.from_batches([batch])):
+            h, rest, low = unpack(r["h"]), unpack(r["rest"]), unpack(r["low"])
+            seen = unpack(r["seen"]).reshape(K, -1).T
+            yield _batch(h=pa.array(h.astype(np.int64)), seen=pa.array(seen.astype(np.int64).tolist(), pa.list_(pa.int64())), rest=pa.array(rest.astype(np.int64)), low=pa.array(low))
+
+
+def weights(facts: dict, seen: np.ndarray, rest: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a(h), s(h)) from the pairs of h seen 1 to K times (a row each), the tokens in others, and the sum of P(w) over all.
+
+    Every history's count is the number of tokens that follow it: a text's last token, its end, is no history."""
+    c_h = (seen * np.arange(1, K + 1)[:, None]).sum(axis=0) + rest
+    mass = sum(_discounted(facts, np.array([float(r)]))[0] * seen[r - 1] for r in range(1, K + 1)) + rest
+    left = 1 - mass / c_h
+    spare = np.maximum(left, 1 / (c_h + 1))
+    return spare / np.maximum(1 - low, facts["unseen"]), (1 - spare) / (mass / c_h)
+
+
+def _spread(facts: dict, h: np.ndarray, alpha: np.ndarray, s: np.ndarray) -> None:
+    """Puts the weights of histories that are spread over the parts where they belong."""
+    if facts["spread"]:
+        for k in np.flatnonzero(np.isin(h, np.array(list(facts["spread"]), np.uint64))):
+            alpha[k], s[k] = facts["spread"][int(h[k])]
+
+
+def _weigh(facts: dict):
+    """Rows of the table of pairs with the weights of each history."""
+
+    def run(batches):
+        for batch in batches:
+            for r in _rows(pa.Table.from_batches([batch])):
+                h = unpack(r["h"])
+                alpha, s = weights(facts, unpack(r["seen"]).reshape(K, -1).astype(np.float64), unpack(r["rest"]).astype(np.float64), unpack(r["low"]))
+                _spread(facts, h, alpha, s)
+                yield from _table(WEIGHT_TABLE, [{**{c: r[c] for c in ("part", "h", "runs", "w", "c")}, "alpha": pack(alpha), "s": pack(s)}]).to_batches()
+
+    return run
 
 
 def discounts(n: dict[int, int], least: int) -> dict[int, float]:
@@ -195,238 +387,161 @@ def discounts(n: dict[int, int], least: int) -> dict[int, float]:
     return out
 
 
-def least_of_hot(table: DataFrame, most: int) -> int:
-    """The smallest count c, of a rising scale, that at most `most` rows of table reach."""
-    step = 1.1
-    levels = table.groupBy(F.floor(F.log(F.col("c").cast("double")) / math.log(step)).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("level")).collect()
-    total, cut = 0, None
-    for x in levels:
-        total += x.n
-        if total > most:
-            break
-        cut = x.c
-    return cut if cut is not None else 1 << 62
-
-
-def _meet(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """rows joined with table by key; keys in hot, part of the table and of bounded size, meet without a shuffle."""
-    hot = F.broadcast(hot)
-    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key))
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
-    """(words, pairs, facts) of documents (text): words (w, c, p, alpha, value), pairs (key, c, gain); the tables are
-    stored, facts holds counts and discounts."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    parts = parts_of(spark)
-    blocks = docs.select("text").mapInArrow(_count(parts), BLOCK_SCHEMA)
-    grams = stored(blocks.repartition("part").sortWithinPartitions("part", "ord").mapInArrow(_sum_up, GRAM_SCHEMA), "grams")
-    del blocks
-    release(spark)
-    stats = grams.filter("ord > 10").groupBy("ord", F.col("h").alias("r")).agg(F.sum("w").alias("n"), F.sum("c").alias("tokens")).collect()
-    n = {o: {x.r: x.n for x in stats if x.ord == 10 + o} for o in (1, 2)}
-    tokens, vocabulary = sum(x.tokens for x in stats if x.ord == 11), sum(n[1].values())
-    d1, d2 = discounts(n[1], 1), discounts(n[2], MIN_PAIR)
-    unseen = sum((1 - d1[r]) * r * n[1].get(r, 0) for r in d1) / tokens if tokens else 1.0
-    facts = {"tokens": tokens, "vocabulary": vocabulary, "unseen": unseen, "d1": d1, "d2": d2}
-    words = grams.filter("ord = 1").select("w", F.col("c").cast("int").alias("c"), (_by_count(d1) * F.col("c") / F.lit(float(tokens or 1))).alias("p"))
-    pairs = grams.filter("ord = 2").select("h", "w", F.col("c").cast("int").alias("c"))
-    hot = F.col("c") >= least_of_hot(words, JOINED_HOT)
-    mass = _by_count(d2) * F.col("c")
-    x = stored(_meet(pairs, words.select("w", "p"), "w", words.filter(hot).select("w", "p")).select("h", "w", "c", "p"), "pairs")
-    by_h = x.withColumn("mass", mass).groupBy("h").agg(F.sum("mass").alias("mass_h"), F.sum("p").alias("p_h"))
-    left = 1 - F.col("mass_h") / F.col("c")
-    spare = F.greatest(left, 1 / (F.col("c") + 1))
-    rest = F.greatest(1 - F.col("p_h"), F.lit(unseen))
-    follows = F.col("mass_h") > 0
-    words = stored(
-        words.join(by_h, words["w"] == by_h["h"], "left")
-        .select("w", "c", "p", F.when(follows, spare / rest).otherwise(F.lit(1.0)).alias("alpha"), F.when(follows, (1 - spare) / (F.col("mass_h") / F.col("c"))).alias("s"))
-        .withColumn("value", F.log10("p") + F.log10("alpha")),
-        "words",
-    )
-    discard(grams)
+def _totals(table: DataFrame) -> tuple[dict[int, int], int, int]:
+    """(counts of counts, grams, tokens) of a table with `stats`."""
+    x = table.agg(*[F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)).alias(f"s{k}") for k in range(K + 3)]).collect()[0]
+    return {r: x[r - 1] for r in range(1, K + 2) if x[r - 1]}, x[K + 1], x[K + 2]
+
+
+def _learn(blocks: DataFrame) -> tuple[DataFrame, DataFrame, dict, DataFrame]:
+    """(words, pairs, facts, answers): the stored tables, what describes them, and what the blocks' words are by them.
+    Of `blocks`, texts marked `learn` count."""
+    spark = blocks.sparkSession
+    size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).collect()[0]
+    parts = {"words": max(LEAST_PARTS, -(-size[1] // PART_TOKENS)), "pairs": max(LEAST_PARTS, -(-size[0] // PART_TOKENS))}
+    words = stored(blocks.mapInArrow(_ask_words(parts["words"], True), ASKED_WORDS).groupBy("part").applyInArrow(_sum_words, WORD_TABLE), "words", compression="zstd")
+    n1, vocabulary, tokens = _totals(words)
+    d1 = discounts(n1, 1)
+    unseen, known = sum((1 - d1[r]) * r * n1.get(r, 0) for r in d1) / tokens if tokens else 1.0, 1.0
+    if unseen <= 0:  # no word is rare: the unseen class counts as one more token
+        unseen, known = 1 / (tokens + 1), tokens / (tokens + 1)
+    hot = tokens / (HOT_SHARE * parts["pairs"])
+    facts = {"tokens": tokens, "vocabulary": vocabulary, "unseen": unseen, "known": known, "d1": d1, "parts": parts, "hot": hot}
+    answers = _ask_for_words(blocks, words, facts)
+    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_pairs(parts["pairs"], hot, True), ASKED_PAIRS)
+    counted = stored(asked.groupBy("part").applyInArrow(_sum_pairs(facts, hot), PAIR_TABLE), "counts", compression="zstd")
     release(spark)
-    hist = words.filter("s IS NOT NULL")
-    columns = (F.col("w").alias("h"), F.col("c").alias("c_h"), "alpha", "s")
-    gain = F.log10(F.col("s") * mass / F.col("c_h")) - F.log10("alpha") - F.log10("p")
-    gains = _meet(x, hist.select(*columns), "h", hist.filter(hot).select(*columns)).select("h", "w", "c", gain.alias("gain"))
-    pairs = stored(gains.mapInArrow(_keyed, "key long, c int, gain double"), "gains")
-    discard(x)
+    facts["d2"] = discounts(_totals(counted)[0], MIN_PAIR)
+    # at most HOT_SHARE histories a part: those that are spread
+    c_h = sum((k + 1) * F.col(f"n{k}") for k in range(K)) + F.col("rest")
+    rows = counted.select("h", "seen", "rest", "low").mapInArrow(_histories, _HISTORY).groupBy("h")
+    sums = rows.agg(*[F.sum(F.get("seen", F.lit(k))).alias(f"n{k}") for k in range(K)], F.sum("rest").alias("rest"), F.sum("low").alias("low")).filter(c_h > hot).collect()
+    spread = {}
+    for x in sums:
+        a, s = weights(facts, np.array([[float(x[f"n{k}"])] for k in range(K)]), np.array([float(x.rest)]), np.array([x.low]))
+        spread[x.h] = (float(a[0]), float(s[0]))
+    facts["spread"] = spread
+    pairs = stored(counted.select("part", "h", "runs", "w", "c", "seen", "rest", "low").mapInArrow(_weigh(facts), WEIGHT_TABLE), "pairs", compression="zstd")
+    discard(counted)
     release(spark)
-    return words, pairs, facts
-
-
-def _by_count(d: dict[int, float]):
-    out = F.lit(1.0)
-    for r, x in d.items():
-        out = F.when(F.col("c") == r, F.lit(x)).otherwise(out)
-    return out
+    return words, pairs, facts, answers
 
 
-def _sift(pairs: DataFrame) -> np.ndarray:
-    """A bit table of 2 ** SIFT_BITS bits with the bits of all keys set; made in segments, of fixed size in all."""
+def _ask_for_words(blocks: DataFrame, words: DataFrame, facts: dict) -> DataFrame:
+    parts = facts["parts"]["words"]
+    asked = blocks.mapInArrow(_ask_words(parts, False), ASKED_WORDS)
+    return stored(asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_answer_words(parts), ANSWERED_WORDS), "answers", compression="zstd")
 
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIFT_BITS)).astype(np.int64)
-            segment, bit = slot >> SEGMENT_BITS, slot & ((1 << SEGMENT_BITS) - 1)
-            for s in np.unique(segment):
-                held.setdefault(int(s), np.zeros(1 << SEGMENT_BITS, bool))[bit[segment == s]] = True
-        rows = [(s, np.packbits(x).tobytes()) for s, x in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["segment", "bits"])
-
-    segment = F.shiftrightunsigned("key", 64 - SIFT_BITS + SEGMENT_BITS)
-    rows = pairs.select("key").repartition(segment).mapInArrow(run, "segment int, bits binary").collect()
-    out = np.zeros((1 << (SIFT_BITS - SEGMENT_BITS), 1 << (SEGMENT_BITS - 3)), np.uint8)
-    for r in rows:
-        out[r.segment] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
 
+def _pair_rows(batches):
+    """A row a pair (h, w, c) of the table, words by their numbers."""
+    for batch in batches:
+        for r in _rows(pa.Table.from_batches([batch])):
+            h = np.repeat(unpack(r["h"]), unpack(r["runs"]).astype(np.int64))
+            yield _batch(h=pa.array(h.astype(np.int64)), w=pa.array(unpack(r["w"]).astype(np.int64)), c=pa.array(unpack(r["c"]).astype(np.int64)))
 
-POSTING_SCHEMA = "part int, keys binary, rows binary, n binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_c double, value double"
 
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """(words, pairs, facts) of documents (text): the table of words, one row a part, the rows (h, w, c) of that of pairs,
+    and counts, discounts and the stored table of pairs itself. The tables are in the shared folder."""
+    blocks = blocks_of(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("learn"), "text"))
+    words, pairs, facts, answers = _learn(blocks)
+    discard(answers)
+    discard(blocks)
+    return words, pairs.mapInArrow(_pair_rows, "h long, w long, c long"), {**facts, "pairs": pairs}
+
+
+# scores
+
+
+def _answer_pairs(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """Counts of the pairs, weights of the histories that blocks ask a part for; 0, and 1, where there are none."""
+    own = _rows(table)
+    if own:
+        h, w, c, alpha, s = (unpack(own[0][k]) for k in ("h", "w", "c", "alpha", "s"))
+        key = _keys(np.repeat(np.arange(len(h)), unpack(own[0]["runs"]).astype(np.int64)), w)
+    else:
+        h, key, c, alpha, s = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.ones(1), np.ones(1)
+    out = []
+    for r in _rows(asked):
+        asked_h, runs, asked_w = unpack(r["h"]), unpack(r["runs"]).astype(np.int64), unpack(r["w"])
+        at = np.minimum(np.searchsorted(h, asked_h), len(h) - 1)
+        known = h[at] == asked_h
+        wanted = _keys(np.repeat(at, runs), asked_w)
+        found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        n = np.where((key[found] == wanted) & np.repeat(known, runs), c[found], np.uint64(0))
+        out.append({"block": r["block"], "kind": 1, "part": r["part"], "a": pack(n), "b": pack(np.where(known, alpha[at], 1.0)), "c": pack(np.where(known, s[at], 1.0))})
+    flat.trim()
+    return _table(ANSWERED_WORDS, out)
 
-def _look_up(parts: int, shared):
-    """A row a text with its sums over hot grams, and blocks of (key, text, count) of all other grams."""
 
-    def run(batches):
-        hot_words, hot_pairs, bits = shared.value
-        held: list = []
-        size, base = 0, None
-
-        def emit():
-            keys, rows, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = _part(keys, parts)
-            order = np.lexsort((keys, part))
-            keys, rows, n, part = keys[order], rows[order], n[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            own = [(p, slice(cuts[p], cuts[p + 1])) for p in range(parts) if cuts[p] < cuts[p + 1]]
-            k = len(own)
-            return _postings({"part": [p for p, _ in own], "keys": [keys[s].tobytes() for _, s in own], "rows": [(rows[s] - base).astype(np.uint32).tobytes() for _, s in own], "n": [n[s].astype(np.uint32).tobytes() for _, s in own], "row": [base] * k}, k)
+def _evaluate(facts: dict, kind: pa.DataType):
+    parts, hot = facts["parts"]["pairs"], facts["hot"]
+    scale = math.log10(facts["tokens"] + 1 * (facts["vocabulary"] + 1))
 
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            base = int(ids[0]) if base is None and len(ids) else base
-            sums = {c: np.zeros(len(ids)) for c in ("n_tokens", "n_known", "log_c", "value")}
-            for begin, end, data, ends in flat.slices(batch.column(3)):
-                t, row, last = token_hashes(data, ends)
-                sums["n_tokens"][begin:end] = np.bincount(row, minlength=end - begin)
-                pairs = ~last[:-1]
-                for (keys, values, counts), words, g, r in ((hot_words, True, t, row), (hot_pairs, False, pair_keys(t[:-1][pairs], t[1:][pairs]), row[:-1][pairs])):
-                    at = np.searchsorted(keys, g)
-                    at[at == len(keys)] = 0
-                    known = keys[at] == g if len(keys) else np.zeros(len(g), bool)
-                    sums["value"][begin:end] += np.bincount(r[known], values[at[known]], minlength=end - begin)
-                    if words:
-                        sums["n_known"][begin:end] += np.bincount(r[known], minlength=end - begin)
-                        sums["log_c"][begin:end] += np.bincount(r[known], np.log10(counts[at[known]] + 1.0), minlength=end - begin)
-                    else:
-                        slot = g >> np.uint64(64 - SIFT_BITS)
-                        known |= (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 0
-                    if (~known).any():
-                        # words and pairs do not meet: the lowest bit of a key tells them apart
-                        key = (g[~known] & ~np.uint64(1)) | np.uint64(words)
-                        r_, key, n = _merged((r[~known] + begin).astype(np.uint64), key, np.ones(len(key), np.int64))
-                        held.append((key, ids[r_.astype(np.int64)], n))
-                        size += len(key)
-            k = len(ids)
-            yield _postings({"part": ids % parts, "row": ids, "doc_id": batch.column(1), "held_out": batch.column(2), **sums}, k)
-            if size >= HELD:
-                yield emit()
-                held, size, base = [], 0, None
-        if held:
-            yield emit()
-        held = []
+    def evaluate(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        """The recursion for every token of a block, added up by text."""
+        out = []
+        for r in _rows(blocks.drop_columns(["doc_id"])):
+            b, rows = Block(r), _rows(answers)
+            ids, counts = _word_answers(rows)
+            asked, own, h, w, at, place = _dealt(b, ids, counts, parts, hot, False)
+            got = {x["part"]: x for x in rows if x["kind"] == 1}
+            n, alpha, s = np.zeros(len(h)), np.ones(len(h)), np.ones(len(h))
+            k = 0
+            for p, _, runs, words, _ in asked:
+                x = own[k : k + len(words)]
+                n[x], alpha[x], s[x] = unpack(got[p]["a"]), np.repeat(unpack(got[p]["b"]), runs), np.repeat(unpack(got[p]["c"]), runs)
+                k += len(words)
+            # a part without pairs of a spread history does not know its weights
+            own_alpha, own_s = np.ones(len(ids)), np.ones(len(ids))
+            _spread(facts, ids, own_alpha, own_s)
+            far = counts[h] > hot
+            alpha[far], s[far] = own_alpha[h[far]], own_s[h[far]]
+            value = np.log10(_probability(facts, counts))
+            kept, c_h = n > 0, np.maximum(counts[h].astype(np.float64), 1)
+            pair = np.where(kept, np.log10(np.where(kept, s * _discounted(facts, n) / c_h, 1.0)), np.log10(alpha) + value[w])
+            token = value[b.tokens]
+            token[at] = pair[place]
+            total = lambda x, b=b: np.bincount(b.row, x, minlength=len(b.sizes))
+            known = total(counts[b.tokens] > 0).astype(np.int64)
+            base = total(np.log10(counts[b.tokens].astype(np.float64) + 1) - scale)
+            out.append(pa.table({
+                "doc_id": pa.concat_arrays(blocks.column("doc_id").chunks).flatten().cast(kind), "learn": pa.array(b.learn), "n_tokens": pa.array(b.sizes), "n_known": pa.array(known),
+                "base_score": pa.array(base), "score": pa.array(total(token)),
+            }))
         flat.trim()
+        return pa.concat_tables(out)
 
-    return run
+    return evaluate
 
 
-_POSTINGS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("rows", pa.binary()), ("n", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_c", pa.float64()), ("value", pa.float64())])
-
-
-def _postings(columns: dict, n: int) -> pa.RecordBatch:
-    def column(f):
-        x = columns.get(f.name)
-        if x is None:
-            return pa.nulls(n, f.type)
-        if isinstance(x, np.ndarray) and pa.types.is_integer(f.type):
-            x = x.astype(f.type.to_pandas_dtype())
-        return x if isinstance(x, pa.Array) else pa.array(x, f.type)
-
-    return pa.RecordBatch.from_arrays([column(f) for f in _POSTINGS], schema=_POSTINGS)
-
-
-SUM_SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_c double, value double"
-
-
-def _adder(unseen: float):
-    def add(_, posted: pa.Table, table: pa.Table) -> pa.Table:
-        """Sums by text over the postings of one part, with the part's table of grams, and the texts' own sums."""
-        keys, values, counts = (table.column(c).to_numpy() for c in ("key", "value", "c"))
-        order = np.argsort(keys)
-        keys, values, counts = keys[order], values[order], counts[order]
-        own = posted.filter(posted.column("keys").is_null()).select([c.split()[0] for c in SUM_SCHEMA.split(", ")])
-        out = [own]
-        for block in posted.filter(posted.column("keys").is_valid()).select(["keys", "rows", "n", "row"]).to_pylist():
-            g, n = np.frombuffer(block["keys"], np.int64), np.frombuffer(block["n"], np.uint32).astype(np.float64)
-            at = np.searchsorted(keys, g)
-            at[at == len(keys)] = 0
-            known = keys[at] == g if len(keys) else np.zeros(len(g), bool)
-            word = (g & 1) == 1
-            rows, inverse = np.unique(np.frombuffer(block["rows"], np.uint32), return_inverse=True)
-            add_up = lambda mask, x, inverse=inverse, k=len(rows): np.bincount(inverse[mask], x, minlength=k).astype(float)
-            both, new, none = known & word, ~known & word, pa.nulls(len(rows))
-            columns = {
-                "row": rows.astype(np.int64) + block["row"],
-                "doc_id": none.cast(pa.int64()), "held_out": none.cast(pa.bool_()), "n_tokens": none.cast(pa.int64()),
-                "n_known": add_up(both, n[both]).astype(np.int64),
-                "log_c": add_up(both, n[both] * np.log10(counts[at[both]] + 1.0)),
-                "value": add_up(known, n[known] * values[at[known]]) + add_up(new, n[new] * unseen),
-            }
-            out.append(pa.table(columns))
-        flat.trim()
-        return pa.concat_tables(out)
+def _score(blocks: DataFrame, answers: DataFrame, pairs: DataFrame, facts: dict) -> DataFrame:
+    """(doc_id, learn, n_tokens, n_known, base_score, score) of all texts of blocks; answers: what their words are."""
+    element, parts = blocks.schema["doc_id"].dataType.elementType, facts["parts"]["pairs"]
+    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_pairs(parts, facts["hot"], False), ASKED_PAIRS)
+    asked = asked.select("part", "block", "h", "runs", "w")
+    got = stored(asked.groupBy("part").cogroup(pairs.groupBy("part")).applyInArrow(_answer_pairs, ANSWERED_WORDS), "answers", compression="zstd")
+    release(blocks.sparkSession)
+    everything = answers.unionByName(got)
+    schema = f"doc_id {element.simpleString()}, learn boolean, n_tokens long, n_known long, base_score double, score double"
+    return blocks.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(_evaluate(facts, to_arrow_type(element)), schema)
 
-    return add
+
+def _output(scored: DataFrame, facts: dict) -> DataFrame:
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(facts["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score(docs: DataFrame, model: tuple[DataFrame, DataFrame, dict]) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, held_out, text)."""
-    words, pairs, facts = model
-    spark = docs.sparkSession
-    short_batches(spark)
-    parts = parts_of(spark)
-    unseen = math.log10(facts["unseen"]) if facts["unseen"] > 0 else -math.log10(facts["tokens"] * (facts["vocabulary"] + 1))
-
-    def hot(df, key, value, most):
-        rows = df.filter(F.col("c") >= least_of_hot(df, most)).select(F.col(key).alias("k"), F.col(value).alias("v"), "c").toArrow()
-        k = rows.column("k").to_numpy().view(np.uint64)
-        order = np.argsort(k)
-        return k[order], rows.column("v").to_numpy()[order], rows.column("c").to_numpy()[order]
-
-    shared = spark.sparkContext.broadcast((hot(words, "w", "value", HOT_WORDS), hot(pairs, "key", "gain", HOT_PAIRS), _sift(pairs)))
-    tag = lambda key, bit: (F.col(key).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit))).alias("key")
-    table = words.select(tag("w", 1), "c", "value").unionByName(pairs.select(tag("key", 0), F.lit(0).alias("c"), F.col("gain").alias("value")))
-    table = table.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    looked = numbered.mapInArrow(_look_up(parts, shared), POSTING_SCHEMA)
-    summed = looked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_adder(unseen), SUM_SCHEMA)
-    # each text has one row of its own, and one for each block of postings that it is in
-    sums = summed.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "log_c", "value")]
-    )
-    scale = math.log10(facts["tokens"] + 1 * (facts["vocabulary"] + 1))
-    return sums.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(facts["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("log_c") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), F.col("value").alias("score"),
-    )
+    words, _, facts = model
+    blocks = blocks_of(docs.select("doc_id", F.coalesce(~F.col("held_out"), F.lit(True)).alias("learn"), "text"))
+    pairs, facts = facts["pairs"], {k: x for k, x in facts.items() if k != "pairs"}
+    return _output(_score(blocks, _ask_for_words(blocks, words, facts), pairs, facts), facts)
 
 
 def train_and_score(docs: DataFrame, parts: int = HELD_PARTS) -> DataFrame:
     """Learns from the documents (doc_id, text) that are not held out and scores all."""
-    docs = docs.select("doc_id", held_out(F.col("doc_id"), parts).alias("held_out"), "text")
-    return score(docs, train(docs.filter("NOT held_out")))
+    blocks = blocks_of(docs.select("doc_id", (~held_out(F.col("doc_id"), parts)).alias("learn"), "text"))
+    _, pairs, facts, answers = _learn(blocks)
+    return _output(_score(blocks, answers, pairs, facts), facts)

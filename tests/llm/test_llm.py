@@ -93,10 +93,11 @@ def brute_katz(data):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 40, 1 << 18])
-def test_katz_scores_equal_the_recursion(spark, monkeypatch, hot):
-    for name in ("HOT_WORDS", "HOT_PAIRS", "JOINED_HOT"):
-        monkeypatch.setattr(katz, name, hot)
+@pytest.mark.parametrize("block, parts, share", [(1 << 19, 32, 4), (50, 3, 4), (300, 7, 1000)])
+def test_katz_scores_equal_the_recursion(spark, monkeypatch, block, parts, share):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(katz, "LEAST_PARTS", parts)
+    monkeypatch.setattr(katz, "HOT_SHARE", share)
     texts = random_texts(60)
     want = brute_katz(dict(enumerate(texts)))
     got = katz.train_and_score(docs(spark, texts)).collect()
