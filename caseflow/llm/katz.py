@@ -9,8 +9,8 @@ Tables. Texts are cut into blocks of about BLOCK_TOKENS tokens (a text stays in
 their tokens as numbers of these. Two tables hold the model, one row a part, its columns packed arrays: words by range
 of their hash, with counts; pairs by history, with counts, a(h) and s(h). Both are written to the shared folder.
 
-Evaluation. A block asks every part of the words for the numbers and counts of its distinct words, then every part of
-the pairs for the counts of its distinct pairs and the weights of their histories, each once, and runs the recursion
+Evaluation. A block asks every part of the words for the numbers and counts of its distinct words and keeps them; then
+it asks every part of the pairs for the counts of its distinct pairs and the weights of their histories, and runs the recursion
 token by token on the answers: log P(w | h) of a kept pair, else log a(h) + log P(w), and log P(w) for a text's first.
 
 Scale. Blocks aggregate before anything moves, so a frequent word or pair is one entry a block. Pairs meet by
@@ -42,7 +42,7 @@ from .common import discard, held_out, short_batches, stored
 K = 5
 MIN_PAIR = 1
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 19, 1 << 16
-PART_TOKENS, LEAST_PARTS = 1 << 22, 32
+PART_TOKENS, LEAST_PARTS = 1 << 21, 64
 HOT_SHARE = 4  # a history is hot above 1 / HOT_SHARE of a part's tokens
 HELD_PARTS = 7
 
@@ -113,7 +113,11 @@ def _cut(batches):
 
     def emit():
         tokens, sizes, learn = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
-        words, local = np.unique(tokens, return_inverse=True)
+        words, local, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # frequent words have small numbers, which compress well
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, local = words[order], rank[local]
         ids = pa.concat_arrays([x[0] for x in held])
         number = lambda x: pa.array([x], pa.int64())
         binary = lambda x: pa.array([x], pa.binary())
@@ -145,29 +149,38 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """The arrays of one row of blocks."""
+    """The arrays of a row of blocks."""
 
     def __init__(self, row: dict):
-        self.block, self.words = row["block"], np.frombuffer(row["words"], np.uint64)
+        self.block = row["block"]
         self.sizes, self.learn, self.tokens = unpack(row["sizes"]).astype(np.int64), unpack(row["learn"]).astype(bool), unpack(row["tokens"]).astype(np.int64)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
+class Numbered(Block):
+    """A block that knows its words: their numbers in the table (0: unknown) and their counts."""
+
+    def __init__(self, row: dict):
+        super().__init__(row)
+        self.ids, self.counts = unpack(row["ids"]), unpack(row["counts"])
         # a token follows the one before it in its text
         self.follows = np.ones(len(self.tokens), bool)
         self.follows[np.cumsum(self.sizes) - self.sizes] = False
 
     def pairs(self, learned: bool):
-        """(history, word, number) of the distinct pairs, by numbers of the block's words, and the place of each pair."""
+        """(history, word, number) of the distinct pairs, by places of the block's words, where a pair ends, and which one."""
         at = np.flatnonzero(self.follows & self.learn[self.row] if learned else self.follows)
-        key = self.tokens[at - 1] * len(self.words) + self.tokens[at]
-        key, place, n = np.unique(key, return_inverse=True, return_counts=True)
-        return key // max(1, len(self.words)), key % max(1, len(self.words)), n, at, place
+        k = max(1, len(self.ids))
+        key, place, n = np.unique(self.tokens[at - 1] * k + self.tokens[at], return_inverse=True, return_counts=True)
+        return key // k, key % k, n, at, place
 
 
 # words
 
 ASKED_WORDS = "part int, block long, keys binary, n binary"
 WORD_TABLE = "part int, keys binary, c binary, stats array<long>"
-ANSWERED_WORDS = "block long, kind int, part int, a binary, b binary, c binary"
+ANSWERED_WORDS = "block long, part int, ids binary, counts binary"
+NUMBERED_FIELDS = "block long, n_tokens long, sizes binary, learn binary, tokens binary, ids binary, counts binary"
 
 
 def _range_cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -182,10 +195,11 @@ def _ask_words(parts: int, learned: bool):
     def run(batches):
         for batch in batches:
             for r in _rows(pa.Table.from_batches([batch])):
-                b = Block(r)
-                keys, n = b.words, np.zeros(0, np.int64)
+                b, words = Block(r), np.frombuffer(r["words"], np.uint64)
+                order = np.argsort(words)
+                keys, n = words[order], np.zeros(0, np.int64)
                 if learned:
-                    n = np.bincount(b.tokens[b.learn[b.row]], minlength=len(keys))
+                    n = np.bincount(b.tokens[b.learn[b.row]], minlength=len(words))[order]
                     keys, n = keys[n > 0], n[n > 0]
                 cuts = _range_cuts(keys, parts)
                 rows = [{"part": p, "block": b.block, "keys": keys[i:j].tobytes(), "n": pack(n[i:j])} for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
@@ -227,17 +241,26 @@ def _answer_words(parts: int):
             at = np.minimum(np.searchsorted(keys, asked_keys), len(keys) - 1)
             known = (keys[at] == asked_keys) & (c[at] > 0)
             ids = np.where(known, number[at] * np.uint64(parts) + np.uint64(r["part"]) + np.uint64(1), np.uint64(0))
-            out.append({"block": r["block"], "kind": 0, "part": r["part"], "a": pack(ids), "b": pack(np.where(known, c[at], np.uint64(0)))})
+            out.append({"block": r["block"], "part": r["part"], "ids": pack(ids), "counts": pack(np.where(known, c[at], np.uint64(0)))})
         flat.trim()
         return _table(ANSWERED_WORDS, out)
 
     return answer
 
 
-def _word_answers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, counts) of the words of a block."""
-    rows = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["part"])
-    return tuple(np.concatenate([unpack(r[k]) for r in rows]) for k in ("a", "b"))
+def _number(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    """A block with the numbers and counts of its words in place of the words."""
+    own = _rows(blocks.drop_columns(["doc_id"]))
+    if not own:
+        return _table(NUMBERED_FIELDS, []).append_column("doc_id", blocks.column("doc_id"))
+    r, rows = own[0], sorted(_rows(answers), key=lambda x: x["part"])
+    order = np.argsort(np.frombuffer(r["words"], np.uint64))
+    for k in ("ids", "counts"):
+        x = np.empty(len(order), np.uint64)
+        x[order] = np.concatenate([unpack(a[k]) for a in rows])
+        r[k] = pack(x)
+    flat.trim()
+    return _table(NUMBERED_FIELDS, [r]).append_column("doc_id", blocks.column("doc_id"))
 
 
 # pairs
@@ -253,26 +276,28 @@ def _pair_parts(h: np.ndarray, w: np.ndarray, c_h: np.ndarray, parts: int, hot:
 
 
 def _ask_pairs(parts: int, hot: float, learned: bool):
-    def ask(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        """The distinct pairs of a block by part; `learned` takes texts to learn from, with counts, otherwise all."""
-        out = []
-        for r in _rows(blocks):
-            b = Block(r)
-            ids, counts = _word_answers(_rows(answers))
-            for p, h, runs, w, at in _dealt(b, ids, counts, parts, hot, learned)[0]:
-                row = {"part": p, "block": b.block, "h": pack(h), "runs": pack(runs), "w": pack(ids[w])}
-                out.append(row | ({"p": pack(counts[w]), "n": pack(at)} if learned else {}))
+    """The distinct pairs of each block by part; `learned` takes texts to learn from, with counts, otherwise all."""
+    fields = ASKED_PAIRS if learned else ASKED_PAIRS.split(", p ")[0]
+
+    def run(batches):
+        for batch in batches:
+            for r in _rows(pa.Table.from_batches([batch])):
+                b, out = Numbered(r), []
+                for p, h, runs, w, n in _dealt(b, parts, hot, learned)[0]:
+                    row = {"part": p, "block": b.block, "h": pack(h), "runs": pack(runs), "w": pack(b.ids[w])}
+                    out.append(row | ({"p": pack(b.counts[w]), "n": pack(n)} if learned else {}))
+                yield from _table(fields, out).to_batches()
         flat.trim()
-        return _table(ASKED_PAIRS, out)
 
-    return ask
+    return run, fields
 
 
-def _dealt(b: Block, ids: np.ndarray, counts: np.ndarray, parts: int, hot: float, learned: bool):
-    """([(part, histories, their numbers of pairs, words, counts)], where the pairs of the parts are, and each token's pair).
+def _dealt(b: Numbered, parts: int, hot: float, learned: bool):
+    """([(part, histories, their numbers of pairs, words, counts)], where the pairs of the parts are, and what pairs() gives).
 
     Pairs with an unknown history are left out: they back off to the word with weight 1."""
     h, w, n, at, place = b.pairs(learned)
+    ids, counts = b.ids, b.counts
     keep = np.flatnonzero(counts[h] > 0)
     part = _pair_parts(ids[h[keep]], ids[w[keep]], counts[h[keep]].astype(np.float64), parts, hot)
     order = np.lexsort((ids[w[keep]], ids[h[keep]], part))
@@ -394,12 +419,13 @@ def _totals(table: DataFrame) -> tuple[dict[int, int], int, int]:
 
 
 def _learn(blocks: DataFrame) -> tuple[DataFrame, DataFrame, dict, DataFrame]:
-    """(words, pairs, facts, answers): the stored tables, what describes them, and what the blocks' words are by them.
-    Of `blocks`, texts marked `learn` count."""
+    """(words, pairs, facts, numbered): the stored tables, what describes them, and the blocks, numbered by them.
+    Of `blocks`, which are deleted, texts marked `learn` count."""
     spark = blocks.sparkSession
     size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).collect()[0]
     parts = {"words": max(LEAST_PARTS, -(-size[1] // PART_TOKENS)), "pairs": max(LEAST_PARTS, -(-size[0] // PART_TOKENS))}
     words = stored(blocks.mapInArrow(_ask_words(parts["words"], True), ASKED_WORDS).groupBy("part").applyInArrow(_sum_words, WORD_TABLE), "words", compression="zstd")
+    release(spark)
     n1, vocabulary, tokens = _totals(words)
     d1 = discounts(n1, 1)
     unseen, known = sum((1 - d1[r]) * r * n1.get(r, 0) for r in d1) / tokens if tokens else 1.0, 1.0
@@ -407,8 +433,8 @@ def _learn(blocks: DataFrame) -> tuple[DataFrame, DataFrame, dict, DataFrame]:
         unseen, known = 1 / (tokens + 1), tokens / (tokens + 1)
     hot = tokens / (HOT_SHARE * parts["pairs"])
     facts = {"tokens": tokens, "vocabulary": vocabulary, "unseen": unseen, "known": known, "d1": d1, "parts": parts, "hot": hot}
-    answers = _ask_for_words(blocks, words, facts)
-    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_pairs(parts["pairs"], hot, True), ASKED_PAIRS)
+    numbered = _numbered(blocks, words, facts)
+    asked = numbered.drop("doc_id").mapInArrow(*_ask_pairs(parts["pairs"], hot, True))
     counted = stored(asked.groupBy("part").applyInArrow(_sum_pairs(facts, hot), PAIR_TABLE), "counts", compression="zstd")
     release(spark)
     facts["d2"] = discounts(_totals(counted)[0], MIN_PAIR)
@@ -424,13 +450,21 @@ def _learn(blocks: DataFrame) -> tuple[DataFrame, DataFrame, dict, DataFrame]:
     pairs = stored(counted.select("part", "h", "runs", "w", "c", "seen", "rest", "low").mapInArrow(_weigh(facts), WEIGHT_TABLE), "pairs", compression="zstd")
     discard(counted)
     release(spark)
-    return words, pairs, facts, answers
+    return words, pairs, facts, numbered
 
 
-def _ask_for_words(blocks: DataFrame, words: DataFrame, facts: dict) -> DataFrame:
-    parts = facts["parts"]["words"]
+def _numbered(blocks: DataFrame, words: DataFrame, facts: dict) -> DataFrame:
+    """The stored blocks with numbers for words; what was stored for `blocks` is deleted."""
+    parts, spark = facts["parts"]["words"], blocks.sparkSession
     asked = blocks.mapInArrow(_ask_words(parts, False), ASKED_WORDS)
-    return stored(asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_answer_words(parts), ANSWERED_WORDS), "answers", compression="zstd")
+    answers = stored(asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_answer_words(parts), ANSWERED_WORDS), "answers", compression="zstd")
+    release(spark)
+    schema = f"{NUMBERED_FIELDS}, doc_id {blocks.schema['doc_id'].dataType.simpleString()}"
+    out = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_number, schema), "numbered", compression="zstd")
+    discard(blocks)
+    discard(answers)
+    release(spark)
+    return out
 
 
 def _pair_rows(batches):
@@ -445,15 +479,17 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     """(words, pairs, facts) of documents (text): the table of words, one row a part, the rows (h, w, c) of that of pairs,
     and counts, discounts and the stored table of pairs itself. The tables are in the shared folder."""
     blocks = blocks_of(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("learn"), "text"))
-    words, pairs, facts, answers = _learn(blocks)
-    discard(answers)
-    discard(blocks)
+    words, pairs, facts, numbered = _learn(blocks)
+    discard(numbered)
     return words, pairs.mapInArrow(_pair_rows, "h long, w long, c long"), {**facts, "pairs": pairs}
 
 
 # scores
 
 
+ANSWERED_PAIRS = "block long, part int, c binary, alpha binary, s binary"
+
+
 def _answer_pairs(asked: pa.Table, table: pa.Table) -> pa.Table:
     """Counts of the pairs, weights of the histories that blocks ask a part for; 0, and 1, where there are none."""
     own = _rows(table)
@@ -470,9 +506,9 @@ def _answer_pairs(asked: pa.Table, table: pa.Table) -> pa.Table:
         wanted = _keys(np.repeat(at, runs), asked_w)
         found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
         n = np.where((key[found] == wanted) & np.repeat(known, runs), c[found], np.uint64(0))
-        out.append({"block": r["block"], "kind": 1, "part": r["part"], "a": pack(n), "b": pack(np.where(known, alpha[at], 1.0)), "c": pack(np.where(known, s[at], 1.0))})
+        out.append({"block": r["block"], "part": r["part"], "c": pack(n), "alpha": pack(np.where(known, alpha[at], 1.0)), "s": pack(np.where(known, s[at], 1.0))})
     flat.trim()
-    return _table(ANSWERED_WORDS, out)
+    return _table(ANSWERED_PAIRS, out)
 
 
 def _evaluate(facts: dict, kind: pa.DataType):
@@ -483,15 +519,15 @@ def _evaluate(facts: dict, kind: pa.DataType):
         """The recursion for every token of a block, added up by text."""
         out = []
         for r in _rows(blocks.drop_columns(["doc_id"])):
-            b, rows = Block(r), _rows(answers)
-            ids, counts = _word_answers(rows)
-            asked, own, h, w, at, place = _dealt(b, ids, counts, parts, hot, False)
-            got = {x["part"]: x for x in rows if x["kind"] == 1}
+            b = Numbered(r)
+            ids, counts = b.ids, b.counts
+            asked, own, h, w, at, place = _dealt(b, parts, hot, False)
+            got = {x["part"]: x for x in _rows(answers)}
             n, alpha, s = np.zeros(len(h)), np.ones(len(h)), np.ones(len(h))
             k = 0
             for p, _, runs, words, _ in asked:
                 x = own[k : k + len(words)]
-                n[x], alpha[x], s[x] = unpack(got[p]["a"]), np.repeat(unpack(got[p]["b"]), runs), np.repeat(unpack(got[p]["c"]), runs)
+                n[x], alpha[x], s[x] = unpack(got[p]["c"]), np.repeat(unpack(got[p]["alpha"]), runs), np.repeat(unpack(got[p]["s"]), runs)
                 k += len(words)
             # a part without pairs of a spread history does not know its weights
             own_alpha, own_s = np.ones(len(ids)), np.ones(len(ids))
@@ -516,16 +552,14 @@ def _evaluate(facts: dict, kind: pa.DataType):
     return evaluate
 
 
-def _score(blocks: DataFrame, answers: DataFrame, pairs: DataFrame, facts: dict) -> DataFrame:
-    """(doc_id, learn, n_tokens, n_known, base_score, score) of all texts of blocks; answers: what their words are."""
-    element, parts = blocks.schema["doc_id"].dataType.elementType, facts["parts"]["pairs"]
-    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_pairs(parts, facts["hot"], False), ASKED_PAIRS)
-    asked = asked.select("part", "block", "h", "runs", "w")
-    got = stored(asked.groupBy("part").cogroup(pairs.groupBy("part")).applyInArrow(_answer_pairs, ANSWERED_WORDS), "answers", compression="zstd")
-    release(blocks.sparkSession)
-    everything = answers.unionByName(got)
+def _score(numbered: DataFrame, pairs: DataFrame, facts: dict) -> DataFrame:
+    """(doc_id, learn, n_tokens, n_known, base_score, score) of all texts of numbered blocks."""
+    element, parts = numbered.schema["doc_id"].dataType.elementType, facts["parts"]["pairs"]
+    asked = numbered.drop("doc_id").mapInArrow(*_ask_pairs(parts, facts["hot"], False))
+    answers = stored(asked.groupBy("part").cogroup(pairs.groupBy("part")).applyInArrow(_answer_pairs, ANSWERED_PAIRS), "answers", compression="zstd")
+    release(numbered.sparkSession)
     schema = f"doc_id {element.simpleString()}, learn boolean, n_tokens long, n_known long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(_evaluate(facts, to_arrow_type(element)), schema)
+    return numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_evaluate(facts, to_arrow_type(element)), schema)
 
 
 def _output(scored: DataFrame, facts: dict) -> DataFrame:
@@ -537,11 +571,11 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame, dict]) -> DataFram
     words, _, facts = model
     blocks = blocks_of(docs.select("doc_id", F.coalesce(~F.col("held_out"), F.lit(True)).alias("learn"), "text"))
     pairs, facts = facts["pairs"], {k: x for k, x in facts.items() if k != "pairs"}
-    return _output(_score(blocks, _ask_for_words(blocks, words, facts), pairs, facts), facts)
+    return _output(_score(_numbered(blocks, words, facts), pairs, facts), facts)
 
 
 def train_and_score(docs: DataFrame, parts: int = HELD_PARTS) -> DataFrame:
     """Learns from the documents (doc_id, text) that are not held out and scores all."""
     blocks = blocks_of(docs.select("doc_id", (~held_out(F.col("doc_id"), parts)).alias("learn"), "text"))
-    _, pairs, facts, answers = _learn(blocks)
-    return _output(_score(blocks, answers, pairs, facts), facts)
+    _, pairs, facts, numbered = _learn(blocks)
+    return _output(_score(numbered, pairs, facts), facts)
