@@ -9,9 +9,13 @@ Training. Labels mark documents, a document is a bag of units (words, or overlap
 if one of its units is: multiple-instance learning. Counts over labelled documents give units that go with the label
 (a log-likelihood ratio); a spread-out choice of them are the landmarks, which map units to a small vector space
 (Nystroem); a linear machine with squared hinge loss is trained on units, and twice again with the units that fooled it
-in clean documents. A logistic curve on the best unit of each document turns margins into probabilities. At most
-MAX_LABELLED labelled documents are used, those with the smallest hash of doc_id; they are read as tables, and only
-counts of units and one number a document reach the driver.
+in clean documents. A logistic curve on the best unit of each document turns margins into probabilities.
+
+What is fitted is a bounded sample of the labelled rows, by these parameters: MAX_LABELLED labelled documents, those with
+the smallest hash of doc_id, of which texts with the same smallest shingle count once (copies share a label by
+chance; blanks are one text); of their units the CANDIDATES that go best with the label, CLEAN_UNITS others by hash and a
+quarter as many by frequency; LANDMARKS landmarks. They are read as tables, and only counts of units and one number a
+document reach the driver. Counts of units cover all sampled texts, scores cover all texts.
 
 Scoring. Landmarks and machine fold into one weight for each triple, a table of one megabyte; a text is scored in one
 pass over its bytes, without a shuffle.
@@ -47,16 +51,32 @@ _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
 _CODE[48:58] = np.arange(27, 37)
-_CODE[128:] = 37 + np.arange(128) % 26
+_CODE[192:] = 37  # lead bytes; the bytes that follow one add to its code, and have none
 TRIPLES = 1 << 18
 #: By length: the norm of a string without repeated triples.
 _NORM = np.sqrt([sum(max(0, n - b) * DECAY ** (2 * (b + 1)) for _, b in _GAPS) for n in range(2 * PIECE + 1)])
 
 
+def _codes_of(data: np.ndarray) -> np.ndarray:
+    """A code from 1 to 62 at the first byte of each letter, digit or other character beyond ASCII; elsewhere 0."""
+    c = _CODE[data]
+    lead = np.flatnonzero(data >= 192)
+    if len(lead):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        x, inside = padded[lead].astype(np.int64), np.ones(len(lead), bool)
+        for k in (1, 2, 3):
+            more = padded[lead + k]
+            inside &= (more & 192) == 128
+            x = np.where(inside, x * 67 + more, x)
+        c[lead] = 37 + x % 26
+    return c
+
+
 def _units(data: np.ndarray, ends: np.ndarray):
     """(codes, row and place of each kept byte's unit and piece): see _pieces for their sums."""
-    kept = np.flatnonzero(_CODE[data] > 0)
-    c = _CODE[data[kept]]
+    c = _codes_of(data)
+    kept = np.flatnonzero(c)
+    c = c[kept]
     if not len(c):
         return None
     border = flat._SPACE[data].copy()
@@ -120,12 +140,15 @@ def best_margins(texts: pa.Array, weights: np.ndarray, bias: float, names: bool
         if names:
             top = np.flatnonzero(margin + bias >= best[row + begin])
             for k in top:
-                unit[row[k] + begin] = bytes(data[first[k] : last[k] + 1]).decode("utf-8", "ignore")
+                end = last[k] + 1
+                while end < len(data) and data[end] & 192 == 128:  # the rest of the last character
+                    end += 1
+                unit[row[k] + begin] = bytes(data[first[k] : end]).decode("utf-8", "ignore")
     return best, unit
 
 
 def _codes(unit: str) -> np.ndarray:
-    c = _CODE[np.frombuffer(unit.encode(), np.uint8)]
+    c = _codes_of(np.frombuffer(unit.encode(), np.uint8))
     return c[c > 0][: 2 * PIECE]
 
 
@@ -144,7 +167,7 @@ def kernel_rows(units: list[str], table: np.ndarray, column: np.ndarray) -> np.n
 
 def _word_units(text: str) -> set[str]:
     words = (re.sub(r"[^0-9a-z\x80-\U0010ffff]+", "", w) for w in re.sub(r"[A-Z]+", lambda m: m[0].lower(), text).split())
-    return {w for w in words if 3 <= len(w.encode()) <= 2 * PIECE}
+    return {w[k : k + 2 * PIECE] for w in words for k in range(0, max(1, len(w) - PIECE), PIECE) if len(w) >= 3}
 
 
 def _with_smallest(batches):
@@ -253,7 +276,7 @@ def _fit(sample: DataFrame, good: list[str], counts: list[int], clean: dict[str,
         w = _machine(x, y, weight)
         weights = np.zeros(TRIPLES)
         weights[used] = (z @ (root @ w[:-1]))[1:]
-        model = {"weights": weights, "bias": float(w[-1])}
+        model = {"weights": weights, "bias": float(w[-1]), "landmarks": [good[k] for k in chosen], "shares": root @ w[:-1]}
 
         def judge(batches, model=model):
             for batch in batches:
@@ -271,13 +294,13 @@ def _fit(sample: DataFrame, good: list[str], counts: list[int], clean: dict[str,
     return model
 
 
-def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all unless given) with a column `toxicity` from 0 to 1, of the column text."""
+def _scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs, renamed c0, c1, ..., and the score."""
     short_batches(docs.sparkSession)
-    names = docs.columns if keep is None else keep
-    rows = docs.select(*names, docs["text"].alias("_scored"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("toxicity", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*[docs[k].alias(f"c{n}") for n, k in enumerate(keep)], docs["text"].alias("text"))
+    names = [*rows.columns[:-1], "score"]
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("weights", "bias", "slope", "offset", "constant") if k in model})
 
     def run(batches):
         m = shared.value
@@ -287,11 +310,17 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFr
             else:
                 best, _ = best_margins(batch.columns[-1], m["weights"], m["bias"])
                 s = 1 / (1 + np.exp(-np.clip(m["slope"] * best + m["offset"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], names)
 
     return rows.mapInArrow(run, schema)
 
 
+def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all unless given; one called toxicity is left out) with a column `toxicity` from 0 to 1, of the column text."""
+    names = [k for k in (docs.columns if keep is None else keep) if k != "toxicity"]
+    return _scored(docs, model, names).toDF(*names, "toxicity")
+
+
 def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents that score below the cut, by a model of the labelled ones among them."""
-    return score(docs, train(docs, labels)).filter(F.col("toxicity") < cut).drop("toxicity")
+    return _scored(docs, train(docs, labels), docs.columns).filter(F.col("score") < cut).drop("score").toDF(*docs.columns)
