@@ -9,8 +9,11 @@ Of records with equal payloads of at least `least_bytes` the one with the smalle
 payload; the others are revisits without payload that name it. The smallest id of a payload is found by a
 pre-aggregated minimum over digests, and a hot payload is only joined, which Spark splits at run time.
 
+A record's identifier is its page_id with the key of its row, so repeated rows have identifiers of their own; page_id and
+the page a revisit refers to are fields of their own. All records bear the date given, by default that of the call.
+
 Edge cases: null html is an empty payload; a null url has no target line; control characters in urls are percent
-encoded; rows with the same page_id and payload are all responses; a null page_id never wins and is a revisit of a
+encoded, urls may be of any length; rows with the same page_id and payload are all responses; a null page_id never wins and is a revisit of a
 known one; an empty table gives an empty archive; other columns are ignored.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,26 +53,27 @@ def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     )
 
 
-def _header(page_id, url, kind, refers_to, digest, size) -> bytes:
+def _header(key, page_id, url, kind, refers_to, digest, size, date) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {date}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{key}>"]
+    lines.append(f"Page-ID: {'' if page_id is None else page_id}")
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-ID: {refers_to}"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     lines.append(f"Content-Length: {len(http) + (size if kind == 'response' else 0)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
-def _chunks(chunk: int):
+def _chunks(chunk: int, date: str):
     def write(batches):
         for batch in batches:
             keys, nos, counts, contents, digests, held = [], [], [], [], [], 0
             rows = zip(*(batch.column(c).to_pylist() for c in ("record_key", "page_id", "url", "digest", "record_type", "refers_to")), batch.column("html"), strict=True)
             for key, page_id, url, digest, kind, refers_to, html in rows:
                 view = memoryview(html.as_buffer())
-                head = _header(page_id, url, kind, refers_to, digest, len(view))
+                head = _header(key, page_id, url, kind, refers_to, digest, len(view), date)
                 view = view if kind == "response" else view[:0]
                 n, sha = max(1, -(-len(view) // chunk)), hashlib.sha256()
                 for k in range(n):
@@ -92,11 +97,12 @@ def _batch(keys, nos, counts, contents, digests) -> pa.RecordBatch:
     )
 
 
-def write_archive(pages: DataFrame, path: str, *, chunk: int = CHUNK, least_bytes: int = LEAST_BYTES) -> None:
+def write_archive(pages: DataFrame, path: str, *, chunk: int = CHUNK, least_bytes: int = LEAST_BYTES, date: str | None = None) -> None:
     """Writes one record for each row of pages (page_id, url, html) to the table at path."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     short_batches(pages.sparkSession)
     typed = with_types(pages, least_bytes).withColumn("record_key", F.monotonically_increasing_id())
-    typed.mapInArrow(_chunks(chunk), CHUNK_SCHEMA).write.parquet(path)
+    typed.mapInArrow(_chunks(chunk, date), CHUNK_SCHEMA).write.parquet(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -143,8 +149,8 @@ def _record(s: dict) -> dict:
     digest, size = f["warc-payload-digest"].removeprefix("sha256:"), int(s["http"]["content-length"])
     if int(f["content-length"]) != s["block"] + s["size"] or kind == "response" and (s["size"], s["sha"].hexdigest()) != (size, digest):
         raise ValueError(f"record {s['key']}: payload and header differ")
-    number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
-    return {"page_id": number(f["warc-record-id"]), "url": f.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(f.get("warc-refers-to", ""))}
+    number = lambda x: int(x) if x else None
+    return {"page_id": number(f["page-id"]), "url": f.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(f.get("refers-to-page-id"))}
 
 
 def read_archive(chunks: DataFrame) -> DataFrame:
