@@ -38,6 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import flat
 from .common import discard, held_out, short_batches, stored
+from .packed import pack, rows_of, table_of, unpack
 
 K = 5
 MIN_PAIR = 1
@@ -48,7 +49,6 @@ HELD_PARTS = 7
 
 END = np.uint64(0x5851F42D4C957F2D)
 _ID_BITS = np.uint64(40)
-_CODEC = "zstd"
 
 
 def release(spark: SparkSession) -> None:
@@ -57,39 +57,10 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Whole numbers or doubles, in the fewest bytes each, like bytes side by side, compressed."""
-    if a.dtype != np.float64:
-        most = int(a.max()) if len(a) else 0
-        a = a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
-    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-    head = np.array([a.itemsize + (16 if a.dtype == np.float64 else 0), len(a)], np.int64).tobytes()
-    return head + (pa.compress(raw, codec=_CODEC, asbytes=True) if raw else b"")
-
-
-def unpack(b: bytes) -> np.ndarray:
-    """What pack() was given, as 64-bit numbers."""
-    kind, n = np.frombuffer(b, np.int64, 2)
-    size = int(kind) & 15
-    raw = pa.decompress(b[16:], decompressed_size=size * int(n), codec=_CODEC, asbytes=True) if n else b""
-    a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, int(n)).T)
-    return a.reshape(-1).view(np.float64) if kind > 16 else a.reshape(-1).view(f"u{size}").astype(np.uint64)
-
-
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _table(schema: str, rows: list[dict]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
-    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
-    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in fields})
-
-
-def _rows(table: pa.Table) -> list[dict]:
-    return table.to_pylist()
-
-
 # texts to blocks
 
 BLOCK_FIELDS = "block long, n_tokens long, n_words long, sizes binary, learn binary, words binary, tokens binary"
@@ -194,7 +165,7 @@ def _ask_words(parts: int, learned: bool):
 
     def run(batches):
         for batch in batches:
-            for r in _rows(pa.Table.from_batches([batch])):
+            for r in rows_of(batch):
                 b, words = Block(r), np.frombuffer(r["words"], np.uint64)
                 order = np.argsort(words)
                 keys, n = words[order], np.zeros(0, np.int64)
@@ -203,7 +174,7 @@ def _ask_words(parts: int, learned: bool):
                     keys, n = keys[n > 0], n[n > 0]
                 cuts = _range_cuts(keys, parts)
                 rows = [{"part": p, "block": b.block, "keys": keys[i:j].tobytes(), "n": pack(n[i:j])} for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
-                yield from _table(ASKED_WORDS, rows).to_batches()
+                yield from table_of(ASKED_WORDS, rows).to_batches()
         flat.trim()
 
     return run
@@ -222,15 +193,15 @@ def _stats(c: np.ndarray) -> list[int]:
 
 
 def _sum_words(asked: pa.Table) -> pa.Table:
-    rows = _rows(asked)
+    rows = rows_of(asked)
     keys, c = _merged(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), np.concatenate([unpack(r["n"]) for r in rows]))
-    return _table(WORD_TABLE, [{"part": rows[0]["part"], "keys": keys.tobytes(), "c": pack(c), "stats": _stats(c)}])
+    return table_of(WORD_TABLE, [{"part": rows[0]["part"], "keys": keys.tobytes(), "c": pack(c), "stats": _stats(c)}])
 
 
 def _answer_words(parts: int):
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
         """Numbers (0: unknown) and counts of the words that blocks ask a part for; frequent words have small numbers."""
-        rows, own = _rows(asked), _rows(table)
+        rows, own = rows_of(asked), rows_of(table)
         keys = np.frombuffer(own[0]["keys"], np.uint64) if own else np.zeros(1, np.uint64)
         c = unpack(own[0]["c"]) if own else np.zeros(1, np.uint64)
         number = np.empty(len(keys), np.uint64)
@@ -243,24 +214,24 @@ def _answer_words(parts: int):
             ids = np.where(known, number[at] * np.uint64(parts) + np.uint64(r["part"]) + np.uint64(1), np.uint64(0))
             out.append({"block": r["block"], "part": r["part"], "ids": pack(ids), "counts": pack(np.where(known, c[at], np.uint64(0)))})
         flat.trim()
-        return _table(ANSWERED_WORDS, out)
+        return table_of(ANSWERED_WORDS, out)
 
     return answer
 
 
 def _number(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     """A block with the numbers and counts of its words in place of the words."""
-    own = _rows(blocks.drop_columns(["doc_id"]))
+    own = rows_of(blocks.drop_columns(["doc_id"]))
     if not own:
-        return _table(NUMBERED_FIELDS, []).append_column("doc_id", blocks.column("doc_id"))
-    r, rows = own[0], sorted(_rows(answers), key=lambda x: x["part"])
+        return table_of(NUMBERED_FIELDS, []).append_column("doc_id", blocks.column("doc_id"))
+    r, rows = own[0], sorted(rows_of(answers), key=lambda x: x["part"])
     order = np.argsort(np.frombuffer(r["words"], np.uint64))
     for k in ("ids", "counts"):
         x = np.empty(len(order), np.uint64)
         x[order] = np.concatenate([unpack(a[k]) for a in rows])
         r[k] = pack(x)
     flat.trim()
-    return _table(NUMBERED_FIELDS, [r]).append_column("doc_id", blocks.column("doc_id"))
+    return table_of(NUMBERED_FIELDS, [r]).append_column("doc_id", blocks.column("doc_id"))
 
 
 # pairs
@@ -281,12 +252,12 @@ def _ask_pairs(parts: int, hot: float, learned: bool):
 
     def run(batches):
         for batch in batches:
-            for r in _rows(pa.Table.from_batches([batch])):
+            for r in rows_of(batch):
                 b, out = Numbered(r), []
                 for p, h, runs, w, n in _dealt(b, parts, hot, learned)[0]:
                     row = {"part": p, "block": b.block, "h": pack(h), "runs": pack(runs), "w": pack(b.ids[w])}
                     out.append(row | ({"p": pack(b.counts[w]), "n": pack(n)} if learned else {}))
-                yield from _table(fields, out).to_batches()
+                yield from table_of(fields, out).to_batches()
         flat.trim()
 
     return run, fields
@@ -319,7 +290,7 @@ def _keys(h_at: np.ndarray, w: np.ndarray) -> np.ndarray:
 def _sum_pairs(facts: dict, hot: float):
     def add(asked: pa.Table) -> pa.Table:
         """Counts of the pairs of a part; of each history the pairs seen 1 to K times, the tokens of others, the sum of P(w)."""
-        rows = _rows(asked)
+        rows = rows_of(asked)
         h = np.concatenate([np.repeat(unpack(r["h"]), unpack(r["runs"]).astype(np.int64)) for r in rows])
         w, c_w, n = (np.concatenate([unpack(r[k]) for r in rows]) for k in ("w", "p", "n"))
         histories, h_at = np.unique(h, return_inverse=True)
@@ -336,7 +307,7 @@ def _sum_pairs(facts: dict, hot: float):
             "rest": pack(rest), "low": pack(np.bincount(h_at, p, minlength=k).astype(np.float64)), "stats": stats,
         }
         flat.trim()
-        return _table(PAIR_TABLE, [row])
+        return table_of(PAIR_TABLE, [row])
 
     return add
 
@@ -364,7 +335,7 @@ _HISTORY = "h long, seen array<long>, rest long, low double"
 def _histories(batches):
     """A row a history of a part: what alpha and s are made of."""
     for batch in batches:
-        for r in _rows(pa.Table.from_batches([batch])):
+        for r in rows_of(batch):
             h, rest, low = unpack(r["h"]), unpack(r["rest"]), unpack(r["low"])
             seen = unpack(r["seen"]).reshape(K, -1).T
             yield _batch(h=pa.array(h.astype(np.int64)), seen=pa.array(seen.astype(np.int64).tolist(), pa.list_(pa.int64())), rest=pa.array(rest.astype(np.int64)), low=pa.array(low))
@@ -393,11 +364,11 @@ def _weigh(facts: dict):
 
     def run(batches):
         for batch in batches:
-            for r in _rows(pa.Table.from_batches([batch])):
+            for r in rows_of(batch):
                 h = unpack(r["h"])
                 alpha, s = weights(facts, unpack(r["seen"]).reshape(K, -1).astype(np.float64), unpack(r["rest"]).astype(np.float64), unpack(r["low"]))
                 _spread(facts, h, alpha, s)
-                yield from _table(WEIGHT_TABLE, [{**{c: r[c] for c in ("part", "h", "runs", "w", "c")}, "alpha": pack(alpha), "s": pack(s)}]).to_batches()
+                yield from table_of(WEIGHT_TABLE, [{**{c: r[c] for c in ("part", "h", "runs", "w", "c")}, "alpha": pack(alpha), "s": pack(s)}]).to_batches()
 
     return run
 
@@ -470,7 +441,7 @@ def _numbered(blocks: DataFrame, words: DataFrame, facts: dict) -> DataFrame:
 def _pair_rows(batches):
     """A row a pair (h, w, c) of the table, words by their numbers."""
     for batch in batches:
-        for r in _rows(pa.Table.from_batches([batch])):
+        for r in rows_of(batch):
             h = np.repeat(unpack(r["h"]), unpack(r["runs"]).astype(np.int64))
             yield _batch(h=pa.array(h.astype(np.int64)), w=pa.array(unpack(r["w"]).astype(np.int64)), c=pa.array(unpack(r["c"]).astype(np.int64)))
 
@@ -492,14 +463,14 @@ ANSWERED_PAIRS = "block long, part int, c binary, alpha binary, s binary"
 
 def _answer_pairs(asked: pa.Table, table: pa.Table) -> pa.Table:
     """Counts of the pairs, weights of the histories that blocks ask a part for; 0, and 1, where there are none."""
-    own = _rows(table)
+    own = rows_of(table)
     if own:
         h, w, c, alpha, s = (unpack(own[0][k]) for k in ("h", "w", "c", "alpha", "s"))
         key = _keys(np.repeat(np.arange(len(h)), unpack(own[0]["runs"]).astype(np.int64)), w)
     else:
         h, key, c, alpha, s = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.ones(1), np.ones(1)
     out = []
-    for r in _rows(asked):
+    for r in rows_of(asked):
         asked_h, runs, asked_w = unpack(r["h"]), unpack(r["runs"]).astype(np.int64), unpack(r["w"])
         at = np.minimum(np.searchsorted(h, asked_h), len(h) - 1)
         known = h[at] == asked_h
@@ -508,7 +479,7 @@ def _answer_pairs(asked: pa.Table, table: pa.Table) -> pa.Table:
         n = np.where((key[found] == wanted) & np.repeat(known, runs), c[found], np.uint64(0))
         out.append({"block": r["block"], "part": r["part"], "c": pack(n), "alpha": pack(np.where(known, alpha[at], 1.0)), "s": pack(np.where(known, s[at], 1.0))})
     flat.trim()
-    return _table(ANSWERED_PAIRS, out)
+    return table_of(ANSWERED_PAIRS, out)
 
 
 def _evaluate(facts: dict, kind: pa.DataType):
@@ -518,11 +489,11 @@ def _evaluate(facts: dict, kind: pa.DataType):
     def evaluate(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         """The recursion for every token of a block, added up by text."""
         out = []
-        for r in _rows(blocks.drop_columns(["doc_id"])):
+        for r in rows_of(blocks.drop_columns(["doc_id"])):
             b = Numbered(r)
             ids, counts = b.ids, b.counts
             asked, own, h, w, at, place = _dealt(b, parts, hot, False)
-            got = {x["part"]: x for x in _rows(answers)}
+            got = {x["part"]: x for x in rows_of(answers)}
             n, alpha, s = np.zeros(len(h)), np.ones(len(h)), np.ones(len(h))
             k = 0
             for p, _, runs, words, _ in asked:
