@@ -14,8 +14,10 @@
    what is still apart, all. Nothing is capped.
 5. Components of confirmed links, by alternating large and small stars.
 
-Recall: at similarity 0.75 two sets miss all buckets with probability (1 - 0.75 ** 5) ** 40, about 2e-5, less above.
-Rows are dealt by bucket key only for aggregates and run-time split joins, or by (bucket, block pair) for blocks.
+Recall: at similarity 0.75 two sets miss all buckets with probability (1 - 0.75 ** 5) ** 40, about 2e-5, less above; an
+estimate lies SLACK deviations too low with probability 3e-6. Rows are dealt by bucket key only for aggregates and
+run-time split joins, or by (bucket, block pair) for blocks. Large groups of copies, LARGE at most, are joined by broadcast.
+Tables that the result does not need are deleted.
 
 Edge cases: null and blank texts have empty sets, are linked with nothing and stay; a text of fewer than five words has one
 shingle; rows with one doc_id are one node; rows without doc_id take the id of their class, or stay if it has none;
@@ -24,13 +26,15 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import short_batches, stored
+from .common import discard, short_batches, stored
 
 SHINGLE = 5
 THRESHOLD = 75  # percent
@@ -38,7 +42,8 @@ BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 BLOCK = 1024
 EST_BINS = 400
-SLACK = 3.3  # standard deviations of an estimate
+SLACK = 4.5  # standard deviations of an estimate
+LARGE = 1000  # copies of more than 1 / LARGE of all rows meet their class without a shuffle
 
 _bounds = lambda n: np.array([min((k << 64) // n, (1 << 64) - 1) for k in range(n + 1)], np.uint64)
 _BOUNDS, _EST_BOUNDS = _bounds(BINS), _bounds(EST_BINS)
@@ -152,7 +157,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "edges")
+        before, edges = edges, stored(small, "edges")
+        discard(before)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if state == last:
             break
@@ -242,10 +248,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text)."""
     sketches = stored(sketch(docs), "sketches")
     full = sketches.filter("n_shingles > 0")
-    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    copies = classes.filter("rows > 1").select("fp1", "fp2", "rep")
+    classes = stored(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
     # one row stands for each class: the row of its smallest id
-    own = full.join(copies, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "bands", F.coalesce("rep", "doc_id").alias("rep")).filter("doc_id = rep")
+    own = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
     keyed = own.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.min_by("n", "rep").alias("hub_n")).filter("hub < most")
     rows = stored(keyed.join(shared, "key").select("key", "rep", "n", "hub", "hub_n").distinct(), "buckets")
@@ -254,19 +259,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "texts")
     signatures = stored(texts.mapInArrow(_estimators, "rep long, signature binary, bands binary").dropDuplicates(["rep"]), "signatures")
     fits = F.lit(100) * F.least("n", "hub_n") >= F.lit(THRESHOLD) * F.greatest("n", "hub_n")
-    tested = stored(rows.filter((F.col("rep") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stored(confirm(tested, texts), "links")
-    labels = components(links)
+    pairs = [stored(rows.filter((F.col("rep") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")]
+    links = [stored(confirm(pairs[0], texts), "links")]
+    labels = components(links[0])
+    union = lambda x: functools.reduce(DataFrame.unionByName, x)
     for best in (2, 0):
-        more = stored(_across(rows.select("key", "rep", "n"), labels, signatures, tested, best), "pairs")
-        tested = tested.unionByName(more)
-        links = links.unionByName(stored(confirm(more, texts), "links"))
-        labels = components(links)
-    named = sketches.join(copies, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+        pairs.append(stored(_across(rows.select("key", "rep", "n"), labels, signatures, union(pairs), best), "pairs"))
+        links.append(stored(confirm(pairs[-1], texts), "links"))
+        before, labels = labels, components(union(links))
+        discard(before)
+    for x in (rows, texts, signatures, *pairs, *links):
+        discard(x)
+    named = _named(sketches, classes).select("doc_id", "n_shingles", "rep")
     component = F.coalesce("component", "rep")
     return named.join(labels, named["rep"] == labels["node"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _named(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """sketches with rep, the smallest id of the class; the id itself if the class has one row or none."""
+    most = (classes.agg(F.sum("rows")).collect()[0][0] or 0) / LARGE
+    copies = classes.filter("rows > 1").select("fp1", "fp2", "rep", "rows")
+    large = F.broadcast(copies.filter(F.col("rows") > most).select("fp1", "fp2", F.col("rep").alias("large")))  # fewer than LARGE rows
+    met = sketches.join(large, ["fp1", "fp2"], "left")
+    small = copies.filter(F.col("rows") <= most).select("fp1", "fp2", "rep")
+    rest = met.filter("large IS NULL").drop("large").join(small, ["fp1", "fp2"], "left")
+    return met.filter("large IS NOT NULL").withColumnRenamed("large", "rep").unionByName(rest.withColumn("rep", F.coalesce("rep", "doc_id")))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept: of each component the document with the smallest doc_id, once.
 
