@@ -1,196 +1,166 @@
 """Main text of web pages: flat text blocks, features of a block and its neighbours, a small decision tree.
 
-A page is cut into blocks at block-level tags; the content of scripts, styles and the like, comments and hidden elements
-never become text. A block's features are its words and link density, those of the blocks before and after it, and
-where it stands: in an article or main element, in page furniture (by tag, or by words in class, id and role), in a
-heading or list item, and whether the page has an article at all. A decision tree, grown on the labelled table below by
-Gini impurity, keeps or drops it. Kept blocks are joined in page order by one line feed.
+A page is cut into blocks at block-level tags; scripts, styles, templates, the page's title and comments in the markup never
+become text. A block's features are its words, link density and words a line, those of the blocks before and after it,
+and where it stands: outside the article or main element that the page has, in an element for page furniture (nav, aside, footer, form and the
+like), in a heading or list item, and whether the page has an article at all. Names of classes are one feature: the
+share of the page's words that the innermost element with a name of page furniture holds, 1 where there is none, so the
+name of a wrapper of the whole page says nothing. A decision tree, grown by Gini impurity on the labelled pages of
+html_pages, keeps or drops a block. Kept blocks are joined in page order by one line feed.
 
 Edge cases: null html is an empty page; unclosed and stray tags, unclosed comments and pages that end inside a tag
-are read as far as they go; white space, hard spaces included, becomes one space; pages without kept blocks have an
-empty text; other columns are ignored; rows may repeat; an empty table gives no rows.
+are read as far as they go; white space, hard spaces included, becomes one space; hidden elements are text like others;
+pages without kept blocks have an empty text; pages of any length and depth are read in one pass; other columns are
+ignored; rows may repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import short_batches
+from .html_pages import PAGES, fill
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<(?=[a-zA-Z])[^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video".split())
+RAW = frozenset("script style noscript template title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FURNITURE_TAGS = frozenset("nav header footer aside form menu button dialog fieldset legend head".split())
+FURNITURE_TAGS = frozenset("nav header footer aside form menu button select option textarea dialog fieldset legend head".split())
+#: Names of page furniture, and first parts of names that say something else of it ("no-comments", "has-sidebar").
 FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer gdpr header login "
-    "masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted recommended related replies reply respond "
-    "share sharing sidebar signup social sponsor sponsored subscribe taboola tags toc toolbar topbar widget alert complementary contentinfo search".split()
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header "
+    "login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted recommended related replies reply "
+    "respond share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar topbar widget complementary contentinfo search discussion".split()
 )
+MODIFIERS = frozenset("no not non without has have with is".split())
+TEXT_NAMES = frozenset("article body content entry main page post story text".split())
 TEXT_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: What an open p ends at: its own kind and block-level tags; an li ends at the next li.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+LINE = 80  # characters of a line, for words a line
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_text", "furniture", "heading", "item", "page_has_text")
-
-#: Blocks of hand-written pages, labelled 1 for main text. Columns as in FEATURES, then the label.
-LABELLED = (
-    # pages with an article: title, paragraphs long and short, a list, a link paragraph, furniture around
-    (7, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 0, 1, 1),
-    (2, 0.0, 40, 0.0, 35, 0.0, 1, 0, 1, 0, 1, 1),
-    (60, 0.0, 7, 0.0, 45, 0.05, 1, 0, 0, 0, 1, 1),
-    (45, 0.05, 60, 0.0, 1, 0.0, 1, 0, 0, 0, 1, 1),
-    (1, 0.0, 45, 0.05, 80, 0.0, 1, 0, 0, 0, 1, 1),
-    (3, 0.0, 1, 0.0, 2, 0.0, 1, 0, 0, 0, 1, 1),
-    (120, 0.1, 3, 0.0, 5, 0.0, 1, 0, 0, 0, 1, 1),
-    (12, 0.3, 80, 0.0, 60, 0.0, 1, 0, 0, 0, 1, 1),
-    (6, 1.0, 50, 0.0, 40, 0.0, 1, 0, 0, 0, 1, 1),
-    (9, 0.0, 40, 0.0, 8, 0.0, 1, 0, 0, 1, 1, 1),
-    (4, 0.0, 9, 0.0, 30, 0.0, 1, 0, 0, 1, 1, 1),
-    (25, 0.2, 60, 0.0, 12, 1.0, 1, 0, 0, 1, 1, 1),
-    (5, 1.0, 20, 0.0, 5, 1.0, 1, 0, 0, 1, 1, 0),
-    (6, 1.0, 6, 1.0, 6, 1.0, 1, 0, 0, 1, 1, 0),
-    (3, 1.0, 4, 1.0, 9, 0.0, 1, 0, 0, 1, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 1, 0),
-    (2, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0, 1, 1, 0),
-    (9, 0.0, 2, 1.0, 7, 0.0, 0, 1, 0, 0, 1, 0),
-    (40, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 0, 1, 0),
-    (35, 0.1, 40, 0.0, 4, 0.0, 1, 1, 0, 0, 1, 0),
-    (3, 0.0, 60, 0.0, 35, 0.1, 1, 1, 1, 0, 1, 0),
-    (6, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0, 1, 0),
-    (12, 0.0, 2, 1.0, 7, 0.0, 0, 0, 0, 0, 1, 0),
-    (30, 0.1, 80, 0.0, 3, 1.0, 0, 0, 0, 0, 1, 0),
-    (4, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 0, 1, 0),
-    # pages without an article element
-    (8, 0.0, 1, 1.0, 55, 0.0, 0, 0, 1, 0, 0, 1),
-    (55, 0.0, 8, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 1),
-    (70, 0.1, 55, 0.0, 20, 0.0, 0, 0, 0, 0, 0, 1),
-    (20, 0.0, 70, 0.1, 3, 0.0, 0, 0, 0, 0, 0, 1),
-    (3, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 1),
-    (6, 0.0, 40, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0, 0),
-    (5, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0, 0),
-    (9, 0.8, 30, 0.0, 6, 1.0, 0, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 4, 0.5, 0, 0, 0, 0, 0, 0),
-    (7, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
-    (30, 0.0, 50, 0.0, 2, 1.0, 0, 1, 0, 0, 0, 0),
-    (10, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0, 0, 0),
+FEATURES = (
+    "words", "link_density", "line_words", "words_before", "link_density_before", "line_words_before", "words_after", "link_density_after", "line_words_after",
+    "outside_text", "furniture", "heading", "item", "named_share", "page_has_text",
 )
 
 
-def grow(table: np.ndarray, depth: int = 6):
-    """A tree of (feature, threshold, tree below, tree above) over rows with a label at their end; leaves are labels."""
-    x, y = table[:, :-1], table[:, -1]
-    if depth == 0 or y.min() == y.max():
-        return int(y.mean() >= 0.5)
-    best = None
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] < t
-            p, q = y[low].mean(), y[~low].mean()
-            impurity = low.sum() * p * (1 - p) + (~low).sum() * q * (1 - q)
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, f, float(t), low)
-    if best is None:
-        return int(y.mean() >= 0.5)
-    _, f, t, low = best
-    return f, t, grow(table[low], depth - 1), grow(table[~low], depth - 1)
+def _named(attributes: str) -> bool:
+    """Whether a class, id or role names page furniture."""
+    for k, v in _ATTRIBUTE.findall(attributes):
+        if k.lower() in ("class", "id", "role"):
+            for name in v.strip("\"'").split():
+                parts = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+                if parts[0] in MODIFIERS or not TEXT_NAMES.isdisjoint(parts) and "header" in parts:
+                    continue
+                if not FURNITURE_WORDS.isdisjoint(parts):
+                    return True
+    return False
 
 
-TREE = grow(np.array(LABELLED, float))
+class _Element:
+    """What an open element passes on to those inside it."""
 
+    __slots__ = ("tag", "text", "furniture", "heading", "item", "link", "box", "main")
 
-def judge(features: tuple, tree=TREE) -> int:
-    while not isinstance(tree, int):
-        f, t, low, high = tree
-        tree = low if features[f] < t else high
-    return tree
+    def __init__(self, tag: str, parent: _Element | None):
+        self.tag = tag
+        for k in self.__slots__[1:]:
+            setattr(self, k, getattr(parent, k) if parent else (-1 if k == "box" else False))
 
 
-def _furniture(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is page furniture, and whether it is hidden."""
-    named = tag in FURNITURE_TAGS
-    if not attributes.strip():
-        return named, False
-    hidden = False
-    for k, v in _ATTRIBUTE.findall(attributes):
-        k, v = k.lower(), v.strip("\"'")
-        if k in ("class", "id", "role"):
-            named |= not FURNITURE_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower()))
-        hidden |= k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and bool(_HIDDEN.search(v))
-    return named, hidden
+class Block:
+    """A text block; `main` is its label on a labelled page."""
+
+    __slots__ = ("text", "words", "linked", "within", "rule")
+
+    def __init__(self, text: str, linked: int, within: _Element):
+        self.text, self.words, self.linked, self.within = text, text.count(" ") + 1, linked, within
 
 
 class _Page:
     """Blocks of a page, gathered from its tokens."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, in text, furniture, hidden
-        self.blocks: list[tuple] = []  # text, words, linked words, in text, furniture, heading, item
+        self.stack: list[_Element] = []
+        self.open_tags: Counter[str] = Counter()
+        self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked: list[str] = []
+        self.boxes: list[list[int]] = []  # of each element named as furniture: the one around it, and its words
+        self.outside = _Element("", None)
+
+    @property
+    def top(self) -> _Element:
+        return self.stack[-1] if self.stack else self.outside
+
+    def say(self, part: str):
+        self.parts.append(part)
+        if self.top.link:
+            self.linked.append(part)
 
     def end_block(self):
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
-            top = self.stack[-1] if self.stack else ("", False, False, False)
-            if not top[3]:
-                tags = [x[0] for x in self.stack]
-                linked = len(html.unescape(" ".join(self.linked)).split())
-                self.blocks.append((text, len(text.split()), linked, top[1], top[2], not HEADINGS.isdisjoint(tags), "li" in tags))
+            block = Block(text, len(html.unescape(" ".join(self.linked)).split()), self.top)
+            self.blocks.append(block)
+            if block.within.box >= 0:
+                self.boxes[block.within.box][1] += block.words
         self.parts, self.linked = [], []
 
     def open(self, tag: str, attributes: str):
-        _, text, furniture, hidden = self.stack[-1] if self.stack else ("", False, False, False)
-        named, own = _furniture(tag, attributes)
-        if tag in TEXT_TAGS and not named:
-            text, furniture = True, False
-        elif tag == "header" and text and not furniture and not attributes.strip():
-            named = False  # the head of an article, not of the page
-        elif tag == "body" or tag == "html":
-            named = False
-        self.stack.append((tag, text, furniture or named, hidden or own))
+        e = _Element(tag, self.stack[-1] if self.stack else None)
+        named = _named(attributes) if attributes.strip() else False
+        if tag in TEXT_TAGS:
+            e.text, e.furniture = True, False
+        elif tag in FURNITURE_TAGS and not (tag == "header" and e.text and not e.furniture):  # the head of an article is its own
+            e.furniture = True
+        e.heading |= tag in HEADINGS
+        e.item |= tag == "li"
+        e.link |= tag == "a"
+        e.main |= "data-main" in attributes
+        if named and tag not in ("html", "body"):
+            self.boxes.append([e.box, 0])
+            e.box = len(self.boxes) - 1
+        self.stack.append(e)
+        self.open_tags[tag] += 1
+
+    def pop(self):
+        self.open_tags[self.stack.pop().tag] -= 1
 
     def close(self, tag: str):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
+        while self.open_tags[tag]:
+            last = self.stack[-1].tag
+            self.pop()
+            if last == tag:
                 return
 
 
-def blocks(source: str) -> list[tuple]:
+def read(source: str) -> _Page:
     page, at, end = _Page(), 0, len(source)
-    raw = ""
     for m in _TOKEN.finditer(source):
         if m.start() < at:
             continue
-        if not raw and m.start() > at:
-            page.parts.append(part := source[at : m.start()])
-            if any(x[0] == "a" for x in page.stack[-4:]):
-                page.linked.append(part)
+        if m.start() > at:
+            page.say(source[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
-        if raw:
-            if m[1] and tag == raw:
-                raw = ""
-            else:
-                continue
-        elif not tag:
+        if not tag:
             continue
-        elif m[1]:
+        if m[1]:
             if tag in BLOCKS:
                 page.end_block()
                 page.close(tag)
@@ -200,43 +170,90 @@ def blocks(source: str) -> list[tuple]:
                 page.close(tag)
         elif tag in RAW:
             if not m[3].endswith("/"):
-                raw = tag
                 # nothing inside counts, tags in scripts included
                 found = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = found.end() if found else end
-                raw = ""
         else:
             if tag in BLOCKS:
                 page.end_block()
                 # inline elements do not reach over a block
-                while page.stack and page.stack[-1][0] not in BLOCKS:
-                    page.stack.pop()
-                if page.stack and page.stack[-1][0] in ("p", *HEADINGS):
-                    page.stack.pop()
-                if tag in IMPLIED and page.stack and page.stack[-1][0] in IMPLIED[tag]:
-                    page.stack.pop()
+                while page.stack and page.stack[-1].tag not in BLOCKS:
+                    page.pop()
+                if page.stack and (page.stack[-1].tag == "p" or page.stack[-1].tag in HEADINGS):
+                    page.pop()
+                if tag in IMPLIED and page.stack and page.stack[-1].tag in IMPLIED[tag]:
+                    page.pop()
             if tag in VOID or m[3].endswith("/"):
                 if tag == "br":
                     page.parts.append(" ")
             else:
                 page.open(tag, m[3])
     if at < end:
-        page.parts.append(source[at:])
+        page.say(source[at:])
     page.end_block()
-    return page.blocks
+    for around, words in reversed(page.boxes):
+        if around >= 0:
+            page.boxes[around][1] += words
+    return page
+
+
+def features(page: _Page) -> list[tuple]:
+    """FEATURES of each block of a page."""
+    some = float(any(b.within.text and not b.within.furniture for b in page.blocks))
+    total = sum(b.words for b in page.blocks)
+    flat = [(b.words, b.linked / b.words, b.words / math.ceil(len(b.text) / LINE)) for b in page.blocks]
+    none = (0, 0.0, 0.0)
+    out = []
+    for k, b in enumerate(page.blocks):
+        w = b.within
+        share = page.boxes[w.box][1] / total if w.box >= 0 else 1.0
+        out.append((*flat[k], *(flat[k - 1] if k else none), *(flat[k + 1] if k + 1 < len(flat) else none), some and not w.text, w.furniture, w.heading, w.item, share, some))
+    return out
+
+
+def grow(table: np.ndarray, depth: int = 8):
+    """A tree of (feature, threshold, tree below, tree above) over rows with a label at their end; leaves are labels."""
+    x, y = table[:, :-1], table[:, -1]
+    if depth == 0 or y.min() == y.max():
+        return int(y.mean() >= 0.5)
+    best = None
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for t in (values[1:] + values[:-1]) / 2:
+            low = x[:, f] < t
+            p, q = y[low].mean(), y[~low].mean()
+            impurity = low.sum() * p * (1 - p) + (~low).sum() * q * (1 - q)
+            if best is None or impurity < best[0] - 1e-12:
+                best = (impurity, f, float(t), low)
+    if best is None:
+        return int(y.mean() >= 0.5)
+    _, f, t, low = best
+    return f, t, grow(table[low], depth - 1), grow(table[~low], depth - 1)
+
+
+def labelled(pages=PAGES) -> np.ndarray:
+    """Rows of features and label of all blocks of labelled pages, with several fillings."""
+    rows = []
+    for k, p in enumerate(pages):
+        for turn in range(3):
+            page = read(fill(p, 10 * k + turn))
+            rows += [(*x, b.within.main) for x, b in zip(features(page), page.blocks, strict=True)]
+    return np.array(rows, float)
+
+
+TREE = grow(labelled())
+
+
+def judge(x: tuple, tree=TREE) -> int:
+    while not isinstance(tree, int):
+        f, t, low, high = tree
+        tree = low if x[f] < t else high
+    return tree
 
 
 def main_text(source: str) -> str:
-    found = blocks(source)
-    some = float(any(b[3] and not b[4] for b in found))
-    density = [b[2] / b[1] for b in found]
-    kept = []
-    for k, b in enumerate(found):
-        before = (found[k - 1][1], density[k - 1]) if k else (0, 0.0)
-        after = (found[k + 1][1], density[k + 1]) if k + 1 < len(found) else (0, 0.0)
-        if judge((b[1], density[k], *before, *after, b[3], b[4], b[5], b[6], some)):
-            kept.append(b[0])
-    return "\n".join(kept)
+    page = read(source)
+    return "\n".join(b.text for x, b in zip(features(page), page.blocks, strict=True) if judge(x))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -6,15 +6,19 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow.llm import chat, decontaminate, html_text, katz, media, mixing, near_dup, queries, token_counts, toxicity, warc
 from caseflow.llm.common import tokenizer_path
+from caseflow.llm.html_pages import fill
 
 from ..compare import duck, rows
+from . import pages
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,6 +157,40 @@ def test_toxicity_on_held_out_and_disguised_texts(spark):
     assert kept.columns == d.columns and kept.count() < 502
 
 
+def test_toxicity_is_the_kernel_machine_itself(spark):
+    d, labels, _, v = labelled(spark)
+    model = toxicity.train(d, labels)
+
+    def triples(x):
+        out = Counter()
+        for i, j, k in itertools.combinations(range(len(x)), 3):
+            if k - i < toxicity.SPAN:
+                out[x[i] + x[j] + x[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def norm(n):
+        return math.sqrt(sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, _, k in itertools.combinations(range(n), 3) if k - i < toxicity.SPAN))
+
+    marks = [(triples(z), norm(len(z))) for z in model["landmarks"]]
+    for unit in ["fumblewit", "fuxmble", "gronkhead", *v[:20]]:
+        if len(unit) >= 3:
+            t = triples(unit)
+            want = sum(a * sum(t[x] * n for x, n in z.items()) / size for a, (z, size) in zip(model["shares"], marks, strict=True)) / norm(len(unit)) + model["bias"]
+            assert toxicity.best_margins(toxicity.pa.array([unit]), model["weights"], model["bias"])[0][0] == pytest.approx(want)
+
+
+def test_toxicity_counts_characters_and_keeps_columns_of_any_name(spark):
+    d, labels, _, v = labelled(spark)
+    model = toxicity.train(d, labels)
+    plain = " ".join(v[:20])
+    hidden = [f"{plain} {x} {plain}" for x in ("fumb😀lewit", "gronk✨head", "snot🙂lick", "fum日blewit")]
+    assert all(r.toxicity >= toxicity.CUT for r in toxicity.score(docs(spark, hidden), model).collect())
+    clash = d.withColumn("toxicity", F.lit("x")).withColumn("_scored", F.lit(1)).withColumn("c0", F.lit(2))
+    kept = toxicity.reject(clash, labels)
+    assert kept.columns == clash.columns and kept.filter("toxicity <> 'x' OR c0 <> 2").count() == 0 and kept.count() == toxicity.reject(d, labels).count()
+    assert toxicity.score(clash, model).columns == [*d.columns, "_scored", "c0", "toxicity"]
+
+
 def test_toxicity_without_labels_of_both_kinds(spark):
     d, labels, _, _ = labelled(spark)
     assert {r.toxicity for r in toxicity.score(d, toxicity.train(d, labels.filter("toxic = 0"))).collect()} == {0.0}
@@ -244,15 +282,66 @@ def test_media_round_trip(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.media_bytes > r.payload_bytes
 
 
+def movie(*traks, more=b"", brand=b"ftyp"):
+    return media._box(brand, b"isom", bytes(4)) + media._box(b"moov", *traks, more)
+
+
+def trak(number, kind, codec, *tables, wide=False, scale=10, ticks=30):
+    mdhd = struct.pack(">IQQIQHH", 1 << 24, 0, 0, scale, ticks, 0, 0) if wide else struct.pack(">IIIIIHH", 0, 0, 0, scale, ticks, 0, 0)
+    stbl = media._box(b"stbl", media._full(b"stsd", struct.pack(">I", 1), media._box(codec, bytes(8))), *tables)
+    return media._box(b"trak", media._full(b"tkhd", struct.pack(">IIII", 0, 0, number, 0)), media._box(b"mdia", media._box(b"mdhd", mdhd), media._full(b"hdlr", bytes(4), kind, bytes(12)), media._box(b"minf", stbl)))
+
+
+def chunks(offsets, per_chunk, wide=False):
+    return [media._full(b"stsc", struct.pack(">IIII", 1, 1, per_chunk, 1)), media._full(b"co64" if wide else b"stco", struct.pack(f">I{len(offsets)}{'Q' if wide else 'I'}", len(offsets), *offsets))]
+
+
+def probe(x):
+    return media.tracks(io.BytesIO(x), len(x))
+
+
 def test_containers_of_other_shapes(spark):
     x = media.pack(b"q" * 576 * 30)
-    wide = media._box(b"free") + x.replace(b"", b"", 0)
     got = media.probe(io.BytesIO(x), len(x))
     assert got["codec"] == "raw" and got["seconds"] == pytest.approx(1.2) and len(got["key_ranges"]) == 3
-    assert all(x[a:b] == b"q" * 576 for a, b in got["key_ranges"]) and wide
-    df = spark.createDataFrame([(x,), (b"not a file",), (b"",), (None,), (x[:300],)], "content binary")
-    out = [r.media for r in media.index_containers(df).collect()]
-    assert out[0].frames == 30 and all(m.codec is None and m.error for m in out[1:])
+    assert all(x[a:b] == b"q" * 576 for a, b in got["key_ranges"])
+    df = spark.createDataFrame([(k, v, "x") for k, v in enumerate((x, b"not a file", b"", None, x[:300]))], "id int, content binary, media string")
+    out = [r.media for r in media.index_containers(df).orderBy("id").collect()]
+    assert out[0].frames == 30 and len(out[0].tracks) == 1 and all(m.codec is None and m.error for m in out[1:])
+    assert media.index_containers(df.limit(0)).count() == 0 and media.store_texts(docs(spark, [])).count() == 0
+
+
+def test_container_tracks_sizes_and_tables():
+    sizes = media._full(b"stsz", struct.pack(">IIIII", 0, 3, 5, 6, 7))
+    video = trak(1, b"vide", b"avc1", media._full(b"stss", struct.pack(">III", 2, 1, 3)), sizes, *chunks((100, 200), 2), wide=True, scale=1000, ticks=2500)
+    sound = trak(2, b"soun", b"mp4a", media._full(b"stsz", struct.pack(">II", 4, 4)), *chunks((1 << 33, 300), 2, wide=True))
+    one, two = probe(movie(video, sound))
+    assert (one["id"], one["kind"], one["codec"], one["seconds"]) == (1, "vide", "avc1", 2.5)
+    assert one["samples"] == [(100, 5), (105, 6), (200, 7)] and one["key_ranges"] == [(100, 105), (200, 207)]
+    # without a table of key frames, all are
+    assert two["codec"] == "mp4a" and two["seconds"] == 3 and two["key_ranges"] == [(1 << 33, (1 << 33) + 4), ((1 << 33) + 4, (1 << 33) + 8), (300, 304), (304, 308)]
+    for bits, raw in ((4, bytes([0x56, 0x70])), (8, bytes([5, 6, 7])), (16, struct.pack(">HHH", 5, 6, 7))):
+        small = trak(1, b"vide", b"avc1", media._full(b"stz2", struct.pack(">II", bits, 3), raw), *chunks((100,), 3))
+        assert probe(movie(small))[0]["samples"] == [(100, 5), (105, 6), (111, 7)]
+
+
+def test_container_boxes_of_64_bits_and_to_the_end():
+    sound = trak(2, b"soun", b"mp4a", media._full(b"stsz", struct.pack(">II", 4, 2)), *chunks((50,), 2))
+    wide = struct.pack(">I4sQ", 1, b"free", 16 + 9) + bytes(9)
+    last = struct.pack(">I4s", 0, b"mdat") + bytes(1000)
+    assert probe(wide + movie(sound) + last)[0]["samples"] == [(50, 4), (54, 4)]
+    with pytest.raises(ValueError, match="does not fit"):
+        probe(struct.pack(">I4s", 99, b"free"))
+
+
+def test_container_fragments():
+    head = movie(trak(7, b"vide", b"avc1", ticks=0), more=media._box(b"mvex", media._full(b"trex", struct.pack(">IIIII", 7, 1, 4, 9, 0x10000))))
+    run = media._full(b"trun", struct.pack(">IiI", 2, 500, 0), flags=0x5)  # two samples from 500 on, the first a key frame
+    sized = media._full(b"trun", struct.pack(">IIIII", 2, 3, 8, 3, 6), flags=0x300)  # ticks and sizes of their own, after the run before
+    moof = media._box(b"moof", media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 7), flags=0x20000), run, sized))
+    t = probe(head + moof + media._box(b"mdat", bytes(50)))[0]
+    at = len(head) + 500
+    assert t["samples"] == [(at, 9), (at + 9, 9), (at + 18, 8), (at + 26, 6)] and t["key_ranges"] == [(at, at + 9)] and t["seconds"] == pytest.approx((4 + 4 + 3 + 3) / 10)
 
 
 # 6
@@ -288,13 +377,61 @@ def test_decontamination_finds_passages_and_spares_others(spark):
 
 
 def test_every_overlap_of_an_item_has_a_seed():
-    spots = [[k for k, bit in enumerate(m) if bit == "1"] for m in decontaminate.FINE]
+    spots = [[k for k, bit in enumerate(m) if bit == "1"] for m in decontaminate.MASKS]
     for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
         differ = n * (100 - decontaminate.NEED) // 100
         for other in itertools.combinations(range(n), differ):
             assert any(not {at + k for k in s} & set(other) for s in spots for at in range(n - s[-1]))
 
 
+def test_all_ways_to_differ_in_three_of_thirteen_tokens(spark):
+    item = [f"t{k}" for k in range(13)]
+    ways = [set(x) for x in itertools.combinations(range(13), 3)]
+    texts = [" ".join(f"x{k}" if k in w else t for k, t in enumerate(item)) for w in ways]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for limit in (1 << 25, -1):
+        got = decontaminate.contaminated(docs(spark, texts), items, broadcast_bytes=limit).collect()
+        assert len(got) == len(ways) == 286 and {(r.matched, r.first_word, r.hits) for r in got} == {(10, 0, 1)}
+
+
+def brute_overlaps(texts, items):
+    out = defaultdict(set)
+    for d, t in texts.items():
+        for i, u in items.items():
+            a, b = words(t), words(u)
+            size = min(len(b), decontaminate.WINDOW)
+            need = decontaminate.NEED if len(b) >= decontaminate.SHORTEST else 100
+            for p in range(-size, len(a)):
+                for q in range(len(b) - size + 1 if b else 0):
+                    same = sum(0 <= p + k < len(a) and a[p + k] == b[q + k] for k in range(size))
+                    if 100 * same >= need * size:
+                        out[d, i].add((p, q, same))
+    return {k: (max(x[2] for x in v), max(0, min(x[0] for x in v)), len(v)) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("limit", [1 << 25, -1])
+def test_decontamination_equals_brute_force(spark, limit):
+    rng = random.Random(11)
+    items = {k: " ".join(rng.choices("abcdefghij", k=n)) for k, n in enumerate((1, 2, 3, 5, 7, 8, 9, 10, 11, 12, 13, 14, 20, 30))}
+    texts = {k: " ".join(rng.choices("abcdefghijklmnop", k=rng.randint(0, 40))) for k in range(30)}
+    for k in range(30, 60):
+        w = rng.choice(list(items.values())).split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "z"
+        texts[k] = " ".join([*rng.choices("klmnop", k=rng.randint(0, 5)), *w, *rng.choices("klmnop", k=3)][rng.randint(0, 3) :])
+    got = decontaminate.contaminated(docs(spark, [texts[k] for k in sorted(texts)]), spark.createDataFrame(list(items.items()), "item_id long, text string"), broadcast_bytes=limit)
+    assert {(r.doc_id, r.item_id): (r.matched, r.first_word, r.hits) for r in got.collect()} == brute_overlaps(texts, items)
+
+
+def test_a_join_of_many_items_moves_no_token_lists(spark, capsys):
+    items = spark.createDataFrame([(1, " ".join(f"t{k}" for k in range(20)))], "item_id long, text string")
+    found = decontaminate._hits(*(lambda t, i: (t, i, decontaminate.MASKS, 13, (t.withColumn("doc_row", F.lit(1)), i.withColumn("item_row", F.lit(1)))))(
+        docs(spark, ["a b"]).select("doc_id", decontaminate.tokens(F.col("text")).alias("doc")), items.select("item_id", decontaminate.tokens(F.col("text")).alias("item"))))
+    found.explain("formatted")
+    dealt = [x for x in capsys.readouterr().out.split("\n(") if "Exchange" in x.split("\n")[0] and "seed" in x]
+    assert dealt and not any("doc#" in x or "item#" in x for x in dealt)
+
+
 def test_decontamination_finds_overlaps_wherever_tokens_differ(spark):
     items = {1: [f"a{k}" for k in range(20)], 2: [f"b{k}" for k in range(8)], 3: [f"c{k}" for k in range(12)], 4: ["d0", "d1", "d2"], 5: ["e0"]}
     swap = lambda w, *ks: [f"x{k}" if k in ks else x for k, x in enumerate(w)]
@@ -318,7 +455,40 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 def test_html_keeps_the_article_alone(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "<p>", "x"), (5, "u", "<nav><a>x</a></nav><!-- open", "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
-    assert got[1] == "Real & title\nOne two three four\nBe.\nitem\nEnd 5 < 6." and set(got.values()) == {got[1], ""}
+    assert got[1] == "Real & title\nOne two three four\nBe.\nno\nitem\nEnd 5 < 6." and set(got.values()) == {got[1], ""}
+
+
+def test_html_on_pages_of_other_layouts():
+    kept = right = wanted = 0
+    for k, p in enumerate(pages.PAGES):
+        page = html_text.read(fill(p, 1000 + k))
+        for x, b in zip(html_text.features(page), page.blocks, strict=True):
+            kept += b.words * html_text.judge(x)
+            right += b.words * html_text.judge(x) * b.within.main
+            wanted += b.words * b.within.main
+    assert len(pages.PAGES) >= 20 and right / kept >= 0.98 and right / wanted >= 0.98
+
+
+def test_html_names_of_wrappers_do_not_empty_a_page():
+    say = lambda n, k: fill(f"~{n}~", k)
+    a, b, c = say(8, 1), say(40, 2), say(60, 3)
+    for page in (
+        f'<article class="post no-comments"><h1>{a}</h1><p>{b}</p></article>',
+        f'<div class="content no-sidebar"><h1>{a}</h1><p>{b}</p><p>{c}</p></div>',
+        f'<article><div class="entry-header"><h1>{a}</h1></div><p>{b}</p></article>',
+        f'<div class="sidebar"><h1>{a}</h1><p>{b}</p><p>{c}</p></div>',
+    ):
+        assert html_text.main_text(page).split("\n")[:2] == [a, b]
+    assert html_text.main_text(f"<article><p>{b}</p><p>x <math><mi>y</mi></math> <svg><text>z</text></svg></p><p>{c}</p></article>") == f"{b}\nx y z\n{c}"
+
+
+def test_html_of_long_and_deep_pages(spark):
+    deep = "<div>" * 20_000 + "<p>" + fill("~30~", 1) + "</i>" * 20_000
+    long = "<article>" + f"<p>{fill('~30~', 2)}</p>" * 3_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", deep), (2, "u", long), (2, "u", long)], "page_id long, url string, html string")
+    got = html_text.extract(df).collect()
+    assert sorted(len(r.text.split()) for r in got) == [30, 90_000, 90_000] and all(r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(df.limit(0)).count() == 0
 
 
 # 9
@@ -363,9 +533,18 @@ def test_warc_of_a_very_long_url(spark):
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(1, 8), (2, 1)]
 
 
-def test_a_changed_archive_is_noticed(spark, tmp_path):
-    from pyspark.sql import functions as F
+def test_warc_records_have_dates_and_identifiers_of_their_own(spark, tmp_path):
+    pages_ = [(1, "http://a/é", "x" * 200), (1, "http://a/é", "x" * 200), (2, None, "x" * 200)]
+    df = spark.createDataFrame(pages_, "page_id long, url string, html string")
+    warc.write_archive(df, str(tmp_path / "a"), date="2024-05-06T07:08:09Z")
+    heads = [warc._fields(bytes(r.content).split(b"\r\n\r\n")[0]) for r in spark.read.parquet(str(tmp_path / "a")).collect()]
+    assert len({h["warc-record-id"] for h in heads}) == 3 and {h["warc-date"] for h in heads} == {"2024-05-06T07:08:09Z"}
+    got = warc.read_archive(spark.read.parquet(str(tmp_path / "a"))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.url) for r in got) == [(1, "response", None, "http://a/é")] * 2 + [(2, "revisit", 1, None)]
+    assert warc.archive_and_read(df.limit(0)).count() == 0
+
 
+def test_a_changed_archive_is_noticed(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(1, "u", "x" * 500)], "page_id long, url string, html string"), str(tmp_path / "a"))
     bad = spark.read.parquet(str(tmp_path / "a")).withColumn("content", F.replace(F.col("content").cast("string"), F.lit("xxx"), F.lit("xyx")).cast("binary"))
     with pytest.raises(Exception, match="digest"):
