@@ -1,7 +1,7 @@
-"""Running sums and lags over long orders, without putting an order into one task.
+"""Running sums, maxima and lags over long orders, without putting an order into one task.
 
-Rows are cut into chunks that follow one another (a day, a key range). Sums of chunks are summed up over a small table;
-inside a chunk a plain window does the rest.
+Rows are cut into chunks that follow one another (an hour, a key range). Values of chunks are summed up over a small table;
+inside a chunk a plain window does the rest. Keys may be null.
 """
 
 from __future__ import annotations
@@ -9,9 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOUR_US = 3_600_000_000
+
+
+def hour(column: str) -> Column:
+    """The chunk of a time: its hour."""
+    return F.floor(F.col(column) / F.lit(float(HOUR_US)))
+
 
 def _joined(df: DataFrame, sums: DataFrame, keys: list[str], chunk: str) -> DataFrame:
-    return df.join(sums, [*keys, chunk])
+    sums = sums.withColumnsRenamed({k: f"_k_{k}" for k in (*keys, chunk)})
+    on = F.lit(True)
+    for k in (*keys, chunk):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(sums, on).drop(*[f"_k_{k}" for k in (*keys, chunk)])
 
 
 def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, value: Column, name: str) -> DataFrame:
@@ -23,6 +34,15 @@ def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, value:
     return _joined(df, sums, keys, chunk).withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before")
 
 
+def running_max_before(df: DataFrame, keys: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
+    """df with the largest value of all rows before this one; chunk must not fall along the order."""
+    most = df.groupBy(*keys, chunk).agg(F.max(value).alias("_most"))
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    most = most.withColumn("_before", F.max("_most").over(before)).drop("_most")
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return _joined(df, most, keys, chunk).withColumn(name, F.greatest("_before", F.max(value).over(inside))).drop("_before")
+
+
 def lag_over(df: DataFrame, keys: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
     """df with the value of the row before; value itself must not fall along the order."""
     last = df.groupBy(*keys, chunk).agg(F.max(value).alias("_last"))

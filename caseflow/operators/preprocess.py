@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MICROS_DAY
-from .prefix import running_sum
+from .prefix import hour, lag_over, running_sum
 
 
 def split(log: DataFrame, ratio: float = 0.8) -> DataFrame:
@@ -46,11 +46,15 @@ def heuristic_concurrency(log: DataFrame, df: float = 0.75, l2l: float = 0.9, l1
     return scored.withColumn("concurrent", (F.abs("dep") < df) & (F.col("l2l") < l2l) & (F.col("l1l") < l1l))
 
 
-def overlaps(log: DataFrame) -> DataFrame:
-    """(c, eid, other, a, b): pairs of events of a case that overlap in time, each once; a <= b."""
-    x = log.select("c", "eid", "a", "s", "e").alias("x")
-    y = log.select("c", "eid", "a", "s", "e").alias("y")
-    on = (F.col("x.c") == F.col("y.c")) & (F.col("x.eid") < F.col("y.eid")) & (F.col("x.s") < F.col("y.e")) & (F.col("y.s") < F.col("x.e"))
+def overlaps(log: DataFrame, bucket_us: int = 6 * 3_600_000_000) -> DataFrame:
+    """(c, eid, other, a, b): pairs of events of a case that overlap in time, each once; a <= b.
+
+    Events are cut into buckets of time and meet only there; a pair counts in the bucket where its overlap begins."""
+    bucket = lambda c: F.floor(c / F.lit(float(bucket_us)))
+    cut = log.filter("s <= e").select("c", "eid", "a", "s", "e", F.explode(F.sequence(bucket(F.col("s")), bucket(F.col("e")))).alias("k"))
+    x, y = cut.alias("x"), cut.alias("y")
+    on = (F.col("x.c") == F.col("y.c")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.eid") < F.col("y.eid")) & (F.col("x.s") < F.col("y.e")) & (F.col("y.s") < F.col("x.e"))
+    on = on & (F.col("x.k") == bucket(F.greatest("x.s", "y.s")))
     return x.join(y, on).select("x.c", "x.eid", F.col("y.eid").alias("other"), F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
 
 
@@ -68,25 +72,29 @@ def enabled_times(log: DataFrame, concurrent: DataFrame) -> DataFrame:
     """(eid, enabled_us): the latest end, in the case, of an activity not concurrent with the event's; none: its start.
     An event of no length enables later starts only.
 
-    concurrent: (a, b) pairs, a < b. Each start asks every activity of the log that may enable it; starts and ends of a
-    case and activity then lie on one axis and a running maximum answers, so the work grows with events, not pairs.
+    concurrent: (a, b) pairs, a < b. Starts and ends of a case lie on one axis, two rows an event, and a running maximum
+    of the ends of each activity answers all starts in one pass. The names of activities and the pairs, the vocabulary of a
+    process and not of its events, are read first.
     """
-    names = log.select("a").distinct()
-    either = concurrent.select("a", "b").unionByName(concurrent.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # one row for each pair of activities that are not concurrent: the vocabulary of a process, not of its events
-    ask = names.crossJoin(names.select(F.col("a").alias("b"))).join(either, ["a", "b"], "left_anti")
-    starts = log.join(ask, "a").select("c", "b", F.col("s").alias("t"), F.lit(1).alias("kind"), "eid", F.lit(None).cast("long").alias("end"))
-    ends = log.select("c", F.col("a").alias("b"), F.col("e").alias("t"), F.when(F.col("s") < F.col("e"), 0).otherwise(2).alias("kind"), "eid", F.col("e").alias("end"))
-    w = Window.partitionBy("c", "b").orderBy("t", "kind", "eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = starts.unionByName(ends).withColumn("last", F.max("end").over(w)).filter("kind = 1").groupBy("eid").agg(F.max("last").alias("last"))
-    return log.select("eid", "s").join(found, "eid", "left").select("eid", F.coalesce("last", "s").alias("enabled_us"))
+    names = sorted(x.a for x in log.select("a").distinct().collect() if x.a is not None)
+    beside: dict[str, list[str]] = {k: [] for k in names}
+    for x in concurrent.select("a", "b").collect():
+        beside.setdefault(x.a, []).append(x.b), beside.setdefault(x.b, []).append(x.a)
+    mark = lambda t, kind, end: F.struct(t.alias("t"), kind.alias("kind"), end.alias("end"))
+    none = F.lit(None).cast("long")
+    both = F.array(mark(F.col("s"), F.lit(1), none), mark(F.col("e"), F.when(F.col("s") < F.col("e"), 0).otherwise(2), F.col("e")))
+    marks = log.select("c", "a", "s", "eid", F.explode(both).alias("m")).select("c", "a", "s", "eid", "m.*")
+    w = Window.partitionBy("c").orderBy("t", "kind", "eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.max(F.when(F.col("a") == k, F.col("end"))).over(w).alias(f"_{n}") for n, k in enumerate(names)]
+    ask = [F.when(~F.col("a").isin(beside[k]) if beside[k] else F.col("a").isNotNull(), F.col(f"_{n}")) for n, k in enumerate(names)]
+    return marks.select("*", *last).filter("kind = 1").select("eid", F.coalesce(F.greatest(none, none, *ask), F.col("s")).alias("enabled_us"))
 
 
 def estimated_starts(log: DataFrame) -> DataFrame:
     """(eid, start_us) from ends alone: the later of the last end of the case and of the resource, else the own end."""
-    case, resource = (Window.partitionBy(k).orderBy("e", "eid") for k in ("c", "r"))
-    before = F.greatest(F.lag("e").over(case), F.lag("e").over(resource))
-    return log.select("eid", F.least(F.coalesce(before, F.col("e")), F.col("e")).alias("start_us"))
+    rows = lag_over(log.select("eid", "c", "r", "e").withColumn("_hour", hour("e")), ["r"], "_hour", ["e", "eid"], "e", "_free")
+    before = F.greatest(F.lag("e").over(Window.partitionBy("c").orderBy("e", "eid")), F.col("_free"))
+    return rows.select("eid", F.least(F.coalesce(before, F.col("e")), F.col("e")).alias("start_us"))
 
 
 def multitask_adjust(log: DataFrame) -> DataFrame:
@@ -95,16 +103,16 @@ def multitask_adjust(log: DataFrame) -> DataFrame:
     The share is a difference of two values of one running integral of 1 / (events at work), so no interval is joined
     with another; integrals run over days first.
     """
-    day = F.floor(F.col("t") / F.lit(float(MICROS_DAY)))
     marks = log.select("r", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("m"))
-    points = marks.groupBy("r", F.col("m.t").alias("t")).agg(F.sum("m.d").alias("d")).withColumn("day", day)
-    active = running_sum(points, ["r"], "day", ["t"], F.col("d"), "k")
-    first = active.groupBy("r", "day").agg(F.min("t").alias("first"))
-    first = first.withColumn("next_day", F.lead("first").over(Window.partitionBy("r").orderBy("day"))).drop("first")
-    after = F.coalesce(F.lead("t").over(Window.partitionBy("r", "day").orderBy("t")), F.col("next_day"))
-    spans = active.join(first, ["r", "day"]).withColumn("piece", F.when(F.col("k") > 0, (after - F.col("t")) / F.col("k")).otherwise(F.lit(0.0)))
-    spans = spans.withColumn("piece", F.coalesce("piece", F.lit(0.0)))
-    so_far = running_sum(spans, ["r"], "day", ["t"], F.col("piece"), "upto").select("r", "t", (F.col("upto") - F.col("piece")).alias("area"))
-    at = lambda t, name: so_far.select("r", F.col("t").alias(t), F.col("area").alias(name))
-    out = log.select("eid", "r", "s", "e").join(at("s", "from"), ["r", "s"]).join(at("e", "to"), ["r", "e"])
-    return out.select("eid", (F.col("to") - F.col("from")).alias("worked_us"))
+    points = marks.groupBy("r", F.col("m.t").alias("t")).agg(F.sum("m.d").alias("d")).withColumn("hour", hour("t"))
+    active = running_sum(points, ["r"], "hour", ["t"], F.col("d"), "k")
+    first = active.groupBy("r", "hour").agg(F.min("t").alias("first"))
+    first = first.select(F.col("r").alias("_r"), F.col("hour").alias("_hour"), F.lead("first").over(Window.partitionBy("r").orderBy("hour")).alias("next"))
+    after = F.coalesce(F.lead("t").over(Window.partitionBy("r", "hour").orderBy("t")), F.col("next"))
+    spans = active.join(first, F.col("r").eqNullSafe(F.col("_r")) & (F.col("hour") == F.col("_hour"))).drop("_r", "_hour")
+    spans = spans.withColumn("piece", F.coalesce(F.when(F.col("k") > 0, (after - F.col("t")) / F.col("k")), F.lit(0.0)))
+    so_far = running_sum(spans, ["r"], "hour", ["t"], F.col("piece"), "upto").select(F.col("r").alias("_r"), "t", (F.col("upto") - F.col("piece")).alias("area"))
+    # every event has two marks, and its share is the area at its end less that at its start
+    ends = log.select("eid", "r", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("e").alias("t"), F.lit(1).alias("sign")))).alias("m")).select("eid", "r", F.col("m.t").alias("at"), "m.sign")
+    met = ends.join(so_far, F.col("r").eqNullSafe(F.col("_r")) & (F.col("at") == F.col("t")))
+    return met.groupBy("eid").agg(F.sum(F.col("sign") * F.col("area")).alias("worked_us"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import hour, running_max_before, running_sum
+
 TEN_MINUTES = 600_000_000
 
 
@@ -13,11 +15,11 @@ def batch_sessions(log: DataFrame, gap_us: int = TEN_MINUTES, least: int = 3) ->
 
     kind: parallel if all members share start and end, concurrent if any overlap, else sequential.
     """
-    w = Window.partitionBy("a", "r").orderBy("s", "e", "eid")
-    so_far = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(so_far.isNull() | (F.col("s") - so_far > gap_us), 1).otherwise(0)
-    rows = log.withColumn("over", (F.col("s") < so_far).cast("int")).withColumn("new", new)
-    rows = rows.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    order = ["s", "e", "eid"]
+    rows = running_max_before(log.select("eid", "a", "r", "s", "e").withColumn("_hour", hour("s")), ["a", "r"], "_hour", order, "e", "so_far")
+    new = F.when(F.col("so_far").isNull() | (F.col("s") - F.col("so_far") > gap_us), 1).otherwise(0)
+    rows = rows.withColumn("over", (F.col("s") < F.col("so_far")).cast("int")).withColumn("new", new)
+    rows = running_sum(rows, ["a", "r"], "_hour", order, F.col("new"), "session")
     kinds = rows.groupBy("a", "r", "session").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.when(F.col("new") == 1, 0).otherwise(F.col("over"))).alias("any_over"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("e").alias("e0"), F.max("e").alias("e1")
     )
@@ -75,30 +77,36 @@ def priority_scores(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     return out.withColumn("level", F.dense_rank().over(Window.orderBy(F.desc("score"))))
 
 
+def _stack(columns: list[str], value) -> Column:
+    """A row a column: its name and what `value` gives for its place."""
+    return F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), value(k)) for k, n in enumerate(columns)])).alias("x")
+
+
 def case_attribute_scores(log: DataFrame, columns: list[str], least: float = 0.95) -> DataFrame:
     """(attribute, cases, constant, share, is_case): in how many cases a column has one value."""
-    names = F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(n).cast("string").alias("v")) for n in columns]))
-    per = log.select("c", names.alias("x")).groupBy("x.attribute", "c").agg((F.min("x.v").eqNullSafe(F.max("x.v")) & (F.count("x.v") == F.count(F.lit(1)))).cast("int").alias("one"))
-    out = per.groupBy("attribute").agg(F.count(F.lit(1)).alias("cases"), F.sum("one").alias("constant"))
+    one = lambda n: F.min(n).eqNullSafe(F.max(n)) & (F.count(n) == F.count(F.lit(1)))
+    per = log.groupBy("c").agg(*[one(n).cast("int").alias(f"_{k}") for k, n in enumerate(columns)])
+    sums = per.agg(F.count(F.lit(1)).alias("cases"), *[F.sum(f"_{k}").alias(f"_{k}") for k in range(len(columns))])
+    out = sums.select("cases", _stack(columns, lambda k: F.col(f"_{k}").alias("constant"))).select("x.attribute", "cases", "x.constant").filter("cases > 0")
     return out.select("attribute", "cases", "constant", F.round(F.col("constant") / F.col("cases"), 6).alias("share"), (F.col("constant") / F.col("cases") >= least).alias("is_case"))
 
 
 def event_attribute_scores(log: DataFrame, columns: list[str]) -> DataFrame:
     """(attribute, a, events, changes, share): how often an activity changes the value of a column within its case."""
-    names = F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(n).cast("string").alias("v")) for n in columns]))
-    rows = log.select("c", "a", "e", "eid", names.alias("x")).select("c", "a", "e", "eid", "x.attribute", "x.v")
-    before = F.lag("v").over(Window.partitionBy("attribute", "c").orderBy("e", "eid"))
-    rows = rows.withColumn("changed", F.when(before.isNotNull(), (before != F.col("v")).cast("int")).otherwise(0))
-    out = rows.groupBy("attribute", "a").agg(F.count(F.lit(1)).alias("events"), F.sum("changed").alias("changes"))
+    before = lambda n: F.lag(F.col(n).cast("string")).over(Window.partitionBy("c").orderBy("e", "eid"))
+    changed = lambda n: F.when(before(n).isNotNull(), (before(n) != F.col(n).cast("string")).cast("int")).otherwise(0)
+    rows = log.select("a", *[changed(n).alias(f"_{k}") for k, n in enumerate(columns)])
+    sums = rows.groupBy("a").agg(F.count(F.lit(1)).alias("events"), *[F.sum(f"_{k}").alias(f"_{k}") for k in range(len(columns))])
+    out = sums.select("a", "events", _stack(columns, lambda k: F.col(f"_{k}").alias("changes"))).select("x.attribute", "a", "events", "x.changes")
     return out.select("attribute", "a", "events", "changes", F.round(F.col("changes") / F.col("events"), 6).alias("share"))
 
 
 def global_attribute_scores(log: DataFrame, columns: list[str], bin_us: int = 3_600_000_000) -> DataFrame:
     """(attribute, windows, agreeing, share): in how many hours all cases see one value, as a value of global time would
     have it; hours with one event tell nothing."""
-    names = F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(n).cast("string").alias("v")) for n in columns]))
-    per = log.select(F.floor(F.col("e") / F.lit(float(bin_us))).alias("h"), names.alias("x")).groupBy("x.attribute", "h").agg(F.count(F.lit(1)).alias("n"), (F.min("x.v") == F.max("x.v")).cast("int").alias("one"))
-    out = per.filter("n > 1").groupBy("attribute").agg(F.count(F.lit(1)).alias("windows"), F.sum("one").alias("agreeing"))
+    per = log.groupBy(F.floor(F.col("e") / F.lit(float(bin_us))).alias("h")).agg(F.count(F.lit(1)).alias("n"), *[(F.min(n) == F.max(n)).cast("int").alias(f"_{k}") for k, n in enumerate(columns)])
+    sums = per.filter("n > 1").agg(F.count(F.lit(1)).alias("windows"), *[F.sum(f"_{k}").alias(f"_{k}") for k in range(len(columns))])
+    out = sums.select("windows", _stack(columns, lambda k: F.col(f"_{k}").alias("agreeing"))).select("x.attribute", "windows", "x.agreeing").filter("windows > 0")
     return out.select("attribute", "windows", "agreeing", F.round(F.col("agreeing") / F.col("windows"), 6).alias("share"))
 
 
@@ -146,8 +154,8 @@ def with_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
 def waiting(log: DataFrame, enabled: DataFrame) -> DataFrame:
     """(eid, a, wait_us, resource_wait_us, extraneous_us): the wait of an event, the part in which its resource was at
     work, and what is left over."""
-    w = Window.partitionBy("r").orderBy("s", "e", "eid").rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumn("free", F.max("e").over(w)).join(enabled, "eid")
+    rows = log.select("eid", "a", "r", "s", "e").withColumn("_hour", hour("s"))
+    rows = running_max_before(rows, ["r"], "_hour", ["s", "e", "eid"], "e", "free").join(enabled, "eid")
     en = F.least("enabled_us", "s")
     ready = F.least(F.greatest(en, F.coalesce("free", en)), "s")
     return rows.select("eid", "a", (F.col("s") - en).alias("wait_us"), (ready - en).alias("resource_wait_us"), (F.col("s") - ready).alias("extraneous_us"))
