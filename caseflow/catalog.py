@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import calendars, distances, preprocess, rules, traces, variants_distance
-from .plans import discovery, simulate, tuner
+from .plans import discovery, rules_json, simulate, tuner
 from .sources import bpmn, logs
 from .sources.logs import events_log, orders_log
 from .streaming import incremental
@@ -58,6 +58,14 @@ def dfg_with_gap(spark, d):
     return traces.dfg_with_gap(events_log(spark, d))
 
 
+@query(
+    f"WITH {LOG}, y AS (SELECT y.eid, max(z.s) AS latest FROM l y JOIN l z ON z.c = y.c AND z.eid <> y.eid AND z.e <= y.s AND (z.s < z.e OR z.e < y.s) GROUP BY y.eid) "
+    "SELECT x.a, l.a AS b, count(*) AS n FROM y JOIN l USING (eid) JOIN l x ON x.c = l.c AND x.eid <> l.eid AND (x.e < l.s OR x.e = l.s AND x.s < x.e) AND (x.e > latest OR x.e = latest AND x.s = x.e) GROUP BY 1, 2"
+)
+def interval_follows(spark, d):
+    return traces.interval_follows(events_log(spark, d))
+
+
 def _grams(n: int) -> str:
     pads = " UNION ALL ".join([f"SELECT DISTINCT c, side, -1e18::DOUBLE AS t, {-j} AS i, '<' AS a FROM l" for j in range(1, n)] + [f"SELECT DISTINCT c, side, 1e18::DOUBLE, {j}, '>' FROM l" for j in range(1, n)])
     cols = ", ".join(f"lag(a, {n - 1 - k}) OVER w AS g{k + 1}" for k in range(n))
@@ -307,7 +315,10 @@ def pool_profiles(spark, d):
     return calendars.profile_correlations(events_log(spark, d))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {LOG}, {_VEC}, z AS (SELECT x.r, y.r AS q, round(corr(x.n, y.n), 6) AS k FROM ve x JOIN ve y ON x.a = y.a AND x.r <> y.r GROUP BY 1, 2), "
+    "re AS (SELECT DISTINCT r, r AS q FROM l UNION SELECT re.r, z.q FROM re JOIN z ON z.r = re.q WHERE z.k > 0.5e0) SELECT r, min(q) AS pool FROM re GROUP BY r"
+)
 def resource_pools(spark, d):
     return calendars.pools(events_log(spark, d))
 
@@ -317,12 +328,40 @@ def performance_moments(spark, d):
     return calendars.performance(events_log(spark, d), ["a", "r"])
 
 
-@query()
+def _best(source: str) -> str:
+    """The SQL of calendars.best_distribution over rows (k, v) of a table."""
+    qs, z = calendars.QUANTILES, calendars.NORMAL
+    mode = "least(greatest(3 * m - lo - hi, lo), hi)"
+    cut = f"(({mode}) - lo) / greatest(hi - lo, 1e-9)"
+    sigma = "ln(1 + s * s / greatest(m * m, 1e-9))"
+    families = {
+        "fix": ["m" for _ in qs],
+        "uniform": [f"lo + (hi - lo) * {p}e0" for p in qs],
+        "expon": [f"lo - (m - lo) * ln(1 - {p}e0)" for p in qs],
+        "norm": [f"m + s * {t}e0" for t in z],
+        "triang": [f"CASE WHEN {p}e0 < {cut} THEN lo + sqrt({p}e0 * (hi - lo) * ({mode} - lo)) ELSE hi - sqrt((1 - {p}e0) * (hi - lo) * (hi - {mode})) END" for p in qs],
+        "lognorm": [f"exp(ln(greatest(m, 1e-9)) - {sigma} / 2 + sqrt({sigma}) * {t}e0)" for t in z],
+    }
+    rows = " UNION ALL ".join(
+        f"SELECT k, m, s, {nth} AS nth, '{name}' AS family, round((" + " + ".join(f"abs(q[{i + 1}] - ({x}))" for i, x in enumerate(xs)) + f") / {len(xs)}e0, 9) AS error FROM bx"
+        for nth, (name, xs) in enumerate(families.items())
+    )
+    return f"""bx AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s, min(v) AS lo, max(v) AS hi, quantile_cont(v, [{", ".join(f"{p}e0" for p in qs)}]) AS q FROM {source} GROUP BY k),
+bf AS ({rows}), bd AS (SELECT * FROM bf QUALIFY row_number() OVER (PARTITION BY k ORDER BY error, nth) = 1)"""
+
+
+_SECONDS = "sec AS (SELECT a AS k, floor((e - s) / 1e6)::DOUBLE AS v FROM l)"
+
+
+@query(f"WITH {LOG}, {_SECONDS}, {_best('sec')} SELECT k AS a, family, round(m, 4) AS mean, round(s, 4) AS std, round(error, 4) AS error FROM bd")
 def best_distribution(spark, d):
     return calendars.best_distribution(events_log(spark, d))
 
 
-@query()
+@query(
+    f"WITH {LOG}, {_SECONDS}, mi AS (SELECT DISTINCT a FROM l WHERE a NOT IN (SELECT a FROM l WHERE r < 3 AND a <> 'error')), {_best('sec')} "
+    "SELECT mi.a, re.r, coalesce(family, 'fix') AS family, coalesce(round(m, 4), 1e0) AS mean FROM mi LEFT JOIN bd ON bd.k = mi.a CROSS JOIN (SELECT DISTINCT r FROM l) re"
+)
 def missing_activities_repair(spark, d):
     log = events_log(spark, d)
     known = log.filter("r < 3 AND a <> 'error'").select("a")
@@ -453,6 +492,45 @@ def rule_filter(spark, d):
     return events_log(spark, d).filter(rule).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Rules as JSON and back
+
+def _conditions(rows: str, keys: str) -> str:
+    """Alternatives of one condition each, numbered in their order, of a table (keys, attribute, comparison, value)."""
+    return f"SELECT {keys}, (row_number() OVER (PARTITION BY {keys} ORDER BY attribute, comparison, value) - 1)::INT AS alternative, 0 AS nth, attribute, comparison, value FROM {rows}"
+
+
+_SCORES = "v AS (SELECT eid, (c % 4)::BIGINT AS v FROM l), pt AS (SELECT x.v AS win, y.v AS lose FROM ot JOIN v x ON x.eid = ot.eid JOIN v y ON y.eid = ot.over WHERE x.v <> y.v), pu AS (SELECT win AS v, 1 AS w FROM pt UNION ALL SELECT lose, 0 FROM pt), ps AS (SELECT v AS value, round(sum(w)::DOUBLE / count(*), 6) AS score FROM pu GROUP BY v), pl AS (SELECT value, dense_rank() OVER (ORDER BY score DESC)::INT AS level FROM ps)"
+
+
+@query(f"WITH {LOG}, {_ENABLED}, {_TAKES}, {_SCORES}, z AS (SELECT level AS priority_level, 'value' AS attribute, '=' AS comparison, value::VARCHAR AS value FROM pl) {_conditions('z', 'priority_level')}")
+def priority_rules_json(spark, d):
+    return rules_json.conditions_of(rules_json.priority_json(priority_rules(spark, d)), rules_json.PRIORITY, "rules", "priority_level")
+
+
+@query(f"WITH {LOG}, {_CHOICE}, {_BRANCH}, z AS (SELECT gateway || '_' || path AS id, attribute, '=' AS comparison, value FROM br WHERE f >= 0.1e0 AND value IS NOT NULL) {_conditions('z', 'id')}")
+def branch_rules_json(spark, d):
+    found = rules.branch_rules(_choices(events_log(spark, d)), ["r", "hour"], 0.1)
+    return rules_json.conditions_of(rules_json.branch_json(found), rules_json.BRANCH, "rules", "id")
+
+
+_FIRED = "fy AS (SELECT a, size, unnest(range(2, 7))::INT AS threshold FROM bk), fz AS (SELECT a, threshold, sum((size >= threshold)::INT) AS hit, sum((size >= threshold AND size >= 3)::INT) AS good FROM fy GROUP BY a, threshold), fr2 AS (SELECT a AS task_id, 'batch_size' AS attribute, '>=' AS comparison, threshold::VARCHAR AS value FROM fz WHERE round(good::DOUBLE / nullif(hit, 0), 6) >= 0.9e0)"
+
+
+def _batch_json(spark, d) -> DataFrame:
+    runs = rules.batch_sessions(events_log(spark, d))
+    return rules_json.batch_json(rules.firing_rules(runs.select("a", "r", "session", "size").distinct()), rules.batch_sizes(runs))
+
+
+@query(f"WITH {LOG}, {_BATCH}, {_FIRED} {_conditions('fr2', 'task_id')}")
+def batch_rules_json(spark, d):
+    return rules_json.conditions_of(_batch_json(spark, d), rules_json.BATCH, "firing_rules", "task_id")
+
+
+@query(f"WITH {LOG}, {_BATCH}, {_FIRED}, y AS (SELECT a, r, session, size FROM bk), z AS (SELECT a AS task_id, size::VARCHAR AS key, count(*)::DOUBLE AS value FROM y GROUP BY a, size) SELECT * FROM z WHERE task_id IN (SELECT task_id FROM fr2)")
+def batch_sizes_json(spark, d):
+    return rules_json.distribution_of(_batch_json(spark, d), "size_distrib")
+
+
 # Waiting times
 
 _WAIT = "fr AS (SELECT l.*, max(e) OVER (PARTITION BY r ORDER BY s, e, eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS free FROM l), wt AS (SELECT f.eid, a, s, least(enabled_us, s) AS en, least(greatest(least(enabled_us, s), coalesce(free, least(enabled_us, s))), s) AS ready FROM fr f JOIN en USING (eid))"
@@ -501,6 +579,14 @@ def mapped_activities(spark, d):
     return rules.map_column(events_log(spark, d), "a", {"click": "C", "view": "V"}).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {LOG}, x AS (SELECT r, count(*) AS n, min(c) AS c FROM l GROUP BY r), y AS (SELECT r, unnest(['n', 'c', 'last']) AS key, unnest([n, -c, r]) AS value FROM x) SELECT * FROM y")
+def merged_maps(spark, d):
+    """Two maps a resource, united; the right one has the last word."""
+    x = events_log(spark, d).groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"))
+    left, right = F.create_map(F.lit("n"), F.col("n"), F.lit("c"), F.col("c")), F.create_map(F.lit("c"), -F.col("c"), F.lit("last"), F.col("r"))
+    return x.select("r", F.explode(scalars.merged(left, right)).alias("key", "value"))
+
+
 # Discovery, variants, tuning, simulation
 
 _PRUNE = f"{STEPS}, df AS (SELECT a, b, count(*) AS n FROM x WHERE b IS NOT NULL AND a <> b GROUP BY a, b), ed AS (SELECT p.a, p.b, p.n, coalesce(q.n, 0) AS m FROM df p LEFT JOIN df q ON p.a = q.b AND p.b = q.a), fl AS (SELECT *, m > 0 AND abs(n - m)::DOUBLE / (n + m) < 0.05e0 AS concurrent FROM ed), mx AS (SELECT *, max(CASE WHEN NOT concurrent THEN n END) OVER (PARTITION BY a) AS o, max(CASE WHEN NOT concurrent THEN n END) OVER (PARTITION BY b) AS i FROM fl)"
@@ -511,12 +597,25 @@ def pruned_graph(spark, d):
     return discovery.pruned_graph(events_log(spark, d), discovery.Miner(epsilon=0.05)).withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
-@query()
+_FLOWS = f"""{_PRUNE}, fe AS (SELECT a, lag(a) OVER w IS NULL AS first, lead(a) OVER w IS NULL AS last FROM l WINDOW w AS (PARTITION BY c ORDER BY e, eid)),
+eg AS (SELECT a, b FROM mx WHERE NOT concurrent AND (n = o OR n = i OR (n >= 0.4e0 * o AND n >= 0.4e0 * i)) UNION SELECT 'start', a FROM fe WHERE first UNION SELECT a, 'end' FROM fe WHERE last),
+sp AS (SELECT a, 'split_' || a AS id FROM eg GROUP BY a HAVING count(*) > 1), jn AS (SELECT b, 'join_' || b AS id FROM eg GROUP BY b HAVING count(*) > 1),
+pg AS (SELECT coalesce(sp.id, eg.a) AS source, coalesce(jn.id, eg.b) AS target FROM eg LEFT JOIN sp USING (a) LEFT JOIN jn USING (b) UNION SELECT a, id FROM sp UNION SELECT id, b FROM jn),
+pf AS (SELECT source || '__' || target AS id, source, target FROM pg)"""
+
+
+@query(f"WITH {LOG}, {_FLOWS} SELECT * FROM pf")
 def process_graph(spark, d):
     return discovery.process_graph(events_log(spark, d), discovery.Miner(epsilon=0.05))[1]
 
 
-@query()
+_TIMED = _FLOWS.removeprefix(STEPS + ", ")
+
+
+@query(
+    f"WITH {LOG}, {_ENABLED}, {_WAIT}, {_TIMED}, ti AS (SELECT DISTINCT a AS task, 'timer_' || substr(sha256(a), 1, 16) AS timer FROM wt WHERE s > ready) "
+    "SELECT id, source, coalesce(timer, target) AS target FROM pf LEFT JOIN ti ON task = target UNION ALL SELECT 'flow_' || substr(sha256(timer), 1, 16), timer, task FROM ti"
+)
 def process_graph_with_timers(spark, d):
     log = events_log(spark, d)
     nodes, flows = discovery.process_graph(log, discovery.Miner(epsilon=0.05))
@@ -527,12 +626,12 @@ def process_graph_with_timers(spark, d):
 _CODES = "co AS (SELECT a, chr((row_number() OVER (ORDER BY a) + 64)::INT) AS code FROM (SELECT DISTINCT a FROM l)), tr AS (SELECT c, string_agg(code, '' ORDER BY e, eid) AS t FROM l JOIN co USING (a) GROUP BY c)"
 
 
-@query(f"WITH {LOG}, {_CODES}, y AS (SELECT x.c, y.c AS other, substr(x.t, 1, 40) AS x, substr(y.t, 1, 40) AS y FROM tr x JOIN tr y ON y.c = x.c + 1) SELECT c, other, damerau_levenshtein(x, y)::BIGINT AS steps FROM y")
+@query(f"WITH {LOG}, {_CODES}, y AS (SELECT x.c, y.c AS other, x.t AS x, y.t AS y FROM tr x JOIN tr y ON y.c = x.c + 1) SELECT c, other, damerau_levenshtein(x, y)::BIGINT AS steps FROM y")
 def variant_distances(spark, d):
-    """Each case against the next by number, over the first 40 activities (the distance is quadratic in length)."""
-    t = variants_distance.coded_traces(events_log(spark, d)).withColumn("t", F.substring("trace", 1, 40))
+    """Each case against the next by number, over whole traces."""
+    t = variants_distance.coded_traces(events_log(spark, d))
     x, y = t.alias("x"), t.alias("y")
-    pairs = x.join(y, F.col("y.c") == F.col("x.c") + 1).select(F.col("x.c").alias("c"), F.col("y.c").alias("other"), F.col("x.t").alias("x"), F.col("y.t").alias("y"))
+    pairs = x.join(y, F.col("y.c") == F.col("x.c") + 1).select(F.col("x.c").alias("c"), F.col("y.c").alias("other"), F.col("x.trace").alias("x"), F.col("y.trace").alias("y"))
     return variants_distance.pair_distances(pairs).select("c", "other", "steps")
 
 
@@ -545,7 +644,7 @@ def variant_pair_distances(spark, d):
 
 @query()
 def control_flow_distance(spark, d):
-    return variants_distance.control_flow_distance(sided(spark, d), most=60)
+    return variants_distance.control_flow_distance(sided(spark, d))
 
 
 _TRIALS = f"""{_GATE.replace('gw AS', 'gx AS')}, z AS ({_SPLIT} (SELECT c, min(s) AS f, count(*) AS n FROM l GROUP BY c)), xs AS (SELECT x.*, train FROM x JOIN z USING (c) WHERE b IS NOT NULL),
@@ -590,6 +689,24 @@ def metric_means(spark, d):
     return _trials(spark, d).groupBy("metric").agg(F.round(F.avg("distance"), 6).alias("mean"))
 
 
+@query(f"WITH {LOG}, {_TRIALS} SELECT metric, trial, distance, row_number() OVER (PARTITION BY metric ORDER BY distance, trial)::INT AS place FROM ls")
+def measurements_sorted(spark, d):
+    """Measurements of each metric in rising order, with their place."""
+    return _trials(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy("distance", "trial")))
+
+
+@query(f"WITH {LOG}, {_TRIALS} SELECT metric, arg_min(trial, trial) AS first, min(distance) AS least, max(distance) AS most FROM ls GROUP BY metric")
+def measurements_by_group(spark, d):
+    return _trials(spark, d).groupBy("metric").agg(F.min_by("trial", "trial").alias("first"), F.min("distance").alias("least"), F.max("distance").alias("most"))
+
+
+@query(f"WITH {LOG}, {_TRIALS}, t AS (SELECT trial, round(avg(distance), 7) AS loss FROM ls GROUP BY trial) SELECT trial, loss, trial / 5e0 AS eta FROM t ORDER BY loss, trial LIMIT 1")
+def best_trial_parameters(spark, d):
+    """The best trial with the parameters that are kept of it."""
+    kept = spark.range(0, 6).select(F.col("id").cast("int").alias("trial"), (F.col("id") / 5).alias("eta"))
+    return tuner.best_trial(tuner.response(_trials(spark, d))).join(kept, "trial").select("trial", "loss", "eta")
+
+
 @query()
 def simulated_log(spark, d):
     log = events_log(spark, d)
@@ -603,15 +720,6 @@ def simulate_and_evaluate(spark, d):
     return simulate.measure(sim.cache(), log, ["3_gram", "absolute_event_distribution", "cycle_time_distribution"], runs=2)
 
 
-@query()
-def tune(spark, d):
-    """Thresholds of the pruned graph, searched by their loss on the validation cases."""
-    losses = {x.trial: x.loss for x in tuner.response(_trials(spark, d)).collect()}
-    search = tuner.Tuner({"eta": (0.0, 1.0)}, warm_up=5)
-    search.run(lambda p: losses[round(p["eta"] * 5)], iterations=12)
-    return search.table(spark).select("trial", "status", "loss", F.element_at("params", "eta").cast("double").alias("eta"))
-
-
 @query("SELECT (isodow(ts) - 1)::INT AS w, hour(ts)::INT AS h, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_circadian(spark, d):
     """The histogram of weekdays and hours as a stream keeps it, after all files have come."""

@@ -58,6 +58,18 @@ def firing_name(attribute: Column, back: bool = False) -> Column:
     return F.element_at(F.create_map(*map(F.lit, pairs)), attribute)
 
 
+def merged(left: Column, right: Column) -> Column:
+    """The union of two maps; where both have a key, right wins."""
+    kept = F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))
+    return F.map_from_entries(F.concat(F.map_entries(kept), F.map_entries(right)))
+
+
+def process_name(path: str) -> str:
+    """A file's name without any of its suffixes."""
+    name = path.replace("\\", "/").rsplit("/", 1)[-1]
+    return name.split(".", 1)[0] if not name.startswith(".") else name
+
+
 def pairs_of(distribution: Column) -> Column:
     """A map as an array of (key, value)."""
     return F.map_entries(distribution)

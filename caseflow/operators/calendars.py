@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import statistics
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MICROS_DAY
-from .prefix import lag_over
+from ..runtime import discard, stored
+from .prefix import hour, lag_over
 
 MINUTE = 60_000_000
 
@@ -14,8 +18,8 @@ MINUTE = 60_000_000
 def interarrivals(log: DataFrame) -> DataFrame:
     """(c, arrival_us, gap_us): cases by their start, with the gap since the case before."""
     cases = log.groupBy("c").agg(F.min("s").alias("arrival_us"))
-    cases = cases.withColumn("_day", F.floor(F.col("arrival_us") / F.lit(float(MICROS_DAY))))
-    return lag_over(cases, [], "_day", ["arrival_us", "c"], "arrival_us", "_last").select("c", "arrival_us", (F.col("arrival_us") - F.col("_last")).alias("gap_us"))
+    cases = cases.withColumn("_hour", hour("arrival_us"))
+    return lag_over(cases, [], "_hour", ["arrival_us", "c"], "arrival_us", "_last").select("c", "arrival_us", (F.col("arrival_us") - F.col("_last")).alias("gap_us"))
 
 
 def moments(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
@@ -121,20 +125,21 @@ def profile_correlations(log: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.select("r", "q", c.alias("correlation"), F.coalesce(c > threshold, F.lit(False)).alias("linked"))
 
 
-def pools(log: DataFrame, threshold: float = 0.5, rounds: int = 32) -> DataFrame:
-    """(r, pool): components of linked resources, named by their smallest. Resources are few: one row each."""
-    links = profile_correlations(log, threshold).filter("linked").select("r", "q").cache()
+def pools(log: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(r, pool): components of linked resources, named by their smallest, however long the chains are. Resources are few:
+    one row each. A round takes the smallest label around a resource, and that of the label's own resource."""
+    links = stored(profile_correlations(log, threshold).filter("linked").select("r", "q"))
     ways = links.unionByName(links.select(F.col("q").alias("r"), F.col("r").alias("q")))
-    label = log.select("r").distinct().withColumn("pool", F.col("r"))
-    last = None
-    for _ in range(rounds):
-        near = ways.join(label.withColumnRenamed("r", "q"), "q").groupBy("r").agg(F.min("pool").alias("near"))
-        label = label.join(near, "r", "left").select("r", F.least("pool", F.coalesce("near", "pool")).alias("pool")).cache()
-        total = label.agg(F.sum("pool")).collect()[0][0]
-        if total == last:
-            break
-        last = total
-    return label
+    label = stored(log.select("r").filter("r IS NOT NULL").distinct().withColumn("pool", F.col("r")))
+    while True:
+        near = ways.join(label.select(F.col("r").alias("q"), "pool"), "q").groupBy("r").agg(F.min("pool").alias("near"))
+        step = label.join(near, "r", "left").select("r", "pool", F.least("pool", F.coalesce("near", "pool")).alias("near"))
+        jump = label.select(F.col("r").alias("near"), F.col("pool").alias("far"))
+        new = stored(step.join(jump, "near").select("r", F.least("near", "far").alias("pool"), (F.least("near", "far") < F.col("pool")).alias("moved")))
+        discard(label)
+        label = new.select("r", "pool")
+        if new.filter("moved").limit(1).count() == 0:
+            return label
 
 
 def performance(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,7 +147,9 @@ def performance(log: DataFrame, keys: list[str]) -> DataFrame:
     return moments(log, F.floor((F.col("e") - F.col("s")) / F.lit(1e6)), keys)
 
 
-QUANTILES = [x / 20 + 0.025 for x in range(20)]
+QUANTILES = [round(x / 20 + 0.025, 3) for x in range(20)]
+#: The normal distribution's values at QUANTILES.
+NORMAL = [round(statistics.NormalDist().inv_cdf(p), 6) for p in QUANTILES]
 
 
 def best_distribution(log: DataFrame, key: str = "a") -> DataFrame:
@@ -150,8 +157,7 @@ def best_distribution(log: DataFrame, key: str = "a") -> DataFrame:
     by moments, the one whose quantiles are nearest to the observed ones, the simpler of equals; one row a key."""
     v = log.select(F.col(key).alias("k"), F.floor((F.col("e") - F.col("s")) / F.lit(1e6)).cast("double").alias("v"))
     x = v.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", F.array(*map(F.lit, QUANTILES))).alias("q"))
-    z = [-1.959964, -1.439531, -1.150349, -0.934589, -0.755415, -0.597760, -0.453762, -0.318639, -0.189118, -0.062707]
-    z = z + [-t for t in reversed(z)]
+    z = NORMAL
     m, s, lo, hi = (F.col(c) for c in ("mean", "std", "lo", "hi"))
     mode = F.least(F.greatest(3 * m - lo - hi, lo), hi)
     sigma2 = F.log(1 + s * s / F.greatest(m * m, F.lit(1e-9)))
@@ -161,8 +167,6 @@ def best_distribution(log: DataFrame, key: str = "a") -> DataFrame:
         cut = (mode - lo) / F.greatest(hi - lo, F.lit(1e-9))
         return F.when(F.lit(p) < cut, lo + F.sqrt(F.lit(p) * (hi - lo) * (mode - lo))).otherwise(hi - F.sqrt((1 - F.lit(p)) * (hi - lo) * (hi - mode)))
 
-    import math
-
     families = {
         "fix": [m for _ in QUANTILES],
         "uniform": [lo + (hi - lo) * p for p in QUANTILES],

@@ -89,8 +89,11 @@ METRICS = {
 def distance(log: DataFrame, metric: str) -> DataFrame:
     """One row (metric, distance) for a log with a column side; n-gram metrics are named 2_gram and 3_gram."""
     from .traces import ngram_distance
+    from .variants_distance import control_flow_distance
 
-    if metric in ("2_gram", "3_gram"):
+    if metric == "control_flow_log_distance":
+        out = control_flow_distance(log).select("distance")
+    elif metric in ("2_gram", "3_gram"):
         out = ngram_distance(log, "side", int(metric[0]))
     elif metric in METRICS:
         out = METRICS[metric](log).select(F.round("distance", 6).alias("distance"))

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MICROS_DAY
 from .prefix import hour, lag_over, running_sum
 
 
 def split(log: DataFrame, ratio: float = 0.8) -> DataFrame:
     """(c, first_us, events, train): whole cases in the order of their start, the first `ratio` of events to train."""
     cases = log.groupBy("c").agg(F.min("s").alias("first_us"), F.count(F.lit(1)).alias("events"))
-    cases = cases.withColumn("_day", F.floor(F.col("first_us") / F.lit(float(MICROS_DAY))))
-    summed = running_sum(cases, [], "_day", ["first_us", "c"], F.col("events"), "so_far")
+    summed = running_sum(cases.withColumn("_hour", hour("first_us")), [], "_hour", ["first_us", "c"], F.col("events"), "so_far")
     total = cases.agg(F.sum("events").alias("total"))  # one row
     return summed.crossJoin(F.broadcast(total)).select("c", "first_us", "events", (F.col("so_far") <= F.lit(ratio) * F.col("total")).alias("train"))
 

@@ -22,6 +22,26 @@ def dfg(log: DataFrame) -> DataFrame:
     return directly_follows(log).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def interval_follows(log: DataFrame, bucket_us: int = 6 * 3_600_000_000) -> DataFrame:
+    """(a, b, n): how often b directly follows a in time: a had ended when b began, and nothing began and ended between.
+
+    So a ends after the latest start of all that had ended by then, a running maximum over the case; events meet in
+    buckets of time between the two."""
+    none = F.lit(None).cast("long")
+    mark = lambda t, kind, start: F.struct(t.alias("t"), kind.alias("kind"), start.alias("start"))
+    ended = F.when(F.col("s") < F.col("e"), 0).otherwise(2)  # what has no length comes before later starts only
+    marks = log.select("c", "eid", "a", "s", "e", F.explode(F.array(mark(F.col("s"), F.lit(1), none), mark(F.col("e"), ended, F.col("s")))).alias("m")).select("c", "eid", "a", "s", "e", "m.*")
+    w = Window.partitionBy("c").orderBy("t", "kind", "eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = marks.withColumn("latest", F.max("start").over(w)).filter("kind = 1 AND latest IS NOT NULL")
+    bucket = lambda x: F.floor(x / F.lit(float(bucket_us)))
+    y = starts.select("c", "eid", "a", "s", "latest", F.explode(F.sequence(bucket(F.col("latest")), bucket(F.col("s")))).alias("k")).alias("y")
+    x = log.select("c", "eid", "a", "s", "e", bucket(F.col("e")).alias("k")).alias("x")
+    before = (F.col("x.e") < F.col("y.s")) | (F.col("x.e") == F.col("y.s")) & (F.col("x.s") < F.col("x.e"))
+    after = (F.col("x.e") > F.col("y.latest")) | (F.col("x.e") == F.col("y.latest")) & (F.col("x.s") == F.col("x.e"))
+    on = (F.col("x.c") == F.col("y.c")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.eid") != F.col("y.eid")) & before & after
+    return x.join(y, on).groupBy(F.col("x.a").alias("a"), F.col("y.a").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def dfg_with_gap(log: DataFrame) -> DataFrame:
     return directly_follows(log).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("gap_us") / 1e6), 3).alias("mean_gap_s"))
 

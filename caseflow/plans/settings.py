@@ -8,15 +8,16 @@ from pathlib import Path
 
 import yaml
 
+#: Names of metrics and the spellings that configurations use.
 METRICS = {
     "control_flow_log_distance": ("cfld", "dl", "control flow log distance"),
     "2_gram": ("two_gram_distance", "2_gram_distance", "2-gram"),
-    "3_gram": ("three_gram_distance", "3_gram_distance", "3-gram"),
+    "3_gram": ("n_gram", "n_gram_distance", "three_gram_distance", "3_gram_distance", "3-gram"),
     "circadian_event_distribution": ("circadian_emd", "circadian"),
-    "circadian_workforce_distribution": ("workforce_emd", "workforce"),
-    "case_arrival_distribution": ("arrival_emd", "arrival"),
+    "circadian_workforce_distribution": ("workforce_emd", "workforce_distribution", "workforce"),
+    "case_arrival_distribution": ("arrival_event_distribution", "arrival_emd", "arrival"),
     "relative_event_distribution": ("relative_emd", "relative"),
-    "absolute_event_distribution": ("absolute_emd", "absolute"),
+    "absolute_event_distribution": ("absolute_hourly_emd", "absolute_hour_emd", "abs_hourly_emd", "abs_hour_emd", "absolute_emd", "absolute"),
     "cycle_time_distribution": ("cycle_time_emd", "cycle_time"),
 }
 DELAY_METRICS = ("absolute_event_distribution", "cycle_time_distribution", "circadian_event_distribution", "relative_event_distribution")

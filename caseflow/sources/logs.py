@@ -95,6 +95,12 @@ def write_xes(log: DataFrame, path: str) -> None:
     traces.select(F.concat(F.lit("<trace>"), tag("string", "concept:name", F.col("case")), F.array_join(F.transform("events", event), ""), F.lit("</trace>")).alias("value")).write.text(path)
 
 
+def write_partitions(log: DataFrame, parts: DataFrame, path: str) -> None:
+    """write_xes of each partition of (c, part), in a folder of its name below path."""
+    for x in ("train", "validation", "test"):
+        write_xes(log.join(parts.filter(F.col("part") == x).select("c"), "c", "left_semi"), f"{path}/{x}")
+
+
 def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
     """All simulated logs (CSV) of a folder in one scan, with source and the run number from the file name."""
     run = F.regexp_extract(F.input_file_name(), r"(\d+)[^/0-9]*$", 1).cast("int")
