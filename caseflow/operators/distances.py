@@ -56,7 +56,9 @@ def cycle_time(log: DataFrame) -> DataFrame:
     return emd(_hist(log.groupBy("side", "c").agg((F.max("e") - F.min("s")).alias("t")).withColumn("b", hour_of(F.col("t")))))
 
 
-def _over_weekdays(parts: DataFrame) -> DataFrame:
+def over_weekdays(hist: DataFrame) -> DataFrame:
+    """One row, distance: the mean over weekdays w of the distances of (side, w, b, n); a weekday of one side counts ABSENT."""
+    parts = emd(hist, ["w"])
     value = F.when(F.col("sides") == 2, F.col("distance")).otherwise(F.lit(ABSENT))
     return parts.agg(F.avg(value).alias("distance"))
 
@@ -65,7 +67,7 @@ def circadian(log: DataFrame) -> DataFrame:
     """Starts and ends by hour of day, averaged over weekdays; a weekday of one log counts 23."""
     h = _instants(log).withColumn("h", hour_of(F.col("t")))
     h = h.select("side", weekday_of_hour(F.col("h")).alias("w"), F.pmod("h", F.lit(24)).cast("int").alias("b"))
-    return _over_weekdays(emd(_hist(h, "w"), ["w"]))
+    return over_weekdays(_hist(h, "w"))
 
 
 def workforce(log: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def workforce(log: DataFrame) -> DataFrame:
     rows = log.select("side", "r", F.explode(F.sequence(hour_of(F.col("s")), hour_of(F.col("e")))).alias("h"))
     at_work = rows.groupBy("side", "h").agg(F.countDistinct("r").alias("k"))
     day = at_work.select("side", weekday_of_hour(F.col("h")).alias("w"), F.pmod("h", F.lit(24)).cast("int").alias("b"), "k")
-    return _over_weekdays(emd(day.groupBy("side", "w", "b").agg(F.avg("k").alias("n")), ["w"]))
+    return over_weekdays(day.groupBy("side", "w", "b").agg(F.avg("k").alias("n")))
 
 
 METRICS = {

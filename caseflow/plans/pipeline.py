@@ -8,13 +8,13 @@ import time
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calendars, preprocess, rules, traces
+from ..operators import calendars, distances, preprocess, rules, traces
 from ..sources import bpmn
 from ..sources.logs import Roles, read_csv_log
-from . import discovery, simulate
+from . import discovery, rules_json, simulate
 from .model import ProcessModel
 from .settings import Settings, schema
 from .tuner import Tuner
@@ -35,21 +35,31 @@ class Meter:
         self.seconds[name] = self.seconds.get(name, 0.0) + time.time() - began
 
 
+ROLES = ("eid", "c", "a", "r", "s", "e")
+
+
 def canonical(raw: DataFrame) -> DataFrame:
-    """A CSV log in the columns c, a, r, s, e, eid; cases and resources are numbered by hash, missing starts estimated."""
+    """A CSV log in the columns c, a, r, s, e, eid; cases and resources are numbered by hash, missing starts estimated later;
+    other columns, the attributes, stay as they are."""
     have = raw.withColumnsRenamed({k: v for k, v in NAMES.items() if k in raw.columns})
     number = lambda k: F.xxhash64(F.col(k).cast("string")) if k in have.columns else F.lit(0).cast("long")
     start = F.col("s") if "s" in have.columns else F.lit(None).cast("long")
-    return have.select("eid", number("c").alias("c"), F.col("a").cast("string").alias("a"), number("r").alias("r"), start.alias("s"), F.col("e").cast("long").alias("e"))
+    more = [k for k in have.columns if k not in ROLES]
+    return have.select("eid", number("c").alias("c"), F.col("a").cast("string").alias("a"), number("r").alias("r"), start.alias("s"), F.col("e").cast("long").alias("e"), *more)
+
+
+def attributes_of(log: DataFrame) -> list[str]:
+    return [k for k in log.columns if k not in ROLES]
 
 
 def prepared(log: DataFrame, settings: Settings) -> DataFrame:
     """Starts are estimated for all events if any lacks one; durations of simultaneous work are shared out if asked for."""
+    more = attributes_of(log)
     if log.filter("s IS NULL").limit(1).count():
-        log = log.drop("s").join(preprocess.estimated_starts(log).withColumnRenamed("start_us", "s"), "eid").select("eid", "c", "a", "r", "s", "e")
+        log = log.drop("s").join(preprocess.estimated_starts(log).withColumnRenamed("start_us", "s"), "eid").select(*ROLES, *more)
     if settings.preprocessing.multitasking:
         worked = preprocess.multitask_adjust(log)
-        log = log.join(worked, "eid").select("eid", "c", "a", "r", (F.col("e") - F.round("worked_us").cast("long")).alias("s"), "e")
+        log = log.join(worked, "eid").withColumn("s", F.col("e") - F.round("worked_us").cast("long")).select(*ROLES, *more)
     return log
 
 
@@ -57,90 +67,178 @@ def _range(v) -> tuple:
     return v if isinstance(v, tuple) else (v, v)
 
 
-def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, granule: int, confidence: float, support: float, given: tuple | None = None) -> ProcessModel:
-    nodes, flows = given or discovery.process_graph(log, miner)
-    p = settings.preprocessing
-    enabled = preprocess.enabled_times(log, preprocess.heuristic_concurrency(log, p.df, p.l2l, p.l1l).filter("concurrent"))
+def _choices(log: DataFrame, more: list[str]) -> DataFrame:
+    """(gateway, path, r, hour, attributes): each step with what was known when it was taken."""
+    w = Window.partitionBy("c").orderBy("e", "eid")
+    hour = F.pmod(F.floor(F.col("e") / F.lit(3.6e9)), F.lit(24))
+    return log.select(F.col("a").alias("gateway"), F.lead("a").over(w).alias("path"), "r", hour.alias("hour"), *more).filter("path IS NOT NULL")
+
+
+def _calendars(log: DataFrame, settings: Settings, work: dict) -> DataFrame:
     kind = settings.resource_model.discovery_type
     key = F.lit(0).cast("long") if kind == "undifferentiated" else F.col("r")
-    worked = log
+    if kind == "resource_fuzzy":
+        g = work["granule"]
+        fuzzy = calendars.fuzzy_calendar(log, key, g, work["fuzzy_angle"])
+        return fuzzy.select("k", "w", (F.col("g") * g).alias("begin_min"), ((F.col("g") + 1) * g).alias("end_min"), "probability")
     if kind == "pool":
-        worked = log.join(calendars.pools(log), "r").withColumn("r", F.col("pool")).drop("pool")
-    participation = _range(settings.resource_model.participation)[0]
-    scores = calendars.relaxed(worked, key, granule, confidence, support, participation)
+        log = log.join(calendars.pools(log), "r").withColumn("r", F.col("pool")).drop("pool")
+    return calendars.intervals(calendars.relaxed(log, key, work["granule"], work["confidence"], work["support"], work["participation"]), work["granule"])
+
+
+def calendar_loss(train: DataFrame, valid: DataFrame, settings: Settings, work: dict) -> float | None:
+    """How far the hours that calendars of one log keep open lie from the hours at work in another: the earth mover's
+    distance within weekdays of open minutes and of active dates; none if no hour is open."""
+    found = _calendars(train, settings, work)
+    weight = F.col("probability") if "probability" in found.columns else F.lit(1.0)
+    hours = F.sequence(F.floor(F.col("begin_min") / 60), F.floor((F.col("end_min") - 1) / 60))
+    minutes = F.least("end_min", (F.col("b") + 1) * 60) - F.greatest("begin_min", F.col("b") * 60)
+    mine = found.withColumn("b", F.explode(hours)).select(F.lit(0).alias("side"), "w", F.col("b").cast("int").alias("b"), (minutes * weight).alias("x"))
+    seen = calendars.granule_activity(valid, F.lit(0)).select(F.lit(1).alias("side"), "w", F.col("g").alias("b"), F.col("days").cast("double").alias("x"))
+    hist = mine.unionByName(seen).groupBy("side", "w", "b").agg(F.sum("x").alias("n"))
+    return distances.over_weekdays(hist).collect()[0][0]
+
+
+def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: dict, given: tuple | None = None) -> ProcessModel:
+    """The model of a log; work: granule, confidence, support, participation and fuzzy_angle, as found by the search."""
+    nodes, flows = given or discovery.process_graph(log, miner)
+    common, flow, resources, delays = settings.common, settings.control_flow, settings.resource_model, settings.extraneous_activity_delays
+    more = attributes_of(log)
+    beside = preprocess.overlap_concurrency(log, settings.preprocessing.enable_time_concurrency_threshold).filter("concurrent AND overlapping > 0")
+    enabled = preprocess.enabled_times(log, beside)
     best = calendars.best_distribution(log)
-    paths = rules.gateways(traces.dfg(log)).select("gateway", "path", "taken", (F.col("equiprobable") if settings.control_flow.gateway_probabilities == "equiprobable" else F.col("observed")).alias("observed"))
-    extra = rules.extraneous(log, enabled).filter("delayed > 0").select("a", "mean_s") if settings.extraneous_activity_delays else None
-    if extra is not None:
+    share = F.col("equiprobable") if flow.gateway_probabilities == "equiprobable" else F.col("observed")
+    paths = rules.gateways(traces.dfg(log)).select("gateway", "path", "taken", share.alias("observed"))
+    branches = None
+    if flow.discover_branch_rules:
+        found = rules.branch_rules(_choices(log, more), ["r", "hour", *more], flow.f_score)
+        named = rules_json.branch_ids(found)
+        paths, branches = paths.join(named, ["gateway", "path"], "left"), rules_json.branch_json(found)
+    case_attributes = event_attributes = global_attributes = None
+    if more and (common.discover_data_attributes or resources.discover_prioritization_rules):
+        case_attributes = rules.case_attribute_scores(log, more)
+    if more and common.discover_data_attributes:
+        event_attributes, global_attributes = rules.event_attribute_scores(log, more), rules.global_attribute_scores(log, more)
+    priorities = None
+    if case_attributes is not None and resources.discover_prioritization_rules:
+        names = [r.attribute for r in case_attributes.filter("is_case").orderBy("attribute").limit(1).collect()]
+        if names:
+            scores = rules.priority_scores(rules.overtakes(log, enabled), log.select("eid", F.col(names[0]).cast("string").alias("v")))
+            priorities = rules_json.priority_json(scores, names[0])
+    extra = None
+    if delays:
+        if delays.discovery_method.lower().replace("_", "-") == "naive":
+            extra = rules.extraneous(log, enabled).filter("delayed > 0").select("a", "mean_s")
+        else:
+            hours = rules.extraneous_on_calendar(log, enabled, calendars.granule_activity(log, F.col("r")))
+            extra = hours.groupBy("a").agg((F.avg("extraneous_h") * 3600).alias("mean_s"))
         nodes, flows = bpmn.add_timers(nodes, flows, extra.select(F.col("a").alias("activity")))
-    batches = rules.firing_rules(rules.batch_sessions(log).select("a", "r", "session", "size").distinct()) if settings.resource_model.discover_batching_rules else None
-    work = log.select("r", "a").distinct()
+    hands = log.select("r", "a").distinct()
     if given:
-        known = work.select("a").distinct()
+        known = hands.select("a").distinct()
         tasks = bpmn.activity_ids(nodes).select(F.col("name").alias("a"))
         missing = calendars.repair_missing(tasks, log, log.select("r"), known)
-        work = work.unionByName(missing.select("r", "a"))
+        hands = hands.unionByName(missing.select("r", "a"))
         best = best.unionByName(missing.select("a", "family", "mean").distinct().withColumn("std", F.lit(0.0)).withColumn("error", F.lit(0.0)))
-    return ProcessModel(nodes, flows, paths, calendars.arrival_histogram(log), calendars.intervals(scores, granule), best.select("a", "family", "mean", "std"), work, batches=batches, delays=extra, granule=granule)
+    batches = None
+    if resources.discover_batching_rules:
+        runs = rules.batch_sessions(log)
+        ids = bpmn.activity_ids(nodes).select(F.col("name").alias("a"), "id")
+        batches = rules_json.batch_json(rules.firing_rules(runs.select("a", "r", "session", "size").distinct()), rules.batch_sizes(runs), ids)
+    gaps = calendars.interarrivals(log)
+    if common.use_observed_arrival_distribution:
+        arrivals = calendars.arrival_histogram(log)
+    else:
+        fitted = gaps.filter("gap_us IS NOT NULL").select(F.lit("arrival").alias("a"), F.lit(0).alias("s"), F.col("gap_us").alias("e"))
+        arrivals = calendars.best_distribution(fitted).select("family", "mean", "std")
+    instants = gaps.select(F.col("arrival_us").alias("s"), F.col("arrival_us").alias("e"))
+    arrival_calendar = calendars.intervals(calendars.crisp_scores(instants, F.lit(0), 60), 60).select("w", "begin_min", "end_min")
+    return ProcessModel(
+        nodes, flows, paths, arrivals, _calendars(log, settings, work), best.select("a", "family", "mean", "std"), hands, arrival_calendar=arrival_calendar, batches=batches, priorities=priorities,
+        branches=branches, attributes=case_attributes if common.discover_data_attributes or priorities is not None else None, event_attributes=event_attributes, global_attributes=global_attributes,
+        delays=extra, granule=work["granule"], fuzzy=resources.discovery_type == "resource_fuzzy",
+    )
+
+
+GRANULES = (1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 15, 16, 18, 20, 24, 30, 36, 40, 45, 48, 60)
+
+
+def search_work(train: DataFrame, valid: DataFrame, settings: Settings, seed: int) -> tuple[dict, Tuner]:
+    """The calendar parameters whose open hours lie nearest to the validation cases', among num_iterations trials."""
+    w = settings.resource_model
+    low, high = _range(w.granularity)
+    space = {"granule": [g for g in GRANULES if low <= g <= high] or [max(g for g in GRANULES if g <= max(1, high))]}
+    space |= {k: _range(getattr(w, k)) for k in ("confidence", "support", "participation", "fuzzy_angle")}
+    search = Tuner(space, seed=seed)
+    for _ in range(w.num_iterations):
+        p = search.ask()
+        search.tell(p, calendar_loss(train, valid, settings, p))
+    ok = [t for t in search.trials if t["status"] == "ok"]
+    first = {k: v[-1] if isinstance(v, list) else v[0] for k, v in space.items()}
+    return (search.best()["params"] if ok else first), search
 
 
 def run(spark: SparkSession, settings: Settings, log: DataFrame, output: str | None = None, test: DataFrame | None = None, seed: int = 1) -> tuple[ProcessModel, DataFrame, DataFrame | None]:
-    """(model, trials, measurements or None) of a canonical log; test is prepared in the same way."""
+    """(model, trials, measurements or None) of a canonical log; a test log is taken as it is, without preparation."""
     meter = Meter()
-    flow, work = settings.control_flow, settings.resource_model
+    flow = settings.control_flow
     with meter.stage("preprocessing"):
         log = prepared(log, settings).cache()
+        kept = [log]
         if test is None:
             parts = preprocess.partitions(log)
             log = log.join(parts, "c").cache()
+            kept.append(log)
             test = log.filter("part = 'test'").drop("part")
             learn = log.filter("part <> 'test'").drop("part")
             train, valid = (log.filter(F.col("part") == x).drop("part") for x in ("train", "validation"))
         else:
-            test, learn, cut = prepared(test, settings), log, preprocess.split(log)
+            learn, cut = log, preprocess.split(log)
             train, valid = (log.join(cut.filter(F.col("train") == x).select("c"), "c", "left_semi") for x in (True, False))
     given = bpmn.read_bpmn(spark, settings.common.process_model_path) if settings.common.process_model_path else None
     cases = valid.select("c").distinct().count()
-
-    def loss(part: DataFrame, metric: str, runs: int) -> float:
-        sim = simulate.simulate(spark, simulate.simulation_model(part), cases, runs, seed)
-        return simulate.measure(sim, valid, [metric], runs).agg(F.avg("distance")).collect()[0][0]
+    miner = lambda p: discovery.Miner(flow.mining_algorithm or "sm1", p["eta"], p["epsilon"], bool(flow.prioritize_parallelism), bool(flow.replace_or_joins))
 
     with meter.stage("control-flow"):
         search = Tuner({"eta": _range(flow.eta or 0.4), "epsilon": _range(flow.epsilon or 0.3)}, seed=seed)
 
-        def flow_loss(p: dict) -> float:
-            kept = discovery.pruned_graph(train, discovery.Miner(flow.mining_algorithm or "sm1", p["eta"], p["epsilon"])).filter("kept OR concurrent").select("a", "b")
-            steps = traces.directly_follows(train).join(kept, ["a", "b"], "left_anti").select("c").distinct()
-            return loss(train.join(steps, "c", "left_anti"), flow.optimization_metric, flow.num_evaluations_per_iteration)
+        def flow_loss(p: dict) -> float | None:
+            """The distance of logs generated from the cases that fit the graph; a graph that no case fits fails."""
+            allowed = discovery.pruned_graph(train, miner(p)).filter("kept OR concurrent").select("a", "b")
+            steps = traces.directly_follows(train).join(allowed, ["a", "b"], "left_anti").select("c").distinct()
+            fits = train.join(steps, "c", "left_anti")
+            if fits.limit(1).count() == 0:
+                return None
+            sim = simulate.simulate(spark, simulate.simulation_model(fits), cases, flow.num_evaluations_per_iteration, seed)
+            return simulate.measure(sim, valid, [flow.optimization_metric], flow.num_evaluations_per_iteration).agg(F.avg("distance")).collect()[0][0]
 
         for _ in range(flow.num_iterations if given is None else 1):
             p = search.ask()
-            try:
-                search.tell(p, flow_loss(p))
-            except Exception:  # a graph that no case fits fails its trial
-                search.tell(p, None)
+            search.tell(p, flow_loss(p))
         ok = [t for t in search.trials if t["status"] == "ok"]
         best = search.best()["params"] if ok else {"eta": 0.4, "epsilon": 0.3}
     with meter.stage("resources"):
-        granule = max(d for d in (1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 15, 16, 18, 20, 24, 30, 36, 40, 45, 48, 60) if d <= _range(work.granularity)[1])
-        model = discover(learn, settings, discovery.Miner(flow.mining_algorithm or "sm1", best["eta"], best["epsilon"]), granule, _range(work.confidence)[0], _range(work.support)[0], given)
+        work, work_search = search_work(train, valid, settings, seed)
+        model = discover(learn, settings, miner(best), work, given)
     measured = None
     if settings.common.perform_final_evaluation:
         with meter.stage("evaluation"):
             n = settings.common.num_final_evaluations
             sim = simulate.simulate(spark, simulate.simulation_model(learn), test.select("c").distinct().count(), n, seed)
-            names = [m for m in settings.common.evaluation_metrics if m != "control_flow_log_distance"]
-            measured = simulate.measure(sim.cache(), test, names, n)
+            measured = simulate.measure(sim, test, settings.common.evaluation_metrics, n).orderBy("metric", "distance", "run_num")
     trials = search.table(spark)
     if output:
         with meter.stage("export"):
             model.write(output)
             settings.to_yaml(f"{output}/configuration.yaml")
-            trials.select("trial", "status", "loss", F.to_json("params").alias("params")).write.mode("overwrite").option("header", True).csv(f"{output}/trials")
+            for name, rows in (("trials", trials), ("resource_trials", work_search.table(spark))):
+                rows.orderBy("loss", "trial").select("trial", "status", "loss", F.to_json("params").alias("params")).write.mode("overwrite").option("header", True).csv(f"{output}/{name}")
             if measured is not None:
                 measured.write.mode("overwrite").option("header", True).csv(f"{output}/evaluation_metrics")
         (Path(output) / "runtimes.json").write_text(json.dumps(meter.seconds, indent=1))
+        if settings.common.clean_intermediate_files:
+            for x in kept:
+                x.unpersist()
     return model, trials, measured
 
 

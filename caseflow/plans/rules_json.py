@@ -37,6 +37,11 @@ def branch_json(rules: DataFrame) -> DataFrame:
     return out.select("id", F.to_json(F.struct("id", "rules")).alias("json"))
 
 
+def branch_ids(rules: DataFrame) -> DataFrame:
+    """(gateway, path, condition_id) of kept rules, with the ids of branch_json."""
+    return rules.filter("kept").select("gateway", "path", F.concat_ws("_", "gateway", "path").alias("condition_id")).distinct()
+
+
 def _distribution(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     pair = F.struct(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
     return rows.groupBy("a").agg(F.array_sort(F.collect_list(pair)).alias(name))

@@ -1,10 +1,12 @@
+import json
 import random
 
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
-from caseflow.plans import pipeline, settings
+from caseflow.functions import scalars
+from caseflow.plans import pipeline, rules_json, settings, simulate
 from caseflow.plans.settings import Settings
 from caseflow.sources.logs import read_csv_log, read_runs
 from caseflow.streaming import incremental
@@ -63,7 +65,7 @@ def test_a_run_from_file_to_model(spark, tmp_path):
     # the same model, given, with an activity that the log lacks
     text = (tmp_path / "out" / "process.bpmn").read_text().replace("</process>", '<task id="Z" name="Z" /></process>')
     (tmp_path / "m.bpmn").write_text(text)
-    s2 = Settings.from_dict({"common": {"train_log_path": s.common.train_log_path, "process_model_path": str(tmp_path / "m.bpmn")}, "control_flow": {"num_iterations": 1, "num_evaluations_per_iteration": 1}})
+    s2 = Settings.from_dict({"common": {"train_log_path": s.common.train_log_path, "process_model_path": str(tmp_path / "m.bpmn")}, "control_flow": {"num_iterations": 1, "num_evaluations_per_iteration": 1}, "resource_model": {"num_iterations": 1}})
     again, _, none = pipeline.run(spark, s2, log)
     got = again.to_dict()
     assert none is None and all("Z" in p["resource_list"][0]["assignedTasks"] for p in got["resource_profiles"])
@@ -100,3 +102,112 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert spark.table("t0").agg(F.sum("n")).collect()[0][0] == 6
     assert sorted(map(tuple, spark.table("t1").collect())) == [(0, "a", "a"), (0, "a", "a"), (1, "b", "a"), (1, "b", "b")]
+
+
+def attributed(path, cases=40):
+    rng, lines = random.Random(9), ["case_id,activity,resource,start_time,end_time,kind,step"]
+    for c in range(cases):
+        t, kind = c * 2400, ("gold", "iron")[c % 2]
+        for n, a in enumerate(["A", "B" if kind == "gold" else "C", "D"]):
+            s, t = t + rng.randint(0, 600), t + rng.randint(700, 1800)
+            at = lambda x: f"2024-01-{1 + x // 86400:02d} {x // 3600 % 24:02d}:{x // 60 % 60:02d}:{x % 60:02d}"
+            lines.append(f"{c},{a},r{rng.randint(0, 1)},{at(s)},{at(t)},{kind},{n}")
+    for k in range(4):  # gold overtakes iron before D
+        for kind, steps in (("iron", (("A", 0, 9), ("C", 10, 100), ("D", 1000, 1100))), ("gold", (("A", 0, 9), ("B", 10, 200), ("D", 300, 900)))):
+            for n, (a, s, t) in enumerate(steps):
+                lines.append(f"{kind}{k},{a},r0,{at(2_000_000 + 9000 * k + s)},{at(2_000_000 + 9000 * k + t)},{kind},{n}")
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def discovered(spark, tmp_path_factory):
+    log = pipeline.canonical(read_csv_log(spark, attributed(tmp_path_factory.mktemp("a") / "log.csv"))).cache()
+    work = {"granule": 60, "confidence": 0.1, "support": 0.1, "participation": 0.1, "fuzzy_angle": 0.5}
+
+    def make(common=None, flow=None, resources=None, preprocessing=None, delays=None, **changed):
+        data = {"common": common or {}, "control_flow": flow or {}, "resource_model": resources or {}, "preprocessing": preprocessing or {}}
+        s = Settings.from_dict(data | ({"extraneous_activity_delays": delays} if delays else {}))
+        return pipeline.discover(log, s, pipeline.discovery.Miner(), work | changed).to_dict()
+
+    return make, log
+
+
+def test_settings_change_the_model(spark, discovered):
+    make, log = discovered
+    plain = make()
+    assert not plain["case_attributes"] and not plain["branch_rules"] and not plain["batch_processing"] and not plain["event_distribution"] and plain["arrival_time_calendar"]
+    assert "distribution_name" in plain["arrival_time_distribution"][0] and plain["model_type"] == "CRISP" and "prioritisation_rules" not in plain
+    full = make(
+        common={"use_observed_arrival_distribution": True, "discover_data_attributes": True},
+        flow={"discover_branch_rules": True, "f_score": 0.9, "gateway_probabilities": "equiprobable"},
+        resources={"discover_prioritization_rules": True, "discover_batching_rules": True, "discovery_type": "resource_fuzzy"},
+        delays={"discovery_method": "naive"},
+    )
+    assert "bin" in full["arrival_time_distribution"][0] and full["event_distribution"]
+    assert [x["attribute"] for x in full["case_attributes"]] == ["kind"] and {x["attribute"] for x in full["event_attributes"]} == {"kind", "step"} and full["global_attributes"]
+    paths = [p for g in full["gateway_branching_probabilities"] for p in g["probabilities"]]
+    assert {x["id"] for x in full["branch_rules"]} >= {"A_B", "A_C"} and any(p.get("condition_id") == "A_B" for p in paths) and {p["value"] for p in paths} == {0.5}
+    assert any(c == {"attribute": "kind", "comparison": "=", "value": "gold"} for x in full["branch_rules"] if x["id"] == "A_B" for g in x["rules"] for c in g)
+    first = full["prioritisation_rules"]
+    assert first[0]["rules"] == [[{"attribute": "kind", "comparison": "=", "value": "gold"}]] and all(c["attribute"] == "kind" for x in first for g in x["rules"] for c in g)
+    assert full["model_type"] == "FUZZY" and all(0 < p["probability"] <= 1 for c in full["resource_calendars"] for p in c["time_periods"])
+    fuzzy = Settings.from_dict({"resource_model": {"discovery_type": "resource_fuzzy"}})
+    of = lambda angle: sorted(map(tuple, pipeline._calendars(log, fuzzy, {"granule": 60, "fuzzy_angle": angle}).collect()))
+    assert of(0.1) != of(0.9)
+
+
+def test_a_test_log_is_taken_as_it_is(spark, tmp_path, monkeypatch):
+    s = Settings.one_shot(csv_log(tmp_path / "log.csv"))
+    s.common.perform_final_evaluation, s.common.num_final_evaluations, s.common.evaluation_metrics = True, 1, ["control_flow_log_distance", "arrival_event_distribution"]
+    s.common.evaluation_metrics = [settings.metric(m) for m in s.common.evaluation_metrics]
+    read = lambda name, **o: pipeline.canonical(read_csv_log(spark, csv_log(tmp_path / name, **o)))
+    seen = []
+    monkeypatch.setattr(pipeline, "prepared", lambda log, s, real=pipeline.prepared: (seen.append(log), real(log, s))[1])
+    _, _, measured = pipeline.run(spark, s, read("log.csv"), test=read("test.csv", seed=7))
+    assert len(seen) == 1 and {r.metric for r in measured.collect()} == {"control_flow_log_distance", "case_arrival_distribution"} and all(0 <= r.distance for r in measured.collect())
+
+
+def test_the_search_for_calendars(spark, discovered):
+    _, log = discovered
+    s = Settings.from_dict({"resource_model": {"num_iterations": 4, "granularity": [15, 60], "discovery_type": "resource"}})
+    work, search = pipeline.search_work(log, log, s, 3)
+    assert len(search.trials) == 4 and 15 <= work["granule"] <= 60 and 0.5 <= work["confidence"] <= 0.85
+    assert search.best()["loss"] == min(t["loss"] for t in search.trials if t["status"] == "ok")
+
+
+@pytest.mark.parametrize("name, spellings", sorted(settings.METRICS.items()))
+def test_all_spellings_of_metrics(name, spellings):
+    for x in (name, *spellings):
+        assert settings.metric(x) == settings.metric(x.upper()) == settings.metric(f" {x.title()} ") == name
+
+
+def test_rules_survive_json(spark):
+    scores = spark.createDataFrame([("x", 0.9, 1), ("y", 0.9, 1), ("z", 0.1, 2)], "value string, score double, level int")
+    out = rules_json.priority_json(scores).orderBy("priority_level").collect()
+    assert json.loads(out[0].json) == {"priority_level": 1, "rules": [[{"attribute": "value", "comparison": "=", "value": "x"}], [{"attribute": "value", "comparison": "=", "value": "y"}]]}
+    two = spark.createDataFrame([('{"id": "g_p", "rules": [[{"attribute": "a", "comparison": "=", "value": "1"}, {"attribute": "b", "comparison": ">", "value": "2"}], []]}',)], "json string")
+    got = rules_json.conditions_of(two, rules_json.BRANCH, "rules", "id").orderBy("nth").collect()
+    assert [tuple(r) for r in got] == [("g_p", 0, 0, "a", "=", "1"), ("g_p", 0, 1, "b", ">", "2")]
+    firing = spark.createDataFrame([("A", "batch_size", 3, 1.0, 1.0), ("A", "batch_size", 2, 0.5, 1.0)], "a string, attribute string, threshold int, confidence double, support double")
+    sizes = spark.createDataFrame([("A", 3, 5, 60.0)], "a string, size long, batches long, mean_s double")
+    batch = rules_json.batch_json(firing, sizes, spark.createDataFrame([("A", "id1")], "a string, id string"))
+    x = json.loads(batch.collect()[0].json)
+    assert x["task_id"] == "id1" and x["size_distrib"] == [{"key": "3", "value": 5.0}] and x["firing_rules"] == [[{"attribute": "batch_size", "comparison": ">=", "value": "3"}]]
+    assert [tuple(r) for r in rules_json.distribution_of(batch, "duration_distrib").collect()] == [("id1", "3", 60.0)]
+
+
+def test_generated_logs(spark):
+    model = {"ways": {"<": [("A", 1)], "A": [("A", 999), (">", 1)]}, "gaps": [0, 10], "times": {"A": [5, 5]}, "hands": {"A": [1, 2]}, "start": 100}
+    rows = simulate.simulate(spark, model, cases=12, runs=2, seed=3).collect()
+    again = simulate.simulate(spark, model, cases=12, runs=2, seed=3).repartition(3).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again)) and len({r.eid for r in rows}) == len(rows)
+    assert {(r.run_num, r.c) for r in rows} == {(k, c) for k in range(2) for c in range(12)} and all(r.e - r.s == 5 for r in rows)
+    assert max(sum(r.run_num == k and r.c == c for r in rows) for k in range(2) for c in range(12)) > 1000
+    one = {"ways": {"<": [("A", 1)], "A": [(">", 1)]}, "gaps": [1, 1], "times": {"A": [7, 7]}, "hands": {"A": [4]}, "start": 0}
+    line = sorted(simulate.simulate(spark, one, cases=50, runs=1).collect(), key=lambda r: r.s)
+    assert [r.s for r in line] == [7 * k for k in range(50)]  # one resource: each waits for the one before
+
+
+def test_process_names():
+    assert [scalars.process_name(x) for x in ("a/b/log.csv.gz", "log", "C:\\x\\y.z.xes", ".hidden")] == ["log", "log", "y", ".hidden"]
