@@ -17,7 +17,8 @@ def hour(column: str) -> Column:
     return F.floor(F.col(column) / F.lit(float(HOUR_US)))
 
 
-def _joined(df: DataFrame, sums: DataFrame, keys: list[str], chunk: str) -> DataFrame:
+def joined(df: DataFrame, sums: DataFrame, keys: list[str], chunk: str) -> DataFrame:
+    """df with the columns of sums for its keys and chunk; null keys are equal."""
     sums = sums.withColumnsRenamed({k: f"_k_{k}" for k in (*keys, chunk)})
     on = F.lit(True)
     for k in (*keys, chunk):
@@ -31,7 +32,7 @@ def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, value:
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _joined(df, sums, keys, chunk).withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before")
+    return joined(df, sums, keys, chunk).withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before")
 
 
 def running_max_before(df: DataFrame, keys: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def running_max_before(df: DataFrame, keys: list[str], chunk: str, order: list,
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     most = most.withColumn("_before", F.max("_most").over(before)).drop("_most")
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return _joined(df, most, keys, chunk).withColumn(name, F.greatest("_before", F.max(value).over(inside))).drop("_before")
+    return joined(df, most, keys, chunk).withColumn(name, F.greatest("_before", F.max(value).over(inside))).drop("_before")
 
 
 def lag_over(df: DataFrame, keys: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
@@ -48,4 +49,4 @@ def lag_over(df: DataFrame, keys: list[str], chunk: str, order: list, value: str
     last = df.groupBy(*keys, chunk).agg(F.max(value).alias("_last"))
     last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy(chunk))).drop("_last")
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    return _joined(df, last, keys, chunk).withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_before"))).drop("_before")
+    return joined(df, last, keys, chunk).withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_before"))).drop("_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import hour, running_max_before, running_sum
+from .prefix import hour, joined, running_max_before, running_sum
 
 TEN_MINUTES = 600_000_000
 
@@ -25,7 +25,7 @@ def batch_sessions(log: DataFrame, gap_us: int = TEN_MINUTES, least: int = 3) ->
     )
     kind = F.when((F.col("s0") == F.col("s1")) & (F.col("e0") == F.col("e1")), "parallel").when(F.col("any_over") == 1, "concurrent").otherwise("sequential")
     named = kinds.select("a", "r", "session", "size", F.when(F.col("size") == 1, "single").otherwise(kind).alias("kind"))
-    return rows.join(named, ["a", "r", "session"]).select("eid", "a", "r", "s", "e", "session", "size", "kind", (F.col("size") >= least).alias("batched"))
+    return joined(rows, named, ["a", "r"], "session").select("eid", "a", "r", "s", "e", "session", "size", "kind", (F.col("size") >= least).alias("batched"))
 
 
 def batch_sizes(sessions: DataFrame) -> DataFrame:

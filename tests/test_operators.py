@@ -1,7 +1,6 @@
-import itertools
 import random
+import re
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import scalars
 from caseflow.operators import calendars, distances, preprocess, rules, traces
-from caseflow.operators.variants_distance import assign, damerau_levenshtein
+from caseflow.operators.variants_distance import coded_traces, control_flow_distance, damerau_levenshtein, distances_of
 from caseflow.plans import discovery, simulate, tuner
 from caseflow.sources import bpmn, logs
 
@@ -127,15 +126,6 @@ def test_damerau_levenshtein_is_the_unrestricted_one():
     assert damerau_levenshtein("ca", "abc") == 2
 
 
-@given(st.integers(1, 6), st.integers(0, 10_000))
-@settings(max_examples=40, deadline=None)
-def test_assignment_is_cheapest(n, seed):
-    cost = np.random.default_rng(seed).random((n, n))
-    best = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
-    got = assign(cost)
-    assert sorted(got) == list(range(n)) and cost[np.arange(n), got].sum() == pytest.approx(best)
-
-
 def test_nearest_divisor_and_names(spark):
     row = spark.range(1).select(
         *[scalars.nearest_divisor(F.lit(g)).alias(f"g{g}") for g in (1, 7, 50, 100, 2000)], scalars.safe_granularity(F.lit(60)).alias("s"),
@@ -233,3 +223,69 @@ def test_variant_pairs_compare_whole_traces_once(spark):
     log = spark.createDataFrame([(c, a, e, e) for c, t in traces_.items() for e, a in enumerate(t)], "c long, a string, e long, eid long")
     got = {(r.x_cases, r.y[60:], r.y_cases, r.steps) for r in variant_pairs(log.filter("c % 2 = 0"), log.filter("c % 2 = 1"), log).collect()}
     assert got == {(2, "C" * 9, 1, 9), (2, "B", 1, 0)}
+
+
+def test_distances_of_many_pairs_at_once():
+    xs, ys = ["", "abc", "ca", "abcd" * 5, "x"], ["ab", "", "abc", "acbd" * 5, "x"]
+    assert distances_of(xs, ys) == [damerau_levenshtein(a, b) for a, b in zip(xs, ys, strict=True)] == [2, 3, 2, 5, 0]
+
+
+def test_traces_of_very_many_activities(spark):
+    names = [f"a{k:03d}" for k in range(400)]
+    log = spark.createDataFrame([(1, a, k, k) for k, a in enumerate(names)], "c long, a string, e long, eid long")
+    trace = coded_traces(log).collect()[0].trace
+    assert len(trace) == len(set(trace)) == 400 and trace[:3] == "ABC"
+
+
+def test_control_flow_distance_of_matched_cases(spark):
+    def of(one, other):
+        rows_ = [(10 * k + side, side, a, e, e) for side, traces_ in ((0, one), (1, other)) for k, t in enumerate(traces_) for e, a in enumerate(t)]
+        return tuple(control_flow_distance(spark.createDataFrame(rows_, "c long, side int, a string, e long, eid long")).collect()[0])
+
+    assert of(["abc", "abd", "abc"], ["abd", "abc", "abc"]) == (0.0, 3, 0)
+    assert of(["abcd"], ["abdc"]) == (0.25, 1, 0)
+    assert of(["ab", "ab", "xyzw"], ["ab"]) == (pytest.approx(2 / 3, abs=1e-6), 3, 2)
+    assert of(["aaaa"] * 2, ["aaab", "bbbb"]) == (pytest.approx(1.25 / 2), 2, 0)
+
+
+def test_pools_of_long_chains(spark):
+    # resource k does activities k and k + 1: neighbours are alike, the ends of the chain are not
+    log = spark.createDataFrame([(k, f"a{a:03d}") for k in range(70) for a in (k, k + 1)], "r long, a string")
+    assert {r.pool for r in calendars.pools(log, 0.4).collect()} == {0}
+
+
+def test_windows_in_two_levels_keep_null_resources(spark):
+    rows_ = [(k, 1 + k % 2, "ab"[k % 2], None if k % 3 == 0 else k % 3, k * 1_000_000_000, (k + 2) * 1_000_000_000) for k in range(40)]
+    df = spark.createDataFrame(rows_, "eid long, c long, a string, r long, s long, e long")
+    assert preprocess.estimated_starts(df).count() == rules.batch_sessions(df).count() == preprocess.multitask_adjust(df).count() == 40
+    none = preprocess.estimated_starts(df.filter("r IS NULL").withColumn("c", F.col("eid"))).orderBy("eid").collect()
+    assert [r.start_us for r in none] == [2_000_000_000] + [(k + 2) * 1_000_000_000 for k in range(0, 39, 3)]
+
+
+def test_no_window_runs_over_a_resource_alone(spark, capsys):
+    df = some(spark)
+    enabled = df.select("eid", F.col("s").alias("enabled_us"))
+    for out in (preprocess.estimated_starts(df), rules.waiting(df, enabled), rules.batch_sessions(df)):
+        out.explain("formatted")
+        text = capsys.readouterr().out
+        windows = re.findall(r"Window\n.*?\n(?=\n)", text, re.S)
+        over_events = [w for w in windows if "eid#" in w and "c#" not in w.split("Arguments")[-1]]
+        assert windows and all("_hour#" in w for w in over_events)
+
+
+def test_the_second_miner_follows_intervals(spark):
+    # b and c run side by side after a; d follows both
+    cases = [(4 * k + n, k, x, 1, 1000 * k + s, 1000 * k + e) for k in range(5) for n, (x, s, e) in enumerate((("a", 0, 10), ("b", 20, 50), ("c", 30, 60), ("d", 70, 80)))]
+    df = spark.createDataFrame(cases, "eid long, c long, a string, r long, s long, e long")
+    got = {(r.a, r.b, r.n, r.concurrent) for r in discovery.pruned_graph(df, discovery.Miner("sm2", epsilon=0.5)).collect()}
+    assert got == {("a", "b", 5, False), ("a", "c", 5, False), ("b", "d", 5, False), ("c", "d", 5, False)}
+    kinds = lambda **o: {r.id: r.kind for r in discovery.process_graph(df, discovery.Miner("sm2", epsilon=0.5, **o))[0].collect()}
+    assert kinds()["split_a"] == "exclusiveGateway"
+
+
+def test_partitions_are_exported_apart(spark, tmp_path):
+    df = some(spark)
+    parts = spark.createDataFrame([(c.c, ("train", "test")[k % 2]) for k, c in enumerate(df.select("c").distinct().orderBy("c").collect())], "c long, part string")
+    logs.write_partitions(df, parts, str(tmp_path / "x"))
+    n = {p: spark.read.text(str(tmp_path / "x" / p)).filter("value LIKE '<trace>%'").count() for p in ("train", "validation", "test")}
+    assert n["validation"] == 0 and n["train"] + n["test"] == parts.count()
