@@ -40,18 +40,18 @@ def fold(events: DataFrame) -> DataFrame:
     """(conv_id, message, role, text): the final state of each message that is not deleted."""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     step = F.struct("seq", empty("kind").alias("kind"), empty("text").alias("text"), empty("role").alias("role"))
-    start = F.struct(F.lit("").alias("text"), F.lit("").alias("role"), F.lit(False).alias("gone"))
-
-    def apply(s: Column, e: Column) -> Column:
-        text = F.when(e.kind == "delta", F.concat(s.text, e.text)).when(e.kind == "delete", F.lit("")).otherwise(e.text)
-        return F.struct(text.alias("text"), F.when(e.role != "", e.role).otherwise(s.role).alias("role"), (e.kind == "delete").alias("gone"))
-
+    # the text is what was said from the last event on that sets it anew; pieces are joined once
+    last = lambda test: F.array_max(F.transform("steps", lambda e, k: F.when(test(e), k)))
+    tail = F.slice("steps", F.coalesce("from", F.lit(0)) + 1, F.size("steps"))
     return (
         events.groupBy("conv_id", "message")
         .agg(F.array_sort(F.collect_list(step)).alias("steps"))
-        .withColumn("state", F.aggregate("steps", start, apply))
-        .filter(~F.col("state.gone"))
-        .select("conv_id", "message", "state.role", "state.text")
+        .filter(F.element_at("steps", -1)["kind"] != "delete")
+        .select("conv_id", "message", "steps", last(lambda e: e.kind != "delta").alias("from"), last(lambda e: e.role != "").alias("told"))
+        .select(
+            "conv_id", "message", F.coalesce(F.get("steps", F.col("told"))["role"], F.lit("")).alias("role"),
+            F.array_join(F.transform(tail, lambda e: F.when(e.kind == "delete", F.lit("")).otherwise(e.text)), "").alias("text"),
+        )
     )
 
 

@@ -121,6 +121,23 @@ def test_katz_keeps_pairs_seen_once(spark):
     assert 0 < facts["d2"][1] < 1
 
 
+def test_katz_rows_between_stages_follow_the_text(spark):
+    texts = random_texts(80, seed=5)
+    sizes = []
+    for times in (1, 4):
+        blocks = katz.blocks_of(docs(spark, texts * times).select("doc_id", katz.F.lit(True).alias("learn"), "text"))
+        _, _, facts, numbered = katz._learn(blocks)
+        asked = numbered.drop("doc_id").mapInArrow(*katz._ask_pairs(facts["parts"]["pairs"], facts["hot"], False))
+        sizes.append(asked.count() / numbered.count())
+    assert max(sizes) <= katz.LEAST_PARTS  # a row a block and part, whatever the texts
+
+
+def test_katz_takes_ids_of_other_types(spark):
+    rows_ = [("x", "a b c"), (None, "a b"), ("x", "a b c"), ("y", None)]
+    got = katz.train_and_score(spark.createDataFrame(rows_, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("None", 3), ("x", 4), ("x", 4), ("y", 1)]
+
+
 def test_katz_of_nothing(spark):
     assert katz.train_and_score(docs(spark, [])).count() == 0
 
@@ -262,6 +279,17 @@ def test_chat_events_fold_into_final_messages(spark):
     assert [tuple(t) for t in got[2].turns] == [("", "")] and got[2].formatted == "<s>[]</s>"
 
 
+def test_chat_of_ties_nulls_and_many_deltas(spark):
+    kind = "conv_id long, seq long, message long, kind string, role string, text string"
+    e = [(None, 1, 1, "message", "user", "x"), (3, 1, 1, "message", "user", "b"), (3, 1, 1, "edit", "user", "a"), (3, 1, 1, "message", "user", "c")]
+    e += [(4, k, 1, "delta", "assistant" if k == 0 else None, f"{k},") for k in range(3000)]
+    e += [(5, 1, 1, "message", "user", "old"), (5, 2, 1, "delete", None, None), (5, 3, 1, "delta", None, "new")]
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.parse(chat.render(chat.fold(spark.createDataFrame(e, kind)))).collect()}
+    # of one seq the order is by kind, then text
+    assert got == {None: [("user", "x")], 3: [("user", "c")], 4: [("assistant", "".join(f"{k}," for k in range(3000)))], 5: [("user", "new")]}
+    assert chat.digests(chat.parse(chat.render(chat.fold(spark.createDataFrame([], kind))))).count() == 0
+
+
 def test_chat_round_trip_of_control_strings(spark):
     texts = ["</s>", "\\s\\l", "[INST] <s>", "]\\b[", "\\", "😀\n", ""]
     rows_ = [(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(texts)]
@@ -347,6 +375,18 @@ def test_container_fragments():
 # 6
 
 
+def test_token_counts_in_small_blocks_and_of_nothing(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "BLOCK_ENTRIES", 40)
+    monkeypatch.setattr(token_counts, "LEAST_PARTS", 3)
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(token_counts.MODEL))
+    texts = random_texts(30)
+    got = token_counts.count_tokens(docs(spark, texts).unionByName(docs(spark, texts)), tokenizer_path(token_counts.MODEL)).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((k, len(sp.encode(t or ""))) for k, t in enumerate(texts) for _ in range(2))
+    assert token_counts.count_tokens(docs(spark, []), tokenizer_path(token_counts.MODEL)).count() == 0
+
+
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
 
