@@ -12,12 +12,19 @@ NODE_KINDS = ("startEvent", "endEvent", "task", "userTask", "exclusiveGateway",
 
 
 def read_bpmn(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, flows) of a model; Spark reads and splits the file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"(</?)\w+:(?=\w)", "$1").alias("x"))
-    element = lambda tags: F.regexp_extract_all("x", F.lit(rf"(?s)(<(?:{tags})\b[^>]*>)"), F.lit(1))
-    value = lambda c, a: F.nullif(F.regexp_extract(c, rf'\b{a}="([^"]*)"', 1), F.lit(""))
-    nodes = text.select(F.explode(element("|".join(NODE_KINDS))).alias("n")).select(value("n", "id").alias("id"), F.regexp_extract("n", r"^<(\w+)", 1).alias("kind"), value("n", "name").alias("name"))
-    flows = text.select(F.explode(element("sequenceFlow")).alias("n")).select(value("n", "id").alias("id"), value("n", "sourceRef").alias("source"), value("n", "targetRef").alias("target"))
+    """(nodes, flows) of a model, whatever its name space's prefix; Spark reads and parses the file. A blank name is none."""
+    text = spark.read.text(path, wholetext=True)
+    found = lambda tag, part: F.xpath("value", F.lit(f"//*[local-name()='{tag}']{part}"))
+    node = lambda kind, zipped: text.select(F.explode(zipped).alias("n")).select(F.col("n.0").alias("id"), F.lit(kind).alias("kind"), F.nullif(F.col("n.1"), F.lit("")).alias("name"))
+    nodes = None
+    for kind in NODE_KINDS:
+        # attributes of one set of elements are in one order; elements without a name are a set of their own
+        named = node(kind, F.arrays_zip(found(kind, "[@name]/@id").alias("0"), found(kind, "[@name]/@name").alias("1")))
+        bare = found(kind, "[not(@name)]/@id")
+        rows = named.unionByName(node(kind, F.arrays_zip(bare.alias("0"), F.transform(bare, lambda _: F.lit("")).alias("1"))))
+        nodes = rows if nodes is None else nodes.unionByName(rows)
+    ends = F.arrays_zip(*[found("sequenceFlow", f"/@{a}").alias(str(k)) for k, a in enumerate(("id", "sourceRef", "targetRef"))])
+    flows = text.select(F.explode(ends).alias("n")).select(*[F.col(f"n.{k}").alias(name) for k, name in enumerate(("id", "source", "target"))])
     return nodes, flows
 
 

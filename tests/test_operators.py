@@ -289,3 +289,12 @@ def test_partitions_are_exported_apart(spark, tmp_path):
     logs.write_partitions(df, parts, str(tmp_path / "x"))
     n = {p: spark.read.text(str(tmp_path / "x" / p)).filter("value LIKE '<trace>%'").count() for p in ("train", "validation", "test")}
     assert n["validation"] == 0 and n["train"] + n["test"] == parts.count()
+
+
+def test_models_with_comments_quotes_and_prefixes(spark, tmp_path):
+    path = tmp_path / "m.bpmn"
+    path.write_text("""<?xml version="1.0"?><b:definitions xmlns:b="http://x"><b:process id="p"><!-- <b:task id="no" name="no"/> --><b:task id='t1' name='A &amp; "B"'/>
+<b:task id="t2"/><b:startEvent name="" id="s"/><b:sequenceFlow targetRef="t1" id="f1" sourceRef='s'/><b:sequenceFlow id="f2" sourceRef="t1" targetRef="t2"/></b:process></b:definitions>""")
+    nodes, flows = bpmn.read_bpmn(spark, str(path))
+    assert sorted(map(tuple, nodes.collect()), key=str) == [("s", "startEvent", None), ("t1", "task", 'A & "B"'), ("t2", "task", None)]
+    assert sorted(map(tuple, flows.collect())) == [("f1", "s", "t1"), ("f2", "t1", "t2")]
