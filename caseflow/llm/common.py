@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import discard, shared_dir, ship
+
+__all__ = ["BATCH_ROWS", "WORD", "discard", "held_out", "shared_dir", "short_batches", "stored", "table", "tokenizer_path"]
 
 #: A word is a maximal run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,17 +30,6 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that all executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests on one machine) the
-    warehouse folder of the session is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/caseflow-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """The rows of df, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -48,15 +38,6 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df; nothing may refer to it any more."""
-    files = df.inputFiles()
-    if files:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def held_out(doc_id: Column, parts: int, part: int = 2) -> Column:
     """Whether crc32 of doc_id, as text, leaves the remainder `part`; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part

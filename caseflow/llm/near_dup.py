@@ -20,7 +20,7 @@ run-time split joins, or by (bucket, block pair) for blocks. Large groups of cop
 Tables that the result does not need are deleted.
 
 Edge cases: null and blank texts have empty sets, are linked with nothing and stay; a text of fewer than five words has one
-shingle; rows with one doc_id are one node; rows without doc_id take the id of their class, or stay if it has none;
+shingle; ids are whole numbers (others fail in the cast); rows with one doc_id are one node; rows without doc_id take the id of their class, or stay if it has none;
 other columns are ignored; an empty table gives no rows.
 """
 
