@@ -429,6 +429,20 @@ def batch_rules(spark, d):
     return rules.firing_rules(runs)
 
 
+_FIRING = f"bf1 AS (SELECT a, r, session, size, min(s) AS f, min(enabled_us) AS e0, max(least(enabled_us, s)) AS e1 FROM bb JOIN en USING (eid) GROUP BY 1, 2, 3, 4), bf2 AS (SELECT a, size, round((f - least(e1, f)) / 1e6, 3) AS rw, round((f - least(e0, f)) / 1e6, 3) AS lw, ({HOUR.format('f')} % 24)::INT AS dh, (({HOUR.format('f')} // 24 + 3) % 7)::INT AS wd FROM bf1)"
+_WAITS = ", ".join(f"{t}e0" for t in rules.WAITS_S)
+
+
+@query(
+    f"WITH {LOG}, {_ENABLED}, {_BATCH}, {_FIRING}, cd AS (SELECT a, size, 'batch_ready_wt' AS attribute, '>=' AS comparison, unnest([{_WAITS}]) AS value, rw AS x FROM bf2 UNION ALL SELECT a, size, 'batch_max_wt', '>=', unnest([{_WAITS}]), lw FROM bf2 "
+    "UNION ALL SELECT a, size, 'daily_hour', '=', dh::DOUBLE, dh::DOUBLE FROM bf2 UNION ALL SELECT a, size, 'week_day', '=', wd::DOUBLE, wd::DOUBLE FROM bf2), "
+    "tl AS (SELECT a, attribute, comparison, value, count(*) AS hit, sum((size >= 3)::INT) AS good FROM cd WHERE x >= value GROUP BY 1, 2, 3, 4), al AS (SELECT a, sum((size >= 3)::INT) AS n FROM bf2 GROUP BY a) "
+    "SELECT a, attribute, comparison, value, round(good::DOUBLE / hit, 6) AS confidence, round(good::DOUBLE / nullif(n, 0), 6) AS support FROM tl JOIN al USING (a)"
+)
+def batch_conditions(spark, d):
+    return rules.firing_conditions(batch_firing(spark, d))
+
+
 _TAKES = "ee AS (SELECT l.*, least(enabled_us, s) AS en FROM l JOIN en USING (eid)), ot AS (SELECT y.r, y.a, y.eid, x.eid AS over FROM ee x JOIN ee y ON x.r = y.r AND x.a = y.a AND x.en < y.en AND y.en <= x.s AND y.s < x.s)"
 
 

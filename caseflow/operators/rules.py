@@ -54,6 +54,23 @@ def firing_rules(firing: DataFrame, least: int = 3) -> DataFrame:
     return out.select("a", F.lit("batch_size").alias("attribute"), "threshold", F.round(F.col("good") / F.nullif("hit", F.lit(0)), 6).alias("confidence"), F.round(F.col("good") / F.nullif("all", F.lit(0)), 6).alias("support"))
 
 
+WAITS_S = (60.0, 600.0, 3600.0, 14_400.0, 86_400.0)
+
+
+def firing_conditions(firing: DataFrame, least: int = 3) -> DataFrame:
+    """(a, attribute, comparison, value, confidence, support) of batches (a, size, ready_wt_s, large_wt_s, daily_hour, week_day):
+    how well a wait of WAITS_S or more, an hour or a weekday tells batches from smaller runs. One pass counts all candidates."""
+    one = lambda attribute, comparison, value, hit: F.struct(F.lit(attribute).alias("attribute"), F.lit(comparison).alias("comparison"), value.cast("double").alias("value"), hit.alias("hit"))
+    waits = [one(name, ">=", F.lit(t), F.col(c) >= t) for name, c in (("batch_ready_wt", "ready_wt_s"), ("batch_max_wt", "large_wt_s")) for t in WAITS_S]
+    at = [one(c, "=", F.col(c), F.lit(True)) for c in ("daily_hour", "week_day")]
+    batched = (F.col("size") >= least).cast("int")
+    rows = firing.select("a", batched.alias("batched"), F.explode(F.array(*waits, *at)).alias("x")).filter("x.hit")
+    told = rows.groupBy("a", "x.attribute", "x.comparison", "x.value").agg(F.count(F.lit(1)).alias("hit"), F.sum("batched").alias("good"))
+    every = firing.groupBy("a").agg(F.sum(batched).alias("all"))
+    out = told.join(every, "a")
+    return out.select("a", "attribute", "comparison", "value", F.round(F.col("good") / F.col("hit"), 6).alias("confidence"), F.round(F.col("good") / F.nullif("all", F.lit(0)), 6).alias("support"))
+
+
 def overtakes(log: DataFrame, enabled: DataFrame, attribute: str = "c", bucket_us: int = 6 * 3_600_000_000) -> DataFrame:
     """(r, a, eid, over): event `eid` started before `over` of the same work, though `over` had been enabled earlier and
     was waiting. The waits are cut into buckets of time, so that events meet only where they wait together."""

@@ -144,7 +144,10 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: d
     if resources.discover_batching_rules:
         runs = rules.batch_sessions(log)
         ids = bpmn.activity_ids(nodes).select(F.col("name").alias("a"), "id")
-        batches = rules_json.batch_json(rules.firing_rules(runs.select("a", "r", "session", "size").distinct()), rules.batch_sizes(runs), ids)
+        sizes = rules.firing_rules(runs.select("a", "r", "session", "size").distinct()).withColumn("comparison", F.lit(">="))
+        others = rules.firing_conditions(rules.batch_firing(runs, enabled)).withColumnRenamed("value", "threshold")
+        names = ["a", "attribute", "comparison", F.col("threshold").cast("double").alias("threshold"), "confidence"]
+        batches = rules_json.batch_json(sizes.select(*names).unionByName(others.select(*names)), rules.batch_sizes(runs), ids)
     gaps = calendars.interarrivals(log)
     if common.use_observed_arrival_distribution:
         arrivals = calendars.arrival_histogram(log)

@@ -48,9 +48,9 @@ def _distribution(rows: DataFrame, key: str, value: str, name: str) -> DataFrame
 
 
 def batch_json(firing: DataFrame, sizes: DataFrame, ids: DataFrame | None = None, least: float = 0.9) -> DataFrame:
-    """(task_id, json) of firing rules (a, attribute, threshold, confidence) that reach the confidence `least`, with the
-    distributions of sizes and mean seconds (a, size, batches, mean_s). ids: (a, id) of a model, names otherwise."""
-    one = condition(F.col("attribute"), F.lit(">="), F.col("threshold"))
+    """(task_id, json) of firing rules (a, attribute, threshold, confidence[, comparison], >= unless given) that reach the confidence
+    `least`, with the distributions of sizes and mean seconds (a, size, batches, mean_s). ids: (a, id) of a model, names otherwise."""
+    one = condition(F.col("attribute"), F.col("comparison") if "comparison" in firing.columns else F.lit(">="), F.col("threshold"))
     good = firing.filter(F.col("confidence") >= least).groupBy("a").agg(alternatives(F.collect_list(one)).alias("firing_rules"))
     rows = good.join(_distribution(sizes, "size", "batches", "size_distrib"), "a", "left").join(_distribution(sizes, "size", "mean_s", "duration_distrib"), "a", "left")
     rows = rows.withColumn("task_id", F.col("a")) if ids is None else rows.join(ids.select("a", F.col("id").alias("task_id")), "a")
