@@ -1,7 +1,8 @@
 """Running sums, maxima and lags over long orders, without putting an order into one task.
 
 Rows are cut into chunks that follow one another (an hour, a key range). Values of chunks are summed up over a small table;
-inside a chunk a plain window does the rest. Keys may be null.
+inside a chunk a plain window does the rest. Keys may be null: they are held in a struct, in which nulls are equal, so the
+join with the chunks' values and the window inside a chunk share one shuffle of the rows.
 """
 
 from __future__ import annotations
@@ -17,36 +18,56 @@ def hour(column: str) -> Column:
     return F.floor(F.col(column) / F.lit(float(HOUR_US)))
 
 
-def joined(df: DataFrame, sums: DataFrame, keys: list[str], chunk: str) -> DataFrame:
-    """df with the columns of sums for its keys and chunk; null keys are equal."""
-    sums = sums.withColumnsRenamed({k: f"_k_{k}" for k in (*keys, chunk)})
-    on = F.lit(True)
-    for k in (*keys, chunk):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(sums, on).drop(*[f"_k_{k}" for k in (*keys, chunk)])
+def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0)))
+
+
+def joined(df: DataFrame, values: DataFrame, keys: list[str], chunk: str) -> DataFrame:
+    """df with the columns of values for its keys and chunk; null keys are equal."""
+    return keyed(df, keys).join(keyed(values, keys).drop(*keys), ["_key", chunk]).drop("_key")
+
+
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list, value: Column, name: str) -> DataFrame:
     """df with the sum of value over all rows up to and with this one; chunk must not fall along the order."""
-    sums = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    df = keyed(df, keys)
+    sums = df.groupBy("_key", chunk).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy(chunk).rowsBetween(*_BEFORE)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined(df, sums, keys, chunk).withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before")
+    inside = Window.partitionBy("_key", chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.join(sums, ["_key", chunk]).withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before", "_key")
 
 
 def running_max_before(df: DataFrame, keys: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
     """df with the largest value of all rows before this one; chunk must not fall along the order."""
-    most = df.groupBy(*keys, chunk).agg(F.max(value).alias("_most"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    df = keyed(df, keys)
+    most = df.groupBy("_key", chunk).agg(F.max(value).alias("_most"))
+    before = Window.partitionBy("_key").orderBy(chunk).rowsBetween(*_BEFORE)
     most = most.withColumn("_before", F.max("_most").over(before)).drop("_most")
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined(df, most, keys, chunk).withColumn(name, F.greatest("_before", F.max(value).over(inside))).drop("_before")
+    inside = Window.partitionBy("_key", chunk).orderBy(*order).rowsBetween(*_BEFORE)
+    return df.join(most, ["_key", chunk]).withColumn(name, F.greatest("_before", F.max(value).over(inside))).drop("_before", "_key")
 
 
 def lag_over(df: DataFrame, keys: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
     """df with the value of the row before; value itself must not fall along the order."""
-    last = df.groupBy(*keys, chunk).agg(F.max(value).alias("_last"))
-    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy(chunk))).drop("_last")
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    return joined(df, last, keys, chunk).withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_before"))).drop("_before")
+    df = keyed(df, keys)
+    last = df.groupBy("_key", chunk).agg(F.max(value).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("_key").orderBy(chunk))).drop("_last")
+    inside = Window.partitionBy("_key", chunk).orderBy(*order)
+    return df.join(last, ["_key", chunk]).withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_before"))).drop("_before", "_key")
+
+
+def queue(df: DataFrame, keys: list[str], chunk: str, order: list, ready: str, work: str, name: str) -> DataFrame:
+    """df with the time at which each row begins: a server for each of keys takes rows in order, one at a time, none before it is
+    ready. That is the work before a row and the largest (ready - work before) so far, its own included."""
+    inside = Window.partitionBy("_key", chunk).orderBy(*order)
+    df = keyed(df, keys).withColumn("_work", F.coalesce(F.sum(work).over(inside.rowsBetween(*_BEFORE)), F.lit(0)))
+    df = df.withColumn("_idle", F.max(F.col(ready) - F.col("_work")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sums = df.groupBy("_key", chunk).agg(F.sum(work).alias("_all"), F.max("_idle").alias("_most"))
+    before = Window.partitionBy("_key").orderBy(chunk).rowsBetween(*_BEFORE)
+    sums = sums.withColumn("_done", F.coalesce(F.sum("_all").over(before), F.lit(0))).withColumn("_behind", F.max(F.col("_most") - F.col("_done")).over(before))
+    out = df.join(sums.select("_key", chunk, "_done", "_behind"), ["_key", chunk])
+    begin = F.col("_done") + F.col("_work") + F.greatest(F.col("_idle") - F.col("_done"), "_behind")
+    return out.withColumn(name, begin).drop("_key", "_work", "_idle", "_done", "_behind")
