@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import calendars, distances, preprocess, rules, traces
+from ..runtime import stored
 from ..sources import bpmn
 from ..sources.logs import Roles, read_csv_log
 from . import discovery, rules_json, simulate
@@ -101,12 +102,14 @@ def calendar_loss(train: DataFrame, valid: DataFrame, settings: Settings, work:
 
 def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: dict, given: tuple | None = None) -> ProcessModel:
     """The model of a log; work: granule, confidence, support, participation and fuzzy_angle, as found by the search."""
-    nodes, flows = given or discovery.process_graph(log, miner)
+    # a graph has some hundred rows, and much is made of it: it is kept as tables
+    nodes, flows = (stored(x) for x in given or discovery.process_graph(log, miner))
+    log = stored(log)
     common, flow, resources, delays = settings.common, settings.control_flow, settings.resource_model, settings.extraneous_activity_delays
     more = attributes_of(log)
     beside = preprocess.overlap_concurrency(log, settings.preprocessing.enable_time_concurrency_threshold).filter("concurrent AND overlapping > 0")
     enabled = preprocess.enabled_times(log, beside)
-    best = calendars.best_distribution(log)
+    best = stored(calendars.best_distribution(log))
     share = F.col("equiprobable") if flow.gateway_probabilities == "equiprobable" else F.col("observed")
     paths = rules.gateways(traces.dfg(log)).select("gateway", "path", "taken", share.alias("observed"))
     branches = None
@@ -132,12 +135,13 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: d
         else:
             hours = rules.extraneous_on_calendar(log, enabled, calendars.granule_activity(log, F.col("r")))
             extra = hours.groupBy("a").agg((F.avg("extraneous_h") * 3600).alias("mean_s"))
-        nodes, flows = bpmn.add_timers(nodes, flows, extra.select(F.col("a").alias("activity")))
+        extra = stored(extra)
+        nodes, flows = (stored(x) for x in bpmn.add_timers(nodes, flows, extra.select(F.col("a").alias("activity"))))
     hands = log.select("r", "a").distinct()
     if given:
         known = hands.select("a").distinct()
         tasks = bpmn.activity_ids(nodes).select(F.col("name").alias("a"))
-        missing = calendars.repair_missing(tasks, log, log.select("r"), known)
+        missing = stored(calendars.repair_missing(tasks, log, log.select("r"), known))
         hands = hands.unionByName(missing.select("r", "a"))
         best = best.unionByName(missing.select("a", "family", "mean").distinct().withColumn("std", F.lit(0.0)).withColumn("error", F.lit(0.0)))
     batches = None
@@ -153,7 +157,7 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: d
         arrivals = calendars.arrival_histogram(log)
     else:
         fitted = gaps.filter("gap_us IS NOT NULL").select(F.lit("arrival").alias("a"), F.lit(0).alias("s"), F.col("gap_us").alias("e"))
-        arrivals = calendars.best_distribution(fitted).select("family", "mean", "std")
+        arrivals = stored(calendars.best_distribution(fitted).select("family", "mean", "std"))
     instants = gaps.select(F.col("arrival_us").alias("s"), F.col("arrival_us").alias("e"))
     arrival_calendar = calendars.intervals(calendars.crisp_scores(instants, F.lit(0), 60), 60).select("w", "begin_min", "end_min")
     return ProcessModel(
