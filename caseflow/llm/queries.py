@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, katz, media, mixing, near_dup, token_counts, toxicity, warc
+from . import chat, decontaminate, exact_topk, hard_negatives, html_text, katz, media, merkle, mixing, near_dup, token_counts, toxicity, warc
 from .common import held_out, table, tokenizer_path
 
 
@@ -66,9 +66,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows of every hundredth embedding, by whole-number inner product."""
+    return exact_topk.top_k_of(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash tree of all documents, a proof of each, and each proof folded from a leaf that may be tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verified(docs, merkle.tampered(docs))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding and each of its positives."""
+    return hard_negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz, op2_toxicity, op3_near_dup, op4_chat, op5_media, op6_token_counts, op7_decontaminate, op8_html_text, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_katz, op2_toxicity, op3_near_dup, op4_chat, op5_media, op6_token_counts, op7_decontaminate, op8_html_text, op9_mixing, op10_warc, op11_exact_topk, op12_merkle, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.SQL, "op7_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {"op4_chat": chat.SQL, "op7_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL, "op11_exact_topk": exact_topk.SQL, "op12_merkle": merkle.SQL, "op13_hard_negatives": hard_negatives.SQL}
