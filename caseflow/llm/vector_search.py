@@ -60,12 +60,13 @@ class Distances:
     def bounds(self, refs: np.ndarray, norm: float, rows: _Side) -> tuple[np.ndarray, np.ndarray]:
         square = rows.norms**2 + norm**2
         slack = 0.01 + 1e-14 * square
-        near, far = np.zeros(len(square)), rows.norms + norm
-        give = 3e-7 * ((refs.max() if len(refs) else 0.0) + rows.farthest + far)
+        near, far = np.zeros(len(square), np.float32), np.full(len(square), np.inf, np.float32)
+        give = 1e-6 * ((refs.max() if len(refs) else 0.0) + rows.farthest + rows.norms + norm)
         for own, other in zip(refs, rows.refs, strict=True):
             np.maximum(near, np.abs(other - own), out=near)
             np.minimum(far, other + own, out=far)
-        return (square - (far + give) ** 2) / 2 - slack, (square - np.maximum(near - give, 0) ** 2) / 2 + slack
+        far = np.minimum(far, rows.norms + norm)
+        return (square - (far + give) ** 2) / 2 - slack, (square - np.maximum(near.astype(np.float64) - give, 0) ** 2) / 2 + slack
 
     def reach(self, gap: F.Column, norm: F.Column, other: F.Column) -> F.Column:
         """What the product of two rows with measures at least `gap` apart cannot exceed."""
@@ -77,7 +78,7 @@ class Distances:
 class Angles:
     """Measures are angles to reference directions; they bound the angle of two rows, and norms make a product of its cosine."""
 
-    GIVE = 2e-6
+    GIVE = 5e-6
 
     def refs(self, m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
         norms = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(pivots, axis=1)[None]
@@ -85,13 +86,13 @@ class Angles:
 
     def bounds(self, refs: np.ndarray, norm: float, rows: _Side) -> tuple[np.ndarray, np.ndarray]:
         product = rows.norms * norm
-        near, far = np.zeros(len(product)), np.full(len(product), np.pi)
+        near, far = np.zeros(len(product), np.float32), np.full(len(product), np.pi, np.float32)
         for own, other in zip(refs, rows.refs, strict=True):
             both = other + own
             np.maximum(near, np.abs(other - own), out=near)
-            np.minimum(far, np.minimum(both, 2 * np.pi - both), out=far)
+            np.minimum(far, np.minimum(both, np.float32(2 * np.pi) - both), out=far)
         slack = 0.01 + 1e-12 * product
-        return product * np.cos(np.minimum(far + self.GIVE, np.pi)) - slack, product * np.cos(np.maximum(near - self.GIVE, 0)) + slack
+        return product * np.cos(np.minimum(far.astype(np.float64) + self.GIVE, np.pi)) - slack, product * np.cos(np.maximum(near.astype(np.float64) - self.GIVE, 0)) + slack
 
     def reach(self, gap: F.Column, norm: F.Column, other: F.Column) -> F.Column:
         angle = F.least(F.greatest(gap - self.GIVE, F.lit(0.0)), F.lit(np.pi))
@@ -202,36 +203,75 @@ def chunks_of(queries: DataFrame, kind, pivots: dict) -> DataFrame:
 
 
 class _Side:
-    """The arrays of the tiles or the chunk of a task."""
+    """The arrays of the tiles or the chunk of a task; rows of tiles in the order of their ids."""
 
-    def __init__(self, t: pa.Table, dim: int):
+    def __init__(self, t: pa.Table, dim: int, by_id: bool = False):
         join = lambda k: np.concatenate([_unzigzag(x.as_py()) for x in t.column(k)])
-        self.ids, self.labels = join("ids"), join("labels")
-        n = len(self.ids)
-        self.m = join("vectors").reshape(n, dim)
+        ids, labels = join("ids"), join("labels")
+        m = join("vectors").reshape(len(ids), dim)
         raw, count = [], len(t.column("near")[0])
         for x, k in zip(t.column("refs"), t.column("ids"), strict=True):
             size = len(_unzigzag(k.as_py()))
             raw.append(np.frombuffer(pa.decompress(x.as_py(), decompressed_size=size * count * 4, codec="zstd", asbytes=True) if count else b"", np.float32).reshape(size, count))
-        self.refs = np.ascontiguousarray(np.concatenate(raw).T, np.float64)  # a row a reference
-        self.farthest = self.refs.max(axis=0) if count else np.zeros(n)
-        self.largest = int(np.abs(self.m).max()) if self.m.size else 0
-        self.norms = np.sqrt((self.m.astype(np.float64) ** 2).sum(axis=1))
-
-
-def _best(rows: _Side, order: np.ndarray, ub: np.ndarray, q: np.ndarray, m: np.ndarray, low: int, high: int, most: int):
-    """(scores, places) of the first `most` rows of `order`, which falls by upper bound, with a score in the window."""
-    s, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    k, step = 0, 256
-    while k < len(order) and not (len(s) == most and ub[order[k]] < s[-1]):
-        now = order[k : k + step]
-        got = (m[now] @ q).astype(np.int64)
-        fits = (got >= low) & (got <= high)
-        s, at = np.concatenate([s, got[fits]]), np.concatenate([at, now[fits]])
-        first = np.lexsort((rows.ids[at], -s))[:most]
-        s, at = s[first], at[first]
-        k, step = k + step, step * 2
-    return s, at
+        at = np.argsort(ids, kind="stable") if by_id else np.arange(len(ids))
+        self._hold(ids[at], labels[at], m[at], np.ascontiguousarray(np.concatenate(raw)[at].T))
+
+    def _hold(self, ids, labels, m, refs):
+        self.ids, self.labels, self.m, self.refs = ids, labels, m, refs  # refs: a row a reference
+        self.largest = int(np.abs(m).max()) if m.size else 0
+        self.norms = np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))
+        self.farthest = refs.max(axis=0).astype(np.float64) if len(refs) else np.zeros(len(ids))
+        self._labelled: dict[int, _Side] = {}
+
+    def exact(self, kind: type) -> None:
+        self.m = self.m.astype(kind)
+
+    def of(self, label: int) -> _Side:
+        """The rows of one label."""
+        if label not in self._labelled:
+            at, part = np.flatnonzero(self.labels == label), _Side.__new__(_Side)
+            part._hold(self.ids[at], self.labels[at], self.m[at], np.ascontiguousarray(self.refs[:, at]))
+            self._labelled[label] = part
+        return self._labelled[label]
+
+
+def _first(score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` largest scores, smaller ids first among equals."""
+    at = np.arange(len(score))
+    if len(score) > 4 * most:
+        at = np.flatnonzero(score >= -np.partition(-score, most - 1)[most - 1])
+    return at[np.lexsort((ids[at], -score[at]))[:most]]
+
+
+class _Candidates:
+    """The rows that a query's windows may hold, with bounds; a row is scored once, whatever the number of windows."""
+
+    def __init__(self, rows: _Side, kind, refs: np.ndarray, norm: float, q: np.ndarray, fits: np.ndarray, low: int, high: int):
+        lb, ub = kind.bounds(refs, norm, rows)
+        at = np.flatnonzero(fits & (ub >= low) & (lb <= high))
+        self.at, self.lb, self.ub, self.ids, self.m, self.q = at, lb[at], np.floor(ub[at]), rows.ids[at], rows.m, q
+        self.score, self.known = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+
+    def best(self, low: int, high: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the first `most` rows with a score in the window. Rows are scored in bands of falling upper bound, until
+        no bound left reaches the last of the best."""
+        rest = np.flatnonzero((self.ub >= low) & (self.lb <= high))
+        s, best, band = np.zeros(0, np.int64), np.zeros(0, np.int64), 256
+        while len(rest):
+            now, later = rest, rest[:0]
+            if len(rest) > band:
+                part = np.argpartition(-self.ub[rest], band - 1)
+                now, later = rest[part[:band]], rest[part[band:]]
+            new = now[~self.known[now]]
+            self.score[new] = (self.m[self.at[new]] @ self.q).astype(np.int64)
+            self.known[new] = True
+            got = now[(self.score[now] >= low) & (self.score[now] <= high)]
+            best = np.concatenate([best, got])
+            best = best[_first(self.score[best], self.ids[best], most)]
+            s = self.score[best]
+            rest = later[self.ub[later] >= s[-1]] if len(s) == most else later
+            band *= 8
+        return s, self.ids[best]
 
 
 def _search(kind, side: int, most: int):
@@ -241,25 +281,32 @@ def _search(kind, side: int, most: int):
         out = {k: [] for k in ("nth", "key", "query_id", "tag", "value", "vec_id", "score")}
         if tiles.num_rows and chunks.num_rows:
             dim = chunks.column("dim")[0].as_py()
-            rows, asks = _Side(tiles, dim), _Side(chunks, dim)
+            rows, asks = _Side(tiles, dim, by_id=True), _Side(chunks, dim)
             key, low, high, tag, value = (_unzigzag(chunks.column(k)[0].as_py()) for k in ("key", "low", "high", "tag", "value"))
-            if dim * rows.largest * asks.largest >= 1 << 63:
+            most_of = dim * rows.largest * asks.largest
+            if most_of >= 1 << 63:
                 raise ValueError("a score does not fit a long")
-            exact = np.float64 if dim * rows.largest * asks.largest < 1 << 53 else np.int64
-            m, q, last = rows.m.astype(exact), asks.m.astype(exact), None
-            for i in np.argsort(asks.ids, kind="stable"):  # windows of one vector follow each other
-                if last is None or not np.array_equal(q[i], q[last]):
-                    lb, ub = kind.bounds(asks.refs[:, i], asks.norms[i], rows)
-                    ub = np.floor(ub)
-                last = i
-                fits = (rows.ids != asks.ids[i]) & (ub >= low[i]) & (lb <= high[i])
-                if side:
-                    fits &= (rows.labels == asks.labels[i]) == (side == 1)
-                found = np.flatnonzero(fits)
-                s, at = _best(rows, found[np.lexsort((rows.ids[found], -ub[found]))], ub, q[i], m, low[i], high[i], most)
-                for k, x in (("nth", i), ("key", key[i]), ("query_id", asks.ids[i]), ("tag", tag[i]), ("value", value[i])):
-                    out[k].append(np.full(len(s), x))
-                out["vec_id"].append(rows.ids[at]), out["score"].append(s)
+            for x in (rows, asks):
+                x.exact(np.float64 if most_of < 1 << 53 else np.int64)
+            order = np.lexsort((asks.labels, asks.ids))  # windows of one row follow each other
+            same = lambda i, j: asks.ids[i] == asks.ids[j] and asks.labels[i] == asks.labels[j] and np.array_equal(asks.m[i], asks.m[j])
+            k = 0
+            while k < len(order):
+                i, end = order[k], k + 1
+                while end < len(order) and same(i, order[end]):
+                    end += 1
+                windows = order[k:end]
+                pool = rows.of(int(asks.labels[i])) if side == 1 else rows
+                fits = pool.ids != asks.ids[i]
+                if side == 2:
+                    fits &= pool.labels != asks.labels[i]
+                found = _Candidates(pool, kind, asks.refs[:, i], asks.norms[i], asks.m[i], fits, low[windows].min(), high[windows].max())
+                for w in windows:
+                    s, ids = found.best(int(low[w]), int(high[w]), most)
+                    for name, x in (("nth", w), ("key", key[w]), ("query_id", asks.ids[w]), ("tag", tag[w]), ("value", value[w])):
+                        out[name].append(np.full(len(s), x))
+                    out["vec_id"].append(ids), out["score"].append(s)
+                k = end
         got = {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in out.items()}
         chunk = chunks.column("chunk")[0].as_py() if chunks.num_rows else 0
         got["nth"] = got["nth"].astype(np.int32)

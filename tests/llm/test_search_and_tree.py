@@ -92,9 +92,7 @@ def test_bounds_hold(kind):
     m[::50] = m[1]
     m[3] = 0
     rows = vector_search._Side.__new__(vector_search._Side)
-    rows.m, rows.norms = m, np.linalg.norm(m, axis=1)
-    rows.refs = kind.refs(m, m[5:25]).astype(np.float32).astype(np.float64).T
-    rows.farthest = rows.refs.max(axis=0)
+    rows._hold(np.arange(400), np.zeros(400), m, kind.refs(m, m[5:25]).astype(np.float32).T)
     for i in range(0, 400, 7):
         low, high = kind.bounds(rows.refs[:, i], rows.norms[i], rows)
         score = m @ m[i]
