@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import calendars, distances, preprocess, rules, traces, variants_distance
-from .plans import discovery, rules_json, simulate, tuner
+from .operators import calendars, distances, preprocess, rule_learning, rules, traces, variants_distance
+from .plans import discovery, replay, rules_json, simulate, tuner
 from .sources import bpmn, logs
 from .sources.logs import events_log, orders_log
 from .streaming import incremental
@@ -225,9 +225,14 @@ def enabled_times(spark, d):
     return preprocess.enabled_times(log, _concurrent(log))
 
 
-@query(f"WITH {LOG}, z AS (SELECT eid, e, greatest(lag(e) OVER (PARTITION BY c ORDER BY e, eid), lag(e) OVER (PARTITION BY r ORDER BY e, eid)) AS p FROM l) SELECT eid, least(coalesce(p, e), e) AS start_us FROM z")
+@query(
+    f"WITH {LOG}, {_HEUR}, cp AS (SELECT a, b FROM sc WHERE abs(dep) < 0.02e0 UNION ALL SELECT b, a FROM sc WHERE abs(dep) < 0.02e0), "
+    "bc AS (SELECT x.eid, max(y.e) AS p FROM l x JOIN l y ON y.c = x.c AND (y.e < x.e OR y.e = x.e AND y.eid < x.eid) AND NOT EXISTS (SELECT 1 FROM cp WHERE cp.a = x.a AND cp.b = y.a) GROUP BY x.eid), "
+    "fr AS (SELECT eid, e, lag(e) OVER (PARTITION BY r ORDER BY e, eid) AS f FROM l) SELECT eid, least(coalesce(greatest(p, f), e), e) AS start_us FROM fr LEFT JOIN bc USING (eid)"
+)
 def estimated_starts(spark, d):
-    return preprocess.estimated_starts(events_log(spark, d))
+    log = events_log(spark, d)
+    return preprocess.estimated_starts(log, _concurrent(log))
 
 
 @query(
@@ -399,6 +404,63 @@ def attribute_types(spark, d):
     return rules.attribute_types(orders_log(spark, d), ["priority", "status", "r"])
 
 
+def _learned(source: str, numbers: list[str], names: list[str], outcome: str | None = None) -> str:
+    """The SQL of rule_learning.learn over rows (g, y, hold, v0.., s0..): its rounds, one after the other."""
+    n, cuts = len(numbers), rule_learning.CUTS
+    ks, ss = [f"k{i}" for i in range(n)], [f"s{i}" for i in range(len(names))]
+    cols = ", ".join([*ks, *ss])
+    part = ", ".join(f"{k / cuts}" for k in range(1, cuts))
+    points = ", ".join(f"list_sort(list_distinct(quantile_disc(v{i}::DOUBLE, [{part}]))) AS c{i}" for i in range(n))
+    code = ", ".join(f"CASE WHEN v{i} IS NOT NULL THEN len(list_filter(c{i}, lambda c: v{i} > c)) END AS k{i}" for i in range(n))
+    ctes = [
+        f"lx AS MATERIALIZED (SELECT * FROM {source} WHERE y IS NOT NULL)",
+        f"lc AS MATERIALIZED (SELECT g{', ' + points if n else ''} FROM lx GROUP BY g)",
+        f"le AS MATERIALIZED (SELECT g, y AS own, {cols}, sum(1 - hold) AS gn, sum(hold) AS hn FROM (SELECT lx.g, y, hold::INT AS hold{', ' + code if n else ''}{''.join(', ' + x for x in ss)} FROM lx JOIN lc ON lc.g = lx.g) GROUP BY ALL)",
+        f"lt AS (SELECT DISTINCT g, {'own' if outcome is None else repr(outcome)} AS y FROM le WHERE g IN (SELECT g FROM le GROUP BY g HAVING count(DISTINCT own) > 1))",
+        f"l0 AS MATERIALIZED (SELECT le.g, y, {cols}, sum(CASE WHEN own = y THEN gn ELSE 0 END) AS p, sum(CASE WHEN own <> y THEN gn ELSE 0 END) AS n, sum(CASE WHEN own = y THEN hn ELSE 0 END) AS hp, sum(CASE WHEN own <> y THEN hn ELSE 0 END) AS hq FROM le JOIN lt ON lt.g = le.g GROUP BY ALL)",
+    ]
+    met = lambda c: "coalesce(CASE " + " ".join([f"WHEN {c}.attr = {i} THEN CASE WHEN {c}.op = '>' THEN k{i} > {c}.code ELSE k{i} <= {c}.code END" for i in range(n)] + [f"WHEN {c}.attr = {n + i} THEN {c}.val = s{i}" for i in range(len(ss))]) + " END, false)"
+    told = "round((sum(hp) - sum(hq)) / nullif(sum(hp) + sum(hq), 0)::DOUBLE, 6)"
+    left, found = "l0", []
+    for r in range(rule_learning.RULES):
+        cur = left
+        for j in range(rule_learning.CONDITIONS):
+            x = f"{r}_{j}"
+            each = [f"SELECT g, y, {i} AS attr, k{i} AS code, NULL::VARCHAR AS val, sum(p) AS p, sum(n) AS n FROM {cur} GROUP BY ALL" for i in range(n)] + [f"SELECT g, y, {n + i}, NULL::INT, s{i}, sum(p), sum(n) FROM {cur} GROUP BY ALL" for i in range(len(ss))]
+            most = "CASE attr " + " ".join(f"WHEN {i} THEN len(c{i})" for i in range(n)) + " END" if n else "0"
+            ctes += [
+                f"e{x} AS MATERIALIZED ({' UNION ALL '.join(each)})",
+                f"c{x} AS (SELECT e.g, y, attr, '<=' AS op, code, val, sum(p) OVER w AS p, sum(n) OVER w AS n, {most} AS most FROM e{x} e JOIN lc ON lc.g = e.g WHERE code IS NOT NULL WINDOW w AS (PARTITION BY e.g, y, attr ORDER BY code) "
+                f"UNION ALL SELECT g, y, attr, '>', code - 1, val, sum(p) OVER w, sum(n) OVER w, 99 FROM e{x} WHERE code IS NOT NULL WINDOW w AS (PARTITION BY g, y, attr ORDER BY code ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) UNION ALL SELECT g, y, attr, '=', code, val, p, n, 99 FROM e{x} WHERE val IS NOT NULL)",
+                f"t{x} AS (SELECT g, y, sum(p) AS ap, sum(n) AS an FROM {cur} GROUP BY g, y)",
+                f"b{x} AS MATERIALIZED (SELECT g, y, {j} AS step, {{'attr': attr, 'op': op, 'code': code, 'val': val}} AS cond FROM (SELECT c.*, round(p * (log2(p / (p + n)::DOUBLE) - log2(ap / (ap + an)::DOUBLE)), 6) AS gain FROM c{x} c JOIN t{x} t USING (g, y) WHERE p > 0 AND (code IS NULL OR (code >= 0 AND (op = '>' OR code < most)))) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY g, y ORDER BY gain DESC, attr, op, code, val) = 1)",
+                f"u{x} AS MATERIALIZED (SELECT u.* FROM {cur} u JOIN b{x} b ON b.g = u.g AND b.y = u.y WHERE {met('b.cond')})",
+                f"h{x} AS (SELECT b.*, (SELECT {told} FROM u{x} u WHERE u.g = b.g AND u.y = b.y) AS telling FROM b{x} b)",
+            ]
+            cur = f"u{x}"
+        ctes += [
+            f"g{r} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM h{r}_{j}' for j in range(rule_learning.CONDITIONS))})",
+            f"a{r} AS (SELECT g, y, {told} AS alone FROM {left} GROUP BY g, y)",
+            f"z{r} AS (SELECT g, y, step AS last FROM (SELECT g, y, step, telling FROM g{r} WHERE telling IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, y ORDER BY telling DESC, step) = 1) JOIN a{r} USING (g, y) WHERE telling > alone)",
+            f"w{r} AS (SELECT g, y, list(cond ORDER BY step) AS rule FROM g{r} JOIN z{r} USING (g, y) WHERE step <= last GROUP BY g, y)",
+            f"m{r} AS MATERIALIZED (SELECT q.*, rule, len(list_filter(rule, lambda d: NOT {met('d')})) = 0 AS met FROM {left} q JOIN w{r} w ON w.g = q.g AND w.y = q.y)",
+            f"f{r} AS MATERIALIZED (SELECT g, y, {r} AS rule, rule AS conds, sum(p + hp) AS tp, sum(n + hq) AS fp FROM m{r} WHERE met GROUP BY g, y, m{r}.rule)",
+            f"r{r} AS MATERIALIZED (SELECT * EXCLUDE (rule, met) FROM m{r} WHERE NOT met)",
+        ]
+        left = f"r{r}"
+        found.append(f"SELECT * FROM f{r}")
+    bound = "CASE attr " + " ".join(f"WHEN {i} THEN list_extract(c{i}, code + 1)" for i in range(n)) + " END" if n else "NULL::DOUBLE"
+    name = "CASE attr " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate([*numbers, *names])) + " END"
+    ctes += [
+        f"fa AS MATERIALIZED ({' UNION ALL '.join(found)})",
+        "fs AS (SELECT g, y, sum(tp) AS atp, sum(fp) AS afp FROM fa GROUP BY g, y), po AS (SELECT g, y, sum(p + hp) AS positive FROM l0 GROUP BY g, y)",
+        "fd AS (SELECT g, y, rule, tp, fp, d.attr AS attr, d.op AS op, d.code AS code, d.val AS val FROM (SELECT * EXCLUDE (conds), unnest(conds) AS d FROM fa))",
+        "fo AS (SELECT g, y, rule, tp, fp, attr, op, CASE WHEN op = '>' THEN max(code) ELSE min(code) END AS code, min(val) AS value FROM fd GROUP BY g, y, rule, tp, fp, attr, op)",
+        f"learned AS (SELECT fo.g, fo.y, rule, (row_number() OVER (PARTITION BY fo.g, fo.y, rule ORDER BY attr, op) - 1)::INT AS nth, {name} AS attribute, op AS comparison, value, {bound} AS bound, tp::BIGINT AS tp, fp::BIGINT AS fp, round(2e0 * atp / (atp + afp + positive), 6) AS f1 FROM fo JOIN fs ON fs.g = fo.g AND fs.y = fo.y JOIN po ON po.g = fo.g AND po.y = fo.y JOIN lc ON lc.g = fo.g)",
+    ]
+    return ", ".join(ctes)
+
+
 # Batches and priorities
 
 _BATCH = """m AS (SELECT *, max(e) OVER w AS p, row_number() OVER (PARTITION BY a, r ORDER BY s, e, eid) AS rn FROM l WINDOW w AS (PARTITION BY a, r ORDER BY s, e, eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -443,6 +505,16 @@ def batch_conditions(spark, d):
     return rules.firing_conditions(batch_firing(spark, d))
 
 
+_BATCHED = "bx AS (SELECT a AS g, (size >= 3)::VARCHAR AS y, rw AS v0, lw AS v1, dh::DOUBLE AS v2, wd::DOUBLE AS v3, (session + r) % 3 = 0 AS hold FROM bf2)"
+_FIRED_BY = ["batch_ready_wt", "batch_max_wt", "daily_hour", "week_day"]
+
+
+@query(f"WITH {LOG}, {_ENABLED}, {_BATCH}, {_FIRING.replace('SELECT a, size, round', 'SELECT a, r, session, size, round')}, {_BATCHED}, {_learned('bx', _FIRED_BY, [], 'true')} SELECT g AS a, * EXCLUDE (g, y) FROM learned")
+def batch_rules_learned(spark, d):
+    """Rules, conjunctions of waits, hours and weekdays, that tell what fires a batch."""
+    return rules.learned_firing(batch_firing(spark, d)).drop("y", "kept").withColumnRenamed("g", "a")
+
+
 _TAKES = "ee AS (SELECT l.*, least(enabled_us, s) AS en FROM l JOIN en USING (eid)), ot AS (SELECT y.r, y.a, y.eid, x.eid AS over FROM ee x JOIN ee y ON x.r = y.r AND x.a = y.a AND x.en < y.en AND y.en <= x.s AND y.s < x.s)"
 
 
@@ -488,6 +560,30 @@ def branch_rules_f1(spark, d):
     return rules.branch_rules(_choices(events_log(spark, d)), ["r", "hour"])
 
 
+_STEP_EXAMPLES = "sx AS (SELECT a AS g, lead(a) OVER w AS y, r::DOUBLE AS v0, ((e // 3600000000) % 24)::DOUBLE AS v1, (e - s) / 1e6 AS v2, a0 AS s0, eid % 3 = 0 AS hold FROM (SELECT *, first_value(a) OVER (PARTITION BY c ORDER BY e, eid) AS a0 FROM l) WINDOW w AS (PARTITION BY c ORDER BY e, eid))"
+
+
+@query(f"WITH {LOG}, {_STEP_EXAMPLES}, {_learned('sx', ['r', 'hour', 'seconds'], ['first'])} SELECT g AS gateway, y AS path, * EXCLUDE (g, y) FROM learned")
+def branch_rules_learned(spark, d):
+    """Rules, conjunctions of intervals and values, for each step that an activity may take next."""
+    log = events_log(spark, d)
+    w = Window.partitionBy("c").orderBy("e", "eid")
+    hour = F.pmod(F.floor(F.col("e") / F.lit(3.6e9)), F.lit(24))
+    rows = log.select(F.col("a").alias("g"), F.lead("a").over(w).alias("y"), "r", hour.alias("hour"), ((F.col("e") - F.col("s")) / 1e6).alias("seconds"), F.first("a").over(w).alias("first"), (F.col("eid") % 3 == 0).alias("hold"))
+    return rule_learning.learn(rows, ["r", "hour", "seconds"], ["first"]).drop("kept").withColumnsRenamed({"g": "gateway", "y": "path"})
+
+
+_LINES = "ox AS (SELECT status AS g, a AS y, r::DOUBLE AS v0, line::DOUBLE AS v1, (e - s) / 8.64e10 AS v2, s / 8.64e10 AS v3, priority AS s0, (c + line) % 3 = 0 AS hold FROM o)"
+
+
+@query(f"WITH {ORDERS}, {_LINES}, {_learned('ox', ['r', 'line', 'days', 'since'], ['priority'])} SELECT g AS status, y AS activity, * EXCLUDE (g, y) FROM learned")
+def line_rules_learned(spark, d):
+    """Rules for the activity of an order line, by the order's status."""
+    day = lambda c: c / F.lit(8.64e10)
+    rows = orders_log(spark, d).select(F.col("status").alias("g"), F.col("a").alias("y"), "r", "line", day(F.col("e") - F.col("s")).alias("days"), day(F.col("s")).alias("since"), "priority", ((F.col("c") + F.col("line")) % 3 == 0).alias("hold"))
+    return rule_learning.learn(rows, ["r", "line", "days", "since"], ["priority"]).drop("kept").withColumnsRenamed({"g": "status", "y": "activity"})
+
+
 @query(f"WITH {LOG}, {_CHOICE}, y AS (SELECT gateway, path, hour::DOUBLE AS v, unnest([6e0, 12e0, 18e0]) AS cut FROM cc), z AS (SELECT gateway, path, cut, sum((v > cut)::INT)::BIGINT AS tp, count(*) AS took FROM y GROUP BY 1, 2, 3), f AS (SELECT *, 2e0 * tp / (sum(tp) OVER (PARTITION BY gateway, cut) + took) AS f FROM z) SELECT gateway, path, 'hour' AS attribute, cut, tp, round(f, 6) AS f1, f >= 0.7e0 AS kept FROM f")
 def branch_intervals_f1(spark, d):
     return rules.interval_branch_rules(_choices(events_log(spark, d)), "hour", [6.0, 12.0, 18.0])
@@ -623,6 +719,40 @@ def process_graph(spark, d):
     return discovery.process_graph(events_log(spark, d), discovery.Miner(epsilon=0.05))[1]
 
 
+_REPLAY = f"""{_FLOWS}, fs AS (SELECT p.a, min(coalesce(m.concurrent, false)::INT) AS par FROM eg p JOIN eg q ON p.a = q.a AND p.b < q.b LEFT JOIN mx m ON m.a = p.b AND m.b = q.b GROUP BY p.a),
+vi AS (SELECT DISTINCT a AS node FROM l UNION SELECT 'start' UNION SELECT 'end'),
+cl AS (SELECT source AS a, target AS node, [id] AS path FROM pf JOIN vi ON vi.node = source UNION ALL SELECT cl.a, target, list_append(path, id) FROM cl JOIN pf ON pf.source = cl.node WHERE cl.node NOT IN (SELECT node FROM vi) AND NOT list_contains(path, id)),
+sh AS (SELECT a, node AS b, path FROM cl WHERE node IN (SELECT node FROM vi) QUALIFY row_number() OVER (PARTITION BY a, node ORDER BY len(path), path) = 1),
+tg AS (SELECT c, a AS b, e, eid FROM l UNION ALL SELECT c, 'end', max(e), 9223372036854775807 FROM l GROUP BY c),
+so AS (SELECT y.c, y.b, y.e, y.eid, max({{'e': x.e, 'i': x.eid, 'a': x.a}}) AS last FROM tg y LEFT JOIN (l x JOIN sh ON sh.a = x.a) ON x.c = y.c AND sh.b = y.b AND (x.e < y.e OR x.e = y.e AND x.eid < y.eid) GROUP BY ALL),
+st AS (SELECT so.c, so.b, so.e, so.eid, last.i AS src, path FROM so LEFT JOIN sh ON sh.a = coalesce(last.a, 'start') AND sh.b = so.b),
+gf AS (SELECT source AS gateway_id, CASE WHEN par = 1 THEN 'parallelGateway' ELSE 'exclusiveGateway' END AS kind, pf.id AS flow_id, count(*) OVER (PARTITION BY source) AS ways FROM pf JOIN sp ON sp.id = source JOIN fs USING (a)),
+ex AS (SELECT c, src, e, eid, unnest(path) AS flow_id FROM st), eo AS (SELECT ex.*, gateway_id FROM ex JOIN gf USING (flow_id) WHERE kind = 'exclusiveGateway'),
+ch0 AS (SELECT c, src, gateway_id, arg_min(flow_id, {{'e': e, 'i': eid}}) AS chosen FROM eo GROUP BY c, src, gateway_id),
+aw AS (SELECT DISTINCT eo.c, eid FROM eo JOIN ch0 ON ch0.c = eo.c AND ch0.src IS NOT DISTINCT FROM eo.src AND ch0.gateway_id = eo.gateway_id WHERE flow_id <> chosen),
+rs AS (SELECT st.*, path IS NOT NULL AND row_number() OVER (PARTITION BY st.c, src, b ORDER BY e, st.eid) = 1 AND aw.eid IS NULL AS fits FROM st LEFT JOIN aw ON aw.c = st.c AND aw.eid = st.eid),
+tk AS (SELECT DISTINCT c, src, unnest(path) AS flow_id FROM rs WHERE fits), tn AS (SELECT flow_id, count(*) AS taken FROM tk GROUP BY flow_id),
+gr AS (SELECT gateway_id, kind, flow_id, coalesce(taken, 0)::BIGINT AS taken, ways FROM gf LEFT JOIN tn USING (flow_id))"""
+
+
+def _replayed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    log = events_log(spark, d)
+    nodes, flows = discovery.process_graph(log, discovery.Miner(epsilon=0.05))
+    return replay.steps(log, nodes, flows), nodes, flows
+
+
+@query(f"WITH RECURSIVE {LOG}, {_REPLAY} SELECT gateway_id, kind, flow_id, taken, round(coalesce(taken::DOUBLE / nullif(sum(taken) OVER (PARTITION BY gateway_id), 0), 1e0 / ways), 6) AS probability FROM gr")
+def gateway_replay(spark, d):
+    """How often the steps of the log take each flow out of the gateways of its process graph."""
+    return replay.gateway_flows(*_replayed(spark, d))
+
+
+@query(f"WITH RECURSIVE {LOG}, {_REPLAY} SELECT b AS activity, count(*) AS steps, sum(fits::INT)::BIGINT AS fitting FROM rs GROUP BY b")
+def replay_fitness(spark, d):
+    """How many steps into each activity the process graph allows."""
+    return replay.fitness(_replayed(spark, d)[0])
+
+
 _TIMED = _FLOWS.removeprefix(STEPS + ", ")
 
 

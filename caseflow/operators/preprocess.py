@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import hour, lag_over, running_sum
+from .prefix import hour, lag_over, running_max_before, running_sum
 
 
 def split(log: DataFrame, ratio: float = 0.8) -> DataFrame:
@@ -66,33 +66,52 @@ def overlap_concurrency(log: DataFrame, threshold: float = 0.5) -> DataFrame:
     return both.join(over, ["a", "b"], "left").select("a", "b", "together", n.alias("overlapping"), F.round(n / F.col("together"), 6).alias("ratio"), (n / F.col("together") >= threshold).alias("concurrent"))
 
 
+def both_ways(concurrent: DataFrame) -> DataFrame:
+    """(a, b) and (b, a) of concurrent pairs."""
+    pairs = concurrent.select("a", "b")
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _last_not_beside(asks: DataFrame, ends: DataFrame, concurrent: DataFrame) -> DataFrame:
+    """(eid, end) for each ask (c, eid, a, t, kind): the latest end (c, eid, a, t, kind) of its case before it, on the axis (t, kind,
+    eid), of an activity not concurrent with its own; null if there is none.
+
+    One running maximum over all ends of a case answers those whose latest end is of such an activity. The others look at each
+    activity of their case that is not concurrent with theirs. Both run in two levels, so a case of any length is split."""
+    pairs = both_ways(concurrent)
+    axis, none = ["t", "kind", "eid"], F.lit(None).cast("struct<t:bigint,a:string>")
+    rows = ends.select("c", *axis, "a", F.struct("t", "a").alias("value")).unionByName(asks.select("c", *axis, "a", none.alias("value"))).withColumn("_ask", F.col("value").isNull())
+    led = running_max_before(rows.withColumn("_hour", hour("t")), ["c"], "_hour", [*axis, F.desc("_ask")], "value", "last").filter("_ask")
+    clash = pairs.select("a", F.col("b").alias("_other"), F.lit(True).alias("_clash"))
+    told = led.withColumn("_other", F.col("last.a")).join(clash, ["a", "_other"], "left").select("c", *axis, "a", "last", F.coalesce("_clash", F.lit(False)).alias("clash"))
+    open_ = told.filter("clash").select("c", *axis, "a")
+    ways = open_.join(ends.select("c", F.col("a").alias("b")).distinct(), "c").join(pairs, ["a", "b"], "left_anti")
+    again = ends.select("c", F.col("a").alias("b"), *axis, F.col("t").alias("value")).unionByName(ways.select("c", "b", *axis, F.lit(None).cast("long").alias("value"))).withColumn("_ask", F.col("value").isNull())
+    found = running_max_before(again.withColumn("_hour", hour("t")), ["c", "b"], "_hour", [*axis, F.desc("_ask")], "value", "last").filter("_ask")
+    found = open_.select("eid").join(found.groupBy("eid").agg(F.max("last").alias("end")), "eid", "left")
+    return told.filter("NOT clash").select("eid", F.col("last.t").alias("end")).unionByName(found)
+
+
 def enabled_times(log: DataFrame, concurrent: DataFrame) -> DataFrame:
     """(eid, enabled_us): the latest end, in the case, of an activity not concurrent with the event's; none: its start.
     An event of no length enables later starts only.
 
-    concurrent: (a, b) pairs, a < b. Starts and ends of a case lie on one axis, two rows an event, and a running maximum
-    of the ends of each activity answers all starts in one pass. The names of activities and the pairs, the vocabulary of a
-    process and not of its events, are read first.
-    """
-    names = sorted(x.a for x in log.select("a").distinct().collect() if x.a is not None)
-    beside: dict[str, list[str]] = {k: [] for k in names}
-    for x in concurrent.select("a", "b").collect():
-        beside.setdefault(x.a, []).append(x.b), beside.setdefault(x.b, []).append(x.a)
-    mark = lambda t, kind, end: F.struct(t.alias("t"), kind.alias("kind"), end.alias("end"))
-    none = F.lit(None).cast("long")
-    both = F.array(mark(F.col("s"), F.lit(1), none), mark(F.col("e"), F.when(F.col("s") < F.col("e"), 0).otherwise(2), F.col("e")))
-    marks = log.select("c", "a", "s", "eid", F.explode(both).alias("m")).select("c", "a", "s", "eid", "m.*")
-    w = Window.partitionBy("c").orderBy("t", "kind", "eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.max(F.when(F.col("a") == k, F.col("end"))).over(w).alias(f"_{n}") for n, k in enumerate(names)]
-    ask = [F.when(~F.col("a").isin(beside[k]) if beside[k] else F.col("a").isNotNull(), F.col(f"_{n}")) for n, k in enumerate(names)]
-    return marks.select("*", *last).filter("kind = 1").select("eid", F.coalesce(F.greatest(none, none, *ask), F.col("s")).alias("enabled_us"))
-
-
-def estimated_starts(log: DataFrame) -> DataFrame:
-    """(eid, start_us) from ends alone: the later of the last end of the case and of the resource, else the own end."""
-    rows = lag_over(log.select("eid", "c", "r", "e").withColumn("_hour", hour("e")), ["r"], "_hour", ["e", "eid"], "e", "_free")
-    before = F.greatest(F.lag("e").over(Window.partitionBy("c").orderBy("e", "eid")), F.col("_free"))
-    return rows.select("eid", F.least(F.coalesce(before, F.col("e")), F.col("e")).alias("start_us"))
+    concurrent: (a, b) pairs. Starts and ends of a case lie on one axis, two rows an event."""
+    asks = log.select("c", "eid", "a", F.col("s").alias("t"), F.lit(1).alias("kind"))
+    ends = log.select("c", "eid", "a", F.col("e").alias("t"), F.when(F.col("s") < F.col("e"), 0).otherwise(2).alias("kind"))
+    found = _last_not_beside(asks, ends, concurrent)
+    return log.select("eid", "s").join(found, "eid").select("eid", F.coalesce("end", "s").alias("enabled_us"))
+
+
+def estimated_starts(log: DataFrame, concurrent: DataFrame | None = None) -> DataFrame:
+    """(eid, start_us) from ends alone: the later of the last end of the case, concurrent activities (a, b) left out, and of
+    the last end of the resource, else the own end."""
+    ends = log.select("c", "eid", "a", F.col("e").alias("t"), F.lit(0).alias("kind"))
+    pairs = log.select("a", F.col("a").alias("b")).filter("false") if concurrent is None else concurrent
+    before = _last_not_beside(ends, ends, pairs)
+    free = lag_over(log.select("eid", "r", "e").withColumn("_hour", hour("e")), ["r"], "_hour", ["e", "eid"], "e", "_free")
+    start = F.greatest("end", "_free")
+    return free.join(before, "eid").select("eid", F.least(F.coalesce(start, F.col("e")), F.col("e")).alias("start_us"))
 
 
 def multitask_adjust(log: DataFrame) -> DataFrame:

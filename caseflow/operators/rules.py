@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rule_learning
 from .prefix import hour, joined, running_max_before, running_sum
 
 TEN_MINUTES = 600_000_000
@@ -71,6 +72,16 @@ def firing_conditions(firing: DataFrame, least: int = 3) -> DataFrame:
     return out.select("a", "attribute", "comparison", "value", F.round(F.col("good") / F.col("hit"), 6).alias("confidence"), F.round(F.col("good") / F.nullif("all", F.lit(0)), 6).alias("support"))
 
 
+def learned_firing(firing: DataFrame, least: int = 3, f_score: float = 0.7) -> DataFrame:
+    """rule_learning.learn() on runs of work (a, r, session, size, ready_wt_s, large_wt_s, daily_hour, week_day): what sets those of
+    `least` or more apart; a third of all runs, by session, prunes."""
+    rows = firing.select(
+        F.col("a").alias("g"), (F.col("size") >= least).cast("string").alias("y"), F.col("ready_wt_s").alias("batch_ready_wt"), F.col("large_wt_s").alias("batch_max_wt"), "daily_hour", "week_day",
+        (F.pmod(F.col("session") + F.coalesce(F.col("r"), F.lit(0)), F.lit(3)) == 0).alias("hold"),
+    )
+    return rule_learning.learn(rows, ["batch_ready_wt", "batch_max_wt", "daily_hour", "week_day"], [], f_score, "true")
+
+
 def overtakes(log: DataFrame, enabled: DataFrame, attribute: str = "c", bucket_us: int = 6 * 3_600_000_000) -> DataFrame:
     """(r, a, eid, over): event `eid` started before `over` of the same work, though `over` had been enabled earlier and
     was waiting. The waits are cut into buckets of time, so that events meet only where they wait together."""
@@ -94,6 +105,45 @@ def priority_scores(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     return out.withColumn("level", F.dense_rank().over(Window.orderBy(F.desc("score"))))
 
 
+def interval_labels(df: DataFrame, numbers: list[str], parts: int = 4) -> DataFrame:
+    """df with each of some numeric columns as the interval between quantiles that it lies in, `low;high`, from -inf to inf."""
+    if not numbers:
+        return df
+    shares = [k / parts for k in range(1, parts)]
+    cuts = df.agg(*[F.percentile_approx(F.col(k).cast("double"), shares, 10_000).alias(k) for k in numbers]).collect()[0]  # a few numbers a column
+
+    def label(k: str) -> Column:
+        points = [float("-inf"), *sorted(set(cuts[k] or [])), float("inf")]
+        v, out = F.col(k).cast("double"), F.lit(None).cast("string")
+        for low, high in reversed(list(zip(points, points[1:], strict=False))):
+            out = F.when(v <= high, f"{low:g};{high:g}").otherwise(out)
+        return out
+
+    return df.withColumns({k: label(k) for k in numbers})
+
+
+def priority_levels(pairs: DataFrame, attributes: DataFrame, names: list[str]) -> DataFrame:
+    """(attribute, value, won, contested, score, level) of contests (eid, over) for every attribute of (eid, names...): as
+    priority_scores, and values of all attributes share one ladder of levels."""
+    values = F.array(*[F.col(k).cast("string") for k in names])
+    x, y = attributes.select("eid", values.alias("x")), attributes.select(F.col("eid").alias("over"), values.alias("y"))
+    each = F.arrays_zip(F.array(*map(F.lit, names)).alias("attribute"), F.col("x").alias("win"), F.col("y").alias("lose"))
+    told = pairs.join(x, "eid").join(y, "over").select(F.inline(each).alias("attribute", "win", "lose")).filter("win <> lose")
+    both = told.select("attribute", F.explode(F.array(F.struct(F.col("win").alias("v"), F.lit(1).alias("w")), F.struct(F.col("lose").alias("v"), F.lit(0).alias("w")))).alias("t"))
+    out = both.groupBy("attribute", F.col("t.v").alias("value")).agg(F.sum("t.w").alias("won"), F.count(F.lit(1)).alias("contested"))
+    out = out.withColumn("score", F.round(F.col("won") / F.col("contested"), 6))
+    return out.withColumn("level", F.dense_rank().over(Window.orderBy(F.desc("score"))))
+
+
+def batch_characteristics(sessions: DataFrame, least: int = 3) -> DataFrame:
+    """(a, kind, batch_frequency, resources) of activities with batches: their commonest kind by events, the first by name of
+    equals, the share of events in batches, and who did them."""
+    per = sessions.groupBy("a", "kind", "r").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("size") >= least).cast("long")).alias("batched"))
+    kinds = per.groupBy("a", "kind").agg(F.sum("batched").alias("n")).groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("less"), "kind")).alias("k"))
+    sums = per.groupBy("a").agg(F.sum("batched").alias("batched"), F.sum("n").alias("n"), F.array_sort(F.collect_set(F.when(F.col("batched") > 0, F.col("r").cast("string")))).alias("resources"))
+    return sums.filter("batched > 0").join(kinds, "a").select("a", "k.kind", F.round(F.col("batched") / F.col("n"), 6).alias("batch_frequency"), "resources")
+
+
 def _stack(columns: list[str], value) -> Column:
     """A row a column: its name and what `value` gives for its place."""
     return F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), value(k)) for k, n in enumerate(columns)])).alias("x")

@@ -11,11 +11,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calendars, distances, preprocess, rules, traces
+from ..functions.scalars import DIVISORS_OF_DAY
+from ..operators import calendars, distances, preprocess, rule_learning, rules, traces
 from ..runtime import stored
 from ..sources import bpmn
 from ..sources.logs import Roles, read_csv_log
-from . import discovery, rules_json, simulate
+from . import discovery, replay, rules_json, simulate
 from .model import ProcessModel
 from .settings import Settings, schema
 from .tuner import Tuner
@@ -57,7 +58,9 @@ def prepared(log: DataFrame, settings: Settings) -> DataFrame:
     """Starts are estimated for all events if any lacks one; durations of simultaneous work are shared out if asked for."""
     more = attributes_of(log)
     if log.filter("s IS NULL").limit(1).count():
-        log = log.drop("s").join(preprocess.estimated_starts(log).withColumnRenamed("start_us", "s"), "eid").select(*ROLES, *more)
+        p = settings.preprocessing
+        beside = preprocess.heuristic_concurrency(log, p.df, p.l2l, p.l1l).filter("concurrent").select("a", "b")
+        log = log.drop("s").join(preprocess.estimated_starts(log, beside).withColumnRenamed("start_us", "s"), "eid").select(*ROLES, *more)
     if settings.preprocessing.multitasking:
         worked = preprocess.multitask_adjust(log)
         log = log.join(worked, "eid").withColumn("s", F.col("e") - F.round("worked_us").cast("long")).select(*ROLES, *more)
@@ -68,11 +71,17 @@ def _range(v) -> tuple:
     return v if isinstance(v, tuple) else (v, v)
 
 
-def _choices(log: DataFrame, more: list[str]) -> DataFrame:
-    """(gateway, path, r, hour, attributes): each step with what was known when it was taken."""
-    w = Window.partitionBy("c").orderBy("e", "eid")
+def _numeric(log: DataFrame, more: list[str]) -> list[str]:
+    """The attributes that are numbers with many values."""
+    return [r.attribute for r in rules.attribute_types(log, more).filter("kind = 'continuous'").collect()] if more else []
+
+
+def _choices(log: DataFrame, replayed: DataFrame, nodes: DataFrame, flows: DataFrame, more: list[str]) -> DataFrame:
+    """(g, y, hold, r, hour, attributes): each flow taken out of a gateway, with what was known at the event before it."""
     hour = F.pmod(F.floor(F.col("e") / F.lit(3.6e9)), F.lit(24))
-    return log.select(F.col("a").alias("gateway"), F.lead("a").over(w).alias("path"), "r", hour.alias("hour"), *more).filter("path IS NOT NULL")
+    known = log.select("eid", F.col("r").cast("string").alias("r"), hour.alias("hour"), *more)
+    taken = replay.choices(replayed, nodes, flows).select(F.col("gateway_id").alias("g"), F.col("flow_id").alias("y"), F.col("source.eid").alias("eid"))
+    return taken.join(known, "eid").withColumn("hold", rule_learning.held(F.col("eid"))).drop("eid")
 
 
 def _calendars(log: DataFrame, settings: Settings, work: dict) -> DataFrame:
@@ -110,13 +119,17 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: d
     beside = preprocess.overlap_concurrency(log, settings.preprocessing.enable_time_concurrency_threshold).filter("concurrent AND overlapping > 0")
     enabled = preprocess.enabled_times(log, beside)
     best = stored(calendars.best_distribution(log))
-    share = F.col("equiprobable") if flow.gateway_probabilities == "equiprobable" else F.col("observed")
-    paths = rules.gateways(traces.dfg(log)).select("gateway", "path", "taken", share.alias("observed"))
+    replayed = replay.steps(log, nodes, flows)
+    ways = replay.gateway_flows(replayed, nodes, flows).filter("kind <> 'parallelGateway'")
+    share = F.round(1 / F.count(F.lit(1)).over(Window.partitionBy("gateway_id")), 6) if flow.gateway_probabilities == "equiprobable" else F.col("probability")
+    paths = ways.select(F.col("gateway_id").alias("gateway"), F.col("flow_id").alias("path"), "taken", share.alias("observed"))
+    numbers = _numeric(log, more)
+    names = [k for k in more if k not in numbers]
     branches = None
     if flow.discover_branch_rules:
-        found = rules.branch_rules(_choices(log, more), ["r", "hour", *more], flow.f_score)
-        named = rules_json.branch_ids(found)
-        paths, branches = paths.join(named, ["gateway", "path"], "left"), rules_json.branch_json(found)
+        found = rule_learning.learn(_choices(log, replayed, nodes, flows, more), ["hour", *numbers], ["r", *names], flow.f_score)
+        branches = rules_json.learned_branch_json(found)
+        paths = paths.join(branches.select(F.col("id").alias("path"), F.col("id").alias("condition_id")), "path", "left")
     case_attributes = event_attributes = global_attributes = None
     if more and (common.discover_data_attributes or resources.discover_prioritization_rules):
         case_attributes = rules.case_attribute_scores(log, more)
@@ -124,10 +137,10 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: d
         event_attributes, global_attributes = rules.event_attribute_scores(log, more), rules.global_attribute_scores(log, more)
     priorities = None
     if case_attributes is not None and resources.discover_prioritization_rules:
-        names = [r.attribute for r in case_attributes.filter("is_case").orderBy("attribute").limit(1).collect()]
-        if names:
-            scores = rules.priority_scores(rules.overtakes(log, enabled), log.select("eid", F.col(names[0]).cast("string").alias("v")))
-            priorities = rules_json.priority_json(scores, names[0])
+        own = [r.attribute for r in case_attributes.filter("is_case").collect()]
+        if own:
+            values = rules.interval_labels(log.select("eid", *own), [k for k in own if k in numbers])
+            priorities = rules_json.priority_levels_json(rules.priority_levels(rules.overtakes(log, enabled), values, own))
     extra = None
     if delays:
         if delays.discovery_method.lower().replace("_", "-") == "naive":
@@ -148,10 +161,8 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: d
     if resources.discover_batching_rules:
         runs = rules.batch_sessions(log)
         ids = bpmn.activity_ids(nodes).select(F.col("name").alias("a"), "id")
-        sizes = rules.firing_rules(runs.select("a", "r", "session", "size").distinct()).withColumn("comparison", F.lit(">="))
-        others = rules.firing_conditions(rules.batch_firing(runs, enabled)).withColumnRenamed("value", "threshold")
-        names = ["a", "attribute", "comparison", F.col("threshold").cast("double").alias("threshold"), "confidence"]
-        batches = rules_json.batch_json(sizes.select(*names).unionByName(others.select(*names)), rules.batch_sizes(runs), ids)
+        fired = rules.learned_firing(rules.batch_firing(runs, enabled))
+        batches = rules_json.learned_batch_json(fired, rules.batch_characteristics(runs), rules.batch_sizes(runs), ids)
     gaps = calendars.interarrivals(log)
     if common.use_observed_arrival_distribution:
         arrivals = calendars.arrival_histogram(log)
@@ -167,14 +178,11 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: d
     )
 
 
-GRANULES = (1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 15, 16, 18, 20, 24, 30, 36, 40, 45, 48, 60)
-
-
 def search_work(train: DataFrame, valid: DataFrame, settings: Settings, seed: int) -> tuple[dict, Tuner]:
     """The calendar parameters whose open hours lie nearest to the validation cases', among num_iterations trials."""
     w = settings.resource_model
     low, high = _range(w.granularity)
-    space = {"granule": [g for g in GRANULES if low <= g <= high] or [max(g for g in GRANULES if g <= max(1, high))]}
+    space = {"granule": [g for g in DIVISORS_OF_DAY if low <= g <= high] or [max(g for g in DIVISORS_OF_DAY if g <= max(1, high))]}
     space |= {k: _range(getattr(w, k)) for k in ("confidence", "support", "participation", "fuzzy_angle")}
     search = Tuner(space, seed=seed)
     for _ in range(w.num_iterations):

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caseflow.functions import scalars
-from caseflow.operators import calendars, distances, preprocess, rules, traces
+from caseflow.operators import calendars, distances, preprocess, rule_learning, rules, traces
 from caseflow.operators.variants_distance import coded_traces, control_flow_distance, damerau_levenshtein, distances_of
 from caseflow.plans import discovery, simulate, tuner
 from caseflow.sources import bpmn, logs
@@ -298,3 +298,41 @@ def test_models_with_comments_quotes_and_prefixes(spark, tmp_path):
     nodes, flows = bpmn.read_bpmn(spark, str(path))
     assert sorted(map(tuple, nodes.collect()), key=str) == [("s", "startEvent", None), ("t1", "task", 'A & "B"'), ("t2", "task", None)]
     assert sorted(map(tuple, flows.collect())) == [("f1", "s", "t1"), ("f2", "t1", "t2")]
+
+
+def rule_examples(n=900, seed=3):
+    """Paths by two intervals that hold together, by a value, or otherwise; a few are wrong."""
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        x, z, v = rng.random() * 100, rng.random() * 100, rng.choice("abc")
+        y = "both" if x > 60 and z <= 40 else "value" if v == "c" else "rest"
+        out.append(("gate", "rest" if k % 90 == 0 else y, k % 3 == 0, x, z if k % 50 else None, v))
+    return out + [("one", "only", False, 1.0, 1.0, "a")] * 5 + [("gate", None, False, 1.0, 1.0, "a")]
+
+
+def test_rules_of_two_intervals_are_found_again(spark):
+    df = spark.createDataFrame(rule_examples(), "g string, y string, hold boolean, x double, z double, v string")
+    got = rule_learning.learn(df, ["x", "z"], ["v"]).collect()
+    first = {(r.attribute, r.comparison): r.bound for r in got if r.y == "both" and r.rule == 0}
+    assert set(first) == {("x", ">"), ("z", "<=")} and 50 <= first["x", ">"] <= 70 and 30 <= first["z", "<="] <= 50
+    assert any(r.attribute == "v" and r.value == "c" for r in got if r.y == "value") and all(r.kept for r in got if r.y in ("both", "value"))
+    assert {r.g for r in got} == {"gate"} and max(r.rule for r in got) < rule_learning.RULES
+
+
+def test_rules_of_one_outcome_and_of_no_examples(spark):
+    df = spark.createDataFrame(rule_examples(), "g string, y string, hold boolean, x double, z double, v string")
+    assert {r.y for r in rule_learning.learn(df, ["x", "z"], ["v"], outcome="both").collect()} == {"both"}
+    assert rule_learning.learn(df.filter("false"), ["x"], ["v"]).count() == 0
+
+
+def test_starts_ignore_ends_of_concurrent_activities(spark):
+    log = spark.createDataFrame([(1, 0, "A", 0, 10), (2, 0, "B", 1, 20), (3, 0, "C", 2, 30), (4, 0, "D", 3, 35)], "eid long, c long, a string, r long, e long")
+    pairs = spark.createDataFrame([("B", "C")], "a string, b string")
+    of = lambda p: [r.start_us for r in preprocess.estimated_starts(log, p).orderBy("eid").collect()]
+    assert of(None) == [10, 10, 20, 30] and of(pairs) == [10, 10, 10, 30]
+
+
+def test_kinds_of_batches(spark):
+    rows = [(k, "A", "r1", k // 3, 3, "parallel") for k in range(9)] + [(10, "A", "r2", 9, 1, "single"), (11, "B", "r1", 0, 1, "single")]
+    got = rules.batch_characteristics(spark.createDataFrame(rows, "eid long, a string, r string, session long, size long, kind string")).collect()
+    assert [tuple(x) for x in got] == [("A", "parallel", 0.9, ["r1"])]
