@@ -198,7 +198,7 @@ def chunks_of(queries: DataFrame, kind, pivots: dict) -> DataFrame:
     """The stored chunks of queries (key, vec_id, label, vector, low, high, tag, value); all columns but vector are longs."""
     fields = ["key", "ids", "labels", "low", "high", "tag", "value"]
     parts = max(1, -(-queries.count() // CHUNK_ROWS))
-    dealt = queries.select("vector", "key", "vec_id", "label", "low", "high", "tag", "value").repartition(parts)
+    dealt = queries.select("vector", "key", "vec_id", "label", "low", "high", "tag", "value").repartition(parts, "key")  # windows of one row stay together
     return stored(dealt.mapInArrow(_cut(kind, pivots, CHUNK_ROWS, fields, _CHUNK), _CHUNK), "chunks")
 
 
