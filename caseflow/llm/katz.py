@@ -154,10 +154,16 @@ ANSWERED_WORDS = "block long, part int, ids binary, counts binary"
 NUMBERED_FIELDS = "block long, n_tokens long, sizes binary, learn binary, tokens binary, ids binary, counts binary"
 
 
-def _range_cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted hashes enter each of `parts` equal ranges."""
-    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+def _ranges(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of sorted hashes, for the parts that have any: equal ranges of their upper halves."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return _runs(part.astype(np.int64))
+
+
+def _runs(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of each run of equal parts; the cost depends on what is there, not on how many parts there are."""
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return list(zip(part[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True)) if len(part) else []
 
 
 def _ask_words(parts: int, learned: bool):
@@ -172,8 +178,7 @@ def _ask_words(parts: int, learned: bool):
                 if learned:
                     n = np.bincount(b.tokens[b.learn[b.row]], minlength=len(words))[order]
                     keys, n = keys[n > 0], n[n > 0]
-                cuts = _range_cuts(keys, parts)
-                rows = [{"part": p, "block": b.block, "keys": keys[i:j].tobytes(), "n": pack(n[i:j])} for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                rows = [{"part": p, "block": b.block, "keys": keys[i:j].tobytes(), "n": pack(n[i:j])} for p, i, j in _ranges(keys, parts)]
                 yield from table_of(ASKED_WORDS, rows).to_batches()
         flat.trim()
 
@@ -273,13 +278,11 @@ def _dealt(b: Numbered, parts: int, hot: float, learned: bool):
     part = _pair_parts(ids[h[keep]], ids[w[keep]], counts[h[keep]].astype(np.float64), parts, hot)
     order = np.lexsort((ids[w[keep]], ids[h[keep]], part))
     own, part = keep[order], part[order]
-    cuts = np.searchsorted(part, np.arange(parts + 1))
     out = []
-    for p in range(parts):
-        x = own[cuts[p] : cuts[p + 1]]
-        if len(x):
-            new = np.flatnonzero(np.concatenate([[True], h[x][1:] != h[x][:-1]]))
-            out.append((p, ids[h[x[new]]], np.diff(new, append=len(x)), w[x], n[x]))
+    for p, begin, end in _runs(part):
+        x = own[begin:end]
+        new = np.flatnonzero(np.concatenate([[True], h[x][1:] != h[x][:-1]]))
+        out.append((p, ids[h[x[new]]], np.diff(new, append=len(x)), w[x], n[x]))
     return out, own, h, w, at, place
 
 
