@@ -121,8 +121,9 @@ def _ask(parts: int):
             for r in rows_of(batch):
                 texts = unpack_texts(r["texts"])
                 part, order = _parts(texts, parts)
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                yield from table_of(ASKED, [{"part": p, "block": r["block"], "texts": pack_texts([texts[k] for k in order[a:b]])} for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]).to_batches()
+                found, first = np.unique(part[order], return_index=True)  # the parts that the block has pre-tokens for
+                ends = [*first[1:], len(order)]
+                yield from table_of(ASKED, [{"part": p, "block": r["block"], "texts": pack_texts([texts[k] for k in order[a:b]])} for p, a, b in zip(found.tolist(), first, ends, strict=True)] if texts else []).to_batches()
         flat.trim()
 
     return run
