@@ -178,7 +178,7 @@ def _with_smallest(batches):
             for k in range(end - begin):
                 s = flat.shingles(h[before[k] : before[k + 1]], 5)
                 low[begin + k] = s.min().view(np.int64) if len(s) else 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int64()), pa.array(low)], ["text", "toxic", "doc_id", "smallest"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(low)], ["text", "toxic", "doc_id", "smallest"])
 
 
 def _count_units(batches):
@@ -227,7 +227,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     # at most max_labelled short rows
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"), "doc_id")
     # copies share a label by chance, so near copies count once: of texts with one smallest shingle, one is kept
-    sample = sample.mapInArrow(_with_smallest, "text string, toxic boolean, doc_id long, smallest long").groupBy("smallest")
+    kind = sample.schema["doc_id"].dataType.simpleString()  # ids may be of any simple type
+    sample = sample.mapInArrow(_with_smallest, f"text string, toxic boolean, doc_id {kind}, smallest long").groupBy("smallest")
     sample = stored(sample.agg(F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("doc_id"), "doc_id", "text")).alias("x")).select("x.*"), "labelled")
     n = {x.toxic: x.n for x in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, q = n.get(True, 0), n.get(False, 0)

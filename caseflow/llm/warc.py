@@ -13,7 +13,7 @@ A record's identifier is its page_id with the key of its row, so repeated rows h
 the page a revisit refers to are fields of their own. All records bear the date given, by default that of the call.
 
 Edge cases: null html is an empty payload; a null url has no target line; control characters in urls are percent
-encoded, urls may be of any length; rows with the same page_id and payload are all responses; a null page_id never wins and is a revisit of a
+encoded, urls may be of any length; rows with the same page_id and payload are all responses; a page_id is a whole number, or a text of one, and others raise; a null page_id never wins and is a revisit of a
 known one; an empty table gives an empty archive; other columns are ignored.
 """
 
