@@ -10,6 +10,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -608,3 +609,34 @@ def test_pipeline_against_brute_force(spark):
             assert out.columns == state.columns and set(r.doc_id for r in out.collect()) <= set(before)
             state = out
     assert sorted(map(str, out.collect())) == sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
+    # the last stage gives the documents whole, with what the mix takes of them
+    texts = {r.doc_id: (r.text, r.lang) for r in state.collect()}
+    taken = {r.doc_id: r.taken for r in mixing.mix(state).collect() if r.taken}
+    assert set(state.columns) < set(out.columns) and {r.doc_id: (r.text, r.lang) for r in out.collect()} == {k: texts[k] for k in taken} and {r.doc_id: r.taken for r in out.collect()} == taken
+
+
+def test_mixing_stage_with_repeated_rows_nulls_and_clashes(spark):
+    import corpus_pipeline
+
+    rows_ = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "a b d", "s"), (None, "x y", None), (2, None, "t"), (3, "e f g h", "t")]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows_], "doc_id long, text string, source string, size int, lang string")
+    out = corpus_pipeline.stage_mixing(spark, df, SF)
+    want = sorted(str((r.doc_id, r.source, r.size, r.taken)) for r in mixing.mix(df).filter("taken > 0").collect())
+    assert sorted(str((r.doc_id, r.source, r["size"], r.taken)) for r in out.collect()) == want
+
+
+@pytest.mark.parametrize("parts", [64, 100_000])
+def test_a_block_visits_only_the_parts_that_it_needs(parts):
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    got = katz._ranges(keys, parts)
+    assert len(got) <= min(500, parts) and [i for _, i, _ in got] == [0, *[j for _, _, j in got[:-1]]] and got[-1][2] == 500
+    assert [p for p, _, _ in got] == sorted({p for p, _, _ in got}) and all(0 <= p < parts for p, _, _ in got)
+    assert katz._runs(np.zeros(0, np.int64)) == []
+
+
+def test_toxicity_takes_text_ids(spark):
+    rng = random.Random(2)
+    texts = [(f"d{k}", " ".join(rng.choices(["good", "fine", "calm", "vile" if k % 2 else "kind"], k=9)), k % 2) for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id string, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert toxicity.score(df.select("doc_id", "text"), model, keep=["doc_id"]).count() == 60
