@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
+from .operators import attribute_updates as updates
 from .operators import calendars, distances, preprocess, rule_learning, rules, traces, variants_distance
-from .plans import discovery, replay, rules_json, simulate, tuner
+from .plans import discovery, nesting, replay, rules_json, simulate, tuner
 from .sources import bpmn, logs
 from .sources.logs import events_log, orders_log
 from .streaming import incremental
@@ -461,6 +462,31 @@ def _learned(source: str, numbers: list[str], names: list[str], outcome: str | N
     return ", ".join(ctes)
 
 
+_CHANGES = "ch1 AS (SELECT 'r' AS attribute, c, a, e, eid, r::DOUBLE AS y FROM l UNION ALL SELECT 'minutes', c, a, e, eid, (e - s) / 6e7 FROM l UNION ALL SELECT 'since', c, a, e, eid, (e - min(s) OVER (PARTITION BY c)) / 3.6e9 FROM l UNION ALL SELECT 'big', c, a, e, eid, CASE WHEN lag(r) OVER (PARTITION BY c ORDER BY e, eid) > 4 THEN 100e0 ELSE r END FROM l), ch2 AS (SELECT attribute, a, lag(y) OVER (PARTITION BY attribute, c ORDER BY e, eid) AS x, y FROM ch1), ch AS (SELECT * FROM ch2 WHERE x IS NOT NULL AND y IS NOT NULL)"
+_POINTS = ", ".join(f"{k / updates.CUTS}" for k in range(1, updates.CUTS))
+
+
+@query(f"""WITH {LOG}, {_CHANGES}, fa AS MATERIALIZED (SELECT attribute, a, count(*) AS n, avg(y) AS mean, stddev_pop(y) AS std, count(DISTINCT y) AS vals, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, list_sort(list_distinct(quantile_disc(x, [{_POINTS}]))) AS points FROM ch GROUP BY attribute, a),
+sm AS (SELECT ch.attribute, ch.a, len(list_filter(points, lambda c: x > c)) AS code, count(*) AS n, sum(y - mean) AS s FROM ch JOIN fa ON fa.attribute = ch.attribute AND fa.a = ch.a GROUP BY 1, 2, 3),
+ru AS MATERIALIZED (SELECT attribute, a, code, sum(n) OVER w AS n, sum(s) OVER w AS s, max(code) OVER (PARTITION BY attribute, a) AS m FROM sm WINDOW w AS (PARTITION BY attribute, a ORDER BY code) UNION ALL SELECT attribute, a, -1, 0, 0e0, max(code) FROM sm GROUP BY attribute, a),
+tr AS (SELECT t.attribute, t.a, t.code AS t, u.code AS u, v.code AS v, m.code AS m, round(coalesce(power(u.s, 2) / nullif(u.n, 0), 0) + coalesce(power(t.s - u.s, 2) / nullif(t.n - u.n, 0), 0) + coalesce(power(v.s - t.s, 2) / nullif(v.n - t.n, 0), 0) + coalesce(power(m.s - v.s, 2) / nullif(m.n - v.n, 0), 0), 6) AS gain
+  FROM ru t JOIN ru u ON u.attribute = t.attribute AND u.a = t.a AND u.code <= t.code JOIN ru v ON v.attribute = t.attribute AND v.a = t.a AND v.code >= t.code JOIN ru m ON m.attribute = t.attribute AND m.a = t.a AND m.code = m.m),
+be AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY attribute, a ORDER BY gain DESC, t, u, v) = 1),
+up AS (SELECT attribute, a, fa.n AS n, vals, round(mean, 4) AS mean, round(std, 4) AS std, round(slope, 4) AS slope, round(intercept, 4) AS intercept, coalesce(round(r2, 6), 0) AS line_r2, coalesce(round(gain / nullif(std * std * fa.n, 0), 6), 0) AS tree_r2,
+  CASE WHEN u > -1 AND u < t THEN points[u + 1] END AS low_cut, CASE WHEN t > -1 AND t < m THEN points[t + 1] END AS first_cut, CASE WHEN v > t AND v < m THEN points[v + 1] END AS high_cut FROM fa JOIN be USING (attribute, a))
+SELECT attribute, a, n, CASE WHEN std = 0 THEN 'constant' WHEN line_r2 >= 0.95e0 THEN 'linear' WHEN tree_r2 >= 0.95e0 THEN 'tree' WHEN vals <= 20 THEN 'table' ELSE 'spread' END AS kind, mean, std, vals AS distinct_values, intercept, slope, round(line_r2, 5) AS line_r2, round(tree_r2, 5) AS tree_r2,
+  CASE WHEN attribute IN ('r', 'big') THEN low_cut END AS low_cut, CASE WHEN attribute IN ('r', 'big') THEN first_cut END AS first_cut, CASE WHEN attribute IN ('r', 'big') THEN high_cut END AS high_cut FROM up""")
+def attribute_updates(spark, d):
+    """How each activity changes the resource, a duration, the time since the case began, and a value with a step."""
+    case = Window.partitionBy("c")
+    log = events_log(spark, d).withColumn("minutes", (F.col("e") - F.col("s")) / 6e7).withColumn("since", (F.col("e") - F.min("s").over(case)) / 3.6e9)
+    log = log.withColumn("big", F.when(F.lag("r").over(case.orderBy("e", "eid")) > 4, F.lit(100.0)).otherwise(F.col("r")))
+    u = updates.updates(log, ["r", "minutes", "since", "big"])
+    whole = F.col("attribute").isin("r", "big")
+    cuts = [F.when(whole, F.col(f"cuts.{k}")).alias(f"{k}_cut") for k in ("low", "first", "high")]
+    return u.select("attribute", "a", "n", "kind", *[F.round(k, 4).alias(k) for k in ("mean", "std", "intercept", "slope")], F.col("values").alias("distinct_values"), *[F.round(k, 5).alias(k) for k in ("line_r2", "tree_r2")], *cuts)
+
+
 # Batches and priorities
 
 _BATCH = """m AS (SELECT *, max(e) OVER w AS p, row_number() OVER (PARTITION BY a, r ORDER BY s, e, eid) AS rn FROM l WINDOW w AS (PARTITION BY a, r ORDER BY s, e, eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -664,6 +690,20 @@ def extraneous_on_calendar(spark, d):
     return rules.extraneous_on_calendar(log, preprocess.enabled_times(log, _concurrent(log)), calendars.granule_activity(log, F.col("r")))
 
 
+@query(
+    f"WITH {LOG}, {_ENABLED}, {_GRAN}, wt1 AS (SELECT l.eid, a, r, s, least(enabled_us, s) AS en FROM l JOIN en USING (eid)), ws AS (SELECT * FROM wt1 WHERE en < s AND r IS NOT NULL), "
+    "dy1 AS (SELECT DISTINCT r, unnest(range(floor(en / 8.64e10)::BIGINT, floor(s / 8.64e10)::BIGINT + 1)) AS day FROM ws), hr AS (SELECT DISTINCT r, day * 86400000000 + ga.g * 3600000000 AS t FROM dy1 JOIN ga ON ga.k = r AND ga.w = (day + 3) % 7), "
+    "mk AS (SELECT r, t, 0 AS busy, 1 AS duty FROM hr UNION ALL SELECT r, t + 3600000000, 0, -1 FROM hr UNION ALL SELECT r, s, 1, 0 FROM l WHERE s < e UNION ALL SELECT r, e, -1, 0 FROM l WHERE s < e), "
+    "pt AS (SELECT r, t, sum(busy) AS busy, sum(duty) AS duty FROM mk WHERE r IS NOT NULL GROUP BY r, t HAVING sum(busy) <> 0 OR sum(duty) <> 0), sw AS (SELECT r, t AS f0, lead(t) OVER w AS f1, sum(busy) OVER w AS busy, sum(duty) OVER w AS duty FROM pt WINDOW w AS (PARTITION BY r ORDER BY t)), "
+    "fe1 AS (SELECT * FROM sw WHERE busy = 0 AND duty = 1 AND f1 IS NOT NULL), bs1 AS (SELECT ws.eid, max(least(s, f1) - greatest(en, f0)) AS most FROM ws JOIN fe1 ON fe1.r = ws.r AND f0 < s AND f1 > en GROUP BY ws.eid) "
+    "SELECT eid, a, greatest(coalesce(most, 0), 0)::BIGINT AS delay_us FROM ws LEFT JOIN bs1 USING (eid)"
+)
+def extraneous_largest(spark, d):
+    """The longest free stretch, on duty, of each wait."""
+    log = events_log(spark, d)
+    return rules.extraneous_largest(log, preprocess.enabled_times(log, _concurrent(log)), calendars.granule_activity(log, F.col("r")))
+
+
 # Exports, hygiene, scalars
 
 @query(
@@ -719,6 +759,38 @@ def process_graph(spark, d):
     return discovery.process_graph(events_log(spark, d), discovery.Miner(epsilon=0.05))[1]
 
 
+def _nested(word: str, key: str, item: str, mixed: str, rounds: int = 4) -> str:
+    """The SQL of nesting.nest over ne (a, b) and nb (x, y): its rounds, one after the other."""
+    w = word[0]
+    ctes = [f"{w}0 AS MATERIALIZED (SELECT e.{key} AS k, e.{item} AS id, [e.{item}] AS cover, coalesce((SELECT list(y ORDER BY y) FROM nb JOIN ne f ON f.{item} = y WHERE x = e.{item} AND f.{key} = e.{key}), []::VARCHAR[]) AS future FROM ne e)"]
+    links, now = [], f"{w}0"
+    steps = [("exclusiveGateway", "future"), ("parallelGateway", "list_sort(list_distinct(list_concat(cover, future)))")] * rounds + [(mixed, "0")]
+    for i, (kind, group) in enumerate(steps):
+        ctes += [
+            f"{w}g{i} AS MATERIALIZED (SELECT k, {group} AS grp, list(id ORDER BY id) AS ids, list_sort(flatten(list(cover))) AS cover, list_sort(list_reduce(list(future), lambda p, q: list_intersect(p, q))) AS future FROM {now} GROUP BY k, grp)",
+            f"{w}{i + 1} AS MATERIALIZED (SELECT k, CASE WHEN len(ids) > 1 THEN '{word}_' || k || '_' || substr(sha256('{kind}' || array_to_string(cover, '|')), 1, 12) ELSE ids[1] END AS id, cover, future, ids FROM {w}g{i})",
+        ]
+        now = f"{w}{i + 1}"
+        links.append(f"SELECT k, id AS parent, unnest(ids) AS child, '{kind}' AS kind FROM {now} WHERE len(ids) > 1")
+    return ", ".join([*ctes, f"{w}l AS MATERIALIZED ({' UNION ALL '.join(links)})", f"{w}t AS (SELECT k, id AS top FROM {now} WHERE id IN (SELECT parent FROM {w}l))"])
+
+
+_NESTED = f"""{_PRUNE}, st3 AS (SELECT a, b, b2 FROM x WHERE b IS NOT NULL), ow AS (SELECT a FROM st3 GROUP BY a HAVING avg((a = b)::INT) >= 0.3e0), tu AS (SELECT least(a, b) AS p, greatest(a, b) AS q FROM st3 WHERE a <> b GROUP BY 1, 2 HAVING avg(coalesce((b2 = a)::INT, 0)) >= 0.3e0),
+nm AS (SELECT mx.*, NOT concurrent AND (n = o OR n = i OR (n >= 0.4e0 * o AND n >= 0.4e0 * i)) AS kept, EXISTS (SELECT 1 FROM tu WHERE p = least(a, b) AND q = greatest(a, b)) AS turn FROM mx),
+nf AS (SELECT a, lag(a) OVER w IS NULL AS first, lead(a) OVER w IS NULL AS last FROM l WINDOW w AS (PARTITION BY c ORDER BY e, eid)),
+ne AS MATERIALIZED (SELECT a, b FROM nm WHERE kept OR (concurrent AND turn) UNION SELECT 'start', a FROM nf WHERE first UNION SELECT a, 'end' FROM nf WHERE last), nb AS MATERIALIZED (SELECT a AS x, b AS y FROM nm WHERE concurrent AND NOT turn),
+{_nested('split', 'a', 'b', 'exclusiveGateway')}, {_nested('join', 'b', 'a', 'inclusiveGateway')},
+nw AS (SELECT coalesce(sl.parent, ne.a) AS source, coalesce(jl.parent, ne.b) AS target FROM ne LEFT JOIN sl ON sl.k = ne.a AND sl.child = ne.b LEFT JOIN jl ON jl.k = ne.b AND jl.child = ne.a UNION SELECT k, top FROM st UNION SELECT top, k FROM jt
+  UNION SELECT parent, child FROM sl WHERE child IN (SELECT parent FROM sl) UNION SELECT child, parent FROM jl WHERE child IN (SELECT parent FROM jl)),
+nx AS (SELECT CASE WHEN source IN (SELECT a FROM ow) THEN 'again_' || source ELSE source END AS source, CASE WHEN target IN (SELECT a FROM ow) THEN 'loop_' || target ELSE target END AS target FROM nw UNION SELECT 'loop_' || a, a FROM ow UNION SELECT a, 'again_' || a FROM ow UNION SELECT 'again_' || a, 'loop_' || a FROM ow)"""
+
+
+@query(f"WITH {LOG}, {_NESTED.replace('0.05e0', '0.1e0')} SELECT source || '__' || target AS id, source, target FROM nx")
+def process_graph_nested(spark, d):
+    """The flows of the process graph with nested gateways and short loops."""
+    return nesting.nested_graph(events_log(spark, d), discovery.Miner(epsilon=0.1))[1]
+
+
 _REPLAY = f"""{_FLOWS}, fs AS (SELECT p.a, min(coalesce(m.concurrent, false)::INT) AS par FROM eg p JOIN eg q ON p.a = q.a AND p.b < q.b LEFT JOIN mx m ON m.a = p.b AND m.b = q.b GROUP BY p.a),
 vi AS (SELECT DISTINCT a AS node FROM l UNION SELECT 'start' UNION SELECT 'end'),
 cl AS (SELECT source AS a, target AS node, [id] AS path FROM pf JOIN vi ON vi.node = source UNION ALL SELECT cl.a, target, list_append(path, id) FROM cl JOIN pf ON pf.source = cl.node WHERE cl.node NOT IN (SELECT node FROM vi) AND NOT list_contains(path, id)),

@@ -59,6 +59,15 @@ def lag_over(df: DataFrame, keys: list[str], chunk: str, order: list, value: str
     return df.join(last, ["_key", chunk]).withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_before"))).drop("_before", "_key")
 
 
+def lead_over(df: DataFrame, keys: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
+    """df with the value of the row after; value itself must not fall along the order."""
+    df = keyed(df, keys)
+    first = df.groupBy("_key", chunk).agg(F.min(value).alias("_first"))
+    first = first.withColumn("_after", F.lead("_first").over(Window.partitionBy("_key").orderBy(chunk))).drop("_first")
+    inside = Window.partitionBy("_key", chunk).orderBy(*order)
+    return df.join(first, ["_key", chunk]).withColumn(name, F.coalesce(F.lead(value).over(inside), F.col("_after"))).drop("_after", "_key")
+
+
 def queue(df: DataFrame, keys: list[str], chunk: str, order: list, ready: str, work: str, name: str) -> DataFrame:
     """df with the time at which each row begins: a server for each of keys takes rows in order, one at a time, none before it is
     ready. That is the work before a row and the largest (ready - work before) so far, its own included."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rule_learning
-from .prefix import hour, joined, running_max_before, running_sum
+from .prefix import hour, joined, lead_over, running_max_before, running_sum
 
 TEN_MINUTES = 600_000_000
 
@@ -245,6 +245,32 @@ def extraneous_on_calendar(log: DataFrame, enabled: DataFrame, calendar: DataFra
     return hours.join(open_, ["r", "w", "g"]).groupBy("eid", "a").agg(F.count(F.lit(1)).alias("extraneous_h"))
 
 
+def extraneous_largest(log: DataFrame, enabled: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(eid, a, delay_us) of events that waited: the longest stretch of the wait in which the resource was neither at work nor off
+    duty, in microseconds. calendar: (k, w, g), the hours of weekdays in which a resource is on duty.
+
+    One sweep a resource over the starts and ends of its work and of its hours on duty, on the days on which something waits for it,
+    with running counts of both, gives its free stretches; waits meet those of their days."""
+    day_us = 86_400_000_000
+    day = lambda c: F.floor(c / F.lit(float(day_us)))
+    waits = log.join(enabled, "eid").select("eid", "a", "r", "s", F.least("enabled_us", "s").alias("en")).filter("en < s AND r IS NOT NULL")
+    days = waits.select("eid", "a", "r", "en", "s", F.explode(F.sequence(day(F.col("en")), day(F.col("s")))).alias("day"))
+    w = F.pmod(F.col("day") + 3, F.lit(7)).cast("int")
+    hours = days.select("r", "day").distinct().withColumn("w", w).join(calendar.select(F.col("k").alias("r"), "w", "g").distinct(), ["r", "w"])
+    begin = F.col("day") * day_us + F.col("g") * 3_600_000_000
+    mark = lambda t, busy, duty: F.struct(t.cast("long").alias("t"), F.lit(busy).alias("busy"), F.lit(duty).alias("duty"))
+    on_duty = hours.select("r", F.explode(F.array(mark(begin, 0, 1), mark(begin + 3_600_000_000, 0, -1))).alias("m"))
+    at_work = log.filter("s < e AND r IS NOT NULL").select("r", F.explode(F.array(mark(F.col("s"), 1, 0), mark(F.col("e"), -1, 0))).alias("m"))
+    points = on_duty.unionByName(at_work).groupBy("r", "m.t").agg(F.sum("m.busy").alias("busy"), F.sum("m.duty").alias("duty")).filter("busy <> 0 OR duty <> 0")
+    # one running sum for both counts: what is at work in the large part, what is on duty in the small one
+    big = 1 << 20
+    swept = running_sum(points.withColumn("_hour", hour("t")), ["r"], "_hour", ["t"], F.col("busy") * big + F.col("duty"), "state")
+    free = lead_over(swept, ["r"], "_hour", ["t"], "t", "until").filter("state = 1 AND until IS NOT NULL").select("r", F.col("t").alias("f0"), F.col("until").alias("f1"))
+    met = days.join(free.withColumn("day", F.explode(F.sequence(day(F.col("f0")), day(F.col("f1"))))), ["r", "day"])
+    most = met.groupBy("eid").agg(F.max(F.least("s", "f1") - F.greatest("en", "f0")).alias("most"))
+    return waits.join(most, "eid", "left").select("eid", "a", F.greatest(F.coalesce("most", F.lit(0)), F.lit(0)).cast("long").alias("delay_us"))
+
+
 def set_difference(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return left.select(column).distinct().join(right.select(column).distinct(), column, "left_anti")
 

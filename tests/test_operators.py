@@ -7,9 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caseflow.functions import scalars
-from caseflow.operators import calendars, distances, preprocess, rule_learning, rules, traces
+from caseflow.operators import attribute_updates, calendars, distances, preprocess, rule_learning, rules, traces
 from caseflow.operators.variants_distance import coded_traces, control_flow_distance, damerau_levenshtein, distances_of
-from caseflow.plans import discovery, simulate, tuner
+from caseflow.plans import discovery, nesting, replay, simulate, tuner
 from caseflow.sources import bpmn, logs
 
 HOUR = 3_600_000_000
@@ -336,3 +336,75 @@ def test_kinds_of_batches(spark):
     rows = [(k, "A", "r1", k // 3, 3, "parallel") for k in range(9)] + [(10, "A", "r2", 9, 1, "single"), (11, "B", "r1", 0, 1, "single")]
     got = rules.batch_characteristics(spark.createDataFrame(rows, "eid long, a string, r string, session long, size long, kind string")).collect()
     assert [tuple(x) for x in got] == [("A", "parallel", 0.9, ["r1"])]
+
+
+def traced(spark, traces, step=HOUR):
+    rows = [(c, a, 0, c * 100 * step + k * step, c * 100 * step + k * step + step // 2) for c, t in enumerate(traces) for k, a in enumerate(t)]
+    return log(spark, rows)
+
+
+def test_a_block_of_choice_beside_an_activity_is_found_again(spark):
+    rng, traces = random.Random(1), []
+    for k in range(60):
+        block = [["A", "B"][k % 2], "C"]
+        rng.shuffle(block)
+        traces.append(["S", *block, "T"] if k % 3 else ["S", *block[::-1], "T"])
+    events = traced(spark, traces)
+    nodes, flows = nesting.nested_graph(events, discovery.Miner(eta=0.0, epsilon=0.9))
+    kind = {r.id: r.kind for r in nodes.collect()}
+    out = {}
+    for r in flows.collect():
+        out.setdefault(r.source, set()).add(r.target)
+    (top,) = out["S"]
+    assert kind[top] == "parallelGateway" and len(out[top]) == 2 and "C" in out[top]
+    (choice,) = out[top] - {"C"}
+    assert kind[choice] == "exclusiveGateway" and out[choice] == {"A", "B"}
+    (join,) = out["A"]
+    assert out["B"] == {join} and kind[join] == "exclusiveGateway" and {kind[x] for x in out[join]} == {"parallelGateway"} == {kind[x] for x in out["C"]}
+    # and its log can be replayed on it
+    assert all(r.steps == r.fitting for r in replay.fitness(replay.steps(events, nodes, flows)).collect())
+
+
+def test_short_loops(spark):
+    events = traced(spark, [["S", *"A" * (1 + k % 4), *("XYX" if k % 2 else "XYXYX"), "T"] for k in range(20)])
+    nodes, flows = nesting.nested_graph(events, discovery.Miner(eta=0.0, epsilon=0.9))
+    pairs = {(r.source, r.target) for r in flows.collect()}
+    assert {("loop_A", "A"), ("A", "again_A"), ("again_A", "loop_A")} <= pairs
+    assert not {r.kind for r in nodes.collect()} & {"parallelGateway"}
+    assert all(r.steps == r.fitting for r in replay.fitness(replay.steps(events, nodes, flows)).collect())
+
+
+def test_updates_of_attributes_are_found_again(spark):
+    rng, rows = random.Random(6), []
+    for c in range(60):
+        v = {"line": 1.0, "tree": 1.0, "flat": 0.0, "few": 0.0, "wide": 0.0}
+        for k in range(6):
+            v = {"line": 2 * v["line"] + 3 if k % 3 else rng.random() * 9, "tree": (50.0 if v["line"] > 5 else 1.0), "flat": 7.0, "few": float(rng.randrange(3)), "wide": rng.random()}
+            rows.append((c * 10 + k, c, "U" if k % 3 else "R", c * 100 + k, *v.values()))
+    df = spark.createDataFrame(rows, "eid long, c long, a string, e long, line double, tree double, flat double, few double, wide double")
+    got = {(r.attribute, r.a): r for r in attribute_updates.updates(df, ["line", "flat", "few", "wide"]).withColumn("text", attribute_updates.expression()).collect()}
+    assert got["line", "U"].kind == "linear" and round(got["line", "U"].slope, 6) == 2 and round(got["line", "U"].intercept, 6) == 3 and got["line", "U"].text == "2.00000 * line + 3.00000"
+    assert got["flat", "U"].kind == "constant" and got["few", "U"].kind == "table" and got["wide", "U"].kind == "spread"
+    step = [(k, k // 2, "AB"[k % 2], k, float(k // 2 % 10) if k % 2 == 0 else (0.0, 50.0, 20.0, 90.0)[(k // 2 % 10) // 3 if k // 2 % 10 < 9 else 3]) for k in range(800)]
+    tree = {r.a: r for r in attribute_updates.updates(spark.createDataFrame(step, "eid long, c long, a string, e long, x double"), ["x"]).collect()}["B"]
+    assert tree.kind == "tree" and tree.tree_r2 > 0.95 > tree.line_r2
+
+
+def test_largest_free_stretch_against_intervals(spark):
+    rng = random.Random(12)
+    rows = [(k % 9, "AB"[k % 2], k % 3, s := rng.randrange(0, 96 * 60) * 60_000_000, s + rng.randrange(0, 300) * 60_000_000) for k in range(120)]
+    events = log(spark, rows)
+    enabled = spark.createDataFrame([(k, x[3] - rng.randrange(0, 40 * 60) * 60_000_000) for k, x in enumerate(rows)], "eid long, enabled_us long")
+    duty = [(r, w, g) for r in range(3) for w in range(7) for g in range(24) if (g + r) % 5 and (r != 2 or w != 4)]
+    got = {r.eid: r.delay_us for r in rules.extraneous_largest(events, enabled, spark.createDataFrame(duty, "k long, w int, g int")).collect()}
+    on, minute = set(duty), 60_000_000
+    busy = {r: {m for _, _, q, s, e in rows if q == r for m in range(s // minute, e // minute)} for r in range(3)}
+    for x in enabled.collect():
+        _, _, r, s, _ = rows[x.eid]
+        best = run = 0
+        for m in range(x.enabled_us // minute, s // minute):
+            free = m not in busy[r] and (r, (m // 1440 + 3) % 7, m // 60 % 24) in on
+            run = run + 1 if free else 0
+            best = max(best, run)
+        if x.enabled_us < s:
+            assert got[x.eid] == best * minute
