@@ -474,7 +474,7 @@ tr AS (SELECT t.attribute, t.a, t.code AS t, u.code AS u, v.code AS v, m.code AS
 be AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY attribute, a ORDER BY gain DESC, t, u, v) = 1),
 up AS (SELECT attribute, a, fa.n AS n, vals, round(mean, 4) AS mean, round(std, 4) AS std, round(slope, 4) AS slope, round(intercept, 4) AS intercept, coalesce(round(r2, 6), 0) AS line_r2, coalesce(round(gain / nullif(std * std * fa.n, 0), 6), 0) AS tree_r2,
   CASE WHEN u > -1 AND u < t THEN points[u + 1] END AS low_cut, CASE WHEN t > -1 AND t < m THEN points[t + 1] END AS first_cut, CASE WHEN v > t AND v < m THEN points[v + 1] END AS high_cut FROM fa JOIN be USING (attribute, a))
-SELECT attribute, a, n, CASE WHEN std = 0 THEN 'constant' WHEN line_r2 >= 0.95e0 THEN 'linear' WHEN tree_r2 >= 0.95e0 THEN 'tree' WHEN vals <= 20 THEN 'table' ELSE 'spread' END AS kind, mean, std, vals AS distinct_values, intercept, slope, round(line_r2, 5) AS line_r2, round(tree_r2, 5) AS tree_r2,
+SELECT attribute, a, n, CASE WHEN std = 0 THEN 'constant' WHEN line_r2 >= 0.95e0 THEN 'linear' WHEN tree_r2 >= 0.95e0 THEN 'tree' WHEN vals <= 20 THEN 'table' ELSE 'spread' END AS kind, mean, std, vals AS distinct_values, intercept, slope, line_r2, tree_r2,
   CASE WHEN attribute IN ('r', 'big') THEN low_cut END AS low_cut, CASE WHEN attribute IN ('r', 'big') THEN first_cut END AS first_cut, CASE WHEN attribute IN ('r', 'big') THEN high_cut END AS high_cut FROM up""")
 def attribute_updates(spark, d):
     """How each activity changes the resource, a duration, the time since the case began, and a value with a step."""
@@ -484,7 +484,7 @@ def attribute_updates(spark, d):
     u = updates.updates(log, ["r", "minutes", "since", "big"])
     whole = F.col("attribute").isin("r", "big")
     cuts = [F.when(whole, F.col(f"cuts.{k}")).alias(f"{k}_cut") for k in ("low", "first", "high")]
-    return u.select("attribute", "a", "n", "kind", *[F.round(k, 4).alias(k) for k in ("mean", "std", "intercept", "slope")], F.col("values").alias("distinct_values"), *[F.round(k, 5).alias(k) for k in ("line_r2", "tree_r2")], *cuts)
+    return u.select("attribute", "a", "n", "kind", *[F.round(k, 4).alias(k) for k in ("mean", "std", "intercept", "slope")], F.col("values").alias("distinct_values"), "line_r2", "tree_r2", *cuts)
 
 
 # Batches and priorities

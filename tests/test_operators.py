@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -240,7 +241,7 @@ def test_traces_of_very_many_activities(spark):
 def test_control_flow_distance_of_matched_cases(spark):
     def of(one, other):
         rows_ = [(10 * k + side, side, a, e, e) for side, traces_ in ((0, one), (1, other)) for k, t in enumerate(traces_) for e, a in enumerate(t)]
-        return tuple(control_flow_distance(spark.createDataFrame(rows_, "c long, side int, a string, e long, eid long")).collect()[0])
+        return tuple(control_flow_distance(spark.createDataFrame(rows_, "c long, side int, a string, e long, eid long")).collect()[0])[:3]
 
     assert of(["abc", "abd", "abc"], ["abd", "abc", "abc"]) == (0.0, 3, 0)
     assert of(["abcd"], ["abdc"]) == (0.25, 1, 0)
@@ -408,3 +409,25 @@ def test_largest_free_stretch_against_intervals(spark):
             best = max(best, run)
         if x.enabled_us < s:
             assert got[x.eid] == best * minute
+
+
+def test_the_auction_is_the_cheapest_matching(spark):
+    rng = random.Random(4)
+    for n, m in ((4, 6), (6, 5)):
+        sides = [["".join(rng.choices("abc", k=rng.randint(4, 6))) for _ in range(k)] for k in (n, m)]
+        sides[1][0] = sides[0][0]
+        rows_ = [(10 * k + side, side, a, e, e) for side, traces_ in enumerate(sides) for k, t in enumerate(traces_) for e, a in enumerate(t)]
+        got = control_flow_distance(spark.createDataFrame(rows_, "c long, side int, a string, e long, eid long"), epsilon=0.004, rounds=200).collect()[0]
+        few, many = sorted(sides, key=len)
+        cost = lambda x, y: damerau_levenshtein(x, y) / max(len(x), len(y))
+        best = min(sum(map(cost, few, way)) for way in itertools.permutations(many, len(few)))
+        want = (best + len(many) - len(few)) / len(many)
+        assert got.distance == pytest.approx(want, abs=1e-5) and 0 <= got.gap and got.unmatched == len(many) - len(few)
+
+
+def test_few_candidates_widen_the_gap_and_keep_the_bound(spark):
+    rng = random.Random(8)
+    rows_ = [(10 * k + side, side, rng.choice("abcd"), e, e) for side in (0, 1) for k in range(9) for e in range(rng.randint(2, 9))]
+    df = spark.createDataFrame(rows_, "c long, side int, a string, e long, eid long")
+    whole, part = (control_flow_distance(df, most=m).collect()[0] for m in (32, 2))
+    assert part.distance >= whole.distance - whole.gap - 1e-6 and part.distance - part.gap <= whole.distance + 1e-6
