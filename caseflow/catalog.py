@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import attribute_updates as updates
-from .operators import calendars, distances, preprocess, rule_learning, rules, traces, variants_distance
+from .operators import calendars, distances, preprocess, rule_learning, rules, run_measures, traces, variants_distance
 from .plans import discovery, nesting, replay, rules_json, simulate, tuner
 from .sources import bpmn, logs
 from .sources.logs import events_log, orders_log
-from .streaming import incremental
+from .streaming import incremental, silence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -304,6 +304,19 @@ def calendar_intervals(spark, d):
     return calendars.intervals(calendars.crisp_scores(events_log(spark, d), F.col("r")))
 
 
+_CUBE = ([15, 30, 60, 120, 240], [0.05, 0.1, 0.2, 0.4, 0.6, 0.8], [0.1, 0.3, 0.5, 0.7])
+
+
+@query(
+    f"WITH {LOG}, fi AS (SELECT DISTINCT r AS k, unnest(range(floor(s / 9e8)::BIGINT, floor(e / 9e8)::BIGINT + 1)) AS x FROM l), {_days('l')}, cu AS (SELECT minutes, k, w, g, count(*) AS days FROM (SELECT DISTINCT k, x // 96 AS day, (x // 96 + 3) % 7 AS w, minutes, (x % 96) * 15 // minutes AS g FROM fi, (SELECT unnest({_CUBE[0]}) AS minutes)) GROUP BY ALL), "
+    f"ca AS (SELECT minutes, confidence, k, sum(days) AS al, sum(CASE WHEN days::DOUBLE / dates >= confidence THEN days ELSE 0 END) AS good, sum((days::DOUBLE / dates >= confidence)::INT) AS granules FROM cu JOIN wd USING (w), (SELECT unnest({_CUBE[1]}::DOUBLE[]) AS confidence) GROUP BY ALL) "
+    f"SELECT minutes::INT AS minutes, confidence, support, sum((good >= support * al)::INT)::BIGINT AS keys, sum(CASE WHEN good >= support * al THEN granules ELSE 0 END)::BIGINT AS granules, round(sum(CASE WHEN good >= support * al THEN good ELSE 0 END) / sum(al)::DOUBLE, 6) AS covered FROM ca, (SELECT unnest({_CUBE[2]}::DOUBLE[]) AS support) GROUP BY ALL"
+)
+def calendar_candidates(spark, d):
+    """All calendars that a search may try, from one count of the finest granules."""
+    return calendars.calendar_candidates(events_log(spark, d), F.col("r"), *_CUBE)
+
+
 @query(
     f"WITH {LOG}, u AS (SELECT DISTINCT r, unnest(range({HOUR.format('s')}, {HOUR.format('e')} + 1)) AS x FROM l), {_days('l')}, "
     "y AS (SELECT r, x, coalesce(x - lag(x) OVER w, 2) > 1 OR coalesce(lead(x) OVER w - x, 2) > 1 AS edge FROM u WINDOW w AS (PARTITION BY r, x // 24 ORDER BY x)), "
@@ -936,6 +949,25 @@ def simulate_and_evaluate(spark, d):
     return simulate.measure(sim.cache(), log, ["3_gram", "absolute_event_distribution", "cycle_time_distribution"], runs=2)
 
 
+_RUNS = """rl AS (SELECT (c % 8)::INT AS run, * FROM l UNION ALL SELECT -1, * FROM l), rf AS (SELECT *, min(s) OVER k AS f, max(e) OVER k AS z, row_number() OVER w AS nth, lead(a) OVER w IS NULL AS ends, coalesce(lag(a) OVER w, '<') AS a1, coalesce(lag(a, 2) OVER w, '<') AS a2 FROM rl WINDOW k AS (PARTITION BY run, c), w AS (PARTITION BY run, c ORDER BY e, eid)),
+ri AS (SELECT run, f, s AS t FROM rf UNION ALL SELECT run, f, e FROM rf), rh AS (SELECT run, 'absolute_event_distribution' AS metric, 0 AS w, floor(t / 3.6e9)::BIGINT AS b, 1e0 AS n FROM ri UNION ALL SELECT run, 'relative_event_distribution', 0, floor((t - f) / 3.6e9)::BIGINT, 1 FROM ri
+  UNION ALL SELECT run, 'case_arrival_distribution', 0, floor(f / 3.6e9)::BIGINT, 1 FROM rf WHERE nth = 1 UNION ALL SELECT run, 'cycle_time_distribution', 0, floor((z - f) / 3.6e9)::BIGINT, 1 FROM rf WHERE nth = 1
+  UNION ALL SELECT run, 'circadian_event_distribution', (floor(t / 3.6e9)::BIGINT // 24 + 3) % 7, floor(t / 3.6e9)::BIGINT % 24, 1 FROM ri
+  UNION ALL SELECT run, 'circadian_workforce_distribution', (x // 24 + 3) % 7, x % 24, avg(k) FROM (SELECT run, x, count(DISTINCT r) AS k FROM (SELECT run, r, unnest(range(floor(s / 3.6e9)::BIGINT, floor(e / 3.6e9)::BIGINT + 1)) AS x FROM rl) GROUP BY run, x) GROUP BY ALL),
+rs1 AS (SELECT run, metric, w, b, sum(n) AS n FROM rh GROUP BY ALL), rp AS (SELECT *, n / sum(n) OVER (PARTITION BY run, metric, w) AS p FROM rs1), rr AS (SELECT DISTINCT run FROM rl WHERE run >= 0),
+rd AS (SELECT run, metric, w, b, sum(p) AS d, min(side) AS lo, max(side) AS hi FROM (SELECT run, metric, w, b, p, 0 AS side FROM rp WHERE run >= 0 UNION ALL SELECT rr.run, metric, w, b, -p, 1 FROM rp CROSS JOIN rr WHERE rp.run < 0) GROUP BY ALL),
+ra AS (SELECT run, metric, w, lo, hi, abs(sum(d) OVER v) * coalesce(lead(b) OVER v - b, 0) AS area FROM rd WINDOW v AS (PARTITION BY run, metric, w ORDER BY b)), rw AS (SELECT run, metric, w, sum(area) AS x, max(hi) - min(lo) AS sides FROM ra GROUP BY ALL),
+rg AS (SELECT run, '2_gram' AS metric, a1 || '|' || a AS g FROM rf UNION ALL SELECT run, '2_gram', a || '|>' FROM rf WHERE ends UNION ALL SELECT run, '3_gram', a2 || '|' || a1 || '|' || a FROM rf UNION ALL SELECT run, '3_gram', a1 || '|' || a || '|>' FROM rf WHERE ends UNION ALL SELECT run, '3_gram', a || '|>|>' FROM rf WHERE ends),
+rn AS (SELECT run, metric, g, sum(n) AS n, sum(m) AS m FROM (SELECT run, metric, g, 1 AS n, 0 AS m FROM rg WHERE run >= 0 UNION ALL SELECT rr.run, metric, g, 0, 1 FROM rg CROSS JOIN rr WHERE rg.run < 0) GROUP BY ALL)"""
+
+
+@query(f"WITH {LOG}, {_RUNS} SELECT run AS run_num, metric, round(avg(CASE WHEN starts_with(metric, 'circadian') AND sides = 0 THEN 23e0 ELSE x END), 6) AS distance FROM rw GROUP BY run, metric UNION ALL SELECT run, metric, round(sum(abs(n - m)) / sum(n + m)::DOUBLE, 6) FROM rn GROUP BY run, metric")
+def runs_measured(spark, d):
+    """Eight parts of the log, as if they were runs, against the whole, by all metrics at once."""
+    log = events_log(spark, d)
+    return run_measures.measured(log.withColumn("run_num", (F.col("c") % 8).cast("int")), log, list(run_measures.METRICS))
+
+
 @query("SELECT (isodow(ts) - 1)::INT AS w, hour(ts)::INT AS h, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_circadian(spark, d):
     """The histogram of weekdays and hours as a stream keeps it, after all files have come."""
@@ -945,6 +977,28 @@ def stream_circadian(spark, d):
     return drained(incremental.circadian(rows))
 
 
+_GAP_US = 4 * 3_600_000_000
+
+
+@query(
+    f"WITH {LOG}, y AS (SELECT c, a, e, eid, CASE WHEN e - lag(e) OVER (PARTITION BY c ORDER BY e, a) <= {_GAP_US} THEN 0 ELSE 1 END AS new FROM l), z AS (SELECT *, sum(new) OVER (PARTITION BY c ORDER BY e, a ROWS UNBOUNDED PRECEDING) AS run FROM y), "
+    f"x AS (SELECT c, min(e) AS begin_us, max(e) AS end_us, count(*) AS events, string_agg(a, '>' ORDER BY e, a) AS trace FROM z GROUP BY c, run) SELECT * FROM x WHERE end_us + {_GAP_US} <= (SELECT max(e) FROM l) - 600000000"
+)
+def stream_silent_runs(spark, d):
+    """Runs of events of a case that have been silent for four hours when the stream has come to its end."""
+    from .sources.logs import drained_to_files
+
+    read = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
+    rows = read.select(F.to_timestamp("ts").alias("ts"), scalars.micros(F.col("ts")).alias("us"), F.col("user_id").alias("c"), F.col("event_type").alias("a"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, silence.PROVIDER)
+    try:
+        return drained_to_files(silence.silent_runs(rows, _GAP_US))
+    finally:
+        spark.conf.set(key, before)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

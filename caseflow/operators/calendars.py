@@ -87,6 +87,30 @@ def relaxed(log: DataFrame, key: Column, minutes: int, confidence: float, suppor
     return scores.join(best, "k").withColumn("kept", F.col("confidence") >= F.col("level")).drop("level")
 
 
+def calendar_cube(log: DataFrame, key: Column, granularities: list[int]) -> DataFrame:
+    """(minutes, k, w, g, days, confidence) for every granularity at once: the finest granules of days, of a length that divides all,
+    are made in one pass over the log and rolled up; a coarse granule is active on a date if any of its parts is."""
+    finest = math.gcd(*granularities)
+    if any(1440 % m for m in granularities):
+        raise ValueError(f"{granularities} minutes do not all divide a day")
+    fine = granules(log, key, finest).select("k", "day", "w", F.explode(F.array(*[F.struct(F.lit(m).alias("minutes"), F.floor(F.col("g") * finest / m).cast("int").alias("g")) for m in granularities])).alias("x"))
+    days = fine.select("x.minutes", "k", "day", "w", "x.g").distinct().groupBy("minutes", "k", "w", "g").agg(F.count(F.lit(1)).alias("days"))
+    return days.join(F.broadcast(weekdays_in(log)), "w").select("minutes", "k", "w", "g", "days", (F.col("days") / F.col("dates")).alias("confidence"))  # weekdays: seven rows
+
+
+def calendar_candidates(log: DataFrame, key: Column, granularities: list[int], confidences: list[float], supports: list[float]) -> DataFrame:
+    """(minutes, confidence, support, keys, granules, covered) of every combination: of the calendars of a granularity that keep
+    granules of a confidence, the keys whose share of active granules kept reaches the support, their kept granules, and how much of
+    all activity these cover."""
+    cube = calendar_cube(log, key, granularities).select("minutes", "k", "days", F.col("confidence").alias("_c"), F.explode(F.array(*map(F.lit, confidences))).alias("confidence"))
+    kept = F.col("_c") >= F.col("confidence")
+    per = cube.groupBy("minutes", "confidence", "k").agg(F.sum("days").alias("all"), F.sum(F.when(kept, F.col("days")).otherwise(0)).alias("good"), F.sum(kept.cast("long")).alias("granules"))
+    per = per.select("*", F.explode(F.array(*map(F.lit, supports))).alias("support"))
+    reached = F.col("good") >= F.col("support") * F.col("all")
+    out = per.groupBy("minutes", "confidence", "support").agg(F.sum(reached.cast("long")).alias("keys"), F.sum(F.when(reached, F.col("granules")).otherwise(0)).alias("granules"), (F.sum(F.when(reached, F.col("good")).otherwise(0)) / F.sum("all")).alias("covered"))
+    return out.withColumn("covered", F.round("covered", 6))
+
+
 def intervals(scores: DataFrame, minutes: int = 60) -> DataFrame:
     """(k, w, begin_min, end_min): kept granules that touch, merged."""
     w = Window.partitionBy("k", "w").orderBy("g")

@@ -120,3 +120,14 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def drained_to_files(stream: DataFrame) -> DataFrame:
+    """The rows that an appending stream gives for all that is there now, as files in the shared folder, read back."""
+    from ..runtime import shared_dir
+
+    spark = stream.sparkSession
+    base = shared_dir(spark)
+    run = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")

@@ -8,10 +8,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caseflow.functions import scalars
-from caseflow.operators import attribute_updates, calendars, distances, preprocess, rule_learning, rules, traces
+from caseflow.operators import attribute_updates, calendars, distances, preprocess, rule_learning, rules, run_measures, traces
 from caseflow.operators.variants_distance import coded_traces, control_flow_distance, damerau_levenshtein, distances_of
 from caseflow.plans import discovery, nesting, replay, simulate, tuner
 from caseflow.sources import bpmn, logs
+from caseflow.streaming import silence
 
 HOUR = 3_600_000_000
 SCHEMA = "eid long, c long, a string, r long, s long, e long"
@@ -431,3 +432,53 @@ def test_few_candidates_widen_the_gap_and_keep_the_bound(spark):
     df = spark.createDataFrame(rows_, "c long, side int, a string, e long, eid long")
     whole, part = (control_flow_distance(df, most=m).collect()[0] for m in (32, 2))
     assert part.distance >= whole.distance - whole.gap - 1e-6 and part.distance - part.gap <= whole.distance + 1e-6
+
+
+def test_all_metrics_of_all_runs_are_those_of_each(spark):
+    events = some(spark, 200)
+    runs = events.withColumn("run_num", (F.col("c") % 3).cast("int"))
+    got = {(r.run_num, r.metric): r.distance for r in run_measures.measured(runs, events, list(run_measures.METRICS)).collect()}
+    for k in range(3):
+        one = runs.filter(F.col("run_num") == k).select(F.lit(0).alias("side"), *events.columns).unionByName(events.withColumn("c", -1 - F.col("c")).withColumn("side", F.lit(1)))
+        for m in ("absolute_event_distribution", "cycle_time_distribution", "circadian_workforce_distribution", "3_gram"):
+            assert got[k, m] == pytest.approx(distances.distance(one, m).collect()[0].distance, abs=1e-6)
+    plan = run_measures.histograms(runs, ["3_gram"])._jdf.queryExecution().toString()
+    assert plan.count("Scan parquet") <= 2  # what is left is the stored table
+    with pytest.raises(ValueError):
+        run_measures.measured(runs, events, ["control_flow_log_distance"])
+
+
+def test_a_coarse_calendar_from_fine_granules(spark):
+    events = some(spark, 200)
+    cube = calendars.calendar_cube(events, F.col("r"), [30, 60, 240])
+    for m in (30, 60, 240):
+        want = sorted(map(tuple, calendars.granule_activity(events, F.col("r"), m).select("k", "w", "g", "days").collect()))
+        assert sorted(map(tuple, cube.filter(F.col("minutes") == m).select("k", "w", "g", "days").collect())) == want
+    with pytest.raises(ValueError):
+        calendars.calendar_cube(events, F.col("r"), [7])
+
+
+@given(st.lists(st.tuples(st.integers(0, 200), st.sampled_from("ab")), max_size=20), st.integers(0, 30))
+@settings(max_examples=50, deadline=None)
+def test_runs_are_cut_where_nothing_happened_for_long(events, gap):
+    got = silence.runs(events, gap)
+    assert [x for run in got for x in run] == sorted(events)
+    assert all(y[0] - x[0] <= gap for run in got for x, y in zip(run, run[1:])) and all(q[0][0] - p[-1][0] > gap for p, q in zip(got, got[1:]))
+
+
+def test_a_stream_in_several_batches_emits_silent_cases_once(spark, tmp_path):
+    minute = 60_000_000
+    batches = [[(0, 1, "a"), (5, 2, "a")], [(3, 1, "b"), (40, 3, "a")], [(20, 2, "b"), (100, 3, "b")], [(300, 9, "z")]]
+    for n, rows_ in enumerate(batches):
+        df = spark.createDataFrame([((1000 + t) * minute, c, a) for t, c, a in rows_], "us long, c long, a string")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"p={n}"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, silence.PROVIDER)
+    try:
+        read = spark.readStream.schema("us long, c long, a string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        out = logs.drained_to_files(silence.silent_runs(read.withColumn("ts", F.timestamp_micros("us")), 10 * minute, "30 minutes"))
+    finally:
+        spark.conf.set(key, before)
+    got = sorted((r.c, r.begin_us // minute - 1000, r.end_us // minute - 1000, r.trace) for r in out.collect())
+    assert got == [(1, 0, 3, "a>b"), (2, 5, 5, "a"), (2, 20, 20, "b"), (3, 40, 40, "a"), (3, 100, 100, "b")]
