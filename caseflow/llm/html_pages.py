@@ -98,4 +98,25 @@ PAGES = (
     # links as text of an article
     """<body><nav><a href=1>~2~</a></nav><article><h1 data-main><a href=2>~6~</a></h1><p data-main>~42~</p><h2 data-main>~1~</h2><ul><li data-main><a href=3>~7~</a></li><li data-main><a href=4>~5~</a></li><li data-main><a href=5>~9~</a></li></ul></article><footer><a href=6>~1~</a></footer></body>""",
     """<body><div><a href=1>~3~</a></div><main><h1 data-main>~4~</h1><p data-main><a href=2>~12~</a></p><p data-main>~51~</p><p data-main><a href=3>~3~</a> ~2~</p><p data-main><a href=4>~2~</a></p></main><div><a href=5>~2~</a> <a href=6>~3~</a></div></body>""",
+    # short lines as text: poems, recipes, talk, one line, tables, linked titles
+    """<body><nav><a href=1>~1~</a> <a href=2>~2~</a></nav><div><h1 data-main>~4~</h1><p data-main>~5~</p><p data-main>~6~</p><p data-main>~4~</p><p data-main>~7~</p><p data-main>~5~</p><p data-main>~6~</p><p data-main>~3~</p><p data-main>~5~</p></div><footer>~4~</footer></body>""",
+    """<body><div><a href=1>~1~</a> <a href=2>~1~</a></div><div><div data-main>~6~</div><div data-main>~5~</div><div data-main>~7~</div><div data-main>~4~</div><div data-main>~6~</div><div data-main>~5~</div><div data-main>~6~</div><div data-main>~5~</div></div></body>""",
+    """<div><p data-main>~4~</p><p data-main>~6~</p><p data-main>~5~</p><p data-main>~7~</p><p data-main>~3~</p><p data-main>~6~</p></div>""",
+    """<body><div class="menu"><a href=1>~1~</a> <a href=2>~1~</a></div><div><h1 data-main>~3~</h1><p data-main>~14~</p><ul><li data-main>~3~</li><li data-main>~2~</li><li data-main>~4~</li><li data-main>~2~</li><li data-main>~3~</li></ul><ol><li data-main>~12~</li><li data-main>~9~</li><li data-main>~15~</li></ol></div><div class="footer">~3~</div></body>""",
+    """<body><h1 data-main>~2~</h1><ul><li data-main>~2~</li><li data-main>~3~</li><li data-main>~2~</li><li data-main>~1~</li></ul><p data-main>~25~</p><p data-main>~18~</p></body>""",
+    """<body><div><a href=1>~2~</a></div><div><p data-main>~50~</p><p data-main>~1~</p><p data-main>~1~</p><p data-main>~2~</p><p data-main>~38~</p><p data-main>~2~</p><p data-main>~1~</p><p data-main>~3~</p><p data-main>~61~</p></div><div>~3~ <a href=2>~2~</a></div></body>""",
+    """<p data-main>~2~</p>""",
+    """<div data-main>~5~</div>""",
+    """<html><body><p data-main>~7~</p></body></html>""",
+    """<body><nav><a href=1>~1~</a> <a href=2>~1~</a></nav><p data-main>~6~</p><footer>~3~</footer></body>""",
+    """<body><div><a href=1>~1~</a> <a href=2>~2~</a> <a href=3>~1~</a></div><h1 data-main><a href=4>~6~</a></h1><p data-main>~52~</p><p data-main>~44~</p><div><a href=5>~2~</a> <a href=6>~1~</a></div></body>""",
+    """<body><ul><li><a href=1>~1~</a></li><li><a href=2>~1~</a></li></ul><div><h2 data-main><a href=3>~5~</a></h2><p data-main>~40~</p><p data-main>~36~</p></div></body>""",
+    """<body><nav><a href=1>~1~</a></nav><div><h1 data-main>~4~</h1><table><tr><th data-main>~1~</th><th data-main>~2~</th><th data-main>~1~</th></tr><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr><tr><td data-main>~2~</td><td data-main>~1~</td><td data-main>~1~</td></tr></table><p data-main>~16~</p></div><footer>~2~</footer></body>""",
+    """<body><nav><a href=1>~1~</a></nav><article><h1 data-main>~5~</h1><p data-main>~30~</p><p data-main><a href=2>~2~</a></p><ul><li data-main><a href=3>~3~</a></li><li data-main><a href=4>~2~</a></li><li data-main><a href=5>~3~</a></li></ul><p data-main>~22~</p></article><footer>~2~</footer></body>""",
+    # long poems, lists and tables
+    """<body><nav><a href=1>~1~</a></nav><div><h1 data-main>~3~</h1><p data-main>~5~</p><p data-main>~6~</p><p data-main>~4~</p><p data-main>~7~</p><p data-main>~2~</p><p data-main>~5~</p><p data-main>~6~</p><p data-main>~4~</p><p data-main>~7~</p><p data-main>~2~</p><p data-main>~5~</p><p data-main>~6~</p><p data-main>~4~</p><p data-main>~7~</p><p data-main>~2~</p><p data-main>~5~</p></div></body>""",
+    """<div><p data-main>~6~</p><p data-main>~5~</p><p data-main>~1~</p><p data-main>~7~</p><p data-main>~3~</p><p data-main>~4~</p><p data-main>~6~</p><p data-main>~5~</p><p data-main>~1~</p><p data-main>~7~</p><p data-main>~3~</p><p data-main>~4~</p><p data-main>~6~</p><p data-main>~5~</p><p data-main>~1~</p><p data-main>~7~</p><p data-main>~3~</p><p data-main>~4~</p><p data-main>~6~</p><p data-main>~5~</p><p data-main>~1~</p><p data-main>~7~</p><p data-main>~3~</p><p data-main>~4~</p></div>""",
+    """<body><div><a href=1>~1~</a> <a href=2>~2~</a></div><div><div data-main>~4~</div><div data-main>~6~</div><div data-main>~5~</div><div data-main>~2~</div><div data-main>~4~</div><div data-main>~6~</div><div data-main>~5~</div><div data-main>~2~</div><div data-main>~4~</div><div data-main>~6~</div><div data-main>~5~</div><div data-main>~2~</div><div data-main>~4~</div><div data-main>~6~</div><div data-main>~5~</div><div data-main>~2~</div><div data-main>~4~</div><div data-main>~6~</div><div data-main>~5~</div><div data-main>~2~</div></div><div>~3~ <a href=3>~2~</a></div></body>""",
+    """<body><div><h2 data-main>~3~</h2><ul><li data-main>~2~</li><li data-main>~3~</li><li data-main>~1~</li><li data-main>~4~</li><li data-main>~2~</li><li data-main>~3~</li><li data-main>~1~</li><li data-main>~4~</li><li data-main>~2~</li><li data-main>~3~</li><li data-main>~1~</li><li data-main>~4~</li><li data-main>~2~</li><li data-main>~3~</li></ul><p data-main>~21~</p></div></body>""",
+    """<body><h1 data-main>~4~</h1><table><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr><tr><td data-main>~1~</td><td data-main>~2~</td><td data-main>~1~</td></tr></table></body>""",
 )

@@ -3,14 +3,16 @@
 A page is cut into blocks at block-level tags; scripts, styles, templates, the page's title and comments in the markup never
 become text. A block's features are its words, link density and words a line, those of the blocks before and after it,
 and where it stands: outside the article or main element that the page has, in an element for page furniture (nav, aside, footer, form and the
-like), in a heading or list item, and whether the page has an article at all. Names of classes are one feature: the
+like), in a heading or list item, whether the page has an article at all, and its group (the list of an item, the division of a line):
+the unlinked words of the group, their share of the page, its link density, its blocks, and the words elsewhere. Names of classes are one feature: the
 share of the page's words that the innermost element with a name of page furniture holds, 1 where there is none, so the
 name of a wrapper of the whole page says nothing. A decision tree, grown by Gini impurity on the labelled pages of
 html_pages, keeps or drops a block. Kept blocks are joined in page order by one line feed.
 
 Edge cases: null html is an empty page; unclosed and stray tags, unclosed comments and pages that end inside a tag
 are read as far as they go; white space, hard spaces included, becomes one space; hidden elements are text like others;
-pages without kept blocks have an empty text; pages of any length and depth are read in one pass; other columns are
+where the tree keeps nothing, all blocks are kept that are neither in furniture
+nor whole links, so only pages of furniture have an empty text; pages of any length and depth are read in one pass; other columns are
 ignored; rows may repeat; an empty table gives no rows.
 """
 
@@ -50,11 +52,13 @@ TEXT_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: What an open p ends at: its own kind and block-level tags; an li ends at the next li.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+ROWS = frozenset("li dt dd tr td th tbody thead tfoot".split())
 LINE = 80  # characters of a line, for words a line
 
 FEATURES = (
     "words", "link_density", "line_words", "words_before", "link_density_before", "line_words_before", "words_after", "link_density_after", "line_words_after",
     "outside_text", "furniture", "heading", "item", "named_share", "page_has_text",
+    "group_words", "group_share", "group_links", "group_blocks", "rest_words",
 )
 
 
@@ -74,21 +78,29 @@ def _named(attributes: str) -> bool:
 class _Element:
     """What an open element passes on to those inside it."""
 
-    __slots__ = ("tag", "text", "furniture", "heading", "item", "link", "box", "main")
+    __slots__ = ("tag", "up", "text", "furniture", "heading", "item", "link", "box", "main")
 
     def __init__(self, tag: str, parent: _Element | None):
-        self.tag = tag
-        for k in self.__slots__[1:]:
+        self.tag, self.up = tag, parent
+        for k in self.__slots__[2:]:
             setattr(self, k, getattr(parent, k) if parent else (-1 if k == "box" else False))
 
 
 class Block:
-    """A text block; `main` is its label on a labelled page."""
+    """A text block; `main` is its label on a labelled page. `group` is the element around the one that holds it, rows and items
+    skipped: the list of an item, the division of a paragraph or line."""
 
-    __slots__ = ("text", "words", "linked", "within", "rule")
+    __slots__ = ("text", "words", "linked", "within", "group")
 
     def __init__(self, text: str, linked: int, within: _Element):
         self.text, self.words, self.linked, self.within = text, text.count(" ") + 1, linked, within
+        own = within
+        while own.up is not None and own.tag not in BLOCKS:
+            own = own.up
+        group = own.up
+        while group is not None and (group.tag in ROWS or group.tag not in BLOCKS):
+            group = group.up
+        self.group = group
 
 
 class _Page:
@@ -204,10 +216,19 @@ def features(page: _Page) -> list[tuple]:
     flat = [(b.words, b.linked / b.words, b.words / math.ceil(len(b.text) / LINE)) for b in page.blocks]
     none = (0, 0.0, 0.0)
     out = []
+    groups: dict[int, list[int]] = {}  # of each group: unlinked words, all words, blocks
+    plain = 0
+    for b in page.blocks:
+        if not b.within.furniture:
+            g = groups.setdefault(id(b.group), [0, 0, 0])
+            g[0], g[1], g[2] = g[0] + b.words - b.linked, g[1] + b.words, g[2] + 1
+            plain += b.words - b.linked
     for k, b in enumerate(page.blocks):
         w = b.within
         share = page.boxes[w.box][1] / total if w.box >= 0 else 1.0
-        out.append((*flat[k], *(flat[k - 1] if k else none), *(flat[k + 1] if k + 1 < len(flat) else none), some and not w.text, w.furniture, w.heading, w.item, share, some))
+        g = groups.get(id(b.group), (0, 1, 0)) if not w.furniture else (0, 1, 0)
+        group = (g[0], g[0] / plain if plain else 0.0, 1 - g[0] / g[1], g[2], plain - g[0])
+        out.append((*flat[k], *(flat[k - 1] if k else none), *(flat[k + 1] if k + 1 < len(flat) else none), some and not w.text, w.furniture, w.heading, w.item, share, some, *group))
     return out
 
 
@@ -231,20 +252,24 @@ def grow(table: np.ndarray, depth: int = 8):
     return f, t, grow(table[low], depth - 1), grow(table[~low], depth - 1)
 
 
-def labelled(pages=PAGES) -> np.ndarray:
-    """Rows of features and label of all blocks of labelled pages, with several fillings."""
+def labelled(text: bool, pages=PAGES, turns: int = 3) -> np.ndarray:
+    """Rows of features and label of all blocks of labelled pages, with several fillings, of those with an article or without."""
     rows = []
     for k, p in enumerate(pages):
-        for turn in range(3):
+        for turn in range(turns):
             page = read(fill(p, 10 * k + turn))
             rows += [(*x, b.within.main) for x, b in zip(features(page), page.blocks, strict=True)]
-    return np.array(rows, float)
+    table = np.array(rows, float)
+    return table[table[:, HAS_TEXT] == text]
 
 
-TREE = grow(labelled())
+HAS_TEXT = FEATURES.index("page_has_text")
+#: Pages with an article element and pages without have a tree each.
+TREES = {text: grow(labelled(text)) for text in (True, False)}
 
 
-def judge(x: tuple, tree=TREE) -> int:
+def judge(x: tuple, trees=TREES) -> int:
+    tree = trees[bool(x[HAS_TEXT])]
     while not isinstance(tree, int):
         f, t, low, high = tree
         tree = low if x[f] < t else high
@@ -253,7 +278,10 @@ def judge(x: tuple, tree=TREE) -> int:
 
 def main_text(source: str) -> str:
     page = read(source)
-    return "\n".join(b.text for x, b in zip(features(page), page.blocks, strict=True) if judge(x))
+    kept = [b.text for x, b in zip(features(page), page.blocks, strict=True) if judge(x)]
+    if not kept:  # a page says something unless all of it is furniture or links
+        kept = [b.text for b in page.blocks if not b.within.furniture and b.within.box < 0 and b.linked < b.words]
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -26,4 +26,9 @@ PAGES = (
     """<body><main><div class="alert">~10~</div><h1 data-main>~6~</h1><p data-main>~39~</p><h2 data-main>~3~</h2><p data-main>~5~</p><h2 data-main>~2~</h2><p data-main>~56~</p><div class="recommended"><p>~15~</p><p>~12~</p></div></main></body>""",
     """<body><div class="menu-left"><p><a href=1>~2~</a></p><p><a href=2>~2~</a></p></div><div class="text"><p data-main>~65~</p><p data-main>~4~</p><p data-main>~58~ <a href=3>~2~</a></p></div><div class="comment-form"><p>~8~</p></div><div class="comment-list"><p>~24~</p><p>~19~</p></div></body>""",
     """<body><section class="hero banner"><h1>~4~</h1></section><article><h2 data-main>~5~</h2><p data-main>~46~</p><figure><figcaption data-main>~9~</figcaption></figure><p data-main hidden>~12~</p><p data-main>~53~</p></article><section class="sponsored"><p>~20~</p></section></body>""",
+    # short lines
+    """<body><header><a href=/>~2~</a></header><section><h2 data-main>~3~</h2><div data-main>~5~</div><div data-main>~4~</div><div data-main>~6~</div><div data-main>~5~</div><div data-main>~4~</div><div data-main>~7~</div><div data-main>~5~</div></section><footer><p>~3~</p></footer></body>""",
+    """<body><nav><ul><li><a href=1>~1~</a></li><li><a href=2>~1~</a></li></ul></nav><div id="recipe"><h1 data-main>~2~</h1><h2 data-main>~1~</h2><ul><li data-main>~3~</li><li data-main>~2~</li><li data-main>~3~</li></ul><h2 data-main>~1~</h2><ol><li data-main>~11~</li><li data-main>~16~</li></ol></div></body>""",
+    """<body><div><p data-main>~44~</p><p data-main>~2~</p><p data-main>~1~</p><p data-main>~57~</p><p data-main>~1~</p><p data-main>~33~</p></div></body>""",
+    """<body><h1 data-main><a href=x>~7~</a></h1><p data-main>~61~</p><p data-main>~29~</p><p><a href=1>~2~</a> <a href=2>~1~</a> <a href=3>~2~</a></p></body>""",
 )

@@ -9,6 +9,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -523,6 +524,69 @@ def test_html_names_of_wrappers_do_not_empty_a_page():
     assert html_text.main_text(f"<article><p>{b}</p><p>x <math><mi>y</mi></math> <svg><text>z</text></svg></p><p>{c}</p></article>") == f"{b}\nx y z\n{c}"
 
 
+@pytest.mark.parametrize("page", ["<p>Hello world</p>", "<div>only a few words here</div>", "<div>" + "".join(f"<p>line {k} of a poem</p>" for k in range(12)) + "</div>", "<body><nav><a href=1>Home</a></nav><p>One line.</p></body>"])
+def test_html_keeps_short_pages_whole(page):
+    want = re.findall(r"<(?:p|div)>([^<]+)", page)
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+def test_html_keeps_lists_talk_and_linked_titles():
+    long = "Here is a paragraph of some length that says one thing after another, as paragraphs do, and then ends. " * 3
+    recipe = "<body><div class=menu><a href=1>Home</a></div><div><h1>Soup</h1><ul>" + "".join(f"<li>{x}</li>" for x in ("two onions", "salt", "a leek", "one litre of water", "oil")) + f"</ul><p>{long}</p></div></body>"
+    assert html_text.main_text(recipe).split("\n")[:6] == ["Soup", "two onions", "salt", "a leek", "one litre of water", "oil"]
+    talk = f"<body><div><p>{long}</p><p>Yes.</p><p>No.</p><p>Why not?</p><p>{long}</p></div></body>"
+    assert html_text.main_text(talk).split("\n")[1:4] == ["Yes.", "No.", "Why not?"]
+    title = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><h1><a href=3>A linked title of a page</a></h1><p>{long}</p><p>{long}</p></body>"
+    assert html_text.main_text(title).split("\n")[0] == "A linked title of a page"
+    links = f"<article><h1>T</h1><p>{long}</p><p><a href=1>See also</a></p><ul><li><a href=2>one</a></li><li><a href=3>two</a></li></ul></article>"
+    assert html_text.main_text(links).split("\n")[2:] == ["See also", "one", "two"]
+
+
+class Splitter(HTMLParser):
+    """Text blocks of a page, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.part, self.skip = [], "", 0
+
+    def cut(self):
+        text = " ".join(self.part.split())
+        self.blocks += [text] if text else []
+        self.part = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.RAW:
+            self.skip += 1
+        elif tag in html_text.BLOCKS:
+            self.cut()
+        elif tag == "br":
+            self.part += " "
+
+    def handle_endtag(self, tag):
+        if tag in html_text.RAW:
+            self.skip = max(0, self.skip - 1)
+        elif tag in html_text.BLOCKS:
+            self.cut()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.part += data
+
+
+def blocks_by_parser(page):
+    s = Splitter()
+    s.feed(page)
+    s.close()
+    s.cut()
+    return s.blocks
+
+
+def test_html_blocks_are_those_of_the_standard_parser(spark):
+    some = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect()]
+    for page in [*some, *(fill(p, 5 + k) for k, p in enumerate(pages.PAGES)), *(fill(p, k) for k, p in enumerate(html_text.PAGES))]:
+        assert [b.text for b in html_text.read(page).blocks] == blocks_by_parser(page)
+
+
 def test_html_of_long_and_deep_pages(spark):
     deep = "<div>" * 20_000 + "<p>" + fill("~30~", 1) + "</i>" * 20_000
     long = "<article>" + f"<p>{fill('~30~', 2)}</p>" * 3_000 + "</article>"
