@@ -360,12 +360,18 @@ def _best(source: str) -> str:
         "norm": [f"m + s * {t}e0" for t in z],
         "triang": [f"CASE WHEN {p}e0 < {cut} THEN lo + sqrt({p}e0 * (hi - lo) * ({mode} - lo)) ELSE hi - sqrt((1 - {p}e0) * (hi - lo) * (hi - {mode})) END" for p in qs],
         "lognorm": [f"exp(ln(greatest(m, 1e-9)) - {sigma} / 2 + sqrt({sigma}) * {t}e0)" for t in z],
+        "gamma": [f"po * power(1 - 1 / (9 * gk) + {t}e0 / (3 * sqrt(gk)), 3)" for t in z],
     }
+    y = "(gk + 6)"
+    digamma = f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) - (" + " + ".join(f"1 / (gk + {i})" for i in range(6)) + "))"
+    trigamma = f"(1 / {y} + 1 / (2 * {y} ** 2) + 1 / (6 * {y} ** 3) - 1 / (30 * {y} ** 5) + 1 / (42 * {y} ** 7) + " + " + ".join(f"1 / (gk + {i}) ** 2" for i in range(6)) + ")"
+    newton = ", ".join(f"bg{n + 1} AS (SELECT * EXCLUDE (gk), CASE WHEN sp > 1e-9 THEN gk - (ln(gk) - {digamma} - sp) / (1 / gk - {trigamma}) ELSE gk END AS gk FROM bg{n})" for n in range(calendars.NEWTON_STEPS))
     rows = " UNION ALL ".join(
         f"SELECT k, m, s, {nth} AS nth, '{name}' AS family, round((" + " + ".join(f"abs(q[{i + 1}] - ({x}))" for i, x in enumerate(xs)) + f") / {len(xs)}e0, 9) AS error FROM bx"
         for nth, (name, xs) in enumerate(families.items())
     )
-    return f"""bx AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s, min(v) AS lo, max(v) AS hi, quantile_cont(v, [{", ".join(f"{p}e0" for p in qs)}]) AS q FROM {source} GROUP BY k),
+    return f"""by0 AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s, min(v) AS lo, max(v) AS hi, quantile_disc(v, [{", ".join(f"{p}e0" for p in qs)}]) AS q, avg(greatest(v, 1)) AS po, ln(avg(greatest(v, 1))) - avg(ln(greatest(v, 1))) AS sp FROM {source} GROUP BY k),
+bg0 AS (SELECT *, CASE WHEN sp > 1e-9 THEN (3 - sp + sqrt((sp - 3) ** 2 + 24 * sp)) / (12 * sp) ELSE 1e12 END AS gk FROM by0), {newton}, bx AS MATERIALIZED (SELECT * FROM bg{calendars.NEWTON_STEPS}),
 bf AS ({rows}), bd AS (SELECT * FROM bf QUALIFY row_number() OVER (PARTITION BY k ORDER BY error, nth) = 1)"""
 
 

@@ -176,11 +176,46 @@ QUANTILES = [round(x / 20 + 0.025, 3) for x in range(20)]
 NORMAL = [round(statistics.NormalDist().inv_cdf(p), 6) for p in QUANTILES]
 
 
+def _digamma(x: Column) -> Column:
+    """The logarithmic derivative of the gamma function, by its recurrence and its asymptotic series."""
+    y = x + 6
+    return F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) - sum((1 / (x + i) for i in range(6)), F.lit(0.0))
+
+
+def _trigamma(x: Column) -> Column:
+    y = x + 6
+    return 1 / y + 1 / (2 * y**2) + 1 / (6 * y**3) - 1 / (30 * y**5) + 1 / (42 * y**7) + sum((1 / (x + i) ** 2 for i in range(6)), F.lit(0.0))
+
+
+NEWTON_STEPS = 3
+
+
+def gamma_shape(rows: DataFrame, spread: str, name: str) -> DataFrame:
+    """rows with the most likely shape of gamma-distributed values, whose logarithm of the mean exceeds the mean logarithm by the
+    column `spread`: Minka's closed start and NEWTON_STEPS Newton steps. Values that are all alike have a very large one."""
+    s = F.col(spread)
+    start = (3 - s + F.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
+    step = lambda k, _: k - (F.log(k) - _digamma(k) - s) / (1 / k - _trigamma(k))
+    return rows.withColumn(name, F.when(s > 1e-9, F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)).otherwise(F.lit(1e12)))
+
+
+#: The rank error of quantile sketches; values are exact up to this many a key.
+SKETCH = 100_000
+
+
 def best_distribution(log: DataFrame, key: str = "a") -> DataFrame:
-    """(key, family, mean, std, error): of fixed, uniform, exponential, normal, triangular and log-normal durations, fitted
-    by moments, the one whose quantiles are nearest to the observed ones, the simpler of equals; one row a key."""
+    """(key, family, mean, std, error): of fixed, uniform, exponential, normal, triangular, log-normal and gamma durations, fitted
+    by moments, the last by likelihood, the one whose quantiles are nearest to the observed ones, the simpler of equals; one row a key.
+
+    Observed quantiles come from mergeable sketches, so a key's values are never together; their ranks are exact up to SKETCH values
+    and off by one in SKETCH at most beyond. Those of the gamma distribution are Wilson and Hilferty's."""
     v = log.select(F.col(key).alias("k"), F.floor((F.col("e") - F.col("s")) / F.lit(1e6)).cast("double").alias("v"))
-    x = v.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", F.array(*map(F.lit, QUANTILES))).alias("q"))
+    above = F.greatest("v", F.lit(1.0))
+    x = v.groupBy("k").agg(
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", F.array(*map(F.lit, QUANTILES)), SKETCH).alias("q"),
+        F.avg(above).alias("positive"), F.avg(F.log(above)).alias("logs"),
+    )
+    x = gamma_shape(x.filter("mean IS NOT NULL").withColumn("spread", F.log("positive") - F.col("logs")), "spread", "shape")
     z = NORMAL
     m, s, lo, hi = (F.col(c) for c in ("mean", "std", "lo", "hi"))
     mode = F.least(F.greatest(3 * m - lo - hi, lo), hi)
@@ -200,7 +235,10 @@ def best_distribution(log: DataFrame, key: str = "a") -> DataFrame:
         "lognorm": [F.exp(mu + F.sqrt(sigma2) * t) for t in z],
     }
     error = lambda qs: sum((F.abs(F.col("q")[i] - q) for i, q in enumerate(qs)), F.lit(0.0)) / len(qs)
-    scored = x.select("k", "mean", "std", F.explode(F.array(*[F.struct(F.round(error(qs), 9).alias("error"), F.lit(nth).alias("nth"), F.lit(name).alias("family")) for nth, (name, qs) in enumerate(families.items())])).alias("f"))
+    gamma = lambda t: F.col("positive") * (1 - 1 / (9 * F.col("shape")) + t / (3 * F.sqrt("shape"))) ** 3
+    apart = F.aggregate(F.zip_with("q", F.array(*map(F.lit, z)), lambda q, t: F.abs(q - gamma(t))), F.lit(0.0), lambda acc, x: acc + x) / len(z)
+    errors = {name: error(qs) for name, qs in families.items()} | {"gamma": apart}
+    scored = x.select("k", "mean", "std", F.explode(F.array(*[F.struct(F.round(e, 9).alias("error"), F.lit(nth).alias("nth"), F.lit(name).alias("family")) for nth, (name, e) in enumerate(errors.items())])).alias("f"))
     best = scored.groupBy("k", "mean", "std").agg(F.min("f").alias("f"))
     return best.select(F.col("k").alias(key), "f.family", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("f.error", 4).alias("error"))
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 
@@ -482,3 +483,24 @@ def test_a_stream_in_several_batches_emits_silent_cases_once(spark, tmp_path):
         spark.conf.set(key, before)
     got = sorted((r.c, r.begin_us // minute - 1000, r.end_us // minute - 1000, r.trace) for r in out.collect())
     assert got == [(1, 0, 3, "a>b"), (2, 5, 5, "a"), (2, 20, 20, "b"), (3, 40, 40, "a"), (3, 100, 100, "b")]
+
+
+def test_gamma_durations_are_told_by_sketches(spark):
+    rng, shape = random.Random(3), 2.5
+    rows = [(c, "g", 0, 0, int(rng.gammavariate(shape, 400.0) * 1_000_000)) for c in range(4000)] + [(c, "f", 0, 0, 60_000_000) for c in range(20)]
+    events = log(spark, rows)
+    got = {r.a: r for r in calendars.best_distribution(events).collect()}
+    assert got["g"].family == "gamma" and got["f"].family == "fix"
+    v = events.filter("a = 'g'").select(F.greatest(F.floor((F.col("e") - F.col("s")) / 1e6).cast("double"), F.lit(1.0)).alias("v"))
+    fit = calendars.gamma_shape(v.agg((F.log(F.avg("v")) - F.avg(F.log("v"))).alias("spread")), "spread", "k").collect()[0].k
+    assert fit == pytest.approx(shape, rel=0.06)
+    plan = calendars.best_distribution(events)._jdf.queryExecution().toString()
+    assert "percentile_approx" in plan and "percentile(" not in plan
+
+
+def test_digamma_and_trigamma_are_derivatives_of_log_gamma(spark):
+    for x in (0.2, 1.0, 3.7, 40.0):
+        r = spark.range(1).select(calendars._digamma(F.lit(x)).alias("d"), calendars._trigamma(F.lit(x)).alias("t")).collect()[0]
+        h = 1e-4 * x
+        assert r.d == pytest.approx((math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), rel=1e-5, abs=1e-5)
+        assert r.t == pytest.approx((math.lgamma(x + h) - 2 * math.lgamma(x) + math.lgamma(x - h)) / h**2, rel=1e-3)
