@@ -31,6 +31,7 @@ class ProcessModel:
     event_attributes: DataFrame | None = None  # attribute, a, share
     global_attributes: DataFrame | None = None  # attribute, share
     delays: DataFrame | None = None  # a, mean_s
+    pools: DataFrame | None = None  # r, pool
     granule: int = 60
     fuzzy: bool = False
 
@@ -48,9 +49,12 @@ class ProcessModel:
 
         for r in rows(self.calendars):
             calendars.setdefault(str(r["k"]), []).append(period(r))
+        # a resource is a profile of its own, or one of its pool's, whose tasks and calendar all share
+        pool = {str(r["r"]): str(r["pool"]) for r in rows(self.pools)}
         profiles: dict = {}
         for r in rows(self.resources):
-            profiles.setdefault(str(r["r"]), []).append(ids[r["a"]])
+            members, tasks = profiles.setdefault(pool.get(str(r["r"]), str(r["r"])), (set(), set()))
+            members.add(str(r["r"])), tasks.add(ids[r["a"]])
         paths: dict = {}
         for r in rows(self.gateways):
             paths.setdefault(r["gateway"], []).append({"path_id": r["path"], "value": r["observed"], **({"condition_id": r["condition_id"]} if r.get("condition_id") else {})})
@@ -61,7 +65,7 @@ class ProcessModel:
                 {"bin": r["bin"], "share": r["share"]} if "bin" in r else {"distribution_name": r["family"], "distribution_params": [{"value": r["mean"]}, {"value": r["std"]}]} for r in rows(self.arrivals)
             ],
             "arrival_time_calendar": [period(r) for r in rows(self.arrival_calendar)],
-            "resource_profiles": [{"id": k, "resource_list": [{"id": k, "name": k, "amount": 1, "calendar": k, "assignedTasks": sorted(v)}]} for k, v in sorted(profiles.items())],
+            "resource_profiles": [{"id": k, "resource_list": [{"id": m, "name": m, "amount": 1, "calendar": k, "assignedTasks": sorted(tasks)} for m in sorted(members)]} for k, (members, tasks) in sorted(profiles.items())],
             "resource_calendars": [{"id": k, "name": k, "time_periods": v} for k, v in sorted(calendars.items())],
             "task_resource_distribution": [{"task_id": ids[r["a"]], "distribution_name": r["family"], "distribution_params": [{"value": r["mean"]}, {"value": r["std"]}]} for r in rows(self.performance)],
             "event_distribution": [{"event_id": ids.get(r["a"], r["a"]), "mean": r["mean_s"]} for r in rows(self.delays)],

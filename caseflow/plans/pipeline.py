@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
+import warnings
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DIVISORS_OF_DAY
 from ..operators import calendars, distances, preprocess, rule_learning, rules, traces
-from ..runtime import stored
+from ..runtime import scratch, stored
 from ..sources import bpmn
 from ..sources.logs import Roles, read_csv_log
 from . import discovery, replay, rules_json, simulate
 from .model import ProcessModel
-from .settings import Settings, schema
+from .settings import Settings, schema, without_effect
 from .tuner import Tuner
 
 NAMES = {"case_id": "c", "activity": "a", "resource": "r", "start_time": "s", "end_time": "e"}
@@ -174,7 +175,7 @@ def discover(log: DataFrame, settings: Settings, miner: discovery.Miner, work: d
     return ProcessModel(
         nodes, flows, paths, arrivals, _calendars(log, settings, work), best.select("a", "family", "mean", "std"), hands, arrival_calendar=arrival_calendar, batches=batches, priorities=priorities,
         branches=branches, attributes=case_attributes if common.discover_data_attributes or priorities is not None else None, event_attributes=event_attributes, global_attributes=global_attributes,
-        delays=extra, granule=work["granule"], fuzzy=resources.discovery_type == "resource_fuzzy",
+        delays=extra, pools=calendars.pools(log) if resources.discovery_type == "pool" else None, granule=work["granule"], fuzzy=resources.discovery_type == "resource_fuzzy",
     )
 
 
@@ -187,7 +188,9 @@ def search_work(train: DataFrame, valid: DataFrame, settings: Settings, seed: in
     search = Tuner(space, seed=seed)
     for _ in range(w.num_iterations):
         p = search.ask()
-        search.tell(p, calendar_loss(train, valid, settings, p))
+        with scratch(train.sparkSession):
+            loss = calendar_loss(train, valid, settings, p)
+        search.tell(p, loss)
     ok = [t for t in search.trials if t["status"] == "ok"]
     first = {k: v[-1] if isinstance(v, list) else v[0] for k, v in space.items()}
     return (search.best()["params"] if ok else first), search
@@ -197,6 +200,9 @@ def run(spark: SparkSession, settings: Settings, log: DataFrame, output: str | N
     """(model, trials, measurements or None) of a canonical log; a test log is taken as it is, without preparation."""
     meter = Meter()
     flow = settings.control_flow
+    idle = without_effect(settings)
+    if idle:
+        warnings.warn(f"without effect: {', '.join(idle)}", stacklevel=2)
     with meter.stage("preprocessing"):
         log = prepared(log, settings).cache()
         kept = [log]
@@ -229,7 +235,9 @@ def run(spark: SparkSession, settings: Settings, log: DataFrame, output: str | N
 
         for _ in range(flow.num_iterations if given is None else 1):
             p = search.ask()
-            search.tell(p, flow_loss(p))
+            with scratch(spark):
+                loss = flow_loss(p)
+            search.tell(p, loss)
         ok = [t for t in search.trials if t["status"] == "ok"]
         best = search.best()["params"] if ok else {"eta": 0.4, "epsilon": 0.3}
     with meter.stage("resources"):
@@ -246,6 +254,9 @@ def run(spark: SparkSession, settings: Settings, log: DataFrame, output: str | N
         with meter.stage("export"):
             model.write(output)
             settings.to_yaml(f"{output}/configuration.yaml")
+            flow_part = best | {"mining_algorithm": flow.mining_algorithm, "gateway_probabilities": flow.gateway_probabilities, "replace_or_joins": flow.replace_or_joins, "prioritize_parallelism": flow.prioritize_parallelism, "f_score": flow.f_score, "output_path": output, "process_model": settings.common.process_model_path}
+            chosen = {"control_flow": flow_part, "calendars": work | {"discovery_type": settings.resource_model.discovery_type}}
+            (Path(output) / "canonical_model.json").write_text(json.dumps(chosen, indent=1, default=str))
             for name, rows in (("trials", trials), ("resource_trials", work_search.table(spark))):
                 rows.orderBy("loss", "trial").select("trial", "status", "loss", F.to_json("params").alias("params")).write.mode("overwrite").option("header", True).csv(f"{output}/{name}")
             if measured is not None:

@@ -170,6 +170,16 @@ class Settings:
         Path(path).write_text(yaml.safe_dump(self.to_dict(), sort_keys=False))
 
 
+#: Settings that are read and kept but steer nothing here.
+WITHOUT_EFFECT = {"resource_model": ("optimization_metric", "num_evaluations_per_iteration"), "extraneous_activity_delays": ("optimization_metric", "num_iterations", "num_evaluations_per_iteration")}
+
+
+def without_effect(settings: Settings) -> list[str]:
+    """The settings that differ from their defaults and have no effect."""
+    parts = {name: (getattr(settings, name), SECTIONS[name]()) for name in WITHOUT_EFFECT}
+    return [f"{name}.{k}" for name, (own, plain) in parts.items() if own is not None for k in WITHOUT_EFFECT[name] if getattr(own, k) != getattr(plain, k)]
+
+
 def migrated(data: dict) -> dict:
     """Settings of versions 2 and 4 in the layout of version 5."""
     data = {k: dict(v) if isinstance(v, dict) else v for k, v in data.items()}

@@ -1,16 +1,18 @@
 import json
 import random
 import xml.etree.ElementTree as ET
+from pathlib import Path
 
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from caseflow import runtime
 from caseflow.functions import scalars
 from caseflow.operators import rules
 from caseflow.plans import pipeline, replay, rules_json, settings, simulate
 from caseflow.plans.settings import Settings
-from caseflow.sources.logs import read_csv_log, read_runs
+from caseflow.sources.logs import harvest, read_csv_log, read_runs
 from caseflow.streaming import incremental
 
 
@@ -59,7 +61,9 @@ def test_a_run_from_file_to_model(spark, tmp_path):
     log = pipeline.canonical(read_csv_log(spark, s.common.train_log_path))
     model, trials, measured = pipeline.run(spark, s, log, str(tmp_path / "out"))
     names = {p.name for p in (tmp_path / "out").iterdir()}
-    assert {"process.bpmn", "process.json", "configuration.yaml", "runtimes.json", "trials", "evaluation_metrics"} <= names
+    assert {"process.bpmn", "process.json", "configuration.yaml", "runtimes.json", "trials", "evaluation_metrics", "canonical_model.json"} <= names
+    chosen = json.loads((tmp_path / "out" / "canonical_model.json").read_text())
+    assert chosen["control_flow"]["eta"] == 0.5 and chosen["calendars"]["granule"] == 30 and chosen["calendars"]["discovery_type"] == "resource"
     assert trials.count() == 1 and measured.count() == 4 and all(r.distance >= 0 for r in measured.collect())
     out = model.to_dict()
     assert {x["name"] for x in [r.asDict() for r in model.nodes.filter("kind = 'task'").collect()]} == set("ABCD") and out["resource_profiles"] and out["task_resource_distribution"]
@@ -175,6 +179,17 @@ def test_every_id_of_the_json_is_in_the_model(spark, discovered, tmp_path):
     assert {t for p in data["resource_profiles"] for r in p["resource_list"] for t in r["assignedTasks"]} | {x["task_id"] for x in data["task_resource_distribution"]} | {x["task_id"] for x in data["batch_processing"]} <= ids
 
 
+def test_resources_of_a_pool_share_tasks_and_calendar(spark, discovered):
+    make, log = discovered
+    data = make(resources={"discovery_type": "pool"})
+    pool = {str(r.r): str(r.pool) for r in pipeline.calendars.pools(log).collect()}
+    found = {p["id"]: {r["id"] for r in p["resource_list"]} for p in data["resource_profiles"]}
+    assert found == {k: {r for r, q in pool.items() if q == k} for k in set(pool.values())}
+    calendars = {c["id"] for c in data["resource_calendars"]}
+    assert all(r["calendar"] == p["id"] and r["calendar"] in calendars for p in data["resource_profiles"] for r in p["resource_list"])
+    assert all(len({tuple(r["assignedTasks"]) for r in p["resource_list"]}) == 1 for p in data["resource_profiles"])
+
+
 def test_granularities_of_more_than_an_hour(spark, discovered):
     _, log = discovered
     s = Settings.from_dict({"resource_model": {"num_iterations": 1, "granularity": 120, "discovery_type": "resource"}})
@@ -280,3 +295,35 @@ def test_generated_logs(spark):
 
 def test_process_names():
     assert [scalars.process_name(x) for x in ("a/b/log.csv.gz", "log", "C:\\x\\y.z.xes", ".hidden")] == ["log", "log", "y", ".hidden"]
+
+
+def test_what_is_stored_in_a_trial_is_deleted(spark):
+    with runtime.scratch(spark):
+        kept = runtime.stored(spark.range(5))
+        folder = Path(kept.inputFiles()[0].removeprefix("file://")).parents[1]
+        assert folder.exists() and kept.count() == 5
+    assert not folder.exists()
+    assert str(folder) not in runtime.shared_dir(spark)
+
+
+def test_settings_without_effect_are_named():
+    assert settings.without_effect(Settings.one_shot()) == ["resource_model.num_evaluations_per_iteration"]
+    assert settings.without_effect(Settings()) == []
+    s = Settings.from_dict({"extraneous_activity_delays": {"num_iterations": 20}})
+    assert settings.without_effect(s) == ["extraneous_activity_delays.num_iterations"]
+
+
+def test_concurrency_settings_change_estimated_starts(spark):
+    rows_ = [(c * 10 + k, c, a, c, c * 1000 + t) for c in range(8) for k, (a, t) in enumerate([("A", 10), *([("B", 20), ("C", 30)] if c % 2 else [("C", 20), ("B", 30)]), ("D", 40)])]
+    log = spark.createDataFrame(rows_, "eid long, c long, a string, r long, e long").withColumn("s", F.lit(None).cast("long"))
+    of = lambda **p: {r.eid: r.s for r in pipeline.prepared(log, Settings.from_dict({"preprocessing": p})).collect()}
+    free, strict = of(df=0.9), of(df=0.0)
+    # B and C are concurrent in the first only: the later one starts when A has ended, were it not for the resource
+    assert free.keys() == strict.keys() and all(free[k] <= strict[k] for k in free)
+
+
+def test_measurements_of_many_runs_are_harvested(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"run{k}.csv").write_text(f"metric,distance\n3_gram,0.{k}\n")
+    got = harvest(spark, str(tmp_path / "*.csv")).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.distance) for r in got) == [("run0.csv", 0.0), ("run1.csv", 0.1), ("run2.csv", 0.2)]
