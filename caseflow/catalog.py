@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import attribute_updates as updates
-from .operators import calendars, distances, preprocess, rule_learning, rules, run_measures, traces, variants_distance
+from .operators import calendars, distances, preprocess, rule_learning, rules, run_measures, similar, traces, variants_distance
 from .plans import discovery, nesting, replay, rules_json, simulate, tuner
 from .sources import bpmn, logs
-from .sources.logs import events_log, orders_log
+from .sources.logs import events_log, orders_log, purchases_log
 from .streaming import incremental, silence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,6 +342,26 @@ def resource_pools(spark, d):
     return calendars.pools(events_log(spark, d))
 
 
+_BOUGHT = "l AS (SELECT o_custkey AS r, p_name AS a FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+_ALIKE = f"{_VEC}, z AS (SELECT x.r, y.r AS q, round(corr(x.n, y.n), 6) AS k FROM ve x JOIN ve y ON x.a = y.a AND x.r <> y.r GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH {_BOUGHT}, {_ALIKE}, f AS (SELECT r, list(n / t ORDER BY a) AS shape, min(n) = max(n) AS flat FROM (SELECT *, sum(n) OVER (PARTITION BY r)::DOUBLE AS t FROM ve) GROUP BY r), "
+    "p AS (SELECT r, CASE WHEN flat THEN r ELSE min(r) OVER (PARTITION BY shape) END AS profile FROM f) SELECT r, profile, (SELECT count(*) FROM z WHERE z.r = p.r AND k > 0.4e0) AS links FROM p"
+)
+def similar_resources(spark, d):
+    return similar.similar_resources(purchases_log(spark, d), 0.4)
+
+
+@query(f"WITH {_BOUGHT}, {_ALIKE} SELECT r AS x, q AS y, k AS correlation FROM z WHERE r < q AND k > 0.4e0")
+def similar_profiles(spark, d):
+    from .runtime import stored
+
+    log = purchases_log(spark, d)
+    return similar.similar_profiles(log, stored(similar.profile_classes(log)), 0.4)
+
+
 @query(f"WITH {LOG}, u AS (SELECT a, r, floor((e - s) / 1e6)::DOUBLE AS v FROM l), y AS (SELECT *, avg(v) OVER (PARTITION BY a, r) AS m FROM u) SELECT a, r, {_MOMENTS} FROM y GROUP BY a, r")
 def performance_moments(spark, d):
     return calendars.performance(events_log(spark, d), ["a", "r"])

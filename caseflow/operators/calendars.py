@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MICROS_DAY
 from ..runtime import discard, stored
+from . import similar
 from .prefix import hour, lag_over
 
 MINUTE = 60_000_000
@@ -150,11 +151,12 @@ def profile_correlations(log: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def pools(log: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(r, pool): components of linked resources, named by their smallest, however long the chains are. Resources are few:
-    one row each. A round takes the smallest label around a resource, and that of the label's own resource."""
-    links = stored(profile_correlations(log, threshold).filter("linked").select("r", "q"))
+    """(r, pool): components of linked resources, named by their smallest, however long the chains are. Resources with proportional
+    counts are one profile; a round takes the smallest label around a profile, and that of the label's own profile."""
+    classes = stored(similar.profile_classes(log))
+    links = stored(similar.similar_profiles(log, classes, threshold).select(F.col("x").alias("r"), F.col("y").alias("q")))
     ways = links.unionByName(links.select(F.col("q").alias("r"), F.col("r").alias("q")))
-    label = stored(log.select("r").filter("r IS NOT NULL").distinct().withColumn("pool", F.col("r")))
+    label = stored(classes.select(F.col("profile").alias("r")).distinct().withColumn("pool", F.col("r")))
     while True:
         near = ways.join(label.select(F.col("r").alias("q"), "pool"), "q").groupBy("r").agg(F.min("pool").alias("near"))
         step = label.join(near, "r", "left").select("r", "pool", F.least("pool", F.coalesce("near", "pool")).alias("near"))
@@ -163,7 +165,8 @@ def pools(log: DataFrame, threshold: float = 0.5) -> DataFrame:
         discard(label)
         label = new.select("r", "pool")
         if new.filter("moved").limit(1).count() == 0:
-            return label
+            break
+    return classes.join(label.withColumnRenamed("r", "profile"), "profile").select("r", "pool")
 
 
 def performance(log: DataFrame, keys: list[str]) -> DataFrame:

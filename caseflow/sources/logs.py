@@ -69,6 +69,12 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def purchases_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as customers (r) that take kinds of parts (a)."""
+    i, o, p = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part"))
+    return i.join(o, i["l_orderkey"] == o["o_orderkey"]).join(p, i["l_partkey"] == p["p_partkey"]).select(F.col("o_custkey").alias("r"), F.col("p_name").alias("a"))
+
+
 def trim_strings(df: DataFrame) -> DataFrame:
     return df.select([F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
