@@ -8,10 +8,12 @@
    of copies cost one.
 3. Stars. Each bucket proposes edges from its smallest member to its other members of fitting size: as many edges as members.
    Every edge is confirmed on the full sets, made anew from the whole texts.
-4. The rest. A star can miss links between its rays. In every bucket whose members are still in several components, members
-   are compared by estimates from smallest hashes in bins, in blocks of bounded size, and pairs across components whose estimate is not
-   clearly below the threshold are confirmed in the same way: first the best of each member and component, then, in
-   what is still apart, all. Nothing is capped.
+4. The rest. A star can miss links between its rays. In every bucket whose members are still in several components, those
+   outside its largest one are compared with all members by estimates from smallest hashes in bins, in blocks of bounded size. Partners in
+   other components whose estimate is not clearly below the threshold are listed with the member, each member's text is
+   sent to the pair of blocks once, and the full sets are compared there; only links leave it. Nothing is capped. So rows
+   grow with members (and their share of blocks), not with pairs; comparisons grow with the product of a bucket's members
+   and those outside its largest component.
 5. Components of confirmed links, by alternating large and small stars.
 
 Recall: at similarity 0.75 two sets miss all buckets with probability (1 - 0.75 ** 5) ** 40, about 2e-5, less above; an
@@ -26,8 +28,6 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +41,7 @@ THRESHOLD = 75  # percent
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 21  # of a block's members together, on average
 EST_BINS = 400
 SLACK = 4.5  # standard deviations of an estimate
 LARGE = 1000  # copies of more than 1 / LARGE of all rows meet their class without a shuffle
@@ -50,6 +51,7 @@ _BOUNDS, _EST_BOUNDS = _bounds(BINS), _bounds(EST_BINS)
 _BAND = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+PROMISING_SCHEMA = "key long, i int, j int, rep long, component long, mates array<long>"
 
 
 def _probe(bins: np.ndarray, attempt: int) -> np.ndarray:
@@ -166,47 +168,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _blocks(best: int):
-    """Promising pairs across components within runs of rows (key, i, j, block, rep, component, n, signature, bands)."""
-
-    def compare(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, EST_BINS)
-        bands, key = np.frombuffer(b"".join(rows["bands"]), np.int64).reshape(-1, BANDS), rows["key"][0]
-        rep, comp, n, block = (np.array(rows[k]) for k in ("rep", "component", "n", "block"))
-        left = np.flatnonzero(block == rows["i"][0])
-        right = np.flatnonzero(block == rows["j"][0])
-        found = []
-        for x in left:
-            ys = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= THRESHOLD * np.maximum(n[right], n[x]))]
-            if rows["i"][0] == rows["j"][0]:
-                ys = ys[ys > x]
-            if not len(ys):
-                continue
-            # a pair is compared in the first bucket that it shares
-            ys = ys[bands[x, (bands[ys] == bands[x]).argmax(axis=1)] == key]
-            if not len(ys):
-                continue
-            same, some = (sig[ys] == sig[x]) & (sig[x] > 0), (sig[ys] > 0) | (sig[x] > 0)
-            share = same.sum(axis=1) / some.sum(axis=1)
-            # the bins draw m of the u hashes in the union without replacement; 1.5 / u for hashes that meet in a bin
-            u = np.maximum(n[ys], n[x])
-            m = EST_BINS * -np.expm1(-u / EST_BINS)
-            good = share >= THRESHOLD / 100 - SLACK * np.sqrt(0.1875 / m * np.maximum(0, 1 - m / u)) - 1.5 / u
-            ys, share = ys[good], share[good]
-            if best and len(ys) > best:
-                order = np.lexsort((-share, comp[ys]))
-                ys = ys[order]
-                first = np.concatenate([[0], np.flatnonzero(np.diff(comp[ys])) + 1])
-                rank = np.arange(len(ys)) - np.repeat(first, np.diff(first, append=len(ys)))
-                ys = ys[rank < best]
-            found += [(rep[x], rep[y]) for y in ys]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pairs.min(axis=1), pairs.max(axis=1)
+def _grouped(names: str, work):
+    """For mapInArrow: work on all rows of one (key, i, j) at once, as lists by name; rows are sorted by these."""
+    columns = ["key", "i", "j", *names.split(", ")]
 
     def run(batches):
-        names, held = ("key", "i", "j", "block", "rep", "component", "n", "signature", "bands"), None
+        held = None
         for batch in batches:
-            rows = {k: batch.column(k).to_pylist() for k in names}
+            rows = {k: batch.column(k).to_pylist() for k in columns}
             group = list(zip(rows["key"], rows["i"], rows["j"], strict=True))
             start = 0
             for k in range(1, len(group) + 1):
@@ -216,32 +185,103 @@ def _blocks(best: int):
                 if held and (held["key"][0], held["i"][0], held["j"][0]) == group[start]:
                     part = {c: held[c] + v for c, v in part.items()}
                 elif held:
-                    yield _pairs(*compare(held))
+                    yield work(held)
                 held, start = part, k
         if held:
-            yield _pairs(*compare(held))
+            yield work(held)
 
     return run
 
 
-def _pairs(a, b) -> pa.RecordBatch:
+def _promising(rows: dict) -> pa.RecordBatch:
+    """PROMISING_SCHEMA of two blocks of a bucket: members with a partner in another component whose estimate is not clearly too low;
+    mates has these partners, once for both."""
+    sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, EST_BINS)
+    bands, key = np.frombuffer(b"".join(rows["bands"]), np.int64).reshape(-1, BANDS), rows["key"][0]
+    rep, comp, n, block = (np.array(rows[k]) for k in ("rep", "component", "n", "block"))
+    left = np.flatnonzero(block == rows["i"][0])
+    right = np.flatnonzero(block == rows["j"][0])
+    mates, used = {}, np.zeros(len(rep), bool)
+    for x in left:
+        ys = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= THRESHOLD * np.maximum(n[right], n[x]))]
+        if rows["i"][0] == rows["j"][0]:
+            ys = ys[ys > x]
+        if not len(ys):
+            continue
+        # a pair is compared in the first bucket that it shares
+        ys = ys[bands[x, (bands[ys] == bands[x]).argmax(axis=1)] == key]
+        if not len(ys):
+            continue
+        same, some = (sig[ys] == sig[x]) & (sig[x] > 0), (sig[ys] > 0) | (sig[x] > 0)
+        share = same.sum(axis=1) / some.sum(axis=1)
+        # the bins draw m of the u hashes in the union without replacement; 1.5 / u for hashes that meet in a bin
+        u = np.maximum(n[ys], n[x])
+        m = EST_BINS * -np.expm1(-u / EST_BINS)
+        ys = ys[share >= THRESHOLD / 100 - SLACK * np.sqrt(0.1875 / m * np.maximum(0, 1 - m / u)) - 1.5 / u]
+        if len(ys):
+            mates[x] = rep[ys]
+            used[ys] = used[x] = True
+    at = np.flatnonzero(used)
+    whole = [pa.array([rows[k][0]] * len(at), t) for k, t in (("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
+    own = [pa.array(rep[at], pa.int64()), pa.array(comp[at], pa.int64()), pa.array([mates.get(x, ()) for x in at], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([*whole, *own], ["key", "i", "j", "rep", "component", "mates"])
+
+
+def _linked(rows: dict) -> pa.RecordBatch:
+    """Links (a, b) of promising members with their texts, on the full sets; pairs that links found here already join are left out."""
+    sets = list(_sets(pa.array(rows["text"], pa.large_string())))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids, inside = np.split(ids, np.cumsum([len(s) for s in sets])[:-1]), np.zeros(len(values), bool)
+    at, of, above, a, b = {}, dict(zip(rows["rep"], rows["component"], strict=True)), {}, [], []
+    for k, rep in enumerate(rows["rep"]):  # rows with one doc_id are one node
+        at.setdefault(rep, []).append(k)
+
+    def top(c):
+        while c in above:
+            c = above[c]
+        return c
+
+    for x, mates in enumerate(rows["mates"]):
+        inside[ids[x]] = True
+        for mate in mates:
+            own, other = top(rows["component"][x]), top(of[mate])
+            if own == other:
+                continue
+            for y in at[mate]:
+                both = np.count_nonzero(inside[ids[y]])
+                if both and 100 * both >= THRESHOLD * (len(ids[x]) + len(ids[y]) - both):
+                    above[max(own, other)] = min(own, other)
+                    a.append(min(rows["rep"][x], mate)), b.append(max(rows["rep"][x], mate))
+                    break
+        inside[ids[x]] = False
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _across(rows: DataFrame, labels: DataFrame, signatures: DataFrame, tested: DataFrame, best: int) -> DataFrame:
-    """Promising pairs, not yet tested, of members of one bucket in different components."""
+def _across(rows: DataFrame, labels: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join members of one bucket in different components.
+
+    Members of a bucket's main component meet only the bucket's other members. A text is sent once for a pair of blocks, not for a
+    pair of texts.
+    """
     named = rows.join(labels, rows["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("m", "s", "component")).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s")).filter("m > main.m")
+    blocks = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    apart = most.select("key", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.s")).alias("ours"), blocks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("rest"))
+    ours = F.col("component") == F.col("main")
     dealt = (
-        named.join(apart.select("key", blocks.alias("blocks")), "key")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        named.join(apart, "key")
+        .withColumn("block", F.when(ours, F.pmod(F.xxhash64("rep"), "ours")).otherwise(F.col("ours") + F.pmod(F.xxhash64("rep"), "rest")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(ours, F.col("ours")).otherwise(0), F.col("ours") + F.col("rest") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n")
     )
-    full = dealt.join(signatures, "rep").select("key", "i", "j", "block", "rep", "component", "n", "signature", "bands")
-    pairs = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(best), "a long, b long").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    by = ("key", "i", "j")
+    full = dealt.join(signatures, "rep").select(*by, "block", "rep", "component", "n", "signature", "bands")
+    promising = stored(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(_grouped("block, rep, component, n, signature, bands", _promising), PROMISING_SCHEMA), "promising")
+    told = promising.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*by, "rep", "component", "mates", "text")
+    links = stored(told.repartition(*by).sortWithinPartitions(*by).mapInArrow(_grouped("rep, component, mates, text", _linked), "a long, b long").distinct(), "links")
+    discard(promising)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -259,16 +299,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "texts")
     signatures = stored(texts.mapInArrow(_estimators, "rep long, signature binary, bands binary").dropDuplicates(["rep"]), "signatures")
     fits = F.lit(100) * F.least("n", "hub_n") >= F.lit(THRESHOLD) * F.greatest("n", "hub_n")
-    pairs = [stored(rows.filter((F.col("rep") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")]
-    links = [stored(confirm(pairs[0], texts), "links")]
-    labels = components(links[0])
-    union = lambda x: functools.reduce(DataFrame.unionByName, x)
-    for best in (2, 0):
-        pairs.append(stored(_across(rows.select("key", "rep", "n"), labels, signatures, union(pairs), best), "pairs"))
-        links.append(stored(confirm(pairs[-1], texts), "links"))
-        before, labels = labels, components(union(links))
+    pairs = stored(rows.filter((F.col("rep") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = stored(confirm(pairs, texts), "links")
+    labels = components(links)
+    more = _across(rows.select("key", "rep", "n"), labels, signatures, texts)
+    if not more.isEmpty():
+        before, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
         discard(before)
-    for x in (rows, texts, signatures, *pairs, *links):
+    for x in (rows, texts, signatures, pairs, links, more):
         discard(x)
     named = _named(sketches, classes).select("doc_id", "n_shingles", "rep")
     component = F.coalesce("component", "rep")

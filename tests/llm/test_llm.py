@@ -261,6 +261,29 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
     assert kept.columns == docs(spark, texts).columns
 
 
+def test_rows_of_near_duplicates_grow_with_members_not_with_pairs(spark, monkeypatch):
+    texts = []
+    for k in range(121):  # all share buckets, no two are similar enough: 0.70 or 0.74
+        own = [f"w{at}" for at in range(174)]
+        x, y = divmod(k, 11)
+        for place in (x, 11 + y, 22 + (x + y) % 11):
+            own[5 * place + 4] = f"n{k}-{place}"
+        texts.append(" ".join(own))
+    texts.append(texts[-1] + " more")
+    rows, keep = {}, near_dup.stored
+
+    def stored(df, what, *more):
+        out = keep(df, what, *more)
+        rows[what] = rows.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "stored", stored)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(dict(enumerate(texts)))
+    assert len({c for _, c in got.values()}) == len(texts) - 1
+    assert max(rows.values()) <= near_dup.BANDS * len(texts), rows
+
+
 def test_near_duplicates_of_nothing_and_of_rows_without_id(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
     two = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
