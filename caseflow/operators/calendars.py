@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MICROS_DAY
 from ..runtime import discard, stored
-from . import similar
+from . import quantiles, similar
 from .prefix import hour, lag_over
 
 MINUTE = 60_000_000
@@ -202,22 +202,17 @@ def gamma_shape(rows: DataFrame, spread: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.when(s > 1e-9, F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)).otherwise(F.lit(1e12)))
 
 
-#: The rank error of quantile sketches; values are exact up to this many a key.
-SKETCH = 100_000
-
-
 def best_distribution(log: DataFrame, key: str = "a") -> DataFrame:
     """(key, family, mean, std, error): of fixed, uniform, exponential, normal, triangular, log-normal and gamma durations, fitted
     by moments, the last by likelihood, the one whose quantiles are nearest to the observed ones, the simpler of equals; one row a key.
 
-    Observed quantiles come from mergeable sketches, so a key's values are never together; their ranks are exact up to SKETCH values
-    and off by one in SKETCH at most beyond. Those of the gamma distribution are Wilson and Hilferty's."""
+    Observed quantiles are exact, from counts of equal durations, so a key's values are never together. Those of the gamma distribution
+    are Wilson and Hilferty's."""
     v = log.select(F.col(key).alias("k"), F.floor((F.col("e") - F.col("s")) / F.lit(1e6)).cast("double").alias("v"))
     above = F.greatest("v", F.lit(1.0))
-    x = v.groupBy("k").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", F.array(*map(F.lit, QUANTILES)), SKETCH).alias("q"),
-        F.avg(above).alias("positive"), F.avg(F.log(above)).alias("logs"),
-    )
+    x = v.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg(above).alias("positive"), F.avg(F.log(above)).alias("logs"))
+    q = quantiles.exact(v, ["k"], ["v"], QUANTILES).select(F.col("k").alias("_k"), F.col("q")[0].alias("q"))
+    x = x.join(q, F.col("k").eqNullSafe(F.col("_k"))).drop("_k")
     x = gamma_shape(x.filter("mean IS NOT NULL").withColumn("spread", F.log("positive") - F.col("logs")), "spread", "shape")
     z = NORMAL
     m, s, lo, hi = (F.col(c) for c in ("mean", "std", "lo", "hi"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caseflow.functions import scalars
-from caseflow.operators import attribute_updates, calendars, distances, preprocess, rule_learning, rules, run_measures, traces
+from caseflow.operators import attribute_updates, calendars, distances, preprocess, quantiles, rule_learning, rules, run_measures, traces
 from caseflow.operators.variants_distance import coded_traces, control_flow_distance, damerau_levenshtein, distances_of
 from caseflow.plans import discovery, nesting, replay, simulate, tuner
 from caseflow.sources import bpmn, logs
@@ -504,3 +504,24 @@ def test_digamma_and_trigamma_are_derivatives_of_log_gamma(spark):
         h = 1e-4 * x
         assert r.d == pytest.approx((math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), rel=1e-5, abs=1e-5)
         assert r.t == pytest.approx((math.lgamma(x + h) - 2 * math.lgamma(x) + math.lgamma(x - h)) / h**2, rel=1e-3)
+
+
+def test_quantiles_of_many_values_are_exact(spark):
+    n, shares = 400_003, [0.025, 0.125, 0.5, 0.975]
+    rows = spark.range(n).select((F.col("id") % 2).alias("k"), ((F.col("id") * 7919) % n).alias("x"), F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("y"))
+    got = {r.k: r.q for r in quantiles.exact(rows, ["k"], ["x", "y"], shares).collect()}
+    place = lambda v: [v[max(1, len(v) - math.floor(len(v) - len(v) * p)) - 1] for p in shares]
+    for k in (0, 1):
+        assert got[k][0] == place(sorted((i * 7919) % n for i in range(k, n, 2)))
+    assert got[0][1] == place(sorted(i % 5 for i in range(0, n, 2))) and got[1][1] == []
+    assert {r.k: len(r.q[0]) for r in quantiles.exact(rows.filter("id < 4").withColumn("k", F.lit(None).cast("long")), ["k"], ["x"], shares).collect()} == {None: 4}
+
+
+def test_durations_beyond_a_sketch_are_fitted_exactly(spark):
+    n = 300_000
+    events = spark.range(n).select(F.col("id").alias("c"), F.lit("a").alias("a"), F.lit(0).alias("r"), F.lit(0).cast("long").alias("s"), (F.floor(F.pow(F.col("id") / n, F.lit(3.0)) * 1e8) * 1_000_000).cast("long").alias("e"), F.col("id").alias("eid"))
+    v = sorted(math.floor((i / n) ** 3 * 1e8) for i in range(n))
+    q = [v[max(1, n - math.floor(n - n * p)) - 1] for p in calendars.QUANTILES]
+    got, mean, lo = calendars.best_distribution(events).collect()[0], math.fsum(v) / n, v[0]
+    want = {"expon": [lo - (mean - lo) * math.log(1 - p) for p in calendars.QUANTILES], "uniform": [lo + (v[-1] - lo) * p for p in calendars.QUANTILES]}
+    assert got.family in want and got.error == pytest.approx(sum(abs(a - b) for a, b in zip(q, want[got.family], strict=True)) / len(q), abs=1e-3)
