@@ -525,3 +525,10 @@ def test_durations_beyond_a_sketch_are_fitted_exactly(spark):
     got, mean, lo = calendars.best_distribution(events).collect()[0], math.fsum(v) / n, v[0]
     want = {"expon": [lo - (mean - lo) * math.log(1 - p) for p in calendars.QUANTILES], "uniform": [lo + (v[-1] - lo) * p for p in calendars.QUANTILES]}
     assert got.family in want and got.error == pytest.approx(sum(abs(a - b) for a, b in zip(q, want[got.family], strict=True)) / len(q), abs=1e-3)
+
+
+def test_cut_points_of_many_examples_are_exact(spark):
+    n = 300_000
+    rows = spark.range(n).select(F.lit("g").alias("g"), (F.col("id") % 2).cast("string").alias("y"), (F.col("id") % 3 == 0).alias("hold"), ((F.col("id") * 7919) % n).alias("x"))
+    cuts = rule_learning.cells(rows, ["x"], [])[1].collect()[0].cuts
+    assert cuts == [[math.ceil(n * k / 16) - 1 for k in range(1, 16)]]
