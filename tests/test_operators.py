@@ -532,3 +532,12 @@ def test_cut_points_of_many_examples_are_exact(spark):
     rows = spark.range(n).select(F.lit("g").alias("g"), (F.col("id") % 2).cast("string").alias("y"), (F.col("id") % 3 == 0).alias("hold"), ((F.col("id") * 7919) % n).alias("x"))
     cuts = rule_learning.cells(rows, ["x"], [])[1].collect()[0].cuts
     assert cuts == [[math.ceil(n * k / 16) - 1 for k in range(1, 16)]]
+
+
+def test_bounds_of_rules_on_many_examples_are_exact(spark):
+    n = 300_000
+    point = lambda k: math.ceil(n * k / 16) - 1
+    x = (F.col("id") * 7919) % n
+    rows = spark.range(n).select(F.lit("g").alias("g"), F.when((x > point(3)) & (x <= point(10)), "in").otherwise("out").alias("y"), (F.col("id") % 3 == 0).alias("hold"), x.alias("x"), (F.col("id") % 7).alias("z"))
+    got = {(r.comparison, r.bound, r.fp, r.f1) for r in rule_learning.learn(rows, ["x", "z"], [], outcome="in").collect()}
+    assert got == {(">", point(3), 0, 1.0), ("<=", point(10), 0, 1.0)}
