@@ -6,7 +6,8 @@ places into four neighbouring runs, two cuts below a first one, the one that lea
 explains the share `least` of y's variance is taken: a constant, a line, a tree; else a table if y has few values, else mean
 and deviation.
 
-Scale: two aggregates by activity and attribute over the steps; the cuts are tried over at most CUTS rows a group.
+Scale: the steps are stored once; aggregates of them by activity and attribute, and by value for distinct values, exact quantiles and sums of y.
+The cuts are tried over at most CUTS rows a group.
 Edge cases: a case's first event and nulls tell nothing; an activity without steps has no row.
 """
 
@@ -15,33 +16,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import discard, stored
+from . import quantiles
 
 CUTS, VALUES, LEAST = 16, 20, 0.95
 KEYS = ["attribute", "a"]
 
 
-def changes(log: DataFrame, attributes: list[str]) -> DataFrame:
-    """(attribute, a, x, y) of a log (c, a, e, eid, attributes)."""
+def _steps(log: DataFrame, attributes: list[str]) -> DataFrame:
+    """(a, _0, _1, ...): at each event, the values (x, y) of every attribute before and after."""
     w = Window.partitionBy("c").orderBy("e", "eid")
-    pairs = [F.struct(F.lag(F.col(k).cast("double")).over(w).alias("x"), F.col(k).cast("double").alias("y")).alias(f"_{n}") for n, k in enumerate(attributes)]
+    return log.select("a", *[F.struct(F.lag(F.col(k).cast("double")).over(w).alias("x"), F.col(k).cast("double").alias("y")).alias(f"_{n}") for n, k in enumerate(attributes)])
+
+
+def _stacked(steps: DataFrame, attributes: list[str]) -> DataFrame:
     each = F.array(*[F.struct(F.lit(k).alias("attribute"), f"_{n}.x", f"_{n}.y") for n, k in enumerate(attributes)])
-    return log.select("a", *pairs).select("a", F.explode(each).alias("s")).select("s.attribute", "a", "s.x", "s.y").filter("x IS NOT NULL AND y IS NOT NULL")
+    return steps.select("a", F.explode(each).alias("s")).select("s.attribute", "a", "s.x", "s.y").filter("x IS NOT NULL AND y IS NOT NULL")
+
+
+def changes(log: DataFrame, attributes: list[str]) -> DataFrame:
+    """(attribute, a, x, y) of a log (c, a, e, eid, attributes)."""
+    return _stacked(_steps(log, attributes), attributes)
 
 
 def updates(log: DataFrame, attributes: list[str], least: float = LEAST) -> DataFrame:
     """(attribute, a, n, kind, mean, std, values, intercept, slope, line_r2, tree_r2, cuts) of a log; cuts: (low, first, high), null
     where a run is not cut again."""
-    rows = changes(log, attributes)
-    shares = F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)])
-    facts = stored(rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.countDistinct("y").alias("values"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
-        F.regr_r2("y", "x").alias("r2"), F.array_sort(F.array_distinct(F.percentile_approx("x", shares, 100_000))).alias("points"),
-    ))
+    steps = stored(_steps(log, attributes))
+    rows = _stacked(steps, attributes)
+    sums = rows.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2")
+    )
+    values = rows.select(*KEYS, "y").distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("values"))
+    at = stored(rows.groupBy(F.struct(*KEYS).alias("_key"), F.col("x").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_y")))
+    points = quantiles.counted(at, [k / CUTS for k in range(1, CUTS)]).select("_key.*", F.array_sort(F.array_distinct("q")).alias("points"))
+    facts = stored(sums.join(values, KEYS).join(points, KEYS))
+    discard(steps)
     # sums of y, its mean taken off, by the place of x among the cut points
-    coded = rows.join(facts.select(*KEYS, "mean", "points"), KEYS)
-    code = F.size(F.filter("points", lambda c: F.col("x") > c))
-    sums = coded.groupBy(*KEYS, code.alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") - F.col("mean")).alias("s"))
+    coded = at.select("_key.*", "_v", "_n", "_y").join(facts.select(*KEYS, "mean", "points"), KEYS)
+    code = F.size(F.filter("points", lambda c: F.col("_v") > c))
+    sums = coded.groupBy(*KEYS, code.alias("code")).agg(F.sum("_n").alias("n"), F.sum(F.col("_y") - F.col("_n") * F.col("mean")).alias("s"))
     upto = Window.partitionBy(*KEYS).orderBy("code")
     run = sums.withColumn("n_upto", F.sum("n").over(upto)).withColumn("s_upto", F.sum("s").over(upto))
     zero = F.array(F.struct(F.lit(-1).alias("code"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s")))

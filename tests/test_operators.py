@@ -541,3 +541,14 @@ def test_bounds_of_rules_on_many_examples_are_exact(spark):
     rows = spark.range(n).select(F.lit("g").alias("g"), F.when((x > point(3)) & (x <= point(10)), "in").otherwise("out").alias("y"), (F.col("id") % 3 == 0).alias("hold"), x.alias("x"), (F.col("id") % 7).alias("z"))
     got = {(r.comparison, r.bound, r.fp, r.f1) for r in rule_learning.learn(rows, ["x", "z"], [], outcome="in").collect()}
     assert got == {(">", point(3), 0, 1.0), ("<=", point(10), 0, 1.0)}
+
+
+def test_updates_of_many_values_are_cut_exactly(spark):
+    n = 300_000
+    points = [math.ceil(n * k / 16) - 1 for k in (3, 7, 12)]
+    x = (F.col("id") * 7919) % n
+    stairs = sum((F.when(x > p, 100).otherwise(0) for p in points), F.lit(0))
+    one = lambda a, e, v: F.struct(F.lit(a).alias("a"), F.lit(e).cast("long").alias("e"), v.cast("double").alias("v"))
+    events = spark.range(n).select(F.col("id").alias("c"), F.explode(F.array(one("b", 0, x), one("a", 1, stairs))).alias("x")).select("c", "x.*", F.monotonically_increasing_id().alias("eid"))
+    got = attribute_updates.updates(events, ["v"]).collect()
+    assert [(r.a, r.n, r["values"], r.tree_r2, list(r.cuts)) for r in got] == [("a", n, 4, 1.0, points)]
