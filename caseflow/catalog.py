@@ -592,8 +592,7 @@ def priority_overtakes(spark, d):
 @query(f"WITH {LOG}, {_ENABLED}, {_TAKES}, v AS (SELECT eid, (c % 4)::BIGINT AS v FROM l), t AS (SELECT x.v AS win, y.v AS lose FROM ot JOIN v x ON x.eid = ot.eid JOIN v y ON y.eid = ot.over WHERE x.v <> y.v), u AS (SELECT win AS v, 1 AS w FROM t UNION ALL SELECT lose, 0 FROM t), z AS (SELECT v AS value, sum(w)::BIGINT AS won, count(*) AS contested, round(sum(w)::DOUBLE / count(*), 6) AS score FROM u GROUP BY v) SELECT *, dense_rank() OVER (ORDER BY score DESC)::INT AS level FROM z")
 def priority_rules(spark, d):
     log = events_log(spark, d)
-    pairs = rules.overtakes(log, preprocess.enabled_times(log, _concurrent(log)))
-    return rules.priority_scores(pairs, log.select("eid", (F.col("c") % 4).alias("v")))
+    return rules.priority_counts(log, preprocess.enabled_times(log, _concurrent(log)), log.select("eid", (F.col("c") % 4).alias("v")))
 
 
 # Gateways and branch conditions

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rule_learning
+from . import nested, rule_learning
 from .prefix import hour, joined, lead_over, running_max_before, running_sum
 
 TEN_MINUTES = 600_000_000
@@ -105,6 +105,19 @@ def priority_scores(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     return out.withColumn("level", F.dense_rank().over(Window.orderBy(F.desc("score"))))
 
 
+def priority_counts(log: DataFrame, enabled: DataFrame, attributes: DataFrame) -> DataFrame:
+    """priority_scores of all overtakes of a log, with attributes (eid, v), without a list of them: who overtakes waited inside the
+    other's wait, and such pairs are counted, all of them less those of equal values."""
+    rows = log.select("eid", "r", "a", "s").join(enabled, "eid").join(attributes.select("eid", "v"), "eid").filter("a IS NOT NULL AND v IS NOT NULL")
+    work = lambda own: F.struct("r", "a", F.when(F.lit(own), F.col("v")).alias("v"), F.lit(own).alias("own"))
+    rows = rows.select("v", "s", F.least("enabled_us", "s").alias("en"), F.explode(F.array(work(False), work(True))).alias("_key")).withColumn("own", F.col("_key.own"))
+    of = nested.counts(rows, ["v", "own"]).groupBy("v").pivot("own", [False, True]).agg(F.sum("inside").alias("inside"), F.sum("around").alias("around"))
+    won, lost = F.col("false_inside") - F.col("true_inside"), F.col("false_around") - F.col("true_inside")
+    out = of.select(F.col("v").alias("value"), won.alias("won"), (won + lost).alias("contested")).filter("contested > 0")
+    out = out.withColumn("score", F.round(F.col("won") / F.col("contested"), 6))
+    return out.withColumn("level", F.dense_rank().over(Window.orderBy(F.desc("score"))))  # over one row a value
+
+
 def interval_labels(df: DataFrame, numbers: list[str], parts: int = 4) -> DataFrame:
     """df with each of some numeric columns as the interval between quantiles that it lies in, `low;high`, from -inf to inf."""
     if not numbers:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caseflow.functions import scalars
-from caseflow.operators import attribute_updates, calendars, distances, preprocess, quantiles, rule_learning, rules, run_measures, traces
+from caseflow.operators import attribute_updates, calendars, distances, nested, preprocess, quantiles, rule_learning, rules, run_measures, traces
 from caseflow.operators.variants_distance import coded_traces, control_flow_distance, damerau_levenshtein, distances_of
 from caseflow.plans import discovery, nesting, replay, simulate, tuner
 from caseflow.sources import bpmn, logs
@@ -552,3 +552,26 @@ def test_updates_of_many_values_are_cut_exactly(spark):
     events = spark.range(n).select(F.col("id").alias("c"), F.explode(F.array(one("b", 0, x), one("a", 1, stairs))).alias("x")).select("c", "x.*", F.monotonically_increasing_id().alias("eid"))
     got = attribute_updates.updates(events, ["v"]).collect()
     assert [(r.a, r.n, r["values"], r.tree_r2, list(r.cuts)) for r in got] == [("a", n, 4, 1.0, points)]
+
+
+@pytest.mark.parametrize("whole", [1 << 15, 4])
+def test_overtakes_are_counted_as_they_are_listed(spark, monkeypatch, whole):
+    monkeypatch.setattr(nested, "WAYS", 4)
+    monkeypatch.setattr(nested, "WHOLE", whole)
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        s = rng.randrange(60) * HOUR // 7
+        rows.append((rng.randrange(9), rng.choice("ab"), rng.choice([1, 2, None]), s, s))
+    events = log(spark, rows)
+    enabled = events.select("eid", (F.col("s") - (F.col("eid") * 7919) % 40 * (HOUR // 7)).alias("enabled_us"))
+    values = events.select("eid", F.when(F.col("c") > 0, F.col("c") % 4).alias("v"))
+    want = rules.priority_scores(rules.overtakes(events, enabled), values).collect()
+    assert len(want) == 4 and {tuple(r) for r in rules.priority_counts(events, enabled, values).collect()} == {tuple(r) for r in want}
+
+
+def test_counting_overtakes_makes_no_pairs(spark):
+    n = 3000  # each wait holds all later ones
+    events = spark.range(n).select(F.col("id").alias("eid"), (F.col("id") % 3).alias("c"), F.lit("a").alias("a"), F.lit(1).alias("r"), (F.lit(2 * n) - F.col("id")).alias("s"), (F.lit(2 * n) - F.col("id")).alias("e"))
+    got = rules.priority_counts(events, events.select("eid", F.col("eid").alias("enabled_us")), events.select("eid", (F.col("c") % 3).alias("v"))).collect()
+    assert sum(r.won for r in got) == n * (n - 1) // 2 - 3 * (n // 3 * (n // 3 - 1) // 2) == sum(r.contested for r in got) // 2
